@@ -1,13 +1,15 @@
 """Operators for training-data pipelines. Nothing else in the library imports them."""
 
-from .decontaminate import ORACLE as _PASSAGES_SQL
+from . import decontaminate, license_scan
 from .decontaminate import op2_decontamination
 from .html_text import op8_html_text
+from .license_scan import op3_license_scan
 from .token_counts import op10_token_counts
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op8_html_text": op8_html_text,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op2_decontamination": _PASSAGES_SQL}
+ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE}
