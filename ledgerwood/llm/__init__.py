@@ -4,12 +4,16 @@ from . import decontaminate, license_scan
 from .decontaminate import op2_decontamination
 from .html_text import op8_html_text
 from .license_scan import op3_license_scan
+from .quality import op9_quality
 from .token_counts import op10_token_counts
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
+    "op5_toxicity": op5_toxicity,
     "op8_html_text": op8_html_text,
+    "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE}
