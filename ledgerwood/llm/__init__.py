@@ -1,10 +1,11 @@
 """Operators for training-data pipelines. Nothing else in the library imports them."""
 
-from . import decontaminate, license_scan, minhash
+from . import decontaminate, license_scan, minhash, multi_index
 from .decontaminate import op2_decontamination
 from .html_text import op8_html_text
 from .license_scan import op3_license_scan
 from .minhash import op1_minhash
+from .multi_index import op6_multi_index
 from .quality import op9_quality
 from .token_counts import op10_token_counts
 from .toxicity import op5_toxicity
@@ -14,8 +15,9 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op5_toxicity": op5_toxicity,
+    "op6_multi_index": op6_multi_index,
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op1_minhash": minhash.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE}
+ORACLES = {"op6_multi_index": multi_index.ORACLE, "op1_minhash": minhash.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE}
