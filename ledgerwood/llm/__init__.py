@@ -6,6 +6,7 @@ from .html_text import op8_html_text
 from .license_scan import op3_license_scan
 from .minhash import op1_minhash
 from .multi_index import op6_multi_index
+from .pitman_yor import op7_pitman_yor
 from .quality import op9_quality
 from .token_counts import op10_token_counts
 from .toxicity import op5_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op5_toxicity": op5_toxicity,
     "op6_multi_index": op6_multi_index,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
