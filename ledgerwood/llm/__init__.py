@@ -8,6 +8,7 @@ from .minhash import op1_minhash
 from .multi_index import op6_multi_index
 from .pitman_yor import op7_pitman_yor
 from .quality import op9_quality
+from .sentencepiece_lattice import op4_sentencepiece
 from .token_counts import op10_token_counts
 from .toxicity import op5_toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_multi_index": op6_multi_index,
     "op7_pitman_yor": op7_pitman_yor,
