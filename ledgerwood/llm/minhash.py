@@ -2,19 +2,19 @@
 
 Texts with equal shingle sets are one node. Each node gets a fast similarity sketch,
 cut into 32 bands of 4 coordinates: a pair of similarity 0.8 shares no band with a
-probability below 1e-7. Nodes that share a band form a bucket, and links are confirmed
-on the full sets:
+probability below 1e-7. Nodes that share a band form a bucket, and buckets with the same
+least node a group. Links are confirmed on the full sets:
 
-1. Every node of a bucket is compared with the bucket's least node. That is as many
-   comparisons as nodes, and each gives an exact Jaccard distance d.
-2. Distance is a metric, so two nodes of a bucket can be linked only if their d differ by
-   0.2 at most. Where a bucket has nodes that its least node isn't linked with, those are
-   compared with the nodes in their own and the adjacent ranges of d, in blocks of at most
-   ``BLOCK`` nodes a side; nodes that are all linked with the least node are not compared
-   with each other. A block returns a spanning forest of its links, never its pairs.
+1. The nodes of a group of at most ``BLOCK`` are compared with each other in one block.
+2. In a larger group every node is compared with the least node: as many comparisons as
+   nodes, each an exact Jaccard distance d. Distance is a metric, so two nodes can be linked
+   only if their d differ by 0.2 at most. Nodes that the least node isn't linked with are
+   compared with those in their own and the adjacent ranges of d, in blocks of about
+   ``BLOCK`` nodes a side; nodes linked with the least node aren't compared with each other.
 
-So a large group of near copies costs its size, plus its outsiders times their range, and
-no bucket is cut short or held by one task. The smallest doc_id of a component is kept.
+A block returns a spanning forest of its links, never its pairs. So a large group of near
+copies costs its size, plus its outsiders times their range, and no group is cut short or
+held by one task. The smallest doc_id of a component is kept.
 
 Defined results: null texts and texts without words have an empty set, are linked with
 nothing and kept; repeated rows are copies of each other; rows that share a doc_id but not
@@ -82,38 +82,48 @@ def linked(both, first, second):
 def near_links(docs: DataFrame, sketches: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
     """Links (u, v) between nodes whose components are those of all links."""
     nodes = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
-    banded = nodes.select(F.explode("bands").alias("bucket"), "node", "first_id")
-    least = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content")).where("members > 1")
-    # Bands often bring the same nodes together again; one bucket of each content is enough.
-    least = least.groupBy("content", "members", "least").agg(F.min("bucket").alias("bucket")).drop("content")
-    members, _ = staged(banded.join(least, "bucket"), "members")
-    sets, _ = staged(node_sets(docs, members.select("node", "first_id").distinct(), width, text_col, id_col), "sets")
-    mine = sets.select("node", "n", "shingles")
+    banded = nodes.select(F.explode("bands").alias("bucket"), "node")
+    least = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1").select("bucket", "least")
+    # Two nodes of a bucket share its least node, so buckets with the same one are one group.
+    pairs, _ = staged(banded.join(least, "bucket").where("node <> least").select("least", "node").distinct(), "pairs")
+    members = pairs.union(pairs.select("least", F.col("least").alias("node")).distinct())
+    first = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    wanted = members.select("node").distinct().join(first, "node")
+    sets, _ = staged(node_sets(docs, wanted, width, text_col, id_col), "sets")
+    sizes = pairs.groupBy("least").agg(F.count("*").alias("size"))
+    sized = members.join(sizes, "least")
+    whole = F.struct(F.lit(0).alias("r"), F.lit(0).alias("b"))
+    small = sized.where(F.col("size") <= BLOCK).select(F.col("least").alias("group"), whole.alias("low"), whole.alias("high"), F.lit(True).alias("is_low"), "node")
+    large, _ = staged(sized.where((F.col("size") > BLOCK) & (F.col("node") != F.col("least"))).select("least", "node"), "large-groups")
+    compared, _ = staged(_compared(large, sets), "compared")
+    stars = compared.where("linked").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    blocks = small.union(_ranges(compared)).join(sets.select("node", "shingles"), "node")
+    return stars.union(blocks.groupBy("group", "low", "high").applyInPandas(_block_links, "u bigint, v bigint"))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each node's exact likeness to the least node of its group."""
     theirs = sets.select(F.col("node").alias("least"), F.col("n").alias("least_n"), F.col("shingles").alias("least_shingles"))
-    pairs = members.where("node <> least").select("node", "least").distinct()
     both = F.size(F.array_intersect("shingles", "least_shingles"))
-    compared = pairs.join(mine, "node").join(theirs, "least").select("node", "least", (both / (F.col("n") + F.col("least_n") - both)).alias("likeness"), linked(both, F.col("n"), F.col("least_n")).alias("linked"))
-    compared, _ = staged(compared, "compared")
-    stars = compared.where("linked").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    likeness = both / (F.col("n") + F.col("least_n") - both)
+    return pairs.join(sets, "node").join(theirs, "least").select("least", "node", likeness.alias("likeness"), linked(both, F.col("n"), F.col("least_n")).alias("linked"))
+
 
-    # Ranges of distance (least, least + 0.2], ... with the linked nodes as range 0.
+def _ranges(compared: DataFrame) -> DataFrame:
+    """The blocks that each node of a large group meets, by its range of distance to the least node."""
     span = (100 - PERCENT) / 100
-    spread = F.least(F.lit(RANGES - 1), F.greatest(F.lit(1), F.ceil((1 - F.col("likeness")) / span - 1e-9) - 1)).cast("int")
-    open_buckets = members.where("members > 2").join(compared, ["node", "least"], "left")
-    ranged = open_buckets.select("bucket", "node", F.when(F.col("node") == F.col("least"), 0).when(F.col("linked"), 0).otherwise(spread).alias("range"))
-    counted = ranged.groupBy("bucket").agg(*[F.count(F.when(F.col("range") == k, 1)).alias(f"n{k}") for k in range(RANGES)]).where(f"n0 < {'+'.join(f'n{k}' for k in range(RANGES))} - IF(n0 = 1, 1, 0) OR n0 > 1 AND n1 > 0")
-    ranged = ranged.join(counted, "bucket")
-    blocks = lambda r: F.greatest(F.lit(1), F.ceil(F.element_at(F.array(*[F.col(f"n{k}") for k in range(RANGES)]), r + 1) / BLOCK)).cast("int")
-    own = ranged.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks(F.col("range"))).cast("int"))
+    farther = F.least(F.lit(RANGES - 1), F.greatest(F.lit(1), F.ceil((1 - F.col("likeness")) / span - 1e-9) - 1)).cast("int")
+    ranged = compared.select(F.col("least").alias("group"), "node", F.when(F.col("linked"), 0).otherwise(farther).alias("range"))
+    counts = ranged.groupBy("group").agg(F.array(*[F.count(F.when(F.col("range") == k, 1)) for k in range(RANGES)]).alias("counts"))
+    held = lambda r: F.get("counts", r)
+    blocks = lambda r: F.ceil(held(r) / BLOCK).cast("int")
+    own = ranged.join(counts, "group").withColumn("block", F.pmod(F.xxhash64("node", "group"), blocks(F.col("range"))).cast("int"))
     # A node meets the blocks of its own range and of both adjacent ones; range 0 doesn't meet itself.
-    meets = own.select("bucket", "node", "range", "block", *[f"n{k}" for k in range(RANGES)], F.explode(F.filter(F.sequence(F.col("range") - 1, F.col("range") + 1), lambda r: (r >= 0) & (r < RANGES) & ((r > 0) | (F.col("range") > 0)))).alias("other"))
-    meets = meets.where(F.element_at(F.array(*[F.col(f"n{k}") for k in range(RANGES)]), F.col("other") + 1) > 0)
-    meets = meets.select("bucket", "node", "range", "block", "other", F.explode(F.sequence(F.lit(0), blocks(F.col("other")) - 1)).alias("other_block"))
-    mine_at, other_at = F.struct(F.col("range").alias("r"), F.col("block").alias("b")), F.struct(F.col("other").alias("r"), F.col("other_block").alias("b"))
-    meets = meets.select("bucket", "node", F.least(mine_at, other_at).alias("low"), F.greatest(mine_at, other_at).alias("high"), (mine_at <= other_at).alias("is_low"))
-    with_sets = meets.join(sets, "node").select("bucket", "low", "high", "is_low", "node", "shingles")
-    found = with_sets.groupBy("bucket", "low", "high").applyInPandas(_block_links, "u bigint, v bigint")
-    return stars.union(found)
+    near = F.filter(F.sequence(F.col("range") - 1, F.col("range") + 1), lambda r: (r >= 0) & (r < RANGES) & ((r > 0) | (F.col("range") > 0)) & (held(r) > 0))
+    met = F.flatten(F.transform(near, lambda r: F.transform(F.sequence(F.lit(0), blocks(r) - 1), lambda b: F.struct(r.alias("r"), b.alias("b")))))
+    mine = F.struct(F.col("range").alias("r"), F.col("block").alias("b"))
+    meets = own.select("group", "node", mine.alias("mine"), F.explode(met).alias("other"))
+    return meets.select("group", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") <= F.col("other")).alias("is_low"), "node")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
