@@ -130,13 +130,14 @@ def with_text_columns(
     """
     names = [f.strip().split()[0] for f in _split_fields(fields)]
     keep = [c for c in keep if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [fields])
+    own = keep.index(text_col) if text_col in keep else len(keep)
+    source = df.select(*[F.col(f"`{c}`") for c in keep], *([F.col(f"`{text_col}`").alias("__text")] if own == len(keep) else []))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]] + [fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(own)
             for start, stop in slices(texts):
                 made = work(texts.slice(start, stop - start).to_pylist())
                 out = [batch.column(i).slice(start, stop - start) for i in range(len(keep))] + list(made)
@@ -146,6 +147,15 @@ def with_text_columns(
     return source.mapInArrow(run, schema)
 
 
+def packed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The text, and all columns as one struct ``row``: extra columns can't clash with new ones."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def _split_fields(fields: str) -> list[str]:
     """Split a DDL string at its outer commas."""
     parts, depth, last = [], 0, 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import list_array, plain_words, staged, table, with_text_columns
+from .common import list_array, packed, plain_words, staged, table, unpacked, with_text_columns
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one pass sends to the tasks.
@@ -174,6 +174,11 @@ def find_passages(
     return out.select(*held, "n_words", "spans", "items")
 
 
+def without_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs."""
+    return unpacked(find_passages(packed(docs, text_col), benchmark, keep=["row"]).where(F.size("spans") == 0))
+
+
 def n_hit(spans: str = "spans") -> F.Column:
     return F.aggregate(F.col(spans), F.lit(0).cast("bigint"), lambda n, s: n + (s["stop"] - s["start"]))
 

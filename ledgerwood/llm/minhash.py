@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import list_array, staged, table, with_text_columns
@@ -54,7 +54,8 @@ def sketched(docs: DataFrame, width: int, text_col: str, id_col: str) -> DataFra
 
         return work
 
-    return with_text_columns(docs.withColumnRenamed(id_col, "doc_id"), text_col, "n_shingles bigint, node bigint, bands array<bigint>", make, ["doc_id"])
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    return with_text_columns(own, "text", "n_shingles bigint, node bigint, bands array<bigint>", make, ["doc_id", "text_hash"])
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
@@ -158,20 +159,33 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, and the node that stands for the shingle set."""
+    """doc_id, n_shingles, component_id and kept; text_hash, and the component's root node."""
     sketches, _ = staged(sketched(docs, width, text_col, id_col), "sketches")
     roots = components(near_links(docs, sketches, width, text_col, id_col))
     first = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     placed = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_node = placed.join(smallest, "root").select("node", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
+    by_node = placed.join(smallest, "root").select("node", "root", "component_id")
+    out = sketches.select("doc_id", "text_hash", "n_shingles", "node").join(by_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "node")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "root")
+
+
+def without_near_duplicates(docs: DataFrame, width: int = WIDTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, and every one without words."""
+    found = near_duplicates(docs, width, text_col, id_col).where("kept")
+    one = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash", F.lit(True).alias("single"))
+    empty = found.where("root IS NULL").select("doc_id", "text_hash", F.lit(False).alias("single")).distinct()
+    stays = one.union(empty).select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"), "single")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_hash"))
+    met = rows.join(stays, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hash") == F.col("stay_hash")))
+    # Of repeated rows one stays: the copies of a kept document share its id and text.
+    nth = F.row_number().over(Window.partitionBy("own_id", "own_hash").orderBy("own_hash"))
+    return met.withColumn("nth", nth).where("nth = 1 OR NOT single").select("row.*")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("node")
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("text_hash", "root")
 
 
 #: Links and components of a view ``docs``; {width} words, {percent} percent. A link needs a shared shingle.

@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, hash_words, list_array, staged, table, utf8, with_text_columns
+from .common import bucket_of, hash_words, list_array, packed, staged, table, unpacked, utf8, with_text_columns
 from .labelled import byte_shares, labelled_sample
 
 #: Labelled rows that a model is fitted on, at most (about).
@@ -79,8 +79,8 @@ class QualityModel:
         pairs = ((x @ self.factors) ** 2 - (x**2) @ (self.factors**2)).sum(axis=1) / 2
         return self.bias + x @ self.linear + pairs
 
-    def score(self, docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), where: str | None = None) -> DataFrame:
-        """The kept columns and ``score``."""
+    def score(self, docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), least: float | None = None) -> DataFrame:
+        """The kept columns and ``score``, of rows with at least the score ``least`` if one is given."""
         model = self
 
         def make():
@@ -90,7 +90,11 @@ class QualityModel:
 
             return work
 
-        return with_text_columns(docs, text_col, "score double", make, keep)
+        return with_text_columns(docs, text_col, "score double", make, keep, None if least is None else lambda made: np.asarray(made[0]) >= least)
+
+    def without_junk(self, docs: DataFrame, text_col: str = "text", cut: float = CUT) -> DataFrame:
+        """The rows of ``docs`` whose score is ``cut`` or more."""
+        return unpacked(self.score(packed(docs, text_col), keep=["row"], least=cut))
 
 
 def constant(share: float) -> QualityModel:
