@@ -4,11 +4,13 @@ Vectors are halved; each half has a codebook of its own, fitted on a bounded sam
 the pairs of codewords form a grid of cells that every vector is filed in. For a query the
 two lists of codewords are sorted by how far the query's half lies from the border of each
 codeword's region, and the multi-sequence traversal visits cells in order of the sum of
-squares. A vector in a cell is at least that far from the query, so with the traversal
-stopped at the squared distance of the threshold no link is lost: recall is 1 by
-construction (``reach`` below 1 trades recall for visits). Visited cells are verified in
-blocks by the cosine in double precision; a block returns counts and a spanning forest of
-its links, never its pairs.
+squares. A vector in a cell is at least that far from the query, so a traversal up to the
+squared distance of the threshold (``recall=None``) loses no link at all. Of two vectors at
+that distance the part across the two borders is smaller, for a difference in a random
+direction by a factor whose square follows a chi-square law of two degrees of freedom over
+the dimensions: the traversal stops where that law leaves ``1 - RECALL``. Visited cells are
+verified in blocks by the cosine in double precision; a block returns counts and a spanning
+forest of its links, never its pairs.
 
 Equal vectors are one node with a multiplicity. Cells that hold many vectors, or that many
 queries visit, are dealt out in blocks of at most ``BLOCK`` rows a side.
@@ -38,7 +40,9 @@ COSINE = 0.95
 SAMPLE = 8192
 BLOCK = 1024
 #: Vectors per cell that the size of the codebooks aims at.
-PER_CELL = 48
+PER_CELL = 400
+#: Share of links at the threshold that the traversal reaches; closer ones are surer.
+RECALL = 0.9999
 CODEWORDS = (2, 256)
 
 
@@ -46,7 +50,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, node, vector): node is a hash of the vector, null for one that links with nothing."""
     v = F.col(vector_col)
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    fixed = F.transform(v.cast("array<double>"), lambda x: x + F.lit(0.0))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    fixed = F.transform(v.cast(kind if kind == "array<float>" else "array<double>"), lambda x: x + F.lit(0.0).cast("float" if kind == "array<float>" else "double"))
     return vectors.select(F.col(id_col).alias("vec_id"), F.when(sound, fixed).alias("vector")).withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
 
 
@@ -87,6 +92,12 @@ def multi_sequence(first: np.ndarray, second: np.ndarray, reach: float) -> Itera
                 heapq.heappush(heap, (x[k] + y[m], k, m))
 
 
+def traversal_reach(dims: int, recall: float | None) -> float:
+    """Sum of squared margins at which a traversal stops."""
+    whole = 2 * (1 - COSINE) + 1e-9
+    return whole if recall is None else min(whole, -2 * math.log(1 - recall) * whole / dims)
+
+
 def filed(nodes: DataFrame, first: np.ndarray, second: np.ndarray, reach: float) -> DataFrame:
     """Each node's cell and the cells it visits, of those its own or later ones: a pair is met once."""
     half, wide = first.shape[1], len(second)
@@ -110,7 +121,8 @@ def filed(nodes: DataFrame, first: np.ndarray, second: np.ndarray, reach: float)
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns)] + made, names=[*batch.schema.names, "cell", "visits"])
 
     source = nodes.select("node", "copies", "vector")
-    return source.mapInArrow(run, "node bigint, copies bigint, vector array<double>, cell bigint, visits array<bigint>")
+    kind = nodes.schema["vector"].dataType.simpleString()
+    return source.mapInArrow(run, f"node bigint, copies bigint, vector {kind}, cell bigint, visits array<bigint>")
 
 
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +148,7 @@ def links(nodes: DataFrame, n: int, dims: int, cosine_reach: float) -> DataFrame
     sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share) or 1)).orderBy("node").limit(2 * SAMPLE)
     x = np.array([r["vector"] for r in sample.select("vector").collect()] or [r["vector"] for r in nodes.select("vector").limit(1).collect()], np.float64)
     x = x / np.linalg.norm(x, axis=1)[:, None]
-    k = int(min(max(CODEWORDS[0], 2 ** round(math.log2(max(1.0, math.sqrt(n / PER_CELL))))), CODEWORDS[1]))
+    k = int(min(max(CODEWORDS[0], 2 ** int(math.log2(max(1.0, math.sqrt(n / PER_CELL))))), CODEWORDS[1]))
     half = max(1, dims // 2)
     first = kmeans(x[:, :half], min(k, len(x)))
     second = kmeans(x[:, half:], min(k, len(x))) if dims > 1 else np.zeros((1, 0))
@@ -154,7 +166,7 @@ def links(nodes: DataFrame, n: int, dims: int, cosine_reach: float) -> DataFrame
     return both.groupBy("cell", "m", "q").applyInPandas(_block, "u bigint, v bigint, n bigint")
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", reach: float = 1.0) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", recall: float | None = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept."""
     sound = usable(vectors, id_col, vector_col)
     lengths = sound.where("node IS NOT NULL").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -165,7 +177,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     n = nodes.count()
     if not n:
         return sound.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found, _ = staged(links(nodes, n, dims, reach * 2 * (1 - COSINE) + 1e-9), "links")
+    found, _ = staged(links(nodes, n, dims, traversal_reach(dims, recall)), "links")
     counts = found.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     roots = components(found.where("v IS NOT NULL").select("u", "v"))
     placed = nodes.select("node", "copies", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
