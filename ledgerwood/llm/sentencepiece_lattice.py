@@ -25,6 +25,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,10 @@ from .common import list_array, mix, table, tokenizer_path, with_text_columns
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Characters from which a word is folded on its own, by a heap.
 LONG = 64
-CELLS = 1 << 21
+CELLS = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -60,6 +61,7 @@ class PieceTable:
         self.fold = "viterbi" if kind == "unigram" else "merges"
         self.ids = {p: i for i, (p, _, k) in enumerate(pieces) if k == "piece"}
         self.scores = np.array([s for _, s, _ in pieces])
+        self.rank = np.unique(self.scores, return_inverse=True)[1].astype(np.int32)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == "byte"}
         self.unknown = next((i for i, (p, _, _) in enumerate(pieces) if p == "<unk>"), 0)
         self.longest = max(map(len, self.ids))
@@ -86,10 +88,15 @@ class PieceTable:
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """Ids of pieces by hash, -1 for none."""
         slot = (keys >> self.down).astype(np.int64)
-        out = np.where(self.keys[slot] == keys, self.found[slot], -1)
+        out = self.found[slot]
+        other = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))  # a slot that another piece holds
         for _ in range(self.probes - 1):
-            slot = (slot + 1) & self.mask
-            out = np.where(self.keys[slot] == keys, self.found[slot], out)
+            if not len(other):
+                break
+            slot[other] = (slot[other] + 1) & self.mask
+            out[other] = self.found[slot[other]]
+            other = other[(out[other] >= 0) & (self.keys[slot[other]] != keys[other])]
+        out[other] = -1
         return out
 
     def lattice(self, points: np.ndarray) -> np.ndarray:
@@ -100,23 +107,25 @@ class PieceTable:
         h = np.zeros((w, n), np.uint64)
         for k in range(wide):
             h = h[:, : n - k] * _P + points[:, k:]
-            edges[:, : n - k, k] = np.where(points[:, k:] > 0, self.lookup(mix(h)), -1)
+            row, at = np.nonzero(points[:, k:])
+            edges[row, at, k] = self.lookup(mix(h[row, at]))
         return edges
 
     def merged(self, edges: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Sizes of the symbols by (word, start) after all merges; 0 inside a symbol."""
         w, n, wide = edges.shape
-        size = (np.arange(n)[None, :] < lengths[:, None]).astype(np.int64)
-        live, starts = np.arange(w), np.arange(n)[None, :]
+        starts = np.arange(n, dtype=np.int32)[None, :]
+        size = (starts < lengths[:, None]).astype(np.int32)
+        live = np.arange(w)
         while len(live):
             own = size[live]
             after = np.minimum(starts + own, n - 1)
             both = own + np.take_along_axis(own, after, 1)
             fits = (own > 0) & (starts + own < lengths[live][:, None]) & (both <= wide)
             ids = np.where(fits, edges[live[:, None], starts, np.clip(both - 1, 0, wide - 1)], -1)
-            score = np.where(ids >= 0, self.scores[ids], -np.inf)
-            at = score.argmax(1)
-            any_left = score[np.arange(len(live)), at] > -np.inf
+            rank = np.where(ids >= 0, self.rank[ids], -1)
+            at = rank.argmax(1)  # of equal ones the leftmost
+            any_left = rank[np.arange(len(live)), at] >= 0
             live, at, after, both = live[any_left], at[any_left], after[any_left], both[any_left]
             rows = np.arange(len(live))
             size[live, after[rows, at]] = 0
@@ -269,7 +278,9 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, in
     def run(batches):
         for batch in batches:
             lists = batch.column(names.index(ids_col))
-            texts = [b"".join(map(spelled.__getitem__, x.as_py())) if x.is_valid else b"" for x in lists]
+            ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))])
+            ids = np.asarray(lists.flatten())
+            texts = [b"".join(map(spelled.__getitem__, ids[a:b].tolist())) for a, b in zip(ends, ends[1:])]
             texts = [t[1:] if t[:1] == b" " else t for t in texts]  # the space that encoding puts first
             made = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*names, into])
