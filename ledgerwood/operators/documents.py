@@ -31,12 +31,12 @@ def content_pages(pages: DataFrame, key: str) -> DataFrame:
     return counted.withColumn("is_content", ~contents)
 
 
-def running_lines(pages: DataFrame, document: str, page: str) -> DataFrame:
-    """Line keys that stand on at least half of a document's pages, and on five."""
+def running_lines(pages: DataFrame, document: str, page: str, share: float = RUNNING_SHARE) -> DataFrame:
+    """Line keys that stand on at least a share of a document's pages, and on five."""
     total = pages.groupBy(document).agg(F.countDistinct(page).alias("n_pages"))
     keyed = pages.select(document, page, F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
     seen = keyed.select(document, page, line_key(F.col("line")).alias("key")).distinct().groupBy(document, "key").agg(F.count("*").alias("on_pages"))
-    least = F.greatest(F.lit(RUNNING_LEAST), F.ceil(F.col("n_pages") * RUNNING_SHARE))
+    least = F.greatest(F.lit(RUNNING_LEAST), F.ceil(F.col("n_pages") * share))
     return seen.join(total, document).where(F.col("on_pages") >= least)
 
 

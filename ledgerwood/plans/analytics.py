@@ -1 +1,178 @@
-"""Queries."""
+"""Queries: claims analytics. Orders stand for claims, line items for notices and evidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import compliance as C
+from ..sources.tables import table
+from .registry import query
+
+TODAY = "1997-06-30"
+
+
+def claims(spark, sf):
+    o = table(spark, sf, "orders")
+    edition = F.get(F.array(*[F.lit(x) for x in ("red-book-2017", "red-book-1987", "red-book-1999", "")]), F.col("o_custkey") % 4)
+    seeks = F.get(F.array(*[F.lit(x) for x in ("both", "time", "money")]), F.col("o_orderkey") % 3)
+    aware = F.when(F.col("o_orderkey") % 11 != 0, F.to_date("o_orderdate"))
+    return o.select(F.col("o_orderkey").alias("claim_id"), edition.alias("edition"), seeks.alias("seeks"), aware.alias("awareness"))
+
+
+def notices(spark, sf):
+    """One row per order and line number, dated around the order; some under no clause and some without a date."""
+    first = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    both = first.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    clause = F.get(F.array(*[F.lit(x) for x in ("20.2.1", "20.2.4", "44.2", "53.1", "53.3", "20.1", "")]), (F.col("part") % 7).cast("int"))
+    obligation = F.when(F.col("part") % 5 == 0, "notice_of_claim").when(F.col("part") % 5 == 1, "detailed_claim")
+    effective = F.when(F.col("part") % 13 != 0, F.expr("date_add(to_date(o_orderdate), CAST(part % 90 AS INT) - 5)"))
+    return both.select(F.col("o_orderkey").alias("claim_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("notice_id"), clause.alias("clause"), obligation.alias("obligation"), effective.alias("effective"))
+
+
+_CLAIMS = """c AS (SELECT o_orderkey AS claim_id, ['red-book-2017', 'red-book-1987', 'red-book-1999', ''][o_custkey % 4 + 1] AS edition, ['both', 'time', 'money'][o_orderkey % 3 + 1] AS seeks, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE END AS awareness FROM orders)"""
+_NOTICES = """n AS (SELECT o_orderkey AS claim_id, l_orderkey * 10 + l_linenumber AS notice_id, ['20.2.1', '20.2.4', '44.2', '53.1', '53.3', '20.1', ''][part % 7 + 1] AS n_clause, CASE part % 5 WHEN 0 THEN 'notice_of_claim' WHEN 1 THEN 'detailed_claim' END AS n_obligation,
+CASE WHEN part % 13 <> 0 THEN o_orderdate::DATE + (part % 90 - 5)::INTEGER END AS effective FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2) JOIN orders ON o_orderkey = l_orderkey)"""
+_VALUES = ", ".join(f"('{e}', '{c}', '{o}', {d}, {str(p).lower()}, '{a}', '{r}', '{rc}')" for e, c, o, d, p, a, r, rc in C.REQUIREMENTS)
+_COUNTS = "(n_clause = '' OR n_clause = clause) AND coalesce(n_obligation = obligation, true) AND effective IS NOT NULL"
+_FIRST = """SELECT claim_id, clause, obligation, min((effective, notice_id)) AS f FROM {0} JOIN n USING (claim_id) WHERE """ + _COUNTS
+_STATUS = """CASE WHEN starts IS NULL THEN 'indeterminate' WHEN f IS NULL THEN 'not_given' WHEN f[1] < starts THEN 'indeterminate' WHEN f[1] <= starts + period_days THEN 'compliant' ELSE 'late' END"""
+FINDINGS = f"""{_CLAIMS}, {_NOTICES}, req(edition, clause, obligation, period_days, precedent, applies_to, runs_from, runs_from_clause) AS (VALUES {_VALUES}),
+p AS (SELECT * FROM c JOIN req USING (edition) WHERE applies_to = 'both' OR seeks = 'both' OR applies_to = seeks),
+p1 AS (SELECT *, awareness AS starts, NULL::BIGINT AS barred_id FROM p WHERE runs_from = 'awareness'),
+f1 AS (SELECT p1.claim_id, clause, obligation, min(row(effective, notice_id)) AS f FROM p1 JOIN n USING (claim_id) WHERE {_COUNTS} GROUP BY 1, 2, 3),
+d1 AS (SELECT p1.*, f FROM p1 LEFT JOIN f1 USING (claim_id, clause, obligation)),
+p2 AS (SELECT p.*, d1.f[1] AS starts, d1.f[2] AS barred_id FROM p LEFT JOIN d1 ON d1.claim_id = p.claim_id AND d1.clause = p.runs_from_clause AND d1.obligation = 'notice_of_claim' AND d1.f IS NOT NULL WHERE p.runs_from = 'notice'),
+f2 AS (SELECT p2.claim_id, clause, obligation, min(row(effective, notice_id)) AS f FROM p2 JOIN n USING (claim_id) WHERE {_COUNTS} AND notice_id IS DISTINCT FROM barred_id GROUP BY 1, 2, 3),
+d2 AS (SELECT p2.*, f FROM p2 LEFT JOIN f2 USING (claim_id, clause, obligation)),
+g AS (SELECT *, {_STATUS} AS status FROM (SELECT * FROM d1 UNION ALL BY NAME SELECT * FROM d2))"""
+
+
+@query(f"""WITH {FINDINGS} SELECT claim_id, clause, obligation, status, f[2] AS notice_id, (starts + period_days)::DATE AS deadline, CASE WHEN status = 'late' THEN date_diff('day', (starts + period_days)::DATE, f[1]) END AS days_late, status = 'late' AND precedent AS time_barred FROM g""")
+def g04_notice_compliance(spark, sf):
+    found = C.notice_compliance(claims(spark, sf), notices(spark, sf), C.requirements(spark))
+    return found.select("claim_id", "clause", "obligation", "status", "notice_id", "deadline", F.col("days_late").cast("bigint").alias("days_late"), "time_barred")
+
+
+@query(f"""WITH {FINDINGS} SELECT claim_id, count(*) AS findings, count(*) FILTER (WHERE status = 'late') AS late, count(*) FILTER (WHERE status = 'late' AND precedent) AS barred,
+count(*) FILTER (WHERE status = 'not_given' AND starts + period_days < DATE '{TODAY}') AS overdue, count(*) FILTER (WHERE status = 'not_given' AND starts + period_days BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 30) AS due_soon FROM g GROUP BY 1""")
+def a25_deadline_tallies(spark, sf):
+    found = C.notice_compliance(claims(spark, sf), notices(spark, sf), C.requirements(spark))
+    left, open_ = F.datediff("deadline", F.lit(TODAY).cast("date")), F.col("status") == "not_given"
+    late = F.col("status") == "late"
+    return found.groupBy("claim_id").agg(F.count("*").alias("findings"), F.count_if(late).alias("late"), F.count_if("time_barred").alias("barred"), F.count_if(open_ & (left < 0)).alias("overdue"), F.count_if(open_ & (left >= 0) & (left <= 30)).alias("due_soon"))
+
+
+def facts(spark, sf):
+    """A claim's facts for screening, from the findings and the claim's own columns."""
+    found = C.notice_compliance(claims(spark, sf), notices(spark, sf), C.requirements(spark))
+    first, detailed = F.col("obligation") == "notice_of_claim", F.col("obligation") == "detailed_claim"
+    gone = F.coalesce(F.col("deadline") < F.lit(TODAY).cast("date"), F.lit(False))
+    lapsing = detailed & (F.col("clause") == "20.2.4")
+    none = F.col("notice_id").isNull() & F.col("status").isin("not_given", "indeterminate")
+    held = first & F.col("notice_id").isNotNull()
+    counts = {
+        "n_without_notice": first & none, "n_barred": first & F.col("time_barred"), "n_late_open": first & (F.col("status") == "late") & ~F.col("time_barred"),
+        "n_misaddressed": held & (F.col("notice_id") % 7 == 0), "n_unreceived": held & (F.col("notice_id") % 3 == 0), "n_unconfirmed": held & (F.col("notice_id") % 2 == 0),
+        "n_detailed": detailed, "n_detailed_missing": detailed & (F.col("status") == "not_given"), "n_detailed_late": detailed & (F.col("status") == "late"),
+        "n_lapsing": lapsing, "n_expired": lapsing & gone, "n_expired_on_record": lapsing & gone & (F.col("status") != "not_given"),
+    }
+    by = found.groupBy("claim_id").agg(*[F.count_if(c).alias(k) for k, c in counts.items()])
+    o = table(spark, sf, "orders").withColumn("claim_id", F.col("o_orderkey"))
+    both = claims(spark, sf).join(o, "claim_id").join(by, "claim_id", "left").na.fill(0, list(counts))
+    k = F.col("o_orderkey")
+    return both.withColumns({
+        "n_basis": (k % 4).cast("int"), "n_basis_missing": (k % 2).cast("int"), "published": F.col("edition") != "red-book-1999", "has_claimant": k % 9 != 0, "has_respondent": k % 10 != 0,
+        "registered": F.col("edition").isin("red-book-2017", "red-book-1987", "red-book-1999"), "event_date": F.when(k % 12 != 0, F.expr("date_add(to_date(o_orderdate), CAST(o_custkey % 9 AS INT) - 6)")),
+        "description": F.when(k % 13 != 0, F.col("o_orderpriority")).otherwise(F.lit(" ")), "today": F.lit(TODAY).cast("date"), "instructed": k % 5 == 0, "instruction_linked": k % 10 == 0, "n_records": (k % 6).cast("int"),
+        "days_claimed": F.when(k % 3 != 1, (k % 40).cast("int")), "amount": F.when(k % 3 != 0, F.col("o_totalprice") - 1000), "currency": F.when(k % 4 == 0, F.lit("")).otherwise(F.lit("EUR")),
+        "seeks_money": F.col("seeks") != "time", "seeks_time": F.col("seeks") != "money",
+    })
+
+
+_FACTS = f"""b AS (SELECT claim_id, count(*) FILTER (WHERE obligation = 'notice_of_claim' AND f IS NULL AND status IN ('not_given', 'indeterminate')) AS n_without_notice,
+count(*) FILTER (WHERE obligation = 'notice_of_claim' AND status = 'late' AND precedent) AS n_barred, count(*) FILTER (WHERE obligation = 'notice_of_claim' AND status = 'late' AND NOT precedent) AS n_late_open,
+count(*) FILTER (WHERE obligation = 'notice_of_claim' AND f[2] % 7 = 0) AS n_misaddressed, count(*) FILTER (WHERE obligation = 'notice_of_claim' AND f[2] % 3 = 0) AS n_unreceived, count(*) FILTER (WHERE obligation = 'notice_of_claim' AND f[2] % 2 = 0) AS n_unconfirmed,
+count(*) FILTER (WHERE obligation = 'detailed_claim') AS n_detailed, count(*) FILTER (WHERE obligation = 'detailed_claim' AND status = 'not_given') AS n_detailed_missing, count(*) FILTER (WHERE obligation = 'detailed_claim' AND status = 'late') AS n_detailed_late,
+count(*) FILTER (WHERE clause = '20.2.4') AS n_lapsing, count(*) FILTER (WHERE clause = '20.2.4' AND starts + period_days < DATE '{TODAY}') AS n_expired, count(*) FILTER (WHERE clause = '20.2.4' AND starts + period_days < DATE '{TODAY}' AND status <> 'not_given') AS n_expired_on_record FROM g GROUP BY 1),
+s0 AS (SELECT c.claim_id, edition, seeks, awareness, coalesce(n_without_notice, 0) AS n_without_notice, coalesce(n_barred, 0) AS n_barred, coalesce(n_late_open, 0) AS n_late_open, coalesce(n_misaddressed, 0) AS n_misaddressed, coalesce(n_unreceived, 0) AS n_unreceived, coalesce(n_unconfirmed, 0) AS n_unconfirmed,
+coalesce(n_detailed, 0) AS n_detailed, coalesce(n_detailed_missing, 0) AS n_detailed_missing, coalesce(n_detailed_late, 0) AS n_detailed_late, coalesce(n_lapsing, 0) AS n_lapsing, coalesce(n_expired, 0) AS n_expired, coalesce(n_expired_on_record, 0) AS n_expired_on_record,
+o_orderkey % 4 AS n_basis, o_orderkey % 2 AS n_basis_missing, edition <> 'red-book-1999' AS published, o_orderkey % 9 <> 0 AS has_claimant, o_orderkey % 10 <> 0 AS has_respondent, edition <> '' AS registered,
+CASE WHEN o_orderkey % 12 <> 0 THEN o_orderdate::DATE + (o_custkey % 9 - 6)::INTEGER END AS event_date, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderpriority ELSE ' ' END AS description, DATE '{TODAY}' AS today, o_orderkey % 5 = 0 AS instructed, o_orderkey % 10 = 0 AS instruction_linked, o_orderkey % 6 AS n_records,
+CASE WHEN o_orderkey % 3 <> 1 THEN o_orderkey % 40 END AS days_claimed, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice - 1000 END AS amount, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'EUR' END AS currency, seeks <> 'time' AS seeks_money, seeks <> 'money' AS seeks_time
+FROM c JOIN orders ON o_orderkey = c.claim_id LEFT JOIN b USING (claim_id))"""
+_STEPS = ", ".join(f"s{i} AS (SELECT *, {C.gated(d, own)} AS {code} FROM s{i - 1})" for i, (code, _, d, own) in enumerate(C.CHECKS, 1))
+_LIST = lambda w: "[" + ", ".join(c for c, weight, *_ in C.CHECKS if w in ("", weight)) + "]"
+
+
+@query(f"""WITH {FINDINGS}, {_FACTS}, {_STEPS} SELECT claim_id, unnest([{", ".join(f"'{c}'" for c, *_ in C.CHECKS)}]) AS code, unnest({_LIST("")}) AS status FROM s{len(C.CHECKS)}""")
+def g13_screening(spark, sf):
+    """All 28 checks of every claim, each gated by those it depends on."""
+    return C.check_rows(C.screen(facts(spark, sf)), "claim_id").select("claim_id", "code", "status")
+
+
+@query(f"""WITH {FINDINGS}, {_FACTS}, {_STEPS} SELECT claim_id, CASE WHEN list_contains({_LIST("")}, 'barred') THEN 'barred' WHEN list_contains({_LIST("")}, 'lapsed') THEN 'lapsed'
+WHEN list_has_any({_LIST("blocking")}, ['incomplete', 'indeterminate']) THEN 'not_ready' WHEN list_has_any({_LIST("advisory")}, ['incomplete', 'indeterminate']) THEN 'ready_with_queries' ELSE 'ready' END AS outcome FROM s{len(C.CHECKS)}""")
+def g14_outcome(spark, sf):
+    return C.outcome(C.screen(facts(spark, sf))).select("claim_id", "outcome")
+
+
+_EVIDENCE = """e AS (SELECT l_orderkey AS claim_id, 'E' || (l_partkey % 6)::VARCHAR AS element, CASE l_returnflag WHEN 'A' THEN 'supports' WHEN 'R' THEN 'contradicts' ELSE 'unassessed' END AS relevance, l_linestatus = 'F' AS reviewed FROM lineitem),
+el AS (SELECT o_orderkey AS claim_id, 'E' || unnest(range(0, 5))::VARCHAR AS element FROM orders),
+gp AS (SELECT el.claim_id, el.element, CASE WHEN count(*) FILTER (WHERE relevance = 'supports') > 0 AND count(*) FILTER (WHERE relevance = 'contradicts') > 0 THEN 'contested' WHEN count(*) FILTER (WHERE relevance = 'supports' AND reviewed) > 0 THEN 'established'
+WHEN count(*) FILTER (WHERE relevance IN ('supports', 'unassessed')) > 0 THEN 'partial' ELSE 'missing' END AS status FROM el LEFT JOIN e USING (claim_id, element) GROUP BY 1, 2)"""
+
+
+def evidence(spark, sf):
+    relevance = F.when(F.col("l_returnflag") == "A", "supports").when(F.col("l_returnflag") == "R", "contradicts").otherwise("unassessed")
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.concat(F.lit("E"), (F.col("l_partkey") % 6).cast("string")).alias("element"), relevance.alias("relevance"), (F.col("l_linestatus") == "F").alias("reviewed"))
+
+
+def elements(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("claim_id"), F.explode(F.array(*[F.lit(f"E{i}") for i in range(5)])).alias("element"))
+
+
+@query(f"WITH {_EVIDENCE} SELECT * FROM gp")
+def g10_evidence_gaps(spark, sf):
+    return C.evidence_gaps(elements(spark, sf), evidence(spark, sf))
+
+
+@query(f"WITH {_EVIDENCE} SELECT claim_id, count(*) FILTER (WHERE status = 'established')::DOUBLE / count(*) AS completeness FROM gp GROUP BY 1")
+def a19_completeness(spark, sf):
+    return C.completeness(C.evidence_gaps(elements(spark, sf), evidence(spark, sf)))
+
+
+_ENTRIES = """t AS (SELECT user_id AS claim_id, 'event' AS kind, event_type || '  ' || (event_id % 9)::VARCHAR AS title, CASE WHEN event_id % 17 <> 0 THEN ts::DATE END AS occurred_on, CASE WHEN event_id % 5 = 0 THEN 'month' ELSE 'day' END AS precision, event_id AS id FROM events)"""
+
+
+def entries(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select(F.col("user_id").alias("claim_id"), F.lit("event").alias("kind"), F.concat("event_type", F.lit("  "), (F.col("event_id") % 9).cast("string")).alias("title"), F.when(F.col("event_id") % 17 != 0, F.to_date("ts")).alias("occurred_on"), F.when(F.col("event_id") % 5 == 0, "month").otherwise("day").alias("precision"), F.col("event_id").alias("id"))
+
+
+@query(f"WITH {_ENTRIES} SELECT claim_id, id, row_number() OVER (PARTITION BY claim_id ORDER BY coalesce(occurred_on, DATE '9999-12-31'), CASE precision WHEN 'day' THEN 0 ELSE 1 END, lower(title), id) AS place FROM t")
+def g11_chronology(spark, sf):
+    from pyspark.sql import Window
+
+    order = [F.coalesce("occurred_on", F.lit("9999-12-31").cast("date")), F.when(F.col("precision") == "day", 0).otherwise(1), F.lower("title"), F.col("id")]
+    return entries(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("claim_id").orderBy(*order))).select("claim_id", "id", F.col("place").cast("bigint").alias("place"))
+
+
+@query(rf"WITH {_ENTRIES} SELECT claim_id, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS title_key, count(DISTINCT occurred_on) AS n_dates FROM t WHERE occurred_on IS NOT NULL AND precision = 'day' GROUP BY 1, 2 HAVING count(DISTINCT occurred_on) > 1")
+def g12_date_conflicts(spark, sf):
+    return C.date_conflicts(entries(spark, sf))
+
+
+@query("""SELECT doc_id, CASE WHEN r = 0 THEN 'low' WHEN r = 1 THEN 'medium' ELSE 'high' END AS confidence FROM (SELECT doc_id, least(2, CASE WHEN quality = 0 THEN 0 ELSE 2 END, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, CASE WHEN doc_id % 7 > doc_id % 5 THEN 1 ELSE 2 END, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 2 END) AS r FROM labels)""")
+def g18_confidence(spark, sf):
+    facts = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("insufficient"), (F.col("doc_id") % 4).alias("cited"), (F.col("doc_id") % 7).alias("unknowns"), (F.col("doc_id") % 5).alias("facts"))
+    return C.confidence(facts).select("doc_id", "confidence")
+
+
+@query("""SELECT n_nationkey, n_name, count(DISTINCT c_custkey) AS parties, count(o_orderkey) AS claims, coalesce(sum(o_totalprice::DECIMAL(18,2)), 0)::DOUBLE AS amount, count(*) FILTER (WHERE o_orderstatus = 'O') AS open_ FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
+def g23_project_summary(spark, sf):
+    """Counts are added up by party first, so a party's claims never fan its row out."""
+    cents = F.col("o_totalprice").cast("decimal(18,2)")
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum(cents).alias("a"), F.count_if(F.col("o_orderstatus") == "O").alias("s"))
+    c = table(spark, sf, "customer").join(o, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("p"), F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("s").alias("s"))
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return table(spark, sf, "nation").join(c, "n_nationkey", "left").select("n_nationkey", "n_name", zero("p").alias("parties"), zero("n").alias("claims"), zero(F.col("a").cast("double")).alias("amount"), zero("s").alias("open_"))
