@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,10 +17,8 @@ RRF_K = 60
 AGREEMENT, EXACT, COMPLETE = 1.15, 2.0, 1.10
 PER_DOCUMENT, MAX_CHUNKS, MAX_CHARS = 4, 12, 24_000
 MAX_DISTANCE = 0.75
-
-
-def terms(text) -> F.Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9à-ÿß]+"), lambda t: F.length(t) > 1)
+#: Characters of a term, in lower case.
+TERM = "a-z0-9à-ÿß"
 
 
 def exact_list(chunks: DataFrame, clause: str, k: int = 20) -> DataFrame:
@@ -33,15 +32,18 @@ def lexical_list(chunks: DataFrame, query: Sequence[str], k: int = 50) -> DataFr
 
     Terms are counted inside each row, so the corpus statistics are one row and nothing else is shuffled.
     """
-    query = [q.lower() for q in query if len(q) > 1][:24]
-    own = chunks.withColumn("_terms", terms("text"))
-    same = lambda q: lambda t: t == F.lit(q)
-    tf = {q: F.size(F.filter("_terms", same(q))) for q in query}
-    counted = own.select("*", *[tf[q].alias(f"_tf{i}") for i, q in enumerate(query)])
-    stats = counted.agg(F.count("*").alias("_n"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"_df{i}") for i in range(len(query))])
-    part = [F.col(f"_tf{i}") * F.ln(1 + F.col("_n") / F.greatest(F.lit(1), F.col(f"_df{i}"))) for i in range(len(query))]
-    scored = counted.crossJoin(F.broadcast(stats)).withColumn("score", reduce(lambda a, b: a + b, part) / F.greatest(F.lit(1), F.size("_terms")))
-    return scored.where("score > 0").select(*chunks.columns, "score", F.lit("lexical").alias("method")).orderBy(F.desc("score"), "chunk_id").limit(k)
+    query = [re.sub(f"[^{TERM}]", "", q.lower()) for q in query]
+    query = [q for q in query if len(q) > 1][:24]
+    lower = F.lower("text")
+    # A plain substring test first: most texts hold none of the terms, and patterns are dear.
+    times = [F.when(lower.contains(q), F.regexp_count(lower, F.lit(f"(?<![{TERM}]){q}(?![{TERM}])"))).otherwise(0) for q in query]
+    counted = chunks.withColumn("_tf", F.array(*times))
+    tf = [F.get("_tf", F.lit(i)) for i in range(len(query))]
+    stats = counted.agg(F.count("*").alias("_n"), *[F.count(F.when(t > 0, 1)).alias(f"_df{i}") for i, t in enumerate(tf)])
+    part = [t * F.ln(1 + F.col("_n") / F.greatest(F.lit(1), F.col(f"_df{i}"))) for i, t in enumerate(tf)]
+    found = counted.where(F.exists("_tf", lambda t: t > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
+    scored = found.withColumn("score", reduce(lambda a, b: a + b, part) / F.greatest(F.lit(1), F.regexp_count(lower, F.lit(f"[{TERM}]{{2,}}"))))
+    return scored.select(*chunks.columns, "score", F.lit("lexical").alias("method")).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
 def vector_list(chunks: DataFrame, vector: Sequence[float], k: int = 50) -> DataFrame:
