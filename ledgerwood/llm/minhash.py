@@ -39,6 +39,8 @@ WIDTH = 5
 PERCENT = 80
 #: Nodes on a side of a block of comparisons.
 BLOCK = 256
+#: Shingles that a block counts at once, about.
+PART = 500_000
 #: Ranges of distance to the least node; range 0 holds the nodes linked with it.
 RANGES = 5
 
@@ -128,19 +130,25 @@ def _ranges(compared: DataFrame) -> DataFrame:
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets, by products of incidence matrices of bounded width."""
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = seen > 1
-    rows, at = rows[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
-    order = np.argsort(at, kind="stable")
-    rows, at = rows[order], at[order]
+    """Sizes of the intersections of all sets, by products of incidence matrices of bounded size.
+
+    Shingles are hashes, so a remainder deals them into parts of about ``PART`` values.
+    """
     out, wide = np.zeros((len(sets), len(sets)), np.float32), 4096
-    for start in range(0, int(shared.sum()), wide):
-        lo, hi = np.searchsorted(at, [start, start + wide])
-        part = np.zeros((len(sets), wide), np.float32)
-        part[rows[lo:hi], at[lo:hi] - start] = 1
-        out += part @ part.T
+    parts = 1 + sum(map(len, sets)) // PART
+    for k in range(parts):
+        own = [s[s.view(np.uint64) % np.uint64(parts) == k] for s in sets] if parts > 1 else sets
+        rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in own])
+        _, at, seen = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        shared = seen > 1
+        rows, at = rows[shared[at]], (np.cumsum(shared, dtype=np.int32) - 1)[at[shared[at]]]
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        for start in range(0, int(shared.sum()), wide):
+            lo, hi = np.searchsorted(at, [start, start + wide])
+            part = np.zeros((len(sets), wide), np.float32)
+            part[rows[lo:hi], at[lo:hi] - start] = 1
+            out += part @ part.T
     return out.astype(np.int64)
 
 

@@ -33,7 +33,7 @@ from .common import list_array, mix, table, tokenizer_path, with_text_columns
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 #: Characters from which a word is folded on its own, by a heap.
 LONG = 64
 CELLS = 1 << 19
