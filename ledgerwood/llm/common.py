@@ -8,6 +8,7 @@ non-ASCII characters (``plain_words``).
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Texts handed to a batch function at once hold about this many bytes.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch of texts: the session's default of 10,000 long texts is too much for a task.
+BATCH_ROWS = 2000
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _PLAIN = bytes(
@@ -32,6 +35,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session hand over texts in batches of at most BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Small batches of numbers joined into larger ones."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
@@ -95,6 +118,12 @@ def staged(df: DataFrame, name: str, keep: bool = True) -> tuple[DataFrame, str]
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps: it does so when their handles are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _quietly_drop(spark: SparkSession, path: str) -> None:
     try:
         drop_path(spark, path)
@@ -130,6 +159,7 @@ def with_text_columns(
     """
     names = [f.strip().split()[0] for f in _split_fields(fields)]
     keep = [c for c in keep if c not in names]
+    bound_batches(df.sparkSession)
     own = keep.index(text_col) if text_col in keep else len(keep)
     source = df.select(*[F.col(f"`{c}`") for c in keep], *([F.col(f"`{text_col}`").alias("__text")] if own == len(keep) else []))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]] + [fields])
