@@ -19,7 +19,7 @@ from ledgerwood.llm.common import staged, table
 from ledgerwood.llm.decontaminate import without_passages
 from ledgerwood.llm.minhash import without_near_duplicates
 from ledgerwood.llm.quality import fit_quality
-from ledgerwood.llm.sentencepiece_lattice import decode, encode
+from ledgerwood.llm.sentencepiece_lattice import encode
 from ledgerwood.llm.toxicity import fit_toxicity
 
 
@@ -40,9 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = decode(encode(docs.select("doc_id", "text"), keep=["doc_id", "text"]))
-    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return pieces.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", exact.alias("round_trip"))
+    pieces = encode(docs.select("doc_id", "text"), checked=True)
+    return pieces.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES = [

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handed to a batch function at once hold about this many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch of texts: the session's default of 10,000 long texts is too much for a task.
 BATCH_ROWS = 2000
 

@@ -33,7 +33,7 @@ from .common import list_array, mix, table, tokenizer_path, with_text_columns
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-REMEMBERED = 350_000
+REMEMBERED = 200_000
 #: Characters from which a word is folded on its own, by a heap.
 LONG = 64
 CELLS = 1 << 19
@@ -252,37 +252,51 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None) -> DataFrame:
-    """The kept columns and each whole text's piece ``ids``."""
-    path = path or tokenizer_path(MODEL)
+def _spelled(pieces: Sequence[tuple[str, float, str]]) -> list[bytes]:
+    return [bytes([int(p[3:5], 16)]) if kind == "byte" else b"" if kind == "other" else p.replace(SPACE, " ").encode() for p, _, kind in pieces]
+
+
+def _text_of(ids: np.ndarray, spelled: list[bytes]) -> str:
+    raw = b"".join(map(spelled.__getitem__, ids.tolist()))
+    return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")  # without the space that encoding puts first
+
+
+def encode(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None, checked: bool = False) -> DataFrame:
+    """The kept columns and each whole text's piece ``ids``; with ``checked``, whether they decode to it as well.
+
+    The piece table, of fixed size, is read by the driver and sent to the tasks.
+    """
+    table_ = docs.sparkSession.sparkContext.broadcast(read_pieces(path or tokenizer_path(MODEL)))
 
     def make():
-        encoder = Encoder(PieceTable(*read_pieces(path)))
+        encoder = Encoder(PieceTable(*table_.value))
+        spelled = _spelled(table_.value[0])
 
         def work(texts):
-            packed = encoder.encode(texts)
-            return [list_array(np.frombuffer(b"".join(packed), np.int32), [len(p) // 4 for p in packed])]
+            packed = [np.frombuffer(p, np.int32) for p in encoder.encode(texts)]
+            out = [list_array(np.concatenate(packed), [len(p) for p in packed])]
+            if checked:
+                out.append(pa.array([_text_of(p, spelled) == (t or "") for p, t in zip(packed, texts, strict=True)]))
+            return out
 
         return work
 
-    return with_text_columns(docs, text_col, "ids array<int>", make, keep)
+    return with_text_columns(docs, text_col, "ids array<int>" + ", round_trip boolean" * checked, make, keep)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, into: str = "decoded") -> DataFrame:
     """All columns and the text of each row's ids."""
-    pieces, _ = read_pieces(path or tokenizer_path(MODEL))
-    spelled = [bytes([int(p[3:5], 16)]) if kind == "byte" else b"" if kind == "other" else p.replace(SPACE, " ").encode() for p, _, kind in pieces]
+    pieces = encoded.sparkSession.sparkContext.broadcast(read_pieces(path or tokenizer_path(MODEL))[0])
     names = [c for c in encoded.columns if c != into]
     source = encoded.select(*names)
 
     def run(batches):
+        spelled = _spelled(pieces.value)
         for batch in batches:
             lists = batch.column(names.index(ids_col))
             ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))])
             ids = np.asarray(lists.flatten())
-            texts = [b"".join(map(spelled.__getitem__, ids[a:b].tolist())) for a, b in zip(ends, ends[1:])]
-            texts = [t[1:] if t[:1] == b" " else t for t in texts]  # the space that encoding puts first
-            made = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
+            made = pa.array([_text_of(ids[a:b], spelled) for a, b in zip(ends, ends[1:])], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*names, into])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
@@ -313,7 +327,5 @@ def encode_words(words: DataFrame, pieces: DataFrame, longest: int, floor: float
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, keep=["doc_id", "text"]).select("doc_id", F.col("text"), "ids"))
-    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), exact.alias("round_trip"))
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), checked=True)
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
