@@ -38,12 +38,12 @@ OUTSIDE = frozenset(
 MARKS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adslot sponsor sponsored promo promotion banner "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar rail widget "
-    "footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
+    "footer copyright disclaimer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login share sharing social related recommended comment comments reply replies respond disqus form".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Containers that a page's own class words don't rule out.
-ROOTS = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
+ROOTS = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 READERS = frozenset("comment comments reply replies respond disqus".split())
 CLOSED_BY_OWN = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPE = frozenset("article aside blockquote body div dl fieldset figure footer form header html main nav ol section table td th ul".split())
@@ -51,6 +51,8 @@ SCOPE = frozenset("article aside blockquote body div dl fieldset figure footer f
 SIGMA, RADIUS = 1.0, 3
 #: Share of the regions' text that the article's container holds at least.
 SHARE = 0.7
+#: The same for an element that the page itself calls article or main.
+NAMED = 0.3
 
 
 class _Line:
@@ -70,6 +72,7 @@ class _Lines(HTMLParser):
         self.lines: list[_Line] = []
         self.number = 0
         self.lists: dict[int, str] = {}
+        self.articles: set[int] = set()
         self.line = _Line((), False)
 
     def _break(self) -> None:
@@ -99,7 +102,11 @@ class _Lines(HTMLParser):
         if a.get("role", "").lower() in ROLES:
             return True
         words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
-        return bool(words & (READERS if tag in ROOTS else MARKS)) and tag not in ("html", "body", "main")
+        if tag in ("html", "body", "main"):
+            return False
+        if "header" in words and tag not in ROOTS and not any(t in ("article", "main") for t, _, _, _ in self.stack):
+            return True  # a page's header; an article's own holds its title
+        return bool(words & (READERS if tag in ROOTS else MARKS))
 
     def handle_starttag(self, tag, attrs):
         block = tag in BLOCK
@@ -120,6 +127,8 @@ class _Lines(HTMLParser):
         self.stack.append((tag, self.number, out, linked))
         if tag in ("ul", "ol"):
             self.lists[self.number] = tag
+        if tag in ("article", "main") and not out:
+            self.articles.add(self.number)
         if block:
             self._break()
 
@@ -143,7 +152,8 @@ class _Lines(HTMLParser):
             self.line.linked += len("".join(data.split()))
 
 
-def page_lines(html: str) -> tuple[list[_Line], dict[int, str]]:
+def page_lines(html: str) -> tuple[list[_Line], dict[int, str], set[int]]:
+    """Lines, and the numbers of the page's lists and articles."""
     parser = _Lines()
     try:
         parser.feed(html)
@@ -153,7 +163,7 @@ def page_lines(html: str) -> tuple[list[_Line], dict[int, str]]:
         parser.feed(re.sub(r"<!\[[^>]*>?", " ", html))
         parser.close()
     parser._break()
-    return parser.lines, parser.lists
+    return parser.lines, parser.lists, parser.articles
 
 
 def smoothed(ratios: Sequence[float]) -> list[float]:
@@ -169,7 +179,7 @@ def main_text(html: str | None) -> str:
     """The article of one page, its blocks joined by newlines."""
     if not html:
         return ""
-    lines, lists = page_lines(html)
+    lines, lists, articles = page_lines(html)
     if not lines:
         return ""
     ratios = smoothed([0.0 if x.out else len(x.text) / max(1, x.tags) for x in lines])
@@ -189,7 +199,8 @@ def main_text(html: str | None) -> str:
             members[n] = members.get(n, 0) + 1
     leaves = {x.path[-1] for x in lines if x.path}
     enough = [n for n, m in mass.items() if m >= SHARE * total and not (n in leaves and members[n] == 1)]
-    home = max(enough, default=None)
+    named = [n for n in articles if mass.get(n, 0) >= NAMED * total]
+    home = max(named, key=lambda n: (mass[n], n)) if named else max(enough, default=None)
     menus = {n for n in lists if all(x.linked >= len("".join(x.text.split())) for x in lines if n in x.path)}
     return "\n".join(x.text for x in lines if not x.out and (home is None or home in x.path) and not menus.intersection(x.path))
 
