@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module of queries."""
-    from . import analytics, documents, more_relations, relations, scalars, search  # noqa: F401
+    from . import analytics, documents, more_analytics, more_relations, relations, scalars, search  # noqa: F401

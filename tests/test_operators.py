@@ -121,6 +121,18 @@ def test_chunks_against_a_loop(spark):
     assert got == {i: c for i, t in enumerate(texts) if (c := loop_chunks(t))}
 
 
+def test_pages_of_paragraphs_against_a_loop(spark):
+    text = "\n\n".join("p" * (i * 37 % 900 + 1) for i in range(40))
+    want = []
+    for p in text.split("\n\n"):
+        if want and len(want[-1]) + 2 + len(p) <= 1000:
+            want[-1] += "\n\n" + p
+        else:
+            want.append(p)
+    got = D.pack_paragraphs(spark.createDataFrame([(1, text), (2, "")], "k int, text string"), "k", 1000).orderBy("page_number").collect()
+    assert [r["text"] for r in got] == want
+
+
 def test_running_lines_and_contents(spark):
     pages = [("d", i, f"Contract {i}\nunlike {'abcdefg'[i]}\nbody") for i in range(6)] + [("e", 9, "1 Scope ....... 3\n2 Terms ..... 5\n3 Price .... 7\n4 End ..... 9")]
     df = spark.createDataFrame(pages, "document string, page int, text string")
