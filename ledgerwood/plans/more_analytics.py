@@ -175,7 +175,7 @@ def r03_lexical_query(spark, sf):
     return users.select("conv_id", F.array_join(F.slice(F.array_distinct(words), 1, 24), " ").alias("lexical_query"))
 
 
-@query("""SELECT conv_id, turn, kind, sum(CASE WHEN b IS NULL OR b <> kind THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS segment FROM (SELECT *, CASE WHEN role = 'system' THEN 'user' ELSE role END AS kind, lag(CASE WHEN role = 'system' THEN 'user' ELSE role END) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations)""")
+@query("""SELECT conv_id, turn, kind, sum(CASE WHEN b IS NULL OR b <> kind THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM (SELECT *, CASE WHEN role = 'system' THEN 'user' ELSE role END AS kind, lag(CASE WHEN role = 'system' THEN 'user' ELSE role END) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations)""")
 def w11_continuations(spark, sf):
     """Turns glued to the one before while their kinds agree."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")

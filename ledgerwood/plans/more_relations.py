@@ -125,7 +125,7 @@ def a26_document_totals(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"), F.count_if(F.trim("text") == "").alias("empty"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"))
 
 
-@query("""SELECT user_id, min(event_id) AS first_event, max(event_id) AS last_event, island FROM (SELECT *, sum(CASE WHEN event_type = 'login' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events) GROUP BY 1, 4""")
+@query("""SELECT user_id, min(event_id) AS first_event, max(event_id) AS last_event, island::BIGINT AS island FROM (SELECT *, sum(CASE WHEN event_type = 'login' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events) GROUP BY 1, 4""")
 def w09_islands_by_marker(spark, sf):
     e = R.islands(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "login")
     return e.groupBy("user_id", "island").agg(F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
@@ -203,7 +203,7 @@ def m16_sizes(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", V.size_in_billions(F.concat(key, F.lit("M"))).alias("billions"), V.size_in_billions(F.concat(key, F.lit("B"))).alias("whole"))
 
 
-@query("SELECT conv_id, turn, to_json({'role': role, 'n': length(text)}) AS snapshot FROM conversations")
+@query("SELECT conv_id, turn, to_json({'role': role, 'n': length(text)})::VARCHAR AS snapshot FROM conversations")
 def v17_snapshot(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", F.length("text").alias("n"))).alias("snapshot"))
 

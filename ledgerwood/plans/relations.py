@@ -262,7 +262,7 @@ def w07_forward_fill(spark, sf):
     return R.filled_forward(e, ["user_id"], ["ts", "event_id"], "heading", "owner").select("event_id", "owner")
 
 
-@query("""SELECT user_id, island, min(event_id) AS first_event, count(*) AS n FROM (SELECT *, sum(CASE WHEN b IS NULL OR date_diff('day', b, ts::DATE) > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island
+@query("""SELECT user_id, island::BIGINT AS island, min(event_id) AS first_event, count(*) AS n FROM (SELECT *, sum(CASE WHEN b IS NULL OR date_diff('day', b, ts::DATE) > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island
 FROM (SELECT *, lag(ts::DATE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)) GROUP BY 1, 2""")
 def w08_islands(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
