@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import list_array, staged, table, with_text_columns
@@ -184,12 +184,14 @@ def without_near_duplicates(docs: DataFrame, width: int = WIDTH, text_col: str =
     found = near_duplicates(docs, width, text_col, id_col).where("kept")
     one = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash", F.lit(True).alias("single"))
     empty = found.where("root IS NULL").select("doc_id", "text_hash", F.lit(False).alias("single")).distinct()
-    stays = one.union(empty).select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"), "single")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_hash"))
-    met = rows.join(stays, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hash") == F.col("stay_hash")))
-    # Of repeated rows one stays: the copies of a kept document share its id and text.
-    nth = F.row_number().over(Window.partitionBy("own_id", "own_hash").orderBy("own_hash"))
-    return met.withColumn("nth", nth).where("nth = 1 OR NOT single").select("row.*")
+    # An id may be null, and keys that can't be let the join's partitioning serve the next step as well.
+    key = lambda c: [F.coalesce(F.col(c).cast("string"), F.lit("")).alias("k1"), F.col(c).isNull().alias("k2")]
+    stays = one.union(empty).select(*key("doc_id"), F.col("text_hash").alias("k3"), "single")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key(id_col), F.xxhash64(F.col(text_col)).alias("k3"))
+    met = rows.join(stays, ["k1", "k2", "k3"])
+    # Of repeated rows one stays: the copies of a kept document share its id and text. Rows without words stay all.
+    salt = F.when(F.col("single"), F.lit(-1).cast("bigint")).otherwise(F.monotonically_increasing_id())
+    return met.withColumn("salt", salt).dropDuplicates(["k1", "k2", "k3", "salt"]).select("row.*")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
