@@ -11,6 +11,22 @@ FOLDED = "''''\"\"\"\"\"\"------- "
 ABSENT = ["", "n/a", "na", "none", "null", "unknown", "not stated", "-"]
 
 
+# Accented letters and what they fold to.
+ACCENTED = "àâäáãçéèêëíìîïñóòôöõúùûüýÿ"
+PLAIN = "aaaaaceeeeiiiinooooouuuuyy"
+
+
+def unaccented(text: Column) -> Column:
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
+
+
+def source_ref(text: Column, known: Column) -> Column:
+    """The one known source that a text refers to (S3, [s3], source 3); NULL for none, or for two that differ."""
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\b(?:s|source )(\d+)\b"), F.lit(1)), lambda n: F.concat(F.lit("S"), n))
+    own = F.array_intersect(F.array_distinct(found), known)
+    return F.when(F.size(own) == 1, F.get(own, F.lit(0)))
+
+
 def squeeze(text: Column) -> Column:
     """Horizontal white space to one space, blank lines to one, ends trimmed."""
     one = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n\s*\n+", "\n\n")

@@ -183,3 +183,26 @@ def m21_json(spark, sf):
 def m22_membership(spark, sf):
     refs = F.array(F.col("p_size").cast("string"), F.concat((F.col("p_size") % 5).cast("string"), F.lit("."), (F.col("p_partkey") % 3).cast("string")))
     return table(spark, sf, "part").where(F.exists(refs, lambda r: T.clause_under(r, "2"))).select("p_partkey")
+
+
+@query("""SELECT doc_id, md5(translate(lower(text), 'àâäáãçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaceeeeiiiinooooouuuuyy')) AS unaccented FROM documents""")
+def t24_unaccented(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.unaccented(F.col("text")).cast("binary")).alias("unaccented"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 9 AND p_partkey % 2 = 0 THEN 'S' || p_size::VARCHAR END AS ref FROM part""")
+def t21_source_refs(spark, sf):
+    """References written in several ways; an odd part names two sources, so neither counts."""
+    n = F.col("p_size").cast("string")
+    said = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("see [s"), n, F.lit("] and source "), n)).otherwise(F.concat(F.lit("S"), n, F.lit(", S"), (F.col("p_size") % 9 + 1).cast("string"), F.lit(", S"), ((F.col("p_size") + 4) % 9 + 1).cast("string")))
+    known = F.array(*[F.lit(f"S{i}") for i in range(1, 10)])
+    return table(spark, sf, "part").select("p_partkey", T.source_ref(said, known).alias("ref"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN o_orderdate::DATE END AS dated FROM orders""")
+def m03_labelled_dates(spark, sf):
+    """The date that follows a label within twelve characters; one that stands farther off isn't its date."""
+    day = F.date_format("o_orderdate", "d MMMM yyyy")
+    said = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Ref 7. Date: "), day)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("dated this  "), day)).otherwise(F.concat(F.lit("date of nothing in particular, but "), day))
+    found = F.regexp_extract(said, r"(?i)\bdated?\b.{0,12}?(\d{1,2} [A-Z][a-z]+ \d{4})", 1)
+    return table(spark, sf, "orders").select("o_orderkey", V.parse_date(found).alias("dated"))
