@@ -35,11 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Let the session hand over texts in batches of at most BATCH_ROWS rows."""
+def bound_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
+    """Let the session hand over texts in batches of at most ``most`` rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
 
 
 def regrouped(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -131,12 +131,12 @@ def _quietly_drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges that hold about SLICE_BYTES of text each, one row at least."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges that hold about ``size`` bytes of text each, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     start, ends = 0, np.cumsum(sizes)
     while start < len(sizes):
-        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, side="right"))
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right"))
         stop = max(stop, start + 1)
         yield start, stop
         start = stop
