@@ -18,7 +18,8 @@ held by one task. The smallest doc_id of a component is kept.
 
 Defined results: null texts and texts without words have an empty set, are linked with
 nothing and kept; repeated rows are copies of each other; rows that share a doc_id but not
-a text are nodes of their own; extra columns are ignored. Two different sets are taken as
+a text are nodes of their own; documents with a null doc_id are compared like all others, and
+a component's least doc_id is null only where all of its are; extra columns are ignored. Two different sets are taken as
 one node with a probability under n^2 / 2^65.
 """
 
@@ -71,9 +72,11 @@ def node_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str, id_
 
         return work
 
-    texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
-    found = with_text_columns(texts.join(wanted.select("first_id").distinct(), "first_id", "left_semi"), "text", "node bigint, shingles array<bigint>", make, ["first_id"])
-    one = found.join(wanted.select("first_id", "node"), ["first_id", "node"], "left_semi").dropDuplicates(["node"])
+    # An id may be null, and documents may share one: the text's hash and a null-safe id name the document.
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    keys = wanted.select(F.col("first_id").alias("k1"), F.col("first_hash").alias("k2"))
+    own = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_hash") == F.col("k2")), "left_semi")
+    one = with_text_columns(own, "text", "node bigint, shingles array<bigint>", make, []).where("node IS NOT NULL").dropDuplicates(["node"])
     return one.select("node", F.size("shingles").alias("n"), "shingles")
 
 
@@ -90,7 +93,9 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int, text_col: str,
     # Two nodes of a bucket share its least node, so buckets with the same one are one group.
     pairs, _ = staged(banded.join(least, "bucket").where("node <> least").select("least", "node").distinct(), "pairs")
     members = pairs.union(pairs.select("least", F.col("least").alias("node")).distinct())
-    first = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    # The least id stands for a node, null only where no document of the node has one.
+    least_id = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))).alias("k")
+    first = sketches.where("n_shingles > 0").groupBy("node").agg(least_id).select("node", "k.first_id", "k.first_hash")
     wanted = members.select("node").distinct().join(first, "node")
     sets, _ = staged(node_sets(docs, wanted, width, text_col, id_col), "sets")
     sizes = pairs.groupBy("least").agg(F.count("*").alias("size"))

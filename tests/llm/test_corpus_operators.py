@@ -84,6 +84,25 @@ def test_one_of_each_component_stays(spark, copies):
     assert got[4] == 1 and got[1] == 2  # repeated rows leave one, rows without words all
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 8])
+def test_near_copies_with_null_ids_are_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(12)
+    hot, pair = prose(rng, 120), prose(rng)
+    texts = [hot] + [edited(rng, hot, rng.choice([1, 2, 3])) for _ in range(59)] + [pair, edited(rng, pair, 1), prose(rng)]
+    nodes = [shingles.fingerprint(s) for s in shingles.shingle_sets(texts, 4)]
+    least = min(range(60), key=lambda i: nodes[i])  # the least node of the large group, which all others are compared with
+    ids = [None if i == least or i % 3 == 0 and i < 60 or i == 61 else i for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string")
+    own = brute_components(texts, 4)
+    smallest = {c: min(i for i, o in zip(ids, own) if o == c and i is not None) for c in own}
+    got = minhash.near_duplicates(df, width=4).collect()
+    by_text = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got)
+    assert by_text == Counter((i, smallest[c], i == smallest[c]) for i, c in zip(ids, own))
+    left = minhash.without_near_duplicates(df, width=4)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(smallest.values()))
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.8):
