@@ -89,6 +89,17 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon(words, {bytes(r["key"][2:]): r["z"] for r in rows if r["key"][:1] != b"w"})
 
 
+def nearest_gaps(places: list[int], others: list[int]) -> list[int]:
+    """How far each place is from the nearest of the others; both ascend, and each is passed once."""
+    gaps, k = [], 0
+    for i in places:
+        while k + 1 < len(others) and others[k + 1] <= i:
+            k += 1
+        gap = abs(i - others[k])
+        gaps.append(min(gap, others[k + 1] - i) if k + 1 < len(others) else gap)
+    return gaps
+
+
 def dense_features(raw: bytes, lexicon: Lexicon) -> list[float]:
     words = plain_words_of(raw)
     n = len(words)
@@ -108,8 +119,7 @@ def dense_features(raw: bytes, lexicon: Lexicon) -> list[float]:
     near = 0.0
     if strong:
         persons = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-        gaps = [min(abs(i - j) for j in persons) for i in strong[:64]] if persons and len(persons) <= 4096 else []
-        near = sum(1.0 / (1 + g) for g in gaps if g <= NEAR) / len(strong) if gaps else 0.0
+        near = sum(1.0 / (1 + g) for g in nearest_gaps(strong, persons) if g <= NEAR) / len(strong) if persons else 0.0
     disguised = 0
     plain = raw.lower().translate(_PLAIN_SPELLING, b"*._-~^")
     if plain != raw.lower():

@@ -235,6 +235,17 @@ def test_classifiers_on_held_out_rows(spark, labelled, fit, column, mod, out):
     assert {round(r["score"], 6) for r in fit(docs, labels.limit(0)).score(docs).collect()} == {0.0}
 
 
+def test_nearness_to_second_person_holds_at_any_length():
+    lexicon = toxicity.Lexicon({b"grumbold": 9.5}, {})
+    unit = "you grumbold " + "ba " * 10
+    near = [toxicity.dense_features((unit * n).encode(), lexicon)[8] for n in (1, 50, 500, 5000)]
+    assert near == pytest.approx([0.5] * 4)
+    rng = random.Random(13)
+    for _ in range(50):
+        places, others = (sorted(rng.sample(range(400), rng.randrange(1, 90))) for _ in range(2))
+        assert toxicity.nearest_gaps(places, others) == [min(abs(i - j) for j in others) for i in places]
+
+
 def test_sum_of_squares_is_the_sum_over_pairs():
     rng = np.random.default_rng(3)
     model = quality.QualityModel(0.3, rng.normal(size=quality.WIDTH), rng.normal(size=(quality.WIDTH, 4)))
