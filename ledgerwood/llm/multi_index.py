@@ -12,11 +12,12 @@ the dimensions: the traversal stops where that law leaves ``1 - RECALL``. Visite
 verified in blocks by the cosine in double precision; a block returns counts and a spanning
 forest of its links, never its pairs.
 
-Equal vectors are one node with a multiplicity. Cells that hold many vectors, or that many
+Each length that occurs has codebooks and cells of its own, so vectors of equal length are
+always compared. Equal vectors are one node with a multiplicity. Cells that hold many vectors, or that many
 queries visit, are dealt out in blocks of at most ``BLOCK`` rows a side.
 
-Defined results: vectors that are null, zero, of another length than most, or that hold null
-or non-finite components have no links and are kept; repeated rows link with each other;
+Defined results: vectors that are null, zero, or that hold null or non-finite components have
+no links and are kept; vectors of different lengths aren't linked; repeated rows link with each other;
 labels and extra columns are ignored.
 """
 
@@ -41,9 +42,13 @@ SAMPLE = 8192
 BLOCK = 1024
 #: Vectors per cell that the size of the codebooks aims at.
 PER_CELL = 400
+#: Vectors of each length that codebooks are fitted on, at least (about, or all of fewer).
+LEAST = 64
 #: Share of links at the threshold that the traversal reaches; closer ones are surer.
 RECALL = 0.9999
 CODEWORDS = (2, 256)
+#: A cell's number is its place in its length's grid plus this times the length.
+GRID = CODEWORDS[1] ** 2
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -98,26 +103,31 @@ def traversal_reach(dims: int, recall: float | None) -> float:
     return whole if recall is None else min(whole, -2 * math.log(1 - recall) * whole / dims)
 
 
-def filed(nodes: DataFrame, first: np.ndarray, second: np.ndarray, reach: float) -> DataFrame:
+def filed(nodes: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], recall: float | None) -> DataFrame:
     """Each node's cell and the cells it visits, of those its own or later ones: a pair is met once."""
-    half, wide = first.shape[1], len(second)
 
     def run(batches):
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            x = np.asarray(column.flatten(), np.float64).reshape(batch.num_rows, -1)
-            if not len(x):
+            if not batch.num_rows:
                 continue
-            x = x / np.linalg.norm(x, axis=1)[:, None]
-            cells, visits = [], []
-            for at in range(0, len(x), 256):
-                i, near = borders(x[at : at + 256, :half], first)
-                j, nearer = borders(x[at : at + 256, half:], second)
-                own = i * wide + j
-                cells.append(own)
-                visits += [[c for p, q in multi_sequence(near[r], nearer[r], reach) if (c := p * wide + q) >= own[r]] for r in range(len(own))]
-            flat = pa.array([c for v in visits for c in v], pa.int64())
-            made = [pa.array(np.concatenate(cells).astype(np.int64)), list_array(flat, [len(v) for v in visits])]
+            column = batch.column(batch.num_columns - 1)
+            lengths, flat = np.asarray(column.value_lengths()), np.asarray(column.flatten(), np.float64)
+            starts = np.cumsum(lengths, dtype=np.int64) - lengths
+            cells, visits = np.zeros(batch.num_rows, np.int64), [[]] * batch.num_rows
+            for dims in np.unique(lengths).tolist():
+                (first, second), reach = books[dims], traversal_reach(dims, recall)
+                half, wide, rows = first.shape[1], len(second), np.flatnonzero(lengths == dims)
+                for at in range(0, len(rows), 256):
+                    some = rows[at : at + 256]
+                    x = flat[starts[some][:, None] + np.arange(dims)]
+                    x = x / np.linalg.norm(x, axis=1)[:, None]
+                    i, near = borders(x[:, :half], first)
+                    j, nearer = borders(x[:, half:], second)
+                    own = cells[some] = dims * GRID + i * wide + j
+                    for r, row in enumerate(some):
+                        visits[row] = [c for p, q in multi_sequence(near[r], nearer[r], reach) if (c := dims * GRID + p * wide + q) >= own[r]]
+            numbers = pa.array([c for v in visits for c in v], pa.int64())
+            made = [pa.array(cells), list_array(numbers, [len(v) for v in visits])]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns)] + made, names=[*batch.schema.names, "cell", "visits"])
 
     source = nodes.select("node", "copies", "vector")
@@ -143,16 +153,28 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).astype({"u": "Int64", "v": "Int64", "n": "Int64"})
 
 
-def links(nodes: DataFrame, n: int, dims: int, cosine_reach: float) -> DataFrame:
-    share = min(1.0, SAMPLE / max(1, n))
-    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share) or 1)).orderBy("node").limit(2 * SAMPLE)
-    x = np.array([r["vector"] for r in sample.select("vector").collect()] or [r["vector"] for r in nodes.select("vector").limit(1).collect()], np.float64)
-    x = x / np.linalg.norm(x, axis=1)[:, None]
-    k = int(min(max(CODEWORDS[0], 2 ** int(math.log2(max(1.0, math.sqrt(n / PER_CELL))))), CODEWORDS[1]))
-    half = max(1, dims // 2)
-    first = kmeans(x[:, :half], min(k, len(x)))
-    second = kmeans(x[:, half:], min(k, len(x))) if dims > 1 else np.zeros((1, 0))
-    placed, _ = staged(filed(nodes, first, second, cosine_reach), "filed")
+def codebooks(nodes: DataFrame, counts: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length, codewords of both halves, fitted on that length's share of the sample."""
+    total = sum(counts.values())
+    lengths = nodes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))
+    share = F.greatest(F.lit(SAMPLE) * F.col("n") / total, F.lit(LEAST)) / F.col("n")
+    shares = lengths.select("d", F.greatest(F.lit(1), (1_000_000 * F.least(F.lit(1.0), share)).cast("int")).alias("most"))
+    sample = nodes.join(F.broadcast(shares), F.size("vector") == F.col("d")).where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.col("most"))
+    drawn: dict[int, list] = {}
+    for r in sample.orderBy("node").limit(2 * (SAMPLE + LEAST * len(counts))).select("vector").collect():
+        drawn.setdefault(len(r["vector"]), []).append(r["vector"])
+    books = {}
+    for dims, n in counts.items():
+        half = max(1, dims // 2)
+        x = np.array(drawn.get(dims) or np.ones((1, dims)), np.float64)  # any codeword files a length that no sampled row has
+        x = x / np.linalg.norm(x, axis=1)[:, None]
+        k = int(min(max(CODEWORDS[0], 2 ** int(math.log2(max(1.0, math.sqrt(n / PER_CELL))))), CODEWORDS[1]))
+        books[dims] = kmeans(x[:, :half], min(k, len(x))), kmeans(x[:, half:], min(k, len(x))) if dims > 1 else np.zeros((1, 0))
+    return books
+
+
+def links(nodes: DataFrame, counts: dict[int, int], recall: float | None) -> DataFrame:
+    placed, _ = staged(filed(nodes, codebooks(nodes, counts), recall), "filed")
     asking = placed.select("node", "copies", F.col("cell").alias("own"), "vector", F.explode("visits").alias("cell"))
     parts = lambda c: F.ceil(F.count("*") / BLOCK).cast("int").alias(c)
     held = placed.groupBy("cell").agg(parts("member_parts"))
@@ -168,16 +190,13 @@ def links(nodes: DataFrame, n: int, dims: int, cosine_reach: float) -> DataFrame
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", recall: float | None = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept."""
-    sound = usable(vectors, id_col, vector_col)
-    lengths = sound.where("node IS NOT NULL").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = lengths[0]["d"] if lengths else 0
-    sound, _ = staged(sound.withColumn("node", F.when(F.size("vector") == dims, F.col("node"))), "vectors")
+    sound, _ = staged(usable(vectors, id_col, vector_col), "vectors")
     nodes = sound.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("vector").alias("vector"))
     nodes, _ = staged(nodes, "nodes")
-    n = nodes.count()
-    if not n:
+    lengths = {r["d"]: r["n"] for r in nodes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}
+    if not lengths:
         return sound.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found, _ = staged(links(nodes, n, dims, traversal_reach(dims, recall)), "links")
+    found, _ = staged(links(nodes, lengths, recall), "links")
     counts = found.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     roots = components(found.where("v IS NOT NULL").select("u", "v"))
     placed = nodes.select("node", "copies", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

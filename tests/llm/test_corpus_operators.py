@@ -144,6 +144,32 @@ def test_near_vectors_are_brute_force_s(spark, monkeypatch):
     assert all(got[1000 + i]["n_links"] == 0 and got[1000 + i]["kept"] for i in range(len(odd)))
 
 
+def test_vectors_of_every_length_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "PER_CELL", 10)
+    rng = np.random.default_rng(7)
+    rows = []
+    for dims, n in ((16, 300), (12, 200), (24, 200), (5, 3), (1, 3)):
+        base = rng.normal(size=(n, dims))
+        base[n // 2 :] = base[rng.integers(0, max(1, n // 8), n - n // 2)] + rng.normal(size=(n - n // 2, dims)) * 0.05
+        base[-1] = base[0]
+        rows += base.tolist()
+    order = rng.permutation(len(rows))
+    x = [rows[i] for i in order]
+    like = lambda a, b: len(a) == len(b) and np.dot(a, b) >= 0.95 * np.linalg.norm(a) * np.linalg.norm(b)
+    pairs = [(i, j) for i in range(len(x)) for j in range(i) if like(x[i], x[j])]
+    want = Counter(i for pair in pairs for i in pair)
+    least = list(range(len(x)))
+    for _ in range(len(x)):
+        before = list(least)
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            break
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in multi_index.near_vectors(df, recall=None).collect()}
+    assert got == {i: (want[i], least[i], i == least[i]) for i in range(len(x))}
+
+
 def test_traversal_is_in_order_and_whole():
     rng = np.random.default_rng(4)
     a, b = rng.random(6), rng.random(5)
