@@ -2,8 +2,9 @@
 
 The standard library's parser streams events; block elements cut the page into
 lines. Each line has a text-to-tag ratio. A Gaussian smooths the ratios, lines at
-or over a threshold cluster into content regions, and the innermost container
-that holds most of the regions' text is the article: its lines are the result, short
+or over a threshold cluster into content regions. The article is what the page itself
+calls article or main, all such parts, or else the innermost container of all regions
+with what stands between it and the headings beside it: its lines are the result, short
 ones too, but for menus, notices, forms, adverts, comments and the like.
 
 Defined results: null, empty and text-free pages give an empty text; characters
@@ -14,6 +15,7 @@ declarations removed.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections.abc import Sequence
 from html.parser import HTMLParser
@@ -31,7 +33,7 @@ BLOCK = frozenset(
 )
 #: Elements whose text is never part of an article.
 OUTSIDE = frozenset(
-    "aside button canvas datalist dialog footer form head header iframe input label math menu nav noscript object optgroup "
+    "annotation annotation-xml aside button canvas datalist dialog footer form head iframe input label menu nav noscript object optgroup "
     "option script search select style svg template textarea title".split()
 )
 #: Class or id words and roles that mark such parts of a page.
@@ -49,10 +51,11 @@ CLOSED_BY_OWN = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td
 SCOPE = frozenset("article aside blockquote body div dl fieldset figure footer form header html main nav ol section table td th ul".split())
 
 SIGMA, RADIUS = 1.0, 3
-#: Share of the regions' text that the article's container holds at least.
-SHARE = 0.7
-#: The same for an element that the page itself calls article or main.
+#: Share of the regions' text that the elements which the page itself calls article or main hold at least.
 NAMED = 0.3
+#: Elements that can hold a whole article.
+HOLDERS = frozenset("article body center details div html main search section td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 
 
 class _Line:
@@ -71,6 +74,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, outside, link
         self.lines: list[_Line] = []
         self.number = 0
+        self.tags: dict[int, str] = {}
         self.lists: dict[int, str] = {}
         self.articles: set[int] = set()
         self.line = _Line((), False)
@@ -104,7 +108,7 @@ class _Lines(HTMLParser):
         words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
         if tag in ("html", "body", "main"):
             return False
-        if "header" in words and tag not in ROOTS and not any(t in ("article", "main") for t, _, _, _ in self.stack):
+        if ("header" in words and tag not in ROOTS or tag == "header") and not any(t in ("article", "main") for t, _, _, _ in self.stack):
             return True  # a page's header; an article's own holds its title
         return bool(words & (READERS if tag in ROOTS else MARKS))
 
@@ -125,6 +129,7 @@ class _Lines(HTMLParser):
         linked = tag == "a" or bool(self.stack) and self.stack[-1][3] and not block
         self.number += 1
         self.stack.append((tag, self.number, out, linked))
+        self.tags[self.number] = tag
         if tag in ("ul", "ol"):
             self.lists[self.number] = tag
         if tag in ("article", "main") and not out:
@@ -152,8 +157,8 @@ class _Lines(HTMLParser):
             self.line.linked += len("".join(data.split()))
 
 
-def page_lines(html: str) -> tuple[list[_Line], dict[int, str], set[int]]:
-    """Lines, and the numbers of the page's lists and articles."""
+def page_lines(html: str) -> tuple[list[_Line], dict[int, str], set[int], dict[int, str]]:
+    """Lines, the numbers of the page's lists and articles, and all elements' tags."""
     parser = _Lines()
     try:
         parser.feed(html)
@@ -163,7 +168,7 @@ def page_lines(html: str) -> tuple[list[_Line], dict[int, str], set[int]]:
         parser.feed(re.sub(r"<!\[[^>]*>?", " ", html))
         parser.close()
     parser._break()
-    return parser.lines, parser.lists, parser.articles
+    return parser.lines, parser.lists, parser.articles, parser.tags
 
 
 def smoothed(ratios: Sequence[float]) -> list[float]:
@@ -175,11 +180,34 @@ def smoothed(ratios: Sequence[float]) -> list[float]:
     return out
 
 
+def named_parts(regions: list[_Line], articles: set[int], mass: dict[int, int]) -> set[int]:
+    """The outermost elements that the page calls article or main, each narrowed to an inner one that holds the same."""
+    best: dict[int, int] = {}
+    for x in regions:
+        own = [n for n in x.path if n in articles]
+        for n in own:
+            if mass[n] == mass[own[0]]:
+                best[own[0]] = max(n, best.get(own[0], 0))
+    return set(best.values())
+
+
+def common_part(lines: list[_Line], regions: list[_Line], tags: dict[int, str]) -> set[int]:
+    """Places of the lines in the innermost container of all regions, from the first heading beside it on."""
+    shared = list(os.path.commonprefix([x.path for x in regions]))
+    leaves = {x.path[-1] for x in lines if x.path}
+    while shared and (tags[shared[-1]] not in HOLDERS or len(regions) == 1 and shared[-1] in leaves):
+        shared.pop()
+    depth = len(shared)
+    within = {i for i, x in enumerate(lines) if list(x.path[:depth]) == shared}
+    beside = [i for i, x in enumerate(lines) if depth and i < min(within) and not x.out and len(x.path) >= depth and list(x.path[: depth - 1]) == shared[:-1] and tags[x.path[depth - 1]] in HEADINGS]
+    return within | set(range(min(beside), min(within))) if beside else within
+
+
 def main_text(html: str | None) -> str:
     """The article of one page, its blocks joined by newlines."""
     if not html:
         return ""
-    lines, lists, articles = page_lines(html)
+    lines, lists, articles, tags = page_lines(html)
     if not lines:
         return ""
     ratios = smoothed([0.0 if x.out else len(x.text) / max(1, x.tags) for x in lines])
@@ -191,18 +219,13 @@ def main_text(html: str | None) -> str:
         for n in x.path:
             mass[n] = mass.get(n, 0) + len(x.text)
     total = sum(len(x.text) for x in regions)
-    # Numbers grow with depth along a path, so of those that hold enough the largest is the innermost; a
-    # container of one line alone is a block, not an article.
-    members: dict[int, int] = {}
-    for x in regions:
-        for n in x.path:
-            members[n] = members.get(n, 0) + 1
-    leaves = {x.path[-1] for x in lines if x.path}
-    enough = [n for n, m in mass.items() if m >= SHARE * total and not (n in leaves and members[n] == 1)]
-    named = [n for n in articles if mass.get(n, 0) >= NAMED * total]
-    home = max(named, key=lambda n: (mass[n], n)) if named else max(enough, default=None)
+    named = named_parts(regions, articles, mass)
+    if named and sum(mass[n] for n in named) >= NAMED * total:
+        inside = {i for i, x in enumerate(lines) if named.intersection(x.path)}
+    else:
+        inside = common_part(lines, regions, tags) if regions else set()
     menus = {n for n in lists if all(x.linked >= len("".join(x.text.split())) for x in lines if n in x.path)}
-    return "\n".join(x.text for x in lines if not x.out and (home is None or home in x.path) and not menus.intersection(x.path))
+    return "\n".join(x.text for i, x in enumerate(lines) if i in inside and not x.out and not menus.intersection(x.path))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: Sequence[str] = ("page_id", "url")) -> DataFrame:

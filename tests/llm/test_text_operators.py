@@ -189,6 +189,24 @@ def test_pages_without_an_article_element():
     assert html_text.main_text(two).count("\n") == 3
 
 
+def test_whole_articles_in_several_containers():
+    body = [f"Paragraph {i} of the text, long enough to count as part of it." for i in range(8)]
+    block = "".join(f"<p>{b}</p>" for b in body)
+    lead = "The lead of the article, which stands in a container of its own and is long."
+    page = f"<body><div class=entry><h1>Title</h1><div class=lead>{lead}</div><div class=entry-content>{block}</div></div></body>"
+    assert html_text.main_text(page).split("\n") == ["Title", lead, *body]
+    short = f"<body><div class=entry><h1>Title</h1><div class=lead>In short</div><div class=entry-content>{block}</div></div></body>"
+    assert html_text.main_text(short).split("\n") == ["Title", "In short", *body]
+    for tag in ("blockquote", "ul"):
+        inner = "".join(f"<li>{b}" if tag == "ul" else f"<p>{b}</p>" for b in body)
+        page = f"<body><div class=text><h1>Title</h1><p>Short lead.</p><{tag}>{inner}</{tag}><p>The end.</p></div></body>"
+        assert html_text.main_text(page).split("\n") == ["Title", "Short lead.", *body, "The end."]
+    parts = f"<body><article><h2>One</h2>{block}</article><article><h2>Two</h2><p>{lead}</p></article></body>"
+    assert html_text.main_text(parts).split("\n") == ["One", *body, "Two", lead]
+    own = f"<body><header><p>A page's header</p></header><article><header><h1>Title</h1></header><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then so.</p>{block}</article></body>"
+    assert html_text.main_text(own).split("\n") == ["Title", "If x=2 then so.", *body]
+
+
 def test_smoothing_keeps_the_mean_of_a_flat_page():
     assert html_text.smoothed([5.0] * 7) == pytest.approx([5.0] * 7)
 
