@@ -1,8 +1,11 @@
 """Operators on single texts, against the libraries, SQL or plain loops, with awkward rows."""
 
 import hashlib
+import math
 import os
+import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -236,3 +239,65 @@ def test_native_words_match(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     for r in df.select("i", F.size(license_scan.plain_word_array(F.col("text"))).alias("n")).collect():
         assert r["n"] == len(plain_words(texts[r["i"]]))
+
+
+ARTICLE = [f"Paragraph {i} of the text, long enough to count as part of it, surely." for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    "start",
+    ['<div class="page has-sidebar">', '<div class="story no-comments">', '<div class="social-policy-paper">', '<article class="post comments-open">', '<form id="aspnetForm">', '<div class="sidebar">', '<section id="notices">'],
+)
+def test_wrappers_named_by_a_mark_keep_the_article(start):
+    block = "".join(f"<p>{b}" for b in ARTICLE)
+    tag = start[1:].split()[0]
+    page = f"<body><nav><a href=x>Home</a></nav>{start}<h1>Title</h1>{block}</{tag}><div class='sidebar left'>Side text</div><div class=social-links>Follow us</div><footer>Foot</footer></body>"
+    assert html_text.main_text(page).split("\n") == ["Title", *ARTICLE]
+
+
+def test_readers_comments_go_however_long_they_are():
+    block = "".join(f"<p>{b}" for b in ARTICLE)
+    for start in ("<section id=comments>", "<ol class=comment-list><li>", "<div class='post-comments'>", "<article class='comment'>"):
+        assert html_text.main_text(f"<body><div class=main><h1>T</h1><p>Short article of one line.</p></div>{start}{block}{block}</body>") == "T\nShort article of one line."
+
+
+def test_regions_are_the_loops_own():
+    rng = random.Random(5)
+    for _ in range(50):
+        ratios = [rng.choice([0.0, 2.0, 40.0]) * rng.random() for _ in range(rng.randint(1, 40))]
+        smooth = []
+        for i in range(len(ratios)):
+            near = {k: math.exp(-((k - i) ** 2) / 2) for k in range(len(ratios)) if abs(k - i) <= 3}
+            smooth.append(sum(w * ratios[k] for k, w in near.items()) / sum(near.values()))
+        mean = sum(smooth) / len(smooth)
+        deviation = (sum((s - mean) ** 2 for s in smooth) / len(smooth)) ** 0.5
+        got = html_text.content_lines(ratios)
+        over = [s >= deviation for s in smooth]
+        for i in range(len(ratios)):
+            # A line stands between two dense ones, itself at most, with no line below the threshold in between.
+            before = [j for j in range(i + 1) if ratios[j] >= deviation and all(over[j : i + 1])]
+            after = [j for j in range(i, len(ratios)) if ratios[j] >= deviation and all(over[i : j + 1])]
+            assert got[i] == bool(before and after)
+
+
+def test_regions_choose_the_article():
+    teaser = "".join(f"<div><a href=x>Other page {i}</a></div>" for i in range(20))
+    block = "".join(f"<p>{b}" for b in ARTICLE)
+    assert html_text.main_text(f"<body><div>{teaser}</div><div>{block}</div><div>{teaser}</div></body>").split("\n") == ARTICLE
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div>x", "<span>x<p>", "<ul><li>a", "<!--", "<a ", '<a href="', "<b>x</i>", "<p class=ad>x"])
+def test_time_follows_the_length_of_a_page(part):
+    seconds = []
+    for n in (4000, 16000):
+        start = time.perf_counter()
+        html_text.main_text(part * n)
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 2 and seconds[1] < 9 * seconds[0] + 0.2
+
+
+def test_repeated_and_long_pages(spark):
+    page = "<article>" + "".join(f"<p>{b}</p>" for b in ARTICLE * 2000) + "</article>"
+    rows = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (None, None, "", "y")], "page_id bigint, url string, html string, n_chars string")
+    got = html_text.extract_pages(rows).collect()
+    assert sorted(r["n_chars"] for r in got) == [0, len("\n".join(ARTICLE * 2000)), len("\n".join(ARTICLE * 2000))]
