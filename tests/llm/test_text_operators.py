@@ -101,25 +101,70 @@ def test_no_items_hash():
     assert decontaminate.empty_digest() == hashlib.sha256(b"").hexdigest()
 
 
-def test_token_counts_are_the_library_s(spark, awkward):
+@pytest.fixture(scope="module")
+def library():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path(token_counts.VOCABULARY))
-    got = token_counts.prefix_counts(awkward, keep=["doc_id"]).select("doc_id", "n_bytes", token_counts.total_tokens().alias("n")).collect()
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False))
+
+
+@pytest.fixture(scope="module")
+def counter():
+    return token_counts.PrefixCounter(tokenizer_path(token_counts.VOCABULARY), remembered=100_000)
+
+
+def test_token_counts_are_the_library_s(spark, awkward, library):
+    got = token_counts.prefix_counts(awkward, keep=["doc_id"]).select("doc_id", "n_bytes", "counts", token_counts.total_tokens().alias("n")).collect()
     for r in got:
         text = AWKWARD[r["doc_id"]] or ""
-        assert (r["n"], r["n_bytes"]) == (len(tokenizer.encode(text, add_special_tokens=False)), len(text.encode()))
-    counter = token_counts.PrefixCounter(tokenizer_path(token_counts.VOCABULARY), remembered=3)
-    text = "Hello world, it's 2024!  Ünïcode\nnext"
-    for k in range(len(text) + 1):
-        assert counter.at_prefix(text, k) == len(tokenizer.encode(text[:k], add_special_tokens=False))
+        assert (r["n"], r["n_bytes"], len(r["counts"])) == (library(text), len(text.encode()), len(text) + 1)
+
+
+ODD = ["<|endoftext|>", "<|startoftext|>", "<|end", "'re", "'ll", "don't", "'s", "the", "ation", "aaaa", "!!!", "e\u0301", "\u0315", "\u0301", "\u0323", "\u1100\u1161\u11a8", "\u0130", "\u03a3", "\u0958", "\u6f22\u5b57", "\x1c", "\x85", "\xa0", " ", "\n", "7", "\xbd", "'", "?", "A", "b"]
+
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(ODD) | st.text(max_size=3), max_size=10).map("".join))
+def test_every_prefix_is_counted_as_the_library_does(library, counter, text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert token_counts.prefix_table(counter, text).tolist() == [library(text[:k]) for k in range(len(text) + 1)]
 
-def test_budget_cut(spark, awkward):
-    cut = token_counts.prefix_counts(awkward).select("doc_id", "counts", "ends", token_counts.bytes_within_budget(3).alias("b")).collect()
+
+@pytest.mark.parametrize("text", ["a" * 3000, "ab" * 2000, "\u6f22\u5b57" * 900, "e\u0301" * 900, "!?" * 900, "qjzkxv" * 500, "a\u0315\u0301" * 300 + " b" * 300])
+def test_long_words_are_counted_whole(library, counter, text):
+    table = token_counts.prefix_table(counter, text)
+    places = [0, 1, 2, 3, 47, 48, 49, 50, 97, 255, 256, 600, len(text) - 1, len(text)]
+    assert [int(table[k]) for k in places] == [library(text[:k]) for k in places]
+
+
+def test_merges_leave_the_seams_that_running_them_leaves(counter):
+    m = counter.merges
+    rng = random.Random(4)
+
+    def letters(token):
+        return [token] if m.rank[token] < 0 else letters(int(m.left[token])) + letters(int(m.right[token]))
+
+    def merged(row):
+        while True:
+            best = min(((m.joined.get(a * m.size + b, m.size), i) for i, (a, b) in enumerate(zip(row, row[1:]))), default=(m.size, 0))
+            if best[0] == m.size:
+                return row
+            row[best[1] : best[1] + 2] = [int(np.flatnonzero(m.rank == best[0])[0])]
+
+    tokens = [t for t in m.within_list if 0 <= t < 3000]
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(150)] + [(t, t) for t in tokens[:40]]
+    got = m.side_by_side(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    for (a, b), yes in zip(pairs, got, strict=True):
+        assert yes == (merged(letters(a) + letters(b)) == [a, b]) == m._seam(a, b)
+
+
+def test_budget_and_truncation_are_lookups(spark, awkward, library):
+    cut = token_counts.prefix_counts(awkward, keep=["doc_id"]).select("doc_id", token_counts.chars_within_budget(3).alias("fit"), token_counts.tokens_at(10).alias("ten")).collect()
     for r in cut:
-        fitting = [e for e, c in zip(r["ends"], r["counts"]) if c <= 3]
-        assert r["b"] == (fitting[-1] if fitting else 0)
+        text = AWKWARD[r["doc_id"]] or ""
+        assert library(text[: r["fit"]]) <= 3 and r["ten"] == library(text[:10])
+        assert all(library(text[:k]) > 3 for k in range(r["fit"] + 1, min(len(text), r["fit"] + 40) + 1))
 
 
 def test_pieces_are_the_library_s(spark, awkward):
