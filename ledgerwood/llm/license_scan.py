@@ -7,8 +7,9 @@ votes for the diagonal p - t. Votes are summed by diagonal, neighbouring diagona
 it covers enough of the template's k-grams. The hash only selects: each vote also
 compares the k-gram itself.
 
-The templates are fixed, a few hundred rows, so they are broadcast. Of a document
-only its matches and one header row are shuffled.
+The templates are fixed, a few hundred rows that the plan itself holds, so they are
+broadcast. Of a document only its matches and one header row are shuffled, and the words
+of a text go no further than its own row: the time is linear in its length.
 
 Defined results: a null or empty text has no words and no labels, score 0; repeated
 rows and repeated ids are kept apart; extra columns are ignored.
@@ -74,24 +75,32 @@ def plain_word_array(text: Column) -> Column:
     return F.array_remove(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def votes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row for each place where a template's gram stands, and a header row for each document."""
-    spark = docs.sparkSession
-    grams = spark.createDataFrame(template_rows(), "template int, label string, phrase boolean, k int, grams int, tpos int, gram string")
-    header = spark.createDataFrame([(HEADER, None, False, 0, 0, 0, None)], grams.schema)
+def template_grams(spark: SparkSession) -> DataFrame:
+    """The grams of all templates as literals of the plan, and the header's own row of 0 words."""
+    values = ", ".join(f"({t}, '{label}', {phrase}, {k}, {n}, {i}, '{g}')" for t, label, phrase, k, n, i, g in template_rows())
+    grams = spark.sql(f"SELECT * FROM VALUES {values}, ({HEADER}, CAST(NULL AS STRING), false, 0, 0, 0, '') AS t(template, label, phrase, k, grams, tpos, gram)")
     split = F.split("gram", " ")
     hashed = F.when(F.col("k") == 3, F.xxhash64(split[0], split[1], split[2])).when(F.col("k") == 2, F.xxhash64(split[0], split[1])).otherwise(F.lit(0))
-    grams = F.broadcast(grams.union(header).withColumn("h", hashed))
+    return grams.withColumn("h", hashed)
+
+
+def votes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """A row for each place where a template's gram stands, and a header row for each document."""
+    grams = F.broadcast(template_grams(docs.sparkSession))
     words = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), plain_word_array(F.col(text_col)).alias("w"))
-    three = F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
-    two = F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1)))
-    # Entry 0 is the header; the next entries are the three-word grams by position, then the two-word ones.
-    entries = words.select("doc_id", "row", "w", F.posexplode_outer(F.concat(F.array(F.lit(0).cast("bigint")), three, two)).alias("at", "h"))
-    n = F.size("w")
-    place = F.when(F.col("at") > n, F.col("at") - 1 - n).otherwise(F.col("at") - 1)
-    same = (F.col("k") == 0) | ((F.array_join(F.slice("w", place + 1, F.col("k")), " ") == F.col("gram")) & ((F.col("k") == 2) == (F.col("at") > n)))
-    found = entries.join(grams, "h").where(same)
-    return found.select("row", "doc_id", n.cast("bigint").alias("n_words"), "template", "label", "phrase", "k", "grams", "tpos", place.alias("pos"))
+    # A place enters the join if its two first words begin some template's gram. Each takes its own three
+    # words along, so that no row carries the document's.
+    begin = [sorted({r[6].split(" ")[i] for r in template_rows()}) for i in range(2)]
+    place = lambda x, i: F.struct(i.alias("pos"), x.alias("a"), F.get("w", i + 1).alias("b"), F.get("w", i + 2).alias("c"))
+    starts = F.transform("w", lambda x, i: F.when(x.isin(begin[0]) & F.get("w", i + 1).isin(begin[1]), place(x, i)))
+    kinds = lambda e, *of: F.array(*[F.struct(e["pos"].alias("pos"), F.lit(k).alias("size"), h.alias("h"), g.alias("text")) for k, h, g in of])
+    header = kinds({"pos": F.lit(0)}, (0, F.lit(0).cast("bigint"), F.lit("")))
+    entries = words.select("doc_id", "row", F.size("w").cast("bigint").alias("n_words"), F.explode(F.concat(F.array(F.struct(F.lit(HEADER).alias("pos"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"))), F.array_compact(starts))).alias("e"))
+    e = F.col("e")
+    rolled = kinds(e, (3, F.xxhash64(e["a"], e["b"], e["c"]), F.concat_ws(" ", e["a"], e["b"], e["c"])), (2, F.xxhash64(e["a"], e["b"]), F.concat_ws(" ", e["a"], e["b"])))
+    entries = entries.select("doc_id", "row", "n_words", F.inline(F.when(e["pos"] == HEADER, header).otherwise(rolled)))
+    found = entries.join(grams, "h").where((F.col("size") == F.col("k")) & (F.col("text") == F.col("gram")))
+    return found.select("row", "doc_id", "n_words", "template", "label", "phrase", "k", "grams", "tpos", "pos")
 
 
 def spans(found: DataFrame) -> DataFrame:

@@ -346,3 +346,10 @@ def test_repeated_and_long_pages(spark):
     rows = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (None, None, "", "y")], "page_id bigint, url string, html string, n_chars string")
     got = html_text.extract_pages(rows).collect()
     assert sorted(r["n_chars"] for r in got) == [0, len("\n".join(ARTICLE * 2000)), len("\n".join(ARTICLE * 2000))]
+
+
+def test_license_scan_carries_no_words_and_starts_no_python(spark, awkward):
+    plan = license_scan.scan_licenses(awkward)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan.split("Broadcast")[-1]
+    generates = [line for line in plan.split("== Physical Plan ==")[-1].splitlines() if "Generate explode" in line]
+    assert generates and all("array<string>" not in line and " w#" not in line.split("], ")[0].split("[", 1)[-1] for line in generates)
