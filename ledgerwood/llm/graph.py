@@ -11,6 +11,24 @@ from pyspark.sql import functions as F
 from .common import drop_path, staged
 
 
+#: A key with more rows than this is met in parts, and in how many.
+HOT, SALTS = 1024, 256
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, size: str) -> DataFrame:
+    """Each row with its group's row; ``size`` is how many rows a group has.
+
+    Rows of a hot group are dealt by ``spread``, and the group's row goes to every part: at most
+    SALTS / HOT times as many copies as rows. The rest is an ordinary join.
+    """
+    columns = [*rows.columns, *[c for c in groups.columns if c not in (key, size)]]
+    hot = groups.where(F.col(size) > HOT).drop(size).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"), F.lit(True).alias("__hot"))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(F.lit(7), F.col(spread)), F.lit(SALTS)).cast("int"))
+    met = salted.join(hot, [key, "__salt"], "left")
+    rest = met.where("__hot IS NULL").select(*rows.columns).join(groups.where(F.col(size) <= HOT).drop(size), key)
+    return met.where("__hot").select(*columns).union(rest.select(*columns))
+
+
 def _signature(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]
@@ -29,10 +47,10 @@ def components(links: DataFrame) -> DataFrame:
     before = _signature(edges)
     while before[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+        large = hot_join(both, least, "u", "v", "size").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        small = hot_join(large, floor, "u", "v", "size").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges, new = staged(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         drop_path(links.sparkSession, path)
         path, after = new, _signature(edges)

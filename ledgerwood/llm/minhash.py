@@ -14,7 +14,8 @@ least node a group. Links are confirmed on the full sets:
 
 A block returns a spanning forest of its links, never its pairs. So a large group of near
 copies costs its size, plus its outsiders times their range, and no group is cut short or
-held by one task. The smallest doc_id of a component is kept.
+held by one task: its rows are dealt in parts before they meet what belongs to the group. (A
+bucket's join with its least node is left to Spark's own handling of skewed joins.) The smallest doc_id of a component is kept.
 
 Defined results: null texts and texts without words have an empty set, are linked with
 nothing and kept; repeated rows are copies of each other; rows that share a doc_id but not
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import list_array, staged, table, with_text_columns
-from .graph import components, forest
+from .graph import HOT, components, forest, hot_join
 from .shingles import band_keys, fingerprint, shingle_sets, similarity_sketch
 
 WIDTH = 5
@@ -99,10 +100,10 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int, text_col: str,
     wanted = members.select("node").distinct().join(first, "node")
     sets, _ = staged(node_sets(docs, wanted, width, text_col, id_col), "sets")
     sizes = pairs.groupBy("least").agg(F.count("*").alias("size"))
-    sized = members.join(sizes, "least")
+    sized = hot_join(members.select("least", "node"), sizes.select("least", "size", F.col("size").alias("held")), "least", "node", "size").withColumnRenamed("held", "size")
     whole = F.struct(F.lit(0).alias("r"), F.lit(0).alias("b"))
     small = sized.where(F.col("size") <= BLOCK).select(F.col("least").alias("group"), whole.alias("low"), whole.alias("high"), F.lit(True).alias("is_low"), "node")
-    large, _ = staged(sized.where((F.col("size") > BLOCK) & (F.col("node") != F.col("least"))).select("least", "node"), "large-groups")
+    large, _ = staged(sized.where((F.col("size") > BLOCK) & (F.col("node") != F.col("least"))).select("least", "node", "size"), "large-groups")
     compared, _ = staged(_compared(large, sets), "compared")
     stars = compared.where("linked").select(F.col("node").alias("u"), F.col("least").alias("v"))
     blocks = small.union(_ranges(compared)).join(sets.select("node", "shingles"), "node")
@@ -111,10 +112,14 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int, text_col: str,
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Each node's exact likeness to the least node of its group."""
-    theirs = sets.select(F.col("node").alias("least"), F.col("n").alias("least_n"), F.col("shingles").alias("least_shingles"))
+    # The least node's set goes to every part of its group, and a part has about HOT nodes.
+    parts = F.ceil(F.col("size") / HOT).cast("int")
+    groups = pairs.select("least", "size").distinct().select("least", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    theirs = groups.join(sets.select(F.col("node").alias("least"), F.col("n").alias("least_n"), F.col("shingles").alias("least_shingles")), "least")
     both = F.size(F.array_intersect("shingles", "least_shingles"))
     likeness = both / (F.col("n") + F.col("least_n") - both)
-    return pairs.join(sets, "node").join(theirs, "least").select("least", "node", likeness.alias("likeness"), linked(both, F.col("n"), F.col("least_n")).alias("linked"))
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "node"), parts).cast("int"))
+    return dealt.join(sets, "node").join(theirs, ["least", "part"]).select("least", "node", likeness.alias("likeness"), linked(both, F.col("n"), F.col("least_n")).alias("linked"))
 
 
 def _ranges(compared: DataFrame) -> DataFrame:
@@ -122,10 +127,10 @@ def _ranges(compared: DataFrame) -> DataFrame:
     span = (100 - PERCENT) / 100
     farther = F.least(F.lit(RANGES - 1), F.greatest(F.lit(1), F.ceil((1 - F.col("likeness")) / span - 1e-9) - 1)).cast("int")
     ranged = compared.select(F.col("least").alias("group"), "node", F.when(F.col("linked"), 0).otherwise(farther).alias("range"))
-    counts = ranged.groupBy("group").agg(F.array(*[F.count(F.when(F.col("range") == k, 1)) for k in range(RANGES)]).alias("counts"))
+    counts = ranged.groupBy("group").agg(F.array(*[F.count(F.when(F.col("range") == k, 1)) for k in range(RANGES)]).alias("counts"), F.count("*").alias("size"))
     held = lambda r: F.get("counts", r)
     blocks = lambda r: F.ceil(held(r) / BLOCK).cast("int")
-    own = ranged.join(counts, "group").withColumn("block", F.pmod(F.xxhash64("node", "group"), blocks(F.col("range"))).cast("int"))
+    own = hot_join(ranged, counts, "group", "node", "size").withColumn("block", F.pmod(F.xxhash64("node", "group"), blocks(F.col("range"))).cast("int"))
     # A node meets the blocks of its own range and of both adjacent ones; range 0 doesn't meet itself.
     near = F.filter(F.sequence(F.col("range") - 1, F.col("range") + 1), lambda r: (r >= 0) & (r < RANGES) & ((r > 0) | (F.col("range") > 0)) & (held(r) > 0))
     met = F.flatten(F.transform(near, lambda r: F.transform(F.sequence(F.lit(0), blocks(r) - 1), lambda b: F.struct(r.alias("r"), b.alias("b")))))
@@ -177,8 +182,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, text_col: str = "text",
     roots = components(near_links(docs, sketches, width, text_col, id_col))
     first = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     placed = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_node = placed.join(smallest, "root").select("node", "root", "component_id")
+    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
+    by_node = hot_join(placed, smallest, "root", "node", "size").select("node", "root", "component_id")
     out = sketches.select("doc_id", "text_hash", "n_shingles", "node").join(by_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "root")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import list_array, staged, table
-from .graph import components, forest
+from .graph import components, forest, hot_join
 
 COSINE = 0.95
 #: Vectors that codebooks are fitted on, at most (about).
@@ -200,8 +200,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = found.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     roots = components(found.where("v IS NOT NULL").select("u", "v"))
     placed = nodes.select("node", "copies", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = placed.join(smallest, "root").join(counts, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
+    known = hot_join(placed, smallest, "root", "node", "size").join(counts, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     out = sound.select("vec_id", "node").join(known, "node", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
