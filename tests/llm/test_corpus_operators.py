@@ -215,10 +215,48 @@ def test_frequent_tokens_change_nothing(spark, monkeypatch):
 
 
 def test_seating_keeps_counts():
-    rng = np.random.default_rng(1)
     customers = np.array([1, 2, 50, 100_000])
-    t = pitman_yor.seat(customers, np.zeros(4), 1.0, 0.5, np.full(4, 0.1), rng)
+    t = pitman_yor.seat(customers, np.zeros(4), 1.0, 0.5, np.full(4, 0.1), np.arange(4, dtype=np.uint64), 0)
     assert (t >= 1).all() and (t <= customers).all()
+    assert t.tolist() == [int(pitman_yor.seat(customers[k : k + 1], np.zeros(1), 1.0, 0.5, np.full(1, 0.1), np.array([k], np.uint64), 0)[0]) for k in range(4)]
+
+
+def test_seating_follows_the_restaurant_s_law():
+    """The mean number of tables against customers seated one by one."""
+    n, discount, strength, parent = 60, 0.6, 1.0, 0.3
+    mean = {1: 1.0}
+    for k in range(1, n):  # the law of the number of tables, exactly
+        law = {}
+        for t, p in mean.items():
+            new = (strength + discount * t) * parent
+            up = new / (new + k - discount * t)
+            law[t + 1] = law.get(t + 1, 0.0) + p * up
+            law[t] = law.get(t, 0.0) + p * (1 - up)
+        mean = law
+    want = sum(t * p for t, p in mean.items())
+    many = 40_000
+    got = pitman_yor.seat(np.full(many, n), np.zeros(many), strength, discount, np.full(many, parent), pitman_yor.mix(np.arange(many, dtype=np.uint64)), 5)
+    assert got.mean() == pytest.approx(want, rel=0.03)
+
+
+def test_scores_don_t_follow_the_partitioning(spark):
+    rng = random.Random(12)
+    rows = [(i if i % 9 else None, prose(rng, 40), "clash") for i in range(80)]
+    rows += rows[:5] + [(7, "you " * 20_000, "clash")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
+    scores = []
+    for parts in (1, 5):
+        dealt = df.repartition(parts)
+        scores.append(sorted(repr((r["doc_id"], r["n_tokens"], round(r["score"], 5))) for r in pitman_yor.score(dealt, pitman_yor.fit(dealt), block_bytes=30_000).collect()))
+    assert scores[0] == scores[1] and len(scores[0]) == len(rows)
+
+
+def test_hot_keys_are_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT", 10)
+    rows = spark.createDataFrame([(0, i) for i in range(40)] + [(k, 100 + k) for k in range(1, 6)] + [(9, 1)], "k bigint, v bigint")
+    groups = spark.createDataFrame([(0, 40, "a")] + [(k, 1, "b") for k in range(1, 6)], "k bigint, size bigint, name string")
+    got = graph.hot_join(rows, groups, "k", "v", "size")
+    assert sorted(map(tuple, got.collect())) == sorted([(0, i, "a") for i in range(40)] + [(k, 100 + k, "b") for k in range(1, 6)])
 
 
 INSULTS = ["idiot", "scum", "grumbold"]
