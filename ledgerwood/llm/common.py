@@ -37,6 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bound_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
     """Let the session hand over texts in batches of at most ``most`` rows."""
+    # It stays set: plans are run after this returns.
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= most:
         spark.conf.set(name, str(most))
@@ -86,12 +87,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
 
-    Where a session has none (a test on one machine), a temporary one is set.
+    Where a session on one machine (a test) has neither, a temporary one is set; a cluster must name one.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = own.get() if own.isDefined() else None
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="ledgerwood-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)

@@ -9,7 +9,8 @@ labelled rows; every text is scored whole, in one pass without a shuffle.
 
 Defined results: null and empty texts have zero inputs but for the bias; without labels
 of both kinds every score is the share of label 1 (0 without labels); labels, language,
-source and id are never inputs. Repeated rows get repeated scores.
+source and id are never inputs. Repeated rows get repeated scores. A null id is of no held-out
+row. A kept column named like the score gives way to it; ``without_junk`` keeps all as they are.
 """
 
 from __future__ import annotations
@@ -126,6 +127,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out=None, sample_rows:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = bucket_of("doc_id", 4) == 2
+    held_out = F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False))
     scored = fit_quality(docs, table(spark, sf_dir, "labels"), held_out).score(docs)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -9,7 +9,8 @@ learned on the whole sample. Every text is scored whole, in one pass without a s
 
 Defined results: null and empty texts are scored on zero features; without labels of
 both kinds every score is the share of label 1 (0 without labels); labels, language,
-source and id are never inputs. Repeated rows get repeated scores.
+source and id are never inputs. Repeated rows get repeated scores. A null id is of no held-out
+row. Columns of ``docs`` that are named like features or scores stay as they are.
 """
 
 from __future__ import annotations
@@ -199,7 +200,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, sample_rows:
         fit = check = ready
     if fit.agg(F.countDistinct("label")).first()[0] < 2:
         return ToxicityModel(lexicon, None, None, bad / n)
-    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=11).fit(fit.coalesce(4).cache())
+    cached = fit.coalesce(4).cache()
+    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=11).fit(cached)
+    cached.unpersist()
     margins = trees.transform(check).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     steps = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(margins)
     return ToxicityModel(lexicon, trees, steps, bad / n)
@@ -207,6 +210,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, sample_rows:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = bucket_of("doc_id", 5) == 0
+    held_out = F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False))
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), held_out)
     return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
