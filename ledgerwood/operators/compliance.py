@@ -5,24 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Notice requirements of three contract forms: edition, clause, obligation, days, whether a
+# Notice requirements of seven contract forms: edition, clause, obligation, days, whether a
 # condition precedent, what it applies to, what the period runs from, and the clause of that notice.
 REQUIREMENTS = [
     ("red-book-2017", "20.2.1", "notice_of_claim", 28, True, "both", "awareness", ""),
     ("red-book-2017", "20.2.4", "detailed_claim", 84, False, "both", "awareness", ""),
+    ("yellow-book-2017", "20.2.1", "notice_of_claim", 28, True, "both", "awareness", ""),
+    ("yellow-book-2017", "20.2.4", "detailed_claim", 84, False, "both", "awareness", ""),
+    ("silver-book-2017", "20.2.1", "notice_of_claim", 28, True, "both", "awareness", ""),
+    ("silver-book-2017", "20.2.4", "detailed_claim", 84, False, "both", "awareness", ""),
     ("red-book-1987", "44.2", "notice_of_claim", 28, False, "time", "awareness", ""),
     ("red-book-1987", "44.2", "detailed_claim", 28, False, "time", "notice", "44.2"),
     ("red-book-1987", "53.1", "notice_of_claim", 28, False, "money", "awareness", ""),
     ("red-book-1987", "53.3", "detailed_claim", 28, False, "money", "notice", "53.1"),
     ("red-book-1999", "20.1", "notice_of_claim", 28, True, "both", "awareness", ""),
     ("red-book-1999", "20.1", "detailed_claim", 42, False, "both", "awareness", ""),
+    ("yellow-book-1999", "20.1", "notice_of_claim", 28, True, "both", "awareness", ""),
+    ("yellow-book-1999", "20.1", "detailed_claim", 42, False, "both", "awareness", ""),
+    ("silver-book-1999", "20.1", "notice_of_claim", 28, True, "both", "awareness", ""),
+    ("silver-book-1999", "20.1", "detailed_claim", 42, False, "both", "awareness", ""),
 ]
 REQUIREMENT_COLUMNS = ["edition", "clause", "obligation", "period_days", "precedent", "applies_to", "runs_from", "runs_from_clause"]
 _SCHEMA = "edition string, clause string, obligation string, period_days int, precedent boolean, applies_to string, runs_from string, runs_from_clause string"
 
 
 def requirements(spark) -> DataFrame:
-    return spark.createDataFrame(REQUIREMENTS, _SCHEMA)
+    """The standard requirements: a fixed number of rows, so a join may send them to every task."""
+    return F.broadcast(spark.createDataFrame(REQUIREMENTS, _SCHEMA))
 
 
 def amended(standard: DataFrame, amendments: DataFrame) -> DataFrame:
@@ -62,7 +71,7 @@ def notice_compliance(claims: DataFrame, notices: DataFrame, wanted: DataFrame)
     which can't answer it as well.
     """
     applies = (F.col("applies_to") == "both") | (F.col("seeks") == "both") | (F.col("applies_to") == F.col("seeks"))
-    pairs = claims.join(F.broadcast(wanted), "edition").where(applies)  # requirements are a fixed registry
+    pairs = claims.join(wanted, "edition").where(applies)
     keys = ["claim_id", "clause", "obligation"]
     none = F.lit(None).cast(notices.schema["notice_id"].dataType)
     direct = _assessed(pairs.where("runs_from = 'awareness'").withColumns({"starts": F.col("awareness"), "barred_id": none}), notices, keys)
@@ -77,7 +86,7 @@ CHECKS = [
     ("CB1", "blocking", (), "CASE WHEN edition <> '' THEN 'satisfied' ELSE 'indeterminate' END"),
     ("CB2", "blocking", (), "CASE WHEN n_basis > 0 THEN 'satisfied' ELSE 'incomplete' END"),
     ("CB3", "advisory", ("CB1", "CB2"), "CASE WHEN n_basis = 0 THEN 'incomplete' WHEN NOT published THEN 'indeterminate' WHEN n_basis_missing = 0 THEN 'satisfied' ELSE 'incomplete' END"),
-    ("CB4", "blocking", (), "CASE WHEN has_claimant AND has_respondent THEN 'satisfied' ELSE 'incomplete' END"),
+    ("CB4", "advisory", (), "CASE WHEN has_claimant AND has_respondent THEN 'satisfied' ELSE 'incomplete' END"),
     ("NC1", "blocking", (), "CASE WHEN awareness IS NOT NULL THEN 'satisfied' ELSE 'indeterminate' END"),
     ("NC2", "advisory", ("CB1",), "CASE WHEN edition = '' THEN 'indeterminate' WHEN registered THEN 'satisfied' ELSE 'not_applicable' END"),
     ("NC3", "blocking", ("NC1", "NC2"), "CASE WHEN n_without_notice = 0 THEN 'satisfied' ELSE 'incomplete' END"),
@@ -87,11 +96,11 @@ CHECKS = [
     ("NC7", "advisory", ("NC1", "NC3"), "CASE WHEN n_unreceived = 0 THEN 'satisfied' ELSE 'incomplete' END"),
     ("NC8", "advisory", ("NC3",), "CASE WHEN n_unconfirmed = 0 THEN 'satisfied' ELSE 'incomplete' END"),
     ("EV1", "blocking", (), "CASE WHEN event_date IS NOT NULL THEN 'satisfied' ELSE 'incomplete' END"),
-    ("EV2", "blocking", (), "CASE WHEN trim(description) <> '' THEN 'satisfied' ELSE 'incomplete' END"),
+    ("EV2", "advisory", (), "CASE WHEN trim(description) <> '' THEN 'satisfied' ELSE 'incomplete' END"),
     ("EV3", "advisory", ("EV1", "NC1"), "CASE WHEN event_date IS NULL OR awareness IS NULL THEN 'indeterminate' WHEN awareness >= event_date THEN 'satisfied' ELSE 'incomplete' END"),
     ("EV4", "advisory", ("EV1",), "CASE WHEN coalesce(event_date > today, false) OR coalesce(awareness > today, false) THEN 'incomplete' ELSE 'satisfied' END"),
     ("EV5", "advisory", (), "CASE WHEN NOT instructed THEN 'not_applicable' WHEN instruction_linked THEN 'satisfied' ELSE 'incomplete' END"),
-    ("RC1", "blocking", (), "CASE WHEN n_records > 0 THEN 'satisfied' ELSE 'incomplete' END"),
+    ("RC1", "advisory", (), "CASE WHEN n_records > 0 THEN 'satisfied' ELSE 'incomplete' END"),
     ("RC2", "informational", (), "'satisfied'"),
     ("RC3", "informational", (), "'satisfied'"),
     ("QR1", "blocking", (), "CASE WHEN days_claimed IS NOT NULL OR amount IS NOT NULL THEN 'satisfied' ELSE 'incomplete' END"),

@@ -11,17 +11,25 @@ from .registry import query
 TODAY = "1997-06-30"
 
 
-def claims(spark, sf):
-    o = table(spark, sf, "orders")
-    edition = F.get(F.array(*[F.lit(x) for x in ("red-book-2017", "red-book-1987", "red-book-1999", "")]), F.col("o_custkey") % 4)
+EDITIONS = ("red-book-2017", "red-book-1987", "red-book-1999", "", "yellow-book-2017", "silver-book-2017", "yellow-book-1999", "silver-book-1999")
+
+
+def _claim_columns():
+    edition = F.get(F.array(*[F.lit(x) for x in EDITIONS]), (F.col("o_custkey") % 8).cast("int"))
     seeks = F.get(F.array(*[F.lit(x) for x in ("both", "time", "money")]), F.col("o_orderkey") % 3)
     aware = F.when(F.col("o_orderkey") % 11 != 0, F.to_date("o_orderdate"))
-    return o.select(F.col("o_orderkey").alias("claim_id"), edition.alias("edition"), seeks.alias("seeks"), aware.alias("awareness"))
+    return [F.col("o_orderkey").alias("claim_id"), edition.alias("edition"), seeks.alias("seeks"), aware.alias("awareness")]
+
+
+def claims(spark, sf):
+    return table(spark, sf, "orders").select(*_claim_columns())
 
 
 def notices(spark, sf):
     """One row per order and line number, dated around the order; some under no clause and some without a date."""
-    first = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    # Dealt by order once: the aggregate and the join both follow that partitioning.
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey")
+    first = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
     both = first.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     clause = F.get(F.array(*[F.lit(x) for x in ("20.2.1", "20.2.4", "44.2", "53.1", "53.3", "20.1", "")]), (F.col("part") % 7).cast("int"))
     obligation = F.when(F.col("part") % 5 == 0, "notice_of_claim").when(F.col("part") % 5 == 1, "detailed_claim")
@@ -29,14 +37,21 @@ def notices(spark, sf):
     return both.select(F.col("o_orderkey").alias("claim_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("notice_id"), clause.alias("clause"), obligation.alias("obligation"), effective.alias("effective"))
 
 
-_CLAIMS = """c AS (SELECT o_orderkey AS claim_id, ['red-book-2017', 'red-book-1987', 'red-book-1999', ''][o_custkey % 4 + 1] AS edition, ['both', 'time', 'money'][o_orderkey % 3 + 1] AS seeks, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE END AS awareness FROM orders)"""
+# The SQL below states the forms' requirements and all checks on its own: it shares no rule with the operators.
+_CLAIMS = """c AS (SELECT o_orderkey AS claim_id, CASE o_custkey % 8 WHEN 0 THEN 'red-book-2017' WHEN 1 THEN 'red-book-1987' WHEN 2 THEN 'red-book-1999' WHEN 3 THEN '' WHEN 4 THEN 'yellow-book-2017' WHEN 5 THEN 'silver-book-2017' WHEN 6 THEN 'yellow-book-1999' ELSE 'silver-book-1999' END AS edition,
+['both', 'time', 'money'][o_orderkey % 3 + 1] AS seeks, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE END AS awareness FROM orders)"""
 _NOTICES = """n AS (SELECT o_orderkey AS claim_id, l_orderkey * 10 + l_linenumber AS notice_id, ['20.2.1', '20.2.4', '44.2', '53.1', '53.3', '20.1', ''][part % 7 + 1] AS n_clause, CASE part % 5 WHEN 0 THEN 'notice_of_claim' WHEN 1 THEN 'detailed_claim' END AS n_obligation,
 CASE WHEN part % 13 <> 0 THEN o_orderdate::DATE + (part % 90 - 5)::INTEGER END AS effective FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2) JOIN orders ON o_orderkey = l_orderkey)"""
-_VALUES = ", ".join(f"('{e}', '{c}', '{o}', {d}, {str(p).lower()}, '{a}', '{r}', '{rc}')" for e, c, o, d, p, a, r, rc in C.REQUIREMENTS)
+REQ = """req AS (
+SELECT book || '-book-2017' AS edition, clause, obligation, days AS period_days, barring AS precedent, 'both' AS applies_to, 'awareness' AS runs_from, '' AS runs_from_clause
+FROM (VALUES ('red'), ('yellow'), ('silver')) b(book), (VALUES ('20.2.1', 'notice_of_claim', 28, true), ('20.2.4', 'detailed_claim', 84, false)) r(clause, obligation, days, barring)
+UNION ALL SELECT book || '-book-1999', '20.1', obligation, days, barring, 'both', 'awareness', '' FROM (VALUES ('red'), ('yellow'), ('silver')) b(book), (VALUES ('notice_of_claim', 28, true), ('detailed_claim', 42, false)) r(obligation, days, barring)
+UNION ALL SELECT 'red-book-1987', '44.2', 'notice_of_claim', 28, false, 'time', 'awareness', '' UNION ALL SELECT 'red-book-1987', '44.2', 'detailed_claim', 28, false, 'time', 'notice', '44.2'
+UNION ALL SELECT 'red-book-1987', '53.1', 'notice_of_claim', 28, false, 'money', 'awareness', '' UNION ALL SELECT 'red-book-1987', '53.3', 'detailed_claim', 28, false, 'money', 'notice', '53.1')"""
 _COUNTS = "(n_clause = '' OR n_clause = clause) AND coalesce(n_obligation = obligation, true) AND effective IS NOT NULL"
 _FIRST = """SELECT claim_id, clause, obligation, min((effective, notice_id)) AS f FROM {0} JOIN n USING (claim_id) WHERE """ + _COUNTS
 _STATUS = """CASE WHEN starts IS NULL THEN 'indeterminate' WHEN f IS NULL THEN 'not_given' WHEN f[1] < starts THEN 'indeterminate' WHEN f[1] <= starts + period_days THEN 'compliant' ELSE 'late' END"""
-FINDINGS = f"""{_CLAIMS}, {_NOTICES}, req(edition, clause, obligation, period_days, precedent, applies_to, runs_from, runs_from_clause) AS (VALUES {_VALUES}),
+FINDINGS = f"""{_CLAIMS}, {_NOTICES}, {REQ},
 p AS (SELECT * FROM c JOIN req USING (edition) WHERE applies_to = 'both' OR seeks = 'both' OR applies_to = seeks),
 p1 AS (SELECT *, awareness AS starts, NULL::BIGINT AS barred_id FROM p WHERE runs_from = 'awareness'),
 f1 AS (SELECT p1.claim_id, clause, obligation, min(row(effective, notice_id)) AS f FROM p1 JOIN n USING (claim_id) WHERE {_COUNTS} GROUP BY 1, 2, 3),
@@ -77,12 +92,11 @@ def facts(spark, sf):
         "n_lapsing": lapsing, "n_expired": lapsing & gone, "n_expired_on_record": lapsing & gone & (F.col("status") != "not_given"),
     }
     by = found.groupBy("claim_id").agg(*[F.count_if(c).alias(k) for k, c in counts.items()])
-    o = table(spark, sf, "orders").withColumn("claim_id", F.col("o_orderkey"))
-    both = claims(spark, sf).join(o, "claim_id").join(by, "claim_id", "left").na.fill(0, list(counts))
+    both = table(spark, sf, "orders").select("*", *_claim_columns()).join(by, "claim_id", "left").na.fill(0, list(counts))
     k = F.col("o_orderkey")
     return both.withColumns({
         "n_basis": (k % 4).cast("int"), "n_basis_missing": (k % 2).cast("int"), "published": F.col("edition") != "red-book-1999", "has_claimant": k % 9 != 0, "has_respondent": k % 10 != 0,
-        "registered": F.col("edition").isin("red-book-2017", "red-book-1987", "red-book-1999"), "event_date": F.when(k % 12 != 0, F.expr("date_add(to_date(o_orderdate), CAST(o_custkey % 9 AS INT) - 6)")),
+        "registered": F.col("edition").isin(*[e for e in EDITIONS if e]), "event_date": F.when(k % 12 != 0, F.expr("date_add(to_date(o_orderdate), CAST(o_custkey % 9 AS INT) - 6)")),
         "description": F.when(k % 13 != 0, F.col("o_orderpriority")).otherwise(F.lit(" ")), "today": F.lit(TODAY).cast("date"), "instructed": k % 5 == 0, "instruction_linked": k % 10 == 0, "n_records": (k % 6).cast("int"),
         "days_claimed": F.when(k % 3 != 1, (k % 40).cast("int")), "amount": F.when(k % 3 != 0, F.col("o_totalprice") - 1000), "currency": F.when(k % 4 == 0, F.lit("")).otherwise(F.lit("EUR")),
         "seeks_money": F.col("seeks") != "time", "seeks_time": F.col("seeks") != "money",
@@ -100,18 +114,34 @@ o_orderkey % 4 AS n_basis, o_orderkey % 2 AS n_basis_missing, edition <> 'red-bo
 CASE WHEN o_orderkey % 12 <> 0 THEN o_orderdate::DATE + (o_custkey % 9 - 6)::INTEGER END AS event_date, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderpriority ELSE ' ' END AS description, DATE '{TODAY}' AS today, o_orderkey % 5 = 0 AS instructed, o_orderkey % 10 = 0 AS instruction_linked, o_orderkey % 6 AS n_records,
 CASE WHEN o_orderkey % 3 <> 1 THEN o_orderkey % 40 END AS days_claimed, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice - 1000 END AS amount, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'EUR' END AS currency, seeks <> 'time' AS seeks_money, seeks <> 'money' AS seeks_time
 FROM c JOIN orders ON o_orderkey = c.claim_id LEFT JOIN b USING (claim_id))"""
-_STEPS = ", ".join(f"s{i} AS (SELECT *, {C.gated(d, own)} AS {code} FROM s{i - 1})" for i, (code, _, d, own) in enumerate(C.CHECKS, 1))
-_LIST = lambda w: "[" + ", ".join(c for c, weight, *_ in C.CHECKS if w in ("", weight)) + "]"
-
-
-@query(f"""WITH {FINDINGS}, {_FACTS}, {_STEPS} SELECT claim_id, unnest([{", ".join(f"'{c}'" for c, *_ in C.CHECKS)}]) AS code, unnest({_LIST("")}) AS status FROM s{len(C.CHECKS)}""")
+# A check that waits for others: what doesn't apply there doesn't apply here, and what is open there can't be told here.
+_W1, _W2, _W3 = ("WHEN 'not_applicable' IN ({0}) THEN 'not_applicable' WHEN list_has_any([{0}], ['incomplete', 'indeterminate']) THEN 'indeterminate'".format(x) for x in ("CB1", "QR1", "NC1, NC2"))
+_STEPS = f"""k0 AS (SELECT *, if(edition = '', 'indeterminate', 'satisfied') AS CB1, if(n_basis = 0, 'incomplete', 'satisfied') AS CB2, if(has_claimant AND has_respondent, 'satisfied', 'incomplete') AS CB4, if(awareness IS NULL, 'indeterminate', 'satisfied') AS NC1,
+if(event_date IS NULL, 'incomplete', 'satisfied') AS EV1, if(length(trim(description)) = 0, 'incomplete', 'satisfied') AS EV2, CASE WHEN instructed AND instruction_linked THEN 'satisfied' WHEN instructed THEN 'incomplete' ELSE 'not_applicable' END AS EV5, if(n_records = 0, 'incomplete', 'satisfied') AS RC1,
+'satisfied' AS RC2, 'satisfied' AS RC3, if(days_claimed IS NULL AND amount IS NULL, 'incomplete', 'satisfied') AS QR1, 'satisfied' AS QR5 FROM s0),
+k1 AS (SELECT *, CASE WHEN CB1 <> 'satisfied' OR CB2 <> 'satisfied' THEN 'indeterminate' WHEN NOT published THEN 'indeterminate' WHEN n_basis_missing > 0 THEN 'incomplete' ELSE 'satisfied' END AS CB3,
+CASE {_W1} WHEN registered THEN 'satisfied' ELSE 'not_applicable' END AS NC2, CASE WHEN EV1 <> 'satisfied' OR NC1 <> 'satisfied' THEN 'indeterminate' WHEN awareness < event_date THEN 'incomplete' ELSE 'satisfied' END AS EV3,
+CASE WHEN EV1 <> 'satisfied' THEN 'indeterminate' WHEN event_date > today OR (awareness IS NOT NULL AND awareness > today) THEN 'incomplete' ELSE 'satisfied' END AS EV4,
+CASE WHEN amount IS NULL THEN 'not_applicable' {_W2} WHEN length(trim(currency)) = 0 THEN 'incomplete' ELSE 'satisfied' END AS QR2,
+CASE WHEN amount IS NULL AND days_claimed IS NULL THEN 'not_applicable' {_W2} WHEN amount <= 0 OR days_claimed <= 0 THEN 'incomplete' ELSE 'satisfied' END AS QR3,
+CASE WHEN amount IS NULL AND days_claimed IS NULL THEN 'not_applicable' {_W2} WHEN amount IS NOT NULL AND seeks = 'time' THEN 'incomplete' WHEN days_claimed IS NOT NULL AND seeks = 'money' THEN 'incomplete' ELSE 'satisfied' END AS QR4 FROM k0),
+k2 AS (SELECT *, CASE {_W3} WHEN n_without_notice > 0 THEN 'incomplete' ELSE 'satisfied' END AS NC3, CASE {_W3} WHEN n_barred > 0 THEN 'barred' ELSE 'satisfied' END AS NC4, CASE {_W3} WHEN n_late_open > 0 THEN 'incomplete' ELSE 'satisfied' END AS NC5,
+CASE WHEN n_detailed = 0 THEN 'not_applicable' {_W3} WHEN n_detailed_missing > 0 THEN 'incomplete' ELSE 'satisfied' END AS DC1,
+CASE WHEN n_lapsing = 0 THEN 'not_applicable' {_W3} WHEN n_expired = 0 OR (n_expired_on_record > 0 AND n_basis > 0) THEN 'satisfied' WHEN n_expired_on_record > 0 THEN 'incomplete' ELSE 'lapsed' END AS DC3 FROM k1),
+k3 AS (SELECT *, {", ".join(f"CASE WHEN 'not_applicable' IN ({d}) THEN 'not_applicable' WHEN list_has_any([{d}], ['incomplete', 'indeterminate']) THEN 'indeterminate' WHEN {n} > 0 THEN 'incomplete' ELSE 'satisfied' END AS {k}" for k, d, n in (("NC6", "NC1, NC3, CB4", "n_misaddressed"), ("NC7", "NC1, NC3", "n_unreceived"), ("NC8", "NC3", "n_unconfirmed")))},
+CASE WHEN n_detailed = 0 THEN 'not_applicable' WHEN 'not_applicable' IN (NC1, DC1) THEN 'not_applicable' WHEN list_has_any([NC1, DC1], ['incomplete', 'indeterminate']) THEN 'indeterminate' WHEN n_detailed_late > 0 THEN 'incomplete' ELSE 'satisfied' END AS DC2 FROM k2),
+kk AS (SELECT claim_id, code, status FROM k3 UNPIVOT (status FOR code IN (CB1, CB2, CB3, CB4, NC1, NC2, NC3, NC4, NC5, NC6, NC7, NC8, EV1, EV2, EV3, EV4, EV5, RC1, RC2, RC3, QR1, QR2, QR3, QR4, QR5, DC1, DC2, DC3)))"""
+
+
+@query(f"WITH {FINDINGS}, {_FACTS}, {_STEPS} SELECT claim_id, code, status FROM kk")
 def g13_screening(spark, sf):
     """All 28 checks of every claim, each gated by those it depends on."""
     return C.check_rows(C.screen(facts(spark, sf)), "claim_id").select("claim_id", "code", "status")
 
 
-@query(f"""WITH {FINDINGS}, {_FACTS}, {_STEPS} SELECT claim_id, CASE WHEN list_contains({_LIST("")}, 'barred') THEN 'barred' WHEN list_contains({_LIST("")}, 'lapsed') THEN 'lapsed'
-WHEN list_has_any({_LIST("blocking")}, ['incomplete', 'indeterminate']) THEN 'not_ready' WHEN list_has_any({_LIST("advisory")}, ['incomplete', 'indeterminate']) THEN 'ready_with_queries' ELSE 'ready' END AS outcome FROM s{len(C.CHECKS)}""")
+@query(f"""WITH {FINDINGS}, {_FACTS}, {_STEPS} SELECT claim_id, CASE WHEN bool_or(status = 'barred') THEN 'barred' WHEN bool_or(status = 'lapsed') THEN 'lapsed'
+WHEN bool_or(status IN ('incomplete', 'indeterminate') AND code IN ('CB1', 'CB2', 'NC1', 'NC3', 'NC4', 'EV1', 'QR1', 'DC3')) THEN 'not_ready'
+WHEN bool_or(status IN ('incomplete', 'indeterminate') AND code NOT IN ('RC2', 'RC3', 'QR5')) THEN 'ready_with_queries' ELSE 'ready' END AS outcome FROM kk GROUP BY 1""")
 def g14_outcome(spark, sf):
     return C.outcome(C.screen(facts(spark, sf))).select("claim_id", "outcome")
 

@@ -17,9 +17,9 @@ from .registry import query
 TODAY = A.TODAY
 
 
-@query(f"""WITH req(edition, clause, obligation, period_days, precedent, applies_to, runs_from, runs_from_clause) AS (VALUES {A._VALUES}),
+@query(f"""WITH {A.REQ},
 am AS (SELECT DISTINCT p_partkey % 3 AS k FROM part)
-SELECT edition, clause, obligation, CASE WHEN clause = '20.2.1' THEN 14 ELSE period_days END AS period_days FROM req WHERE clause <> '53.3' UNION ALL SELECT 'red-book-2017', '9.' || k::VARCHAR, 'notice_of_claim', 7 + k FROM am""")
+SELECT edition, clause, obligation, CASE WHEN edition = 'red-book-2017' AND clause = '20.2.1' THEN 14 ELSE period_days END AS period_days FROM req WHERE clause <> '53.3' UNION ALL SELECT 'red-book-2017', '9.' || k::VARCHAR, 'notice_of_claim', 7 + k FROM am""")
 def g03_amendments(spark, sf):
     """A contract's amendments over the standard requirements: one amended, one removed, three added."""
     added = table(spark, sf, "part").select((F.col("p_partkey") % 3).alias("k")).distinct().select(F.lit("red-book-2017").alias("edition"), F.concat(F.lit("9."), F.col("k").cast("string")).alias("clause"), F.lit("notice_of_claim").alias("obligation"), F.lit("add").alias("action"), (F.col("k") + 7).cast("int").alias("period_days"), F.lit(None).cast("boolean").alias("precedent"))
