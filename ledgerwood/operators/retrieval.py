@@ -79,6 +79,21 @@ def diversify(fused: DataFrame, per_document: int = PER_DOCUMENT) -> DataFrame:
     return fused.withColumn("of_document", F.row_number().over(w)).where(F.col("of_document") <= per_document)
 
 
+def of_edition(candidates: DataFrame, edition: str | None) -> DataFrame:
+    """Without the standard form's chunks (edition, is_form) of another edition; a net below the scope's own filter."""
+    if edition is None:
+        return candidates
+    return candidates.where(~F.coalesce(F.col("is_form") & (F.col("edition") != "") & (F.col("edition") != edition), F.lit(False)))
+
+
+def dropped(considered: DataFrame, guarded: DataFrame, diversified: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: how many candidates there were, and how many each step of the assembly left out."""
+    step = lambda df, name: df.select(F.lit(name).alias("step"))
+    both = step(considered, "considered").union(step(guarded, "guarded")).union(step(diversified, "diversified")).union(step(kept, "kept"))
+    n = lambda name: F.count_if(F.col("step") == name)
+    return both.agg(n("considered").alias("considered"), (n("considered") - n("guarded")).alias("other_edition"), (n("guarded") - n("diversified")).alias("over_document_cap"), (n("diversified") - n("kept")).alias("over_budget"))
+
+
 def assemble(candidates: DataFrame, max_chunks: int = MAX_CHUNKS, max_chars: int = MAX_CHARS) -> DataFrame:
     """Candidates in order within a budget: one that overflows is skipped and later ones still count.
 

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.relations import upsert
 
 
 def stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -39,17 +38,43 @@ def incremental(df: DataFrame, embed: Callable[[DataFrame], DataFrame], current:
 
 
 def keyed_upserts(df: DataFrame, keys: list[str], at: str, path: str, checkpoint: str) -> StreamingQuery:
-    """A table of the newest row by key: each batch rewrites it under a new version and then points to it."""
+    """A table of the newest row by key, whatever the order of arrival; of equal times the later batch wins.
+
+    Each batch writes the next version, ``current`` finds the last whole one, and versions before the one
+    that a reader may still hold are removed. A repeated batch overwrites its own version.
+    """
     spark = df.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), at).alias("r")).select(*keys, "r.*")
-        old = spark.read.parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
-        upsert(old.select(*newest.columns), newest, keys).write.mode("overwrite").parquet(f"{path}/v={number}")
+        old = current(spark, path, before=number)
+        both = batch.withColumn("__new", F.lit(1))
+        both = both if old is None else both.unionByName(old.select(*batch.columns).withColumn("__new", F.lit(0)))
+        rest = F.struct(*[c for c in batch.columns if c not in keys])
+        newest = both.groupBy(*keys).agg(F.max_by(rest, F.struct(at, "__new")).alias("r")).select(*keys, "r.*")
+        newest.write.mode("overwrite").parquet(f"{path}/v={number}")
+        fs, versions = _versions(spark, path)
+        for n in sorted(v for v in versions if v < number)[:-1]:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}"), True)
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _versions(spark: SparkSession, path: str):
+    """The file system of a versioned table and its whole versions: those whose writing ended."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    whole = [n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return fs, [int(n[2:]) for n in whole]
+
+
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The last whole version of a table that ``keyed_upserts`` keeps (before a batch's own), or None."""
+    versions = [v for v in _versions(spark, path)[1] if before is None or v < before]
+    return spark.read.parquet(f"{path}/v={max(versions)}") if versions else None
+
+
 def once_each(notices: DataFrame, at: str, keys: list[str], delay: str = "1 hour") -> DataFrame:
     """The first of equal notifications within the watermark: state is dropped once they can't repeat."""
     return notices.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
