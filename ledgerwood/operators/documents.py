@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_all, line_key
+from .relations import any_of
 
 # Sizes of chunks and thresholds of checks.
-TARGET, LARGEST, SMALLEST = 1200, 2000, 60
+TARGET, LARGEST, OVERLAP, SMALLEST = 1200, 2000, 150, 60
 CONTENTS_SHARE, CONTENTS_LINES = 0.3, 4
 RUNNING_LEAST, RUNNING_SHARE = 5, 0.5
 ALPHA_SHARE = 0.55
@@ -58,26 +59,98 @@ def malformed(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def packed(units: Column, size: int, joiner: str) -> Column:
     """Units joined in order into pieces of at most ``size`` characters where a unit allows it."""
-    last = lambda a: F.element_at(a, -1)
-    fits = lambda a, u: (F.size(a) > 0) & (F.length(last(a)) + len(joiner) + F.length(u) <= size)
-    step = lambda a, u: F.when(fits(a, u), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(last(a), F.lit(joiner), u)))).otherwise(F.concat(a, F.array(u)))
-    return F.aggregate(units, F.array().cast("array<string>"), step)
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+    longer = lambda a, u: F.concat(a["open"], F.lit(joiner), u)
+    step = lambda a, u: F.when(a["open"] == "", F.struct(u.alias("open"), a["done"].alias("done"))).when(F.length(longer(a, u)) <= size, F.struct(longer(a, u).alias("open"), a["done"].alias("done"))).otherwise(F.struct(u.alias("open"), F.concat(a["done"], F.array(a["open"])).alias("done")))
+    return F.aggregate(units, start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+
+
+#: Where a sentence ends: a mark, then spaces, then what begins one.
+SENTENCE_END = r"(?<=[.;:!?])[ \t]+(?=[A-Z\"'(])"
 
 
 def sentence_units(text: Column, largest: int = LARGEST) -> Column:
     """Paragraphs; those that are too long as sentences, and sentences that are too long cut hard."""
-    paragraphs = F.filter(F.split(text, r"\n\s*"), lambda p: F.trim(p) != "")
+    paragraphs = F.filter(F.transform(F.split(text, r"\n[ \t]*\n"), F.trim), lambda p: p != "")
     cut = lambda s: F.transform(F.sequence(F.lit(0), F.ceil(F.length(s) / largest).cast("int") - 1), lambda i: s.substr(i * largest + 1, F.lit(largest)))
-    sentences = lambda p: F.filter(F.split(p, r"(?<=[.!?])\s+"), lambda s: s != "")
+    sentences = lambda p: F.filter(F.split(p, SENTENCE_END), lambda s: s != "")
     return F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= largest, F.array(p)).otherwise(F.flatten(F.transform(sentences(p), cut)))))
 
 
+def overlap_tail(text: Column, overlap: int = OVERLAP) -> Column:
+    """The end of a chunk that the next one repeats: from its first sentence on, else from its first whole word."""
+    tail = F.substring(text, -overlap, overlap)
+    parts = F.split(tail, SENTENCE_END, 2)
+    rest = F.when(F.size(parts) == 2, F.element_at(parts, -1)).when(F.instr(tail, " ") > 0, tail.substr(F.instr(tail, " ") + 1, F.lit(overlap))).otherwise(tail)
+    return F.when(F.length(text) > overlap, F.trim(rest)).otherwise(F.lit(""))
+
+
+def chunked(text: Column, target: int = TARGET, largest: int = LARGEST, overlap: int = OVERLAP, smallest: int = SMALLEST) -> Column:
+    """A text's chunks: whole where it is short enough, else units packed up to ``target`` with the overlap of the one before.
+
+    A last piece under ``smallest`` isn't a chunk of its own. The fold holds the open chunk and those that are done.
+    """
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+    longer = lambda a, u: F.concat(a["open"], F.lit("\n\n"), u)
+    closed = lambda a: F.when((F.length(F.trim(a["open"])) == 0) | ((F.length(F.trim(a["open"])) < smallest) & (F.size(a["done"]) > 0)), a["done"]).otherwise(F.concat(a["done"], F.array(F.trim(a["open"]))))
+
+    def step(a, u):
+        tail = overlap_tail(a["open"], overlap)
+        begun = F.when(tail == "", u).otherwise(F.concat(tail, F.lit("\n\n"), u))
+        return (
+            F.when(a["open"] == "", F.struct(u.alias("open"), a["done"].alias("done")))
+            .when(F.length(longer(a, u)) <= target, F.struct(longer(a, u).alias("open"), a["done"].alias("done")))
+            .otherwise(F.struct(begun.alias("open"), closed(a).alias("done")))
+        )
+
+    cut = F.aggregate(sentence_units(text, largest), start, step, closed)
+    return F.when(F.trim(text) == "", F.array().cast("array<string>")).when(F.length(text) <= largest, F.array(text)).otherwise(cut)
+
+
 def chunks(docs: DataFrame, key: str, text: str = "text", target: int = TARGET) -> DataFrame:
-    """A document's units packed into numbered chunks of about ``target`` characters."""
-    cut = docs.select(key, F.posexplode(packed(sentence_units(F.col(text)), target, "\n")).alias("sequence", "text"))
+    """A document's numbered chunks of about ``target`` characters; a null text has none."""
+    cut = docs.select(key, F.posexplode(chunked(F.col(text), target)).alias("sequence", "text"))
     return cut.withColumn("char_count", F.length("text"))
 
 
+def heading_score(number: Column, title: Column, keyword: Column, line: Column) -> Column:
+    """How sure a line is a clause's heading, from 0 to 1."""
+    words = F.filter(F.split(title, r"[ \t]+"), lambda w: w != "")
+    share = F.size(F.filter(words, lambda w: w.rlike(r"^[A-ZÀ-ÖØ-Þ]"))) / F.size(words)
+    n, lower = F.length(title), F.concat(F.lit(" "), F.lower(title), F.lit(" "))
+    prose = any_of([lower.contains(x) for x in (" shall ", " means ", " if the ", " unless ")])
+    score = (
+        F.lit(0.5) + F.when(keyword, 0.25).otherwise(0.0) + F.when(n <= 60, 0.15).when(n <= 90, 0.05).otherwise(-0.2) - F.when(title.endswith("."), 0.25).otherwise(0.0)
+        + F.when(F.size(words) == 0, 0.0).when(share >= 0.7, 0.2).when(share >= 0.5, 0.1).otherwise(-0.1) - F.when(prose, 0.2).otherwise(0.0) - F.when(F.size(F.split(number, r"\.")) >= 4, 0.1).otherwise(0.0)
+    )
+    measured = title.rlike(r"^(?:%|m\b|km\b|mm\b|kg\b|days?\b|million\b)")
+    return F.when(measured | is_contents_line(line), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 6))))
+
+
+def _grams(words: Column, n: int) -> Column:
+    """The distinct hashes of all runs of n words."""
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - n))
+    return F.array_distinct(F.transform(at, lambda i: F.struct(F.lit(n).alias("k"), F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")).alias("h"))))
+
+
+def containing(docs: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, item_id) where an item's words stand in a document (doc_id, text), one after another.
+
+    An equi-join on k-grams selects: an item's first words against those at each place of a document. Whole
+    items are then compared in the matches alone.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    own = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("k", F.least(F.lit(k), F.size("w")))
+    keyed = own.select("item_id", spaced(F.col("w")).alias("needle"), "k", F.xxhash64(F.array_join(F.slice("w", 1, F.col("k")), " ")).alias("h"))
+    sizes = sorted(r["k"] for r in own.select("k").distinct().collect())  # at most k numbers
+    cut = docs.select("doc_id", words(F.col("text")).alias("w"))
+    grams = F.flatten(F.array(*[_grams(F.col("w"), n) for n in sizes])) if sizes else F.array().cast("array<struct<k:int,h:bigint>>")
+    met = cut.select("doc_id", F.inline(grams)).join(keyed, ["k", "h"]).select("doc_id", "item_id", "needle").distinct()
+    texts = cut.select("doc_id", spaced(F.col("w")).alias("hay"))
+    return met.join(texts, "doc_id").where(F.col("hay").contains(F.col("needle"))).select("doc_id", "item_id").distinct()
+
+
 def pack_paragraphs(docs: DataFrame, key: str, size: int = 3500) -> DataFrame:
     """Pages of about ``size`` characters made of whole paragraphs."""
     paragraphs = F.filter(F.split("text", r"\n\s*\n"), lambda p: F.trim(p) != "")

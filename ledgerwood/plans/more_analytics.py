@@ -106,15 +106,28 @@ def g29_recommendation(spark, sf):
     return best.select("p_brand", "p_partkey", "eligible", F.col("rank").cast("bigint").alias("place"))
 
 
-@query(r"""SELECT doc_id, line_index, regexp_extract(line, '^\s*([0-9]+(?:\.[0-9]+)*)', 1) AS number, (CASE WHEN length(line) <= 80 THEN 0.4 ELSE 0.0 END + CASE WHEN NOT regexp_matches(line, '[.;,]\s*$') THEN 0.3 ELSE 0.0 END + CASE WHEN regexp_matches(line, '^\s*[0-9]+(\.[0-9]+)*\s+[A-Z]') THEN 0.3 ELSE 0.0 END)::DOUBLE AS confidence
-FROM (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) - 1 AS line_index FROM documents) WHERE trim(line, ' ') <> '' AND (length(line) <= 80 AND (NOT regexp_matches(line, '[.;,]\s*$') OR regexp_matches(line, '^\s*[0-9]+(\.[0-9]+)*\s+[A-Z]')))""")
+_LINE = """CASE WHEN p_partkey % 4 = 0 THEN 'Clause ' ELSE '' END || (p_size % 20)::VARCHAR || '.' || (p_partkey % 9)::VARCHAR || CASE WHEN p_partkey % 6 = 0 THEN '.1.2' ELSE '' END || ' ' || CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE lower(p_type) END ||
+CASE p_partkey % 8 WHEN 1 THEN '.' WHEN 2 THEN ' shall be given' WHEN 3 THEN ' ..... 12' WHEN 4 THEN ' and ' || p_name || ' and ' || p_name || ' and ' || p_name ELSE '' END"""
+
+
+@query(rf"""WITH l AS (SELECT p_partkey, {_LINE} AS line FROM part UNION ALL SELECT -p_partkey, p_size::VARCHAR || ' days after ' || p_name FROM part),
+h AS (SELECT p_partkey, line, regexp_extract(line, '^(?:Clause )?([0-9]+(?:\.[0-9]+)*) (.*)$', 1) AS number, regexp_extract(line, '^(?:Clause )?([0-9]+(?:\.[0-9]+)*) (.*)$', 2) AS title, starts_with(line, 'Clause ') AS keyword FROM l),
+w AS (SELECT *, list_filter(regexp_split_to_array(title, '[ \t]+'), lambda x: x <> '') AS words FROM h),
+s AS (SELECT *, 0.5 + CASE WHEN keyword THEN 0.25 ELSE 0 END + CASE WHEN length(title) <= 60 THEN 0.15 WHEN length(title) <= 90 THEN 0.05 ELSE -0.2 END - CASE WHEN title[-1] = '.' THEN 0.25 ELSE 0 END + CASE WHEN len(list_filter(words, lambda x: regexp_matches(x, '^[A-ZÀ-ÖØ-Þ]'))) >= 0.7 * len(words) THEN 0.2 WHEN len(list_filter(words, lambda x: regexp_matches(x, '^[A-ZÀ-ÖØ-Þ]'))) >= 0.5 * len(words) THEN 0.1 ELSE -0.1 END
+- CASE WHEN contains(' ' || lower(title) || ' ', ' shall ') THEN 0.2 ELSE 0 END - CASE WHEN length(number) - length(replace(number, '.', '')) >= 3 THEN 0.1 ELSE 0 END AS score FROM w)
+SELECT p_partkey, number, title, CASE WHEN starts_with(title, 'days') OR contains(line, '.....') THEN 0.0 ELSE greatest(0.0, least(1.0, round(score::DOUBLE, 6))) END::DOUBLE AS confidence FROM s WHERE CASE WHEN starts_with(title, 'days') OR contains(line, '.....') THEN 0.0 ELSE round(score::DOUBLE, 6) END >= 0.55""")
 def d03_headings(spark, sf):
-    """Lines that look like headings, scored by length, ending and a leading number."""
-    line = F.col("line")
-    numbered, open_ended = line.rlike(r"^\s*[0-9]+(\.[0-9]+)*\s+[A-Z]"), ~line.rlike(r"[.;,]\s*$")
-    score = F.when(F.length(line) <= 80, 0.4).otherwise(0.0) + F.when(open_ended, 0.3).otherwise(0.0) + F.when(numbered, 0.3).otherwise(0.0)
-    rows = D.lines(table(spark, sf, "documents"), "doc_id").where((F.length("line") <= 80) & (open_ended | numbered))
-    return rows.select("doc_id", F.col("line_index").cast("bigint").alias("line_index"), F.regexp_extract("line", r"^\s*([0-9]+(?:\.[0-9]+)*)", 1).alias("number"), score.alias("confidence"))
+    """Lines of clauses that are headings: scored by eight signals, kept from 0.55 on; measures and contents lines never are."""
+    part = table(spark, sf, "part")
+    k = F.col("p_partkey") % 8
+    end = F.when(k == 1, ".").when(k == 2, " shall be given").when(k == 3, " ..... 12").when(k == 4, F.concat(F.lit(" and "), "p_name", F.lit(" and "), "p_name", F.lit(" and "), "p_name")).otherwise("")
+    number = F.concat((F.col("p_size") % 20).cast("string"), F.lit("."), (F.col("p_partkey") % 9).cast("string"), F.when(F.col("p_partkey") % 6 == 0, ".1.2").otherwise(""))
+    line = F.concat(F.when(F.col("p_partkey") % 4 == 0, "Clause ").otherwise(""), number, F.lit(" "), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.lower("p_type")), end)
+    lines = part.select("p_partkey", line.alias("line")).union(part.select(-F.col("p_partkey"), F.concat(F.col("p_size").cast("string"), F.lit(" days after "), "p_name")))
+    pattern = r"^(?:Clause )?([0-9]+(?:\.[0-9]+)*) (.*)$"
+    read = lines.select("p_partkey", "line", F.regexp_extract("line", pattern, 1).alias("number"), F.regexp_extract("line", pattern, 2).alias("title"))
+    score = D.heading_score(F.col("number"), F.col("title"), F.col("line").startswith("Clause "), F.col("line"))
+    return read.select("p_partkey", "number", "title", score.alias("confidence")).where("confidence >= 0.55")
 
 
 @query(r"""SELECT doc_id, number, count(*) AS mentions FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+\.[0-9]+')) AS number FROM documents) GROUP BY 1, 2""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..operators import documents as D
 from ..operators import relations as R
 from ..sources.tables import table
 from .registry import query
@@ -58,26 +59,57 @@ def j14_earliest_match(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey").join(first, "o_orderkey", "left").select("o_orderkey", F.col("f.l_linenumber").alias("first_line"), F.col("f.l_shipdate").alias("shipped"))
 
 
-@query("""WITH s AS (SELECT doc_id, item_id, 3 * contains(d.text, b.text)::INTEGER + 2 * contains(lower(d.text), lower(substring(b.text, 1, 30)))::INTEGER + (d.doc_id % 7 = b.item_id % 7)::INTEGER AS score FROM documents d, benchmark b)
-SELECT doc_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS n FROM s WHERE score >= 2) WHERE n <= 5""")
+_WORDS = r"list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <> '')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_WORDS.format("text")}, ' ') || ' ' AS hay, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, ' ' || array_to_string({_WORDS.format("text")}, ' ') || ' ' AS needle, list_distinct(list_filter({_WORDS.format("text")}, lambda x: length(x) > 5)) AS t FROM benchmark),
+s AS (SELECT doc_id, item_id, CASE WHEN contains(hay, needle) THEN 3 ELSE 0 END + CASE WHEN len(list_intersect(list_distinct(w), t)) >= greatest(2, len(t) // 3) THEN 2 ELSE 0 END AS strong, CASE WHEN doc_id % 7 = item_id % 7 THEN 1 ELSE 0 END AS clause FROM d, b)
+SELECT doc_id, item_id, (strong + clause)::INTEGER AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY strong + clause DESC, item_id) AS n FROM s WHERE strong > 0) WHERE n <= 5""")
 def j16_scored_match(spark, sf):
-    """Each document's five best items; items are few, and broadcast while they fit."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle"))
-    items = R.dimension(items, items.count(), 2048)
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    starts = F.lower("text").contains(F.lower(F.substring("needle", 1, 30)))
-    points = 3 * F.col("text").contains(F.col("needle")).cast("int") + 2 * starts.cast("int") + (F.col("doc_id") % 7 == F.col("item_id") % 7).cast("int")
-    # A score of 2 or more needs the item's first words, so that test is the join's condition.
-    scored = d.join(items, starts).withColumn("score", points)
+    """Each document's five best items: 3 points where it stands in the text, 2 for enough of its long words, 1 for a shared clause.
+
+    Words are met by an equi-join and counted by pair; no text is compared with all items.
+    """
+    d, b = table(spark, sf, "documents").where("text IS NOT NULL"), table(spark, sf, "benchmark")
+    long_words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 5))).alias("w"))
+    theirs = long_words(b, "item_id")
+    enough = theirs.groupBy("item_id").agg(F.greatest(F.lit(2), F.floor(F.count("*") / 3)).alias("least"))
+    hits = long_words(d, "doc_id").join(theirs, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"))
+    by_words = hits.join(enough, "item_id").where("hits >= least").select("doc_id", "item_id", F.lit(2).alias("points"))
+    whole = D.containing(d, b).withColumn("points", F.lit(3))
+    scored = by_words.union(whole).groupBy("doc_id", "item_id").agg(F.sum("points").alias("points"))
+    scored = scored.withColumn("score", (F.col("points") + F.when(F.col("doc_id") % 7 == F.col("item_id") % 7, 1).otherwise(0)).cast("int"))
     return R.top_per_key(scored, ["doc_id"], [F.desc("score"), F.col("item_id")], 5).select("doc_id", "item_id", "score")
 
 
-@query("SELECT l_orderkey, l_linenumber, p_name IS NOT NULL AND contains(lower(p_type), lower(substring(p_type, 3, 5))) AS verified FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_quantity = 1")
+_QUOTES = rf"""x AS (SELECT l_orderkey, l_linenumber, a.text AS source, CASE WHEN l_linenumber % 3 = 0 THEN substring(a.text, 20, 40) WHEN l_linenumber % 3 = 1 THEN replace(substring(a.text, 20, 40), ' ', '  ') ELSE substring(b.text, 20, 40) END AS quote
+FROM lineitem LEFT JOIN documents a ON a.doc_id = l_partkey LEFT JOIN documents b ON b.doc_id = l_partkey + 1),
+v AS (SELECT l_orderkey, l_linenumber, source IS NOT NULL AS known, coalesce(contains(lower(trim(regexp_replace(source, '\s+', ' ', 'g'), ' ')), lower(trim(regexp_replace(quote, '\s+', ' ', 'g'), ' '))) OR contains(lower(regexp_replace(source, '\s+', '', 'g')), lower(regexp_replace(quote, '\s+', '', 'g'))), false) AS verified FROM x)"""
+
+
+def _quotations(spark, sf):
+    """Every line cites the document of its part's number and quotes that one or the next, some with other spacing."""
+    d = table(spark, sf, "documents")
+    cited = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(d.select(F.col("doc_id").alias("l_partkey"), F.col("text").alias("source")), "l_partkey", "left")
+    both = cited.join(d.select((F.col("doc_id") - 1).alias("l_partkey"), F.substring("text", 20, 40).alias("other")), "l_partkey", "left")
+    n, own = F.col("l_linenumber") % 3, F.substring("source", 20, 40)
+    return both.withColumn("quote", F.when(n == 0, own).when(n == 1, F.replace(own, F.lit(" "), F.lit("  "))).otherwise(F.col("other")))
+
+
+@query(f"WITH {_QUOTES} SELECT l_orderkey, l_linenumber, known, verified FROM v")
 def j18_quotation(spark, sf):
-    """Whether a cited part holds the quoted words."""
-    cited = table(spark, sf, "lineitem").where("l_quantity = 1").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"), "left")
-    held = F.col("p_name").isNotNull() & T.fold(F.col("p_type")).contains(T.fold(F.substring("p_type", 3, 5)))
-    return cited.select("l_orderkey", "l_linenumber", F.coalesce(held, F.lit(False)).alias("verified"))
+    """Whether the cited source holds the quoted text, folded, or with all white space left out."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    held = plain("source").contains(plain("quote")) | T.fold_all(F.col("source")).contains(T.fold_all(F.col("quote")))
+    return _quotations(spark, sf).select("l_orderkey", "l_linenumber", F.col("source").isNotNull().alias("known"), F.coalesce(held, F.lit(False)).alias("verified"))
+
+
+@query(f"WITH {_QUOTES} SELECT l_orderkey, count(*) AS citations, count(*) FILTER (WHERE NOT known) AS unknown, count(*) FILTER (WHERE verified) AS verified FROM v GROUP BY 1")
+def a28_grounding(spark, sf):
+    """Counters of each finding's citations."""
+    rows = j18_quotation(spark, sf)
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("citations"), F.count_if(~F.col("known")).alias("unknown"), F.count_if("verified").alias("verified"))
 
 
 @query("SELECT s_name AS model, s_acctbal >= 0 AS available FROM supplier")
@@ -177,10 +209,12 @@ def t15_masked_numbers(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(pattern)).cast("bigint").alias("n"), (F.regexp_replace("text", pattern, "#") != F.col("text")).alias("masked"))
 
 
-@query(r"""SELECT source, md5(string_agg(left(text, 350), E'\n' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1""")
+@query(r"""SELECT source, doc_id // 20 AS pages, md5(string_agg(left(text, 350), E'\n' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1, 2""")
 def t17_page_digest(spark, sf):
+    """The digest of the beginnings of up to 20 pages of a source: a list is never longer, however large the source."""
     pages = F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 350).alias("t"))))
-    return table(spark, sf, "documents").groupBy("source").agg(F.md5(F.array_join(F.transform(pages, lambda p: p["t"]), "\n").cast("binary")).alias("digest"))
+    by = table(spark, sf, "documents").groupBy("source", F.floor(F.col("doc_id") / 20).alias("pages"))
+    return by.agg(F.md5(F.array_join(F.transform(pages, lambda p: p["t"]), "\n").cast("binary")).alias("digest"))
 
 
 @query("SELECT vec_id, sha256(array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 1000)::BIGINT), ',')) AS hash FROM embeddings")

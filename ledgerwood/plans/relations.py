@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import documents as D
 from ..operators import relations as R
 from ..sources.tables import live, table
 from .registry import query
@@ -126,25 +127,20 @@ def j12_first_match(spark, sf):
     return table(spark, sf, "orders").join(first, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.col("l_linenumber").alias("first_line"))
 
 
-@query("""SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON s.s_nationkey = c.c_nationkey OR s.s_acctbal < 0
-WHERE c.c_acctbal < -900""")
+@query("""SELECT l_orderkey, l_linenumber, p_partkey FROM lineitem JOIN part ON p_partkey % 500 = l_partkey % 500 AND (p_size % 10 = 0 OR p_size % 10 = l_suppkey % 10) AND (p_partkey % 3 = 0 OR p_partkey % 3 = l_linenumber % 3)""")
 def j13_theta(spark, sf):
-    """An OR join as the union of its two equi-joinable sides: no nested loop over both."""
-    c = table(spark, sf, "customer").where("c_acctbal < -900").select("c_custkey", "c_nationkey")
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    same = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey")
-    open_to_all = s.where("s_acctbal < 0").select("s_suppkey", F.lit(1).alias("k"))
-    rest = c.withColumn("k", F.lit(1)).join(open_to_all, "k").select("c_custkey", "s_suppkey")
-    return same.union(rest).distinct()
+    """Notices and requirements of one contract, where a blank clause or obligation fits any: the theta conditions are residual to the contract's key."""
+    need = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 500).alias("contract"), (F.col("p_size") % 10).alias("clause"), (F.col("p_partkey") % 3).alias("duty"))
+    given = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 500).alias("contract"), (F.col("l_suppkey") % 10).alias("n_clause"), (F.col("l_linenumber") % 3).alias("n_duty"))
+    counts = ((F.col("clause") == 0) | (F.col("clause") == F.col("n_clause"))) & ((F.col("duty") == 0) | (F.col("duty") == F.col("n_duty")))
+    return given.join(need, "contract").where(counts).select("l_orderkey", "l_linenumber", "p_partkey")
 
 
-@query("""SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substring(b.text, 1, 60)))""")
+@query(r"""WITH d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''), ' ') || ' ' AS hay FROM documents),
+b AS (SELECT item_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''), ' ') || ' ' AS needle FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(hay, needle)""")
 def j17_containment(spark, sf):
-    """Documents that hold an item's first 60 characters; items are few, and broadcast while they fit."""
-    items = table(spark, sf, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("needle"))
-    items = R.dimension(items, items.count())
-    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("hay"))
-    return docs.join(items, F.col("hay").contains(F.col("needle"))).select("doc_id", "item_id")
+    """Documents that hold the whole of an item: met on the item's first words, then compared."""
+    return D.containing(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", "text"))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_size % 5 AS k, concat_ws('.', (p_size % 7)::VARCHAR, (p_size % 3)::VARCHAR, (p_partkey % 4)::VARCHAR) AS number FROM part

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerwood.functions import text as T
 from ledgerwood.functions import values as V
 from ledgerwood.operators import compliance as C
+from ledgerwood.operators import services
 from ledgerwood.operators import documents as D
 from ledgerwood.operators import relations as R
 from ledgerwood.operators import retrieval as S
@@ -93,27 +94,35 @@ def test_diversify_keeps_the_best(spark):
 
 
 def loop_chunks(text, target=D.TARGET, largest=D.LARGEST):
+    """Chunks by a plain loop over the units: 150 characters at most of each go into the next."""
     import re
 
+    end = re.compile(r"(?<=[.;:!?])[ \t]+(?=[A-Z\"'(])")
+    if not text.strip(" "):
+        return []
+    if len(text) <= largest:
+        return [text]
     units = []
-    for p in re.split(r"\n\s*", text):
-        if p.strip(" "):
-            if len(p) <= largest:
-                units.append(p)
-            else:
-                for s in re.split(r"(?<=[.!?])\s+", p):
-                    units += [s[i : i + largest] for i in range(0, len(s), largest)]
-    out = []
-    for u in units:
-        if out and len(out[-1]) + 1 + len(u) <= target:
-            out[-1] += "\n" + u
-        else:
-            out.append(u)
+    for p in (p.strip(" ") for p in re.split(r"\n[ \t]*\n", text)):
+        for s in [p] if len(p) <= largest else end.split(p):
+            units += [s[i : i + largest] for i in range(0, len(s), largest)]
+    out, held = [], ""
+    for u in [*units, None]:
+        if u is not None and held and len(held) + 2 + len(u) <= target:
+            held += "\n\n" + u
+            continue
+        if held.strip(" ") and (len(held.strip(" ")) >= 60 or not out):
+            out.append(held.strip(" "))
+        tail = ""
+        if len(held) > 150:
+            tail = held[-150:]
+            tail = end.split(tail, 1)[1] if end.search(tail) else tail[tail.find(" ") + 1 :]
+        held = "\n\n".join(x for x in (tail.strip(" "), u) if x)
     return out
 
 
 def test_chunks_against_a_loop(spark):
-    texts = ["", "one", "a b.\n\n c", ". ".join("word" * (i % 50 + 1) for i in range(200)) + "\nend", "x" * 4500 + "\n" + "y" * 1190 + "\nz"]
+    texts = ["", "one", "a b.\n\n c", "\n\n".join(f"Part {i}: " + "word " * (i % 70) + "end." for i in range(90)), " ".join(f"Words of sentence {i}." for i in range(300)), ". ".join("word" * (i % 50 + 1) for i in range(200)) + "\nend", "x" * 4500 + "\n" + "y" * 1190 + "\nz"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {}
     for r in D.chunks(df, "doc_id").orderBy("doc_id", "sequence").collect():
@@ -162,6 +171,30 @@ def test_amendments(spark):
     assert got == {"20.2.1": 14, "9.9": 7}
 
 
+@pytest.mark.parametrize(
+    "change, code, outcome",
+    [
+        ({}, None, "ready"), ({"has_respondent": False}, "CB4", "ready_with_queries"), ({"description": " "}, "EV2", "ready_with_queries"), ({"n_records": 0}, "RC1", "ready_with_queries"),
+        ({"n_basis": 0}, "CB2", "not_ready"), ({"event_date": None}, "EV1", "not_ready"), ({"n_without_notice": 1}, "NC3", "not_ready"), ({"amount": None, "days_claimed": None}, "QR1", "not_ready"),
+        ({"n_barred": 1}, "NC4", "barred"), ({"n_detailed": 1, "n_lapsing": 1, "n_expired": 1}, "DC3", "lapsed"), ({"n_late_open": 1}, "NC5", "ready_with_queries"),
+    ],
+)
+def test_screening_outcomes(spark, change, code, outcome):
+    day = dt.date(2024, 1, 10)
+    facts = {"edition": "red-book-2017", "n_basis": 1, "published": True, "n_basis_missing": 0, "has_claimant": True, "has_respondent": True, "awareness": day, "registered": True, "event_date": day, "today": dt.date(2024, 6, 1), "description": "x", "instructed": False, "instruction_linked": False, "n_records": 1, "days_claimed": 5, "amount": 10.0, "currency": "EUR", "seeks_money": True, "seeks_time": True}
+    facts |= {c: 0 for c in ("n_without_notice", "n_barred", "n_late_open", "n_misaddressed", "n_unreceived", "n_unconfirmed", "n_detailed", "n_detailed_missing", "n_detailed_late", "n_lapsing", "n_expired", "n_expired_on_record")} | change
+    kind = lambda v, k: "date" if k in ("awareness", "event_date", "today") else "double" if k == "amount" else "boolean" if isinstance(v, bool) else "string" if isinstance(v, str) else "int"
+    df = spark.createDataFrame([tuple(facts.values())], ", ".join(f"{k} {kind(v, k)}" for k, v in facts.items()))
+    r = C.outcome(C.screen(df)).first()
+    assert r["outcome"] == outcome
+    assert code is None or r[code] in ("incomplete", "barred", "lapsed")
+
+
+def test_every_edition_has_its_requirements(spark):
+    got = {(r["edition"], r["clause"], r["period_days"]) for r in C.requirements(spark).collect()}
+    assert len(got) == 15 and {e for e, _, _ in got} == {f"{b}-book-{y}" for b in ("red", "yellow", "silver") for y in (1999, 2017)} | {"red-book-1987"}
+
+
 def test_screening_gates(spark):
     columns = "edition string, n_basis int, published boolean, n_basis_missing int, has_claimant boolean, has_respondent boolean, awareness date, registered boolean"
     df = spark.createDataFrame([("", 1, True, 0, True, True, None, False)], columns)
@@ -182,3 +215,32 @@ def test_sources(spark, tmp_path):
     assert kinds == {"a.bin": "pdf", "b.txt": "text"}
     assert [(r["page_number"], r["text"]) for r in tables.text_files(spark, str(tmp_path / "f" / "b.txt")).collect()] == [(1, "one\n\ntwo")]
     assert tables.live(spark.createDataFrame([(1, None), (2, "x")], "k int, deleted_at string")).count() == 1
+
+
+def test_chunks_overlap(spark):
+    sentences = [f"Sentence number {i} of the long document says something plain." for i in range(80)]
+    rows = [(1, " ".join(sentences)), (2, "short"), (3, None), (4, " "), (5, "x" * 5000), (6, "\n\n".join(sentences))]
+    got = {}
+    for r in D.chunks(spark.createDataFrame(rows, "doc_id int, text string"), "doc_id").orderBy("doc_id", "sequence").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert set(got) == {1, 2, 5, 6} and got[2] == ["short"]
+    for k in (1, 6):
+        assert all(len(c) <= 1400 for c in got[k]) and all(any(s in c for c in got[k]) for s in sentences)
+        for a, b in zip(got[k], got[k][1:]):
+            tail = b.split("\n\n")[0]
+            assert a.endswith(tail) and tail in a[-150:]
+
+
+def test_items_within_documents(spark):
+    docs = spark.createDataFrame([(1, "He said: one two  three four five six seven"), (2, "one two three four five six"), (3, "xone two"), (4, None), (5, "one two")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "two three four five six seven"), (2, "One Two"), (3, " ")], "item_id int, text string")
+    assert sorted(map(tuple, D.containing(docs, items).collect())) == [(1, 1), (1, 2), (2, 2), (5, 2)]
+
+
+def test_services(spark, tmp_path):
+    assert [tuple(r) for r in services.skeleton(spark, "CLAUSES = {'1.1': 'Definitions', 'x': 'no'}\nraise SystemExit", "s.py").collect()] == [("1.1", "Definitions", 1)]
+    with pytest.raises(KeyError):
+        services.rendered("{missing}", {})
+    types = [(d, k, e) for d, k, e in (("application/pdf", "pdf", True), ("application/pdf", "text", False), (None, "zip", True), ("TEXT/CSV; charset=x", "text", True), ("x/y", "pdf", False))]
+    df = spark.createDataFrame(types, "declared string, kind string, want boolean")
+    assert all(r[0] == r[1] for r in df.select(services.compatible(F.col("declared"), F.col("kind")), "want").collect())

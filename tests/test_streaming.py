@@ -69,3 +69,14 @@ def test_keyed_upserts(spark, tmp_path):
     put(spark, path, [(1, "done", 3)], schema, "b")
     jobs.keyed_upserts(df, ["job"], "ts", out, at).awaitTermination()
     assert {(r["job"], r["status"]) for r in spark.read.parquet(f"{out}/v=1").collect()} == {(1, "done"), (2, "queued")}
+
+
+def test_upserts_keep_the_newest_row_however_late(spark, tmp_path):
+    source, out, at = (str(tmp_path / x) for x in ("u", "table", "cp"))
+    schema = "k int, at int, v string"
+    run = lambda: jobs.keyed_upserts(jobs.stream(spark, source, spark.read.parquet(source).schema), ["k"], "at", out, at).awaitTermination()
+    for rows in ([(1, 10, "new"), (2, 1, "a")], [(1, 5, "late"), (3, 7, "c")], [(2, 1, "again")]):
+        put(spark, source, rows, schema, "x")
+        run()
+    assert sorted(map(tuple, jobs.current(spark, out).select("k", "v").collect())) == [(1, "new"), (2, "again"), (3, "c")]
+    assert len([p for p in (tmp_path / "table").iterdir() if p.name.startswith("v=")]) <= 2
