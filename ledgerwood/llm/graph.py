@@ -12,7 +12,7 @@ from .common import drop_path, staged
 
 
 #: A key with more rows than this is met in parts, and in how many.
-HOT, SALTS = 1024, 256
+HOT, SALTS = 256, 64
 
 
 def hot_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, size: str) -> DataFrame:
