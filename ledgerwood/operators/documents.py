@@ -127,10 +127,9 @@ def heading_score(number: Column, title: Column, keyword: Column, line: Column)
     return F.when(measured | is_contents_line(line), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 6))))
 
 
-def _grams(words: Column, n: int) -> Column:
-    """The distinct hashes of all runs of n words."""
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - n))
-    return F.array_distinct(F.transform(at, lambda i: F.struct(F.lit(n).alias("k"), F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")).alias("h"))))
+def _gram(words: Column, at: Column, n: int) -> Column:
+    """The hash of n words from a place on."""
+    return F.xxhash64(*[F.get(words, at + j) for j in range(n)])
 
 
 def containing(docs: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
@@ -142,11 +141,16 @@ def containing(docs: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     own = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("k", F.least(F.lit(k), F.size("w")))
-    keyed = own.select("item_id", spaced(F.col("w")).alias("needle"), "k", F.xxhash64(F.array_join(F.slice("w", 1, F.col("k")), " ")).alias("h"))
     sizes = sorted(r["k"] for r in own.select("k").distinct().collect())  # at most k numbers
+    if not sizes:
+        return docs.select("doc_id").crossJoin(own.select("item_id")).limit(0)
+    first = F.coalesce(*[F.when(F.col("k") == n, _gram(F.col("w"), F.lit(0), n)) for n in sizes])
+    keyed = own.select("item_id", spaced(F.col("w")).alias("needle"), "k", first.alias("h"))
     cut = docs.select("doc_id", words(F.col("text")).alias("w"))
-    grams = F.flatten(F.array(*[_grams(F.col("w"), n) for n in sizes])) if sizes else F.array().cast("array<struct<k:int,h:bigint>>")
-    met = cut.select("doc_id", F.inline(grams)).join(keyed, ["k", "h"]).select("doc_id", "item_id", "needle").distinct()
+    rolling = lambda n: F.transform("w", lambda x, i: _gram(F.col("w"), i, n))
+    by_size = F.array(*[F.struct(F.lit(n).alias("k"), F.array_distinct(rolling(n)).alias("hs")) for n in sizes])
+    grams = cut.select("doc_id", F.inline(by_size)).select("doc_id", "k", F.explode("hs").alias("h"))
+    met = grams.join(keyed, ["k", "h"]).select("doc_id", "item_id", "needle").distinct()
     texts = cut.select("doc_id", spaced(F.col("w")).alias("hay"))
     return met.join(texts, "doc_id").where(F.col("hay").contains(F.col("needle"))).select("doc_id", "item_id").distinct()
 
