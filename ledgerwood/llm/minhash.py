@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import list_array, staged, table, with_text_columns
+from .common import drop_path, list_array, staged, table, with_text_columns
 from .graph import HOT, components, forest, hot_join
 from .shingles import band_keys, fingerprint, shingle_sets, similarity_sketch
 
@@ -86,28 +86,29 @@ def linked(both, first, second):
     return 100 * both >= PERCENT * (first + second - both)
 
 
-def near_links(docs: DataFrame, sketches: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
-    """Links (u, v) between nodes whose components are those of all links."""
+def near_links(docs: DataFrame, sketches: DataFrame, width: int, text_col: str, id_col: str) -> tuple[DataFrame, list[str]]:
+    """Links (u, v) between nodes whose components are those of all links, and the tables that they are read from."""
     nodes = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     banded = nodes.select(F.explode("bands").alias("bucket"), "node")
     least = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1").select("bucket", "least")
     # Two nodes of a bucket share its least node, so buckets with the same one are one group.
-    pairs, _ = staged(banded.join(least, "bucket").where("node <> least").select("least", "node").distinct(), "pairs")
+    pairs, pairs_at = staged(banded.join(least, "bucket").where("node <> least").select("least", "node").distinct(), "pairs")
     members = pairs.union(pairs.select("least", F.col("least").alias("node")).distinct())
     # The least id stands for a node, null only where no document of the node has one.
     least_id = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))).alias("k")
     first = sketches.where("n_shingles > 0").groupBy("node").agg(least_id).select("node", "k.first_id", "k.first_hash")
     wanted = members.select("node").distinct().join(first, "node")
-    sets, _ = staged(node_sets(docs, wanted, width, text_col, id_col), "sets")
+    sets, sets_at = staged(node_sets(docs, wanted, width, text_col, id_col), "sets")
     sizes = pairs.groupBy("least").agg(F.count("*").alias("size"))
     sized = hot_join(members.select("least", "node"), sizes.select("least", "size", F.col("size").alias("held")), "least", "node", "size").withColumnRenamed("held", "size")
     whole = F.struct(F.lit(0).alias("r"), F.lit(0).alias("b"))
     small = sized.where(F.col("size") <= BLOCK).select(F.col("least").alias("group"), whole.alias("low"), whole.alias("high"), F.lit(True).alias("is_low"), "node")
-    large, _ = staged(sized.where((F.col("size") > BLOCK) & (F.col("node") != F.col("least"))).select("least", "node", "size"), "large-groups")
-    compared, _ = staged(_compared(large, sets), "compared")
+    large, large_at = staged(sized.where((F.col("size") > BLOCK) & (F.col("node") != F.col("least"))).select("least", "node", "size"), "large-groups")
+    compared, compared_at = staged(_compared(large, sets), "compared")
     stars = compared.where("linked").select(F.col("node").alias("u"), F.col("least").alias("v"))
     blocks = small.union(_ranges(compared)).join(sets.select("node", "shingles"), "node")
-    return stars.union(blocks.groupBy("group", "low", "high").applyInPandas(_block_links, "u bigint, v bigint"))
+    links = stars.union(blocks.groupBy("group", "low", "high").applyInPandas(_block_links, "u bigint, v bigint"))
+    return links, [pairs_at, sets_at, large_at, compared_at]
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -179,7 +180,10 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
 def near_duplicates(docs: DataFrame, width: int = WIDTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept; text_hash, and the component's root node."""
     sketches, _ = staged(sketched(docs, width, text_col, id_col), "sketches")
-    roots = components(near_links(docs, sketches, width, text_col, id_col))
+    links, used = near_links(docs, sketches, width, text_col, id_col)
+    roots = components(links)
+    for path in used:  # components has written the links
+        drop_path(docs.sparkSession, path)
     first = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     placed = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
