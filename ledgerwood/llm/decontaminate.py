@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import list_array, packed, plain_words, staged, table, unpacked, with_text_columns
+from .common import drop_path, list_array, packed, plain_words, staged, table, unpacked, with_text_columns
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one pass sends to the tasks.
@@ -159,7 +159,7 @@ def find_passages(
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-2 * total // pass_bytes) if total > pass_bytes else 1)
     at = F.pmod(F.xxhash64("item", "text"), F.lit(passes))
-    out = None
+    out = last = None
     for k in range(passes):
         rows = [tuple(r) for r in (items.where(at == k) if passes > 1 else items).collect()]
         held = [c for c in keep if c not in ("n_words", "spans", "items")]
@@ -167,7 +167,10 @@ def find_passages(
             need = [*held, *([text_col] if passes > 1 and text_col not in held else [])]
             out = with_text_columns(docs, text_col, FIELDS, _make(rows, window), need)
         else:
-            before, _ = staged(out, "passages")
+            before, path = staged(out, "passages")
+            if last:
+                drop_path(docs.sparkSession, last)
+            last = path
             before = before.withColumnsRenamed({"spans": "__spans", "items": "__items"})
             out = with_text_columns(before, text_col, FIELDS, _make(rows, window), [*held, *([text_col] if text_col not in held else []), "__spans", "__items"])
             out = out.withColumn("spans", _merge_spans(F.col("spans"), F.col("__spans"))).withColumn("items", F.array_sort(F.array_union("items", "__items"))).drop("__spans", "__items")
