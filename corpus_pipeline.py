@@ -8,6 +8,13 @@
 
 The classifiers are fitted on a bounded sample of labelled rows among the stage's own input. Each
 function takes (spark, docs, sf_dir); its result can be written and read back as the next one's docs.
+
+Defined results: empty documents give empty stages; without labels of both kinds a classifier gives
+every document the share of label 1, so one of the two filters may let all or none through. Null and
+empty texts are scored on zero inputs, are near duplicates of nothing, hold no benchmark window and have
+no pieces. Of repeated rows with words one stays; of equal components the least doc_id, and among rows
+that share an id the least hash of a text. Rows with a null doc_id go through all stages like others.
+Very long texts are read whole. All columns but the last stage's are those of documents, extra ones included.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwood.llm.common import staged, table
+from ledgerwood.llm.common import drop_path, staged, table
 from ledgerwood.llm.decontaminate import without_passages
 from ledgerwood.llm.minhash import without_near_duplicates
 from ledgerwood.llm.quality import fit_quality
@@ -54,10 +61,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; every result but the last is a written table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn; every result but the last is a written table, dropped when the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last:
+            drop_path(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
