@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import list_array, staged, table
+from .common import drop_path, list_array, staged, table
 from .graph import components, forest, hot_join
 
 COSINE = 0.95
@@ -49,6 +49,8 @@ RECALL = 0.9999
 CODEWORDS = (2, 256)
 #: A cell's number is its place in its length's grid plus this times the length.
 GRID = CODEWORDS[1] ** 2
+#: Cells whose sizes go to every task, at most (16 bytes each); those of more grids are joined by a shuffle.
+CELLS = 1 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -174,18 +176,28 @@ def codebooks(nodes: DataFrame, counts: dict[int, int]) -> dict[int, tuple[np.nd
 
 
 def links(nodes: DataFrame, counts: dict[int, int], recall: float | None) -> DataFrame:
-    placed, _ = staged(filed(nodes, codebooks(nodes, counts), recall), "filed")
+    """Link counts (u, n) by node, and the links (u, v) of spanning forests, as a written table.
+
+    Sizes of cells go to the vectors, so a vector is shuffled once, to the blocks it meets, and
+    no task gets a whole cell.
+    """
+    books = codebooks(nodes, counts)
+    placed, path = staged(filed(nodes, books, recall), "filed")
     asking = placed.select("node", "copies", F.col("cell").alias("own"), "vector", F.explode("visits").alias("cell"))
     parts = lambda c: F.ceil(F.count("*") / BLOCK).cast("int").alias(c)
     held = placed.groupBy("cell").agg(parts("member_parts"))
     asked = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(parts("query_parts"))
     sizes = held.join(asked, "cell")
+    if sum(len(first) * len(second) for first, second in books.values()) <= CELLS:
+        sizes = F.broadcast(sizes)
     part = lambda of: F.pmod(F.xxhash64("node", "cell"), F.col(of)).cast("int")
     rest = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     members = placed.join(sizes, "cell").select("cell", part("member_parts").alias("m"), rest("query_parts").alias("q"), F.lit(False).alias("asks"), "node", "copies", F.col("cell").alias("own"), "vector")
     queries = asking.join(sizes, "cell").select("cell", rest("member_parts").alias("m"), part("query_parts").alias("q"), F.lit(True).alias("asks"), "node", "copies", "own", "vector")
     both = members.union(queries)
-    return both.groupBy("cell", "m", "q").applyInPandas(_block, "u bigint, v bigint, n bigint")
+    found, _ = staged(both.groupBy("cell", "m", "q").applyInPandas(_block, "u bigint, v bigint, n bigint"), "links")
+    drop_path(nodes.sparkSession, path)
+    return found
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", recall: float | None = RECALL) -> DataFrame:
@@ -196,7 +208,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     lengths = {r["d"]: r["n"] for r in nodes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}
     if not lengths:
         return sound.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found, _ = staged(links(nodes, lengths, recall), "links")
+    found = links(nodes, lengths, recall)
     counts = found.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     roots = components(found.where("v IS NOT NULL").select("u", "v"))
     placed = nodes.select("node", "copies", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
