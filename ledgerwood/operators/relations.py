@@ -119,6 +119,20 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Co
     return df.withColumn(into, F.sum(starts.cast("int")).over(w))
 
 
+def numbered(df: DataFrame, key: str, order: str, into: str = "n", span: int = 1 << 16) -> DataFrame:
+    """Places 1, 2, ... of each key's rows by a whole number ``order``, a hot key's rows dealt by spans of it.
+
+    A window holds at most the rows of one span; the windows over a key see one row a span. Null orders come first.
+    """
+    dealt = df.withColumn("__span", F.floor(F.col(order) / span))
+    starts = dealt.groupBy(key, "__span").agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy(key).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select(F.col(key).alias("__key"), F.col("__span").alias("__at"), F.coalesce(before, F.lit(0)).alias("__before"))
+    within = dealt.withColumn("__place", F.row_number().over(Window.partitionBy(key, "__span").orderBy(order)))
+    met = within.join(starts, within[key].eqNullSafe(F.col("__key")) & within["__span"].eqNullSafe(F.col("__at")))
+    return met.select(*df.columns, (F.col("__before") + F.col("__place")).alias(into))
+
+
 def missing_numbers(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     """The whole numbers between those present, by key."""
     w = Window.partitionBy(*keys).orderBy(number)

@@ -177,7 +177,7 @@ def w10_without_overlaps(spark, sf):
 @query("SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/]+)', 1) ORDER BY page_id) AS n FROM pages")
 def w12_number_per_host(spark, sf):
     host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
-    return table(spark, sf, "pages").withColumn("host", host).withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("page_id"))).select("page_id", "url", "host", F.col("n").cast("bigint").alias("n"))
+    return R.numbered(table(spark, sf, "pages").select("page_id", "url", host.alias("host")), "host", "page_id")
 
 
 @query("SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey) AS n FROM part) WHERE n = 1")

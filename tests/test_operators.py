@@ -244,3 +244,10 @@ def test_services(spark, tmp_path):
     types = [(d, k, e) for d, k, e in (("application/pdf", "pdf", True), ("application/pdf", "text", False), (None, "zip", True), ("TEXT/CSV; charset=x", "text", True), ("x/y", "pdf", False))]
     df = spark.createDataFrame(types, "declared string, kind string, want boolean")
     assert all(r[0] == r[1] for r in df.select(services.compatible(F.col("declared"), F.col("kind")), "want").collect())
+
+
+def test_rows_of_a_hot_key_are_numbered_in_spans(spark):
+    places = [None, *range(-7, 30, 2)]
+    rows = spark.createDataFrame([(k, i) for k in ("a", None, "b") for i in places], "k string, i int")
+    got = sorted(map(tuple, R.numbered(rows, "k", "i", span=5).collect()), key=repr)
+    assert got == sorted([(k, i, n + 1) for k in ("a", None, "b") for n, i in enumerate(places)], key=repr)
