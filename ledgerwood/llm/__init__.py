@@ -1,6 +1,7 @@
 """Operators for training-data pipelines. Nothing else in the library imports them."""
 
 from . import decontaminate, license_scan, minhash, multi_index
+from .alignment import op12_alignment
 from .decontaminate import op2_decontamination
 from .html_text import op8_html_text
 from .license_scan import op3_license_scan
@@ -23,5 +24,6 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op12_alignment": op12_alignment,
 }
 ORACLES = {"op6_multi_index": multi_index.ORACLE, "op1_minhash": minhash.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE}
