@@ -1,6 +1,6 @@
 """Operators for training-data pipelines. Nothing else in the library imports them."""
 
-from . import decontaminate, license_scan, minhash, multi_index, vector_codes
+from . import decontaminate, license_scan, minhash, multi_index, url_filter, vector_codes
 from .alignment import op12_alignment
 from .decontaminate import op2_decontamination
 from .html_text import op8_html_text
@@ -12,6 +12,7 @@ from .quality import op9_quality
 from .sentencepiece_lattice import op4_sentencepiece
 from .token_counts import op10_token_counts
 from .toxicity import op5_toxicity
+from .url_filter import op11_url_filter
 from .vector_codes import op13_vector_codes
 
 QUERIES = {
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op11_url_filter": op11_url_filter,
     "op12_alignment": op12_alignment,
     "op13_vector_codes": op13_vector_codes,
 }
-ORACLES = {"op6_multi_index": multi_index.ORACLE, "op1_minhash": minhash.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
+ORACLES = {"op6_multi_index": multi_index.ORACLE, "op1_minhash": minhash.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE, "op11_url_filter": url_filter.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
