@@ -5,12 +5,13 @@ lines. Each line has a text-to-tag ratio. A Gaussian smooths the ratios, lines a
 or over a threshold cluster into content regions, and the regions choose the article: the
 parts that the page itself calls article or main and that hold enough of the regions, or
 else the innermost container of all regions with the headings beside it. A chosen part is
-taken whole, short lines too, but for what is vetoed.
+taken whole, short lines too, but for what is vetoed and for lists of links at its edges.
 
 Scripts, styles, controls and hidden elements are always vetoed. Menus, notices, forms,
 adverts, comments and the like are vetoed by their element, role or class words, weighed
 against the text that they hold: one that holds most of the page's text, with little or
-nothing of the page left beside it, is the page's wrapper and stays. Words that say what a
+nothing of the page left beside it, is the page's wrapper and stays. Ids count only where they are wholly a
+mark, and in an article only for brief parts; there, classes that only mention a mark don't count. Words that say what a
 page hasn't or how it is set (``no-comments``, ``has-sidebar``, ``comments-open``) mark nothing.
 
 Every step is linear in the page: elements are numbered in page order and know their
@@ -74,12 +75,16 @@ SIGMA, RADIUS = 1.0, 3
 NAMED = 0.3
 #: Share of a page's text over which a marked element can be the page's wrapper, and the text beside it by its own, at most.
 WRAPPER, BESIDE = 0.5, 0.1
+#: Share of an article's text that a container or a heading before it adds at most; characters of a line of prose.
+ADDED, PROSE = 0.3, 80
 #: Elements that can hold a whole article.
 HOLDERS = frozenset("article body center details div html main search section td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 
-#: Kinds of veto: none, always, by a name that mentions a mark, by a mark, by a mark of readers' parts.
-NONE, ALWAYS, WEAK, STRONG, OF_READERS = range(5)
+#: Kinds of veto: none, always, by an id in an article (of what is brief alone), by a name that mentions a mark, by a mark, by a mark of readers' parts.
+NONE, ALWAYS, BRIEF, WEAK, STRONG, OF_READERS = range(6)
+#: Characters from which on a part is more than a remark.
+LONG = 200
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _OPENER = re.compile(r"<[A-Za-z/!?]")
@@ -146,6 +151,8 @@ class Page(HTMLParser):
         if tag in NEVER:
             return ALWAYS
         found = STRONG if tag in AROUND else NONE
+        if tag == "footer" and self.places.get("blockquote"):
+            found = NONE  # whom a quotation is of
         root = tag in ROOTS
         for key, value in attrs:
             value = value or ""
@@ -157,6 +164,11 @@ class Page(HTMLParser):
             elif key in ("class", "id") and tag not in ("html", "body", "main"):
                 for name in value.split():
                     kind = name_kind(name)
+                    # An id is often made of a heading, and in an article a class that only mentions a mark is its own.
+                    if kind == WEAK and (key == "id" or self._in_article()):
+                        continue
+                    if kind == STRONG and key == "id" and self._in_article():
+                        kind = BRIEF
                     if not root or kind == OF_READERS:
                         found = max(found, kind)
                     if self._header(name) and not root and not self._in_article():
@@ -268,7 +280,7 @@ def vetoed(page: Page) -> list[bool]:
     # Text that no mark within an element covers.
     free = list(own)
     for e in range(len(free) - 1, 0, -1):
-        if kinds[e] == NONE:
+        if kinds[e] in (NONE, BRIEF):
             free[parents[e]] += free[e]
     total, plain = mass[0], free[0]
     out = [False] * len(kinds)
@@ -276,6 +288,8 @@ def vetoed(page: Page) -> list[bool]:
         kind = kinds[e]
         if out[parents[e]] or kind == ALWAYS:
             out[e] = True
+        elif kind == BRIEF:
+            out[e] = mass[e] < LONG
         elif kind != NONE:
             beside = 0 if kind == OF_READERS else mass[e] if kind == WEAK else BESIDE * mass[e]
             if mass[e] > WRAPPER * total and plain <= beside:
@@ -330,34 +344,67 @@ def named_parts(page: Page, mass: list[int]) -> set[int]:
 
 
 def common_part(page: Page, lines: list[_Line], regions: list[_Line]) -> list[bool]:
-    """Which lines stand in the innermost container of all regions, from the first heading beside it on."""
-    held = [0] * len(page.tags)
+    """Which lines stand in the innermost container of all regions, with what belongs to it.
+
+    The container grows over holders below the body while what they add is little and not mostly links (a lead, a
+    title in a box of its own, a short end). Then come the lines from the nearest heading before it on.
+    """
+    tags, parents = page.tags, page.parents
+    held, mass, linked = ([0] * len(tags) for _ in range(3))
     for x in regions:
         held[x.element] += 1
-    held = summed(held, page.parents)
+    for x in lines:
+        mass[x.element] += len(x.text)
+        linked[x.element] += len(x.text) * x.linked
+    held, mass, linked = (summed(v, parents) for v in (held, mass, linked))
     part = max(e for e, n in enumerate(held) if n == len(regions))
     leaves = {x.element for x in lines}
-    while part and (page.tags[part] not in HOLDERS or len(regions) == 1 and part in leaves):
-        part = page.parents[part]
+    while part and (tags[part] not in HOLDERS or len(regions) == 1 and part in leaves):
+        part = parents[part]
     if not part:
         return [True] * len(lines)
-    within = spread([e == part for e in range(len(page.tags))], page.parents)
+    above = parents[part]
+    while above and tags[above] in HOLDERS and tags[above] not in ("html", "body"):
+        more = mass[above] - mass[part]
+        if more > ADDED * mass[part] or 2 * (linked[above] - linked[part]) > more:
+            break
+        part, above = above, parents[above]
+    within = spread([e == part for e in range(len(tags))], parents)
     inside = [within[x.element] for x in lines]
     first = inside.index(True)
-    beside = spread([e > 0 and p == page.parents[part] and t in HEADINGS for e, (p, t) in enumerate(zip(page.parents, page.tags, strict=True))], page.parents)
-    start = next((i for i in range(first) if beside[lines[i].element] and lines[i].text), first)
+    heads = spread([t in HEADINGS for t in tags], parents)
+    start, between = first, 0
+    for i in range(first - 1, -1, -1):
+        x = lines[i]
+        if heads[x.element] and x.text:
+            start = i  # with the headings right before it
+        elif start < first:
+            break
+        elif (between := between + len(x.text)) > ADDED * mass[part]:
+            break
     return [start <= i < first or x for i, x in enumerate(inside)]
 
 
-def menus(page: Page, lines: list[_Line]) -> list[bool]:
-    """Which elements are, or are within, lists whose lines are links alone."""
+def menus(page: Page, lines: list[_Line], regions: list[_Line], inside: list[bool]) -> list[bool]:
+    """Which elements are, or are within, lists whose lines are links alone.
+
+    Of the lists of an article (the lines ``inside``), one with regions of prose before and after it is its own.
+    """
     any_line, plain_line = [0] * len(page.tags), [0] * len(page.tags)
-    for x in lines:
+    first, last = [len(lines)] * len(page.tags), [-1] * len(page.tags)
+    for i, x in enumerate(lines):
         if x.text:
             any_line[x.element] += 1
             plain_line[x.element] += not x.linked
+            first[x.element], last[x.element] = min(first[x.element], i), max(last[x.element], i)
     any_line, plain_line = summed(any_line, page.parents), summed(plain_line, page.parents)
-    return spread([t in ("ul", "ol") and a > 0 and not p for t, a, p in zip(page.tags, any_line, plain_line, strict=True)], page.parents)
+    for e in range(len(first) - 1, 0, -1):
+        p = page.parents[e]
+        first[p], last[p] = min(first[p], first[e]), max(last[p], last[e])
+    chosen = set(map(id, regions))
+    prose = [i for i, (x, yes) in enumerate(zip(lines, inside, strict=True)) if yes and id(x) in chosen and not x.linked and len(x.text) >= PROSE]
+    least, most = (prose[0], prose[-1]) if prose else (len(lines), -1)
+    return spread([t in ("ul", "ol") and n > 0 and not p and not least < a <= b < most for t, n, p, a, b in zip(page.tags, any_line, plain_line, first, last, strict=True)], page.parents)
 
 
 def main_text(html: str | None) -> str:
@@ -393,7 +440,7 @@ def main_text(html: str | None) -> str:
         inside = [within[x.element] for x in lines]
     else:
         inside = common_part(page, lines, regions)
-    menu = menus(page, lines)
+    menu = menus(page, lines, regions, inside)
     return "\n".join(x.text for x, yes in zip(lines, inside, strict=True) if yes and x.text and not menu[x.element])
 
 
