@@ -46,10 +46,13 @@ def lexical_list(chunks: DataFrame, query: Sequence[str], k: int = 50) -> DataFr
     return scored.select(*chunks.columns, "score", F.lit("lexical").alias("method")).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def vector_list(chunks: DataFrame, vector: Sequence[float], k: int = 50) -> DataFrame:
-    """Chunks by cosine similarity, those farther than the largest distance left out."""
-    given = F.array(*[F.lit(float(v)) for v in vector])
-    scored = chunks.where(F.col("embedding").isNotNull()).withColumn("score", cosine(F.col("embedding"), given))
+def vector_list(chunks: DataFrame, given: DataFrame, k: int = 50) -> DataFrame:
+    """Chunks by cosine similarity to the one row of ``given`` (given), those farther than the largest distance left out.
+
+    Without such a row the list is empty.
+    """
+    asked = F.broadcast(given.limit(1))  # one row
+    scored = chunks.where(F.col("embedding").isNotNull()).crossJoin(asked).withColumn("score", cosine(F.col("embedding"), F.col("given"))).drop("given")
     return scored.where(1 - F.col("score") <= MAX_DISTANCE).withColumn("method", F.lit("vector")).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 

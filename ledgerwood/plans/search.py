@@ -36,7 +36,7 @@ sum(1.0::DOUBLE / (60 + rank)) * CASE WHEN count(DISTINCT method) > 1 THEN 1.15
 def lists(spark, sf, c):
     """The exact, the lexical and the vector list; a chunk's vector is the one of its number."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    given = e.where("chunk_id = 0").first()["embedding"]
+    given = e.where("chunk_id = 0").select(F.col("embedding").alias("given"))
     return [R.exact_list(c, "20"), R.lexical_list(c, WORDS), R.vector_list(c.join(e, "chunk_id"), given).drop("embedding")]
 
 
@@ -55,7 +55,7 @@ WHERE 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[
 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 50""")
 def r08_vector(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    given = e.where("chunk_id = 0").first()["embedding"]
+    given = e.where("chunk_id = 0").select(F.col("embedding").alias("given"))
     return R.vector_list(e, given).select(F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
