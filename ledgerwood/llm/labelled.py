@@ -14,7 +14,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out
 
     The sample is chosen by a hash of the id, so it is the same in every run; ``part``
     is a second hash in [0, 1) that splits it. A document with several labels gets the
-    label of their mean; null labels and rows without text don't count.
+    label of their mean; null labels and rows without text don't count. Of the rows that share
+    an id one is taken, that of the least hash of its text, so repeated rows can't swell the sample.
     """
     known = (
         labels.select("doc_id", F.col(label_col).cast("double").alias("label"))
@@ -27,7 +28,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(PARTS)) < F.lit(int(PARTS * most / n)))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)) / PARTS
     # At most about ``most`` ids and labels: 16 bytes each.
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").withColumn("part", part)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label").withColumn("part", part)
 
 
 def byte_shares(raw: bytes) -> np.ndarray:
