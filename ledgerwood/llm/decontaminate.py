@@ -155,7 +155,8 @@ def find_passages(
     pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
     """Each document's number of words, the word spans that occur in items, and those items."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    # A repeated item adds nothing, and its copies would all go to one pass.
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-2 * total // pass_bytes) if total > pass_bytes else 1)
     at = F.pmod(F.xxhash64("item", "text"), F.lit(passes))
