@@ -14,8 +14,9 @@ least node a group. Links are confirmed on the full sets:
 
 A block returns a spanning forest of its links, never its pairs. So a large group of near
 copies costs its size, plus its outsiders times their range, and no group is cut short or
-held by one task: its rows are dealt in parts before they meet what belongs to the group. (A
-bucket's join with its least node is left to Spark's own handling of skewed joins.) The smallest doc_id of a component is kept.
+held by one task: its rows are dealt in parts before they meet what belongs to the group. A
+bucket's least node is a written table, so that Spark splits that join where a bucket is hot. The smallest
+doc_id of a component is kept.
 
 Defined results: null texts and texts without words have an empty set, are linked with
 nothing and kept; repeated rows are copies of each other; rows that share a doc_id but not
@@ -91,6 +92,8 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int, text_col: str,
     nodes = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     banded = nodes.select(F.explode("bands").alias("bucket"), "node")
     least = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1").select("bucket", "least")
+    # As a written table: Spark splits a skewed join only where both sides come straight from a shuffle.
+    least, least_at = staged(least, "least-of-buckets")
     # Two nodes of a bucket share its least node, so buckets with the same one are one group.
     pairs, pairs_at = staged(banded.join(least, "bucket").where("node <> least").select("least", "node").distinct(), "pairs")
     members = pairs.union(pairs.select("least", F.col("least").alias("node")).distinct())
@@ -108,7 +111,7 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int, text_col: str,
     stars = compared.where("linked").select(F.col("node").alias("u"), F.col("least").alias("v"))
     blocks = small.union(_ranges(compared)).join(sets.select("node", "shingles"), "node")
     links = stars.union(blocks.groupBy("group", "low", "high").applyInPandas(_block_links, "u bigint, v bigint"))
-    return links, [pairs_at, sets_at, large_at, compared_at]
+    return links, [least_at, pairs_at, sets_at, large_at, compared_at]
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
