@@ -37,6 +37,8 @@ from .common import drop_path, list_array, staged, table
 from .graph import components, forest, hot_join
 
 COSINE = 0.95
+#: Components beyond this, or under its inverse, are divided by the vector's largest one.
+HUGE = 1e100
 #: Vectors that codebooks are fitted on, at most (about).
 SAMPLE = 8192
 BLOCK = 1024
@@ -58,7 +60,10 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col)
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     kind = vectors.schema[vector_col].dataType.simpleString()
-    fixed = F.transform(v.cast(kind if kind == "array<float>" else "array<double>"), lambda x: x + F.lit(0.0).cast("float" if kind == "array<float>" else "double"))
+    # Squares of very large or small components leave a double's range, and a vector's length doesn't matter.
+    largest = F.array_max(F.transform(v.cast("array<double>"), F.abs))
+    by = F.when((largest > HUGE) | ((largest > 0) & (largest < 1 / HUGE)), largest).otherwise(F.lit(1.0)).cast("float" if kind == "array<float>" else "double")
+    fixed = F.transform(v.cast(kind if kind == "array<float>" else "array<double>"), lambda x: x / by + F.lit(0.0).cast("float" if kind == "array<float>" else "double"))
     return vectors.select(F.col(id_col).alias("vec_id"), F.when(sound, fixed).alias("vector")).withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
 
 
@@ -202,7 +207,7 @@ def links(nodes: DataFrame, counts: dict[int, int], recall: float | None) -> Dat
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", recall: float | None = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept."""
-    sound, _ = staged(usable(vectors, id_col, vector_col), "vectors")
+    sound, _ = staged(usable(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     nodes = sound.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("vector").alias("vector"))
     nodes, _ = staged(nodes, "nodes")
     lengths = {r["d"]: r["n"] for r in nodes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}
@@ -213,8 +218,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     roots = components(found.where("v IS NOT NULL").select("u", "v"))
     placed = nodes.select("node", "copies", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
-    known = hot_join(placed, smallest, "root", "node", "size").join(counts, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    out = sound.select("vec_id", "node").join(known, "node", "left")
+    known = hot_join(placed, smallest, "root", "node", "size").join(counts, "node", "left").select("node", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    # Copies of a vector are one node, whose rows are met in parts.
+    met = hot_join(sound.where("node IS NOT NULL").select("vec_id", "node", "row"), known, "node", "row", "copies").select("vec_id", "n_links", "component_id")
+    none = sound.where("node IS NULL").select("vec_id", F.lit(None).cast("bigint").alias("n_links"), F.lit(None).cast(sound.schema["vec_id"].dataType).alias("component_id"))
+    out = met.union(none)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
