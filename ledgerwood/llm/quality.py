@@ -1,7 +1,8 @@
 """Quality scores (operator 9): a factorisation machine.
 
 Inputs are hashed words (square roots of their shares), statistics of a text's
-structure and its length. The machine adds to the linear part the interactions of all
+structure (each a share that saturates at 1) and, of its metadata, its length: language, source and id
+are never inputs, so nothing else is left. The machine adds to the linear part the interactions of all
 pairs of inputs through low-rank factors; by the sum-of-squares identity,
 sum over i<j of <v_i, v_j> x_i x_j = 1/2 sum over f of ((sum v_if x_i)^2 - sum v_if^2 x_i^2),
 a score takes time linear in the inputs. It is trained by Spark on a bounded sample of

@@ -5,7 +5,9 @@ lexicon learned on the other folds: words and word stems that stand in toxic tex
 more often than in others. The trees are trained on densities of that lexicon, its
 nearness to second-person words, capitals, punctuation and disguised spellings; isotonic
 regression over one fold calibrates their margin. The lexicon of the final model is
-learned on the whole sample. Every text is scored whole, in one pass without a shuffle.
+learned on the whole sample. Every text is scored whole, in one pass without a shuffle. Two features, the
+numbers of strong and of very strong words, saturate at MOST_HITS (their shares of all words don't), and
+words of 3 to LONGEST bytes alone are learned; the sample is of SAMPLE ids at most, one row each.
 
 Defined results: null and empty texts are scored on zero features; without labels of
 both kinds every score is the share of label 1 (0 without labels); labels, language,
@@ -42,6 +44,8 @@ STEMS = (4, 6)
 #: Words within which a second-person word is near.
 NEAR = 8
 CUT = 0.5
+#: Hits that are counted as such at most, and bytes of a word that is learned.
+MOST_HITS, LONGEST = 20, 40
 
 # Common insults, and second-person words of four languages.
 SEED = frozenset(b"idiot moron stupid loser scum trash clown worthless pathetic disgusting dumb jerk bastard vermin filth".split())
@@ -68,7 +72,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         def work(texts):
             keys = []
             for text in texts:
-                words = {w for w in plain_words(text) if 3 <= len(w) <= 40}
+                words = {w for w in plain_words(text) if 3 <= len(w) <= LONGEST}
                 stems = {b"%d:" % k + w[:k] for w in words for k in STEMS if len(w) > k}
                 keys.append([*(b"w:" + w for w in words), *stems])
             return [list_array(pa.array([k for own in keys for k in own], pa.binary()), [len(x) for x in keys])]
@@ -129,7 +133,7 @@ def dense_features(raw: bytes, lexicon: Lexicon) -> list[float]:
     letters = max(1, int(h[65:91].sum() + h[97:123].sum() + h[128:].sum()))
     size = len(raw)
     return [
-        float(tiers[0] > 0), float(min(20, tiers[1])), float(min(20, tiers[2])),
+        float(tiers[0] > 0), float(min(MOST_HITS, tiers[1])), float(min(MOST_HITS, tiers[2])),
         100.0 * tiers[0] / n, 100.0 * tiers[1] / n, 100.0 * tiers[2] / n,
         max((z for _, z in hits), default=0.0), 100.0 * sum(w in SEED for w in words) / n,
         near, float(h[65:91].sum()) / letters, float(h[33] + h[63]) / size,
