@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module of queries."""
-    from . import analytics, documents, indexes, more_analytics, more_relations, relations, scalars, search, services  # noqa: F401
+    from . import analytics, documents, indexes, machines, more_analytics, more_relations, relations, scalars, search, services  # noqa: F401
