@@ -133,6 +133,20 @@ def numbered(df: DataFrame, key: str, order: str, into: str = "n", span: int = 1
     return met.select(*df.columns, (F.col("__before") + F.col("__place")).alias(into))
 
 
+def carried(df: DataFrame, key: str, order: str, column: str, into: str, span: int = 1 << 16) -> DataFrame:
+    """The last value of ``column`` that isn't null, at a row or before it, by a whole number ``order``.
+
+    As in ``numbered``, a hot key's rows are dealt by spans of the order, and what a span begins with comes from the spans before it.
+    """
+    dealt = df.withColumn("__span", F.floor(F.col(order) / span))
+    ends = dealt.groupBy(key, "__span").agg(F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(order))).alias("__end"))
+    before = F.last("__end", ignorenulls=True).over(Window.partitionBy(key).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ends.select(F.col(key).alias("__key"), F.col("__span").alias("__at"), before.alias("__before"))
+    own = F.last(column, ignorenulls=True).over(Window.partitionBy(key, "__span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    met = dealt.withColumn("__own", own).join(starts, F.col(key).eqNullSafe(F.col("__key")) & F.col("__span").eqNullSafe(F.col("__at")))
+    return met.select(*df.columns, F.coalesce("__own", "__before").alias(into))
+
+
 def missing_numbers(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     """The whole numbers between those present, by key."""
     w = Window.partitionBy(*keys).orderBy(number)

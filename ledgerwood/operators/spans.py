@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 #: Characters of a bin.
 BIN = 256
+#: Characters that are kept of what follows a match.
+AFTER = 12
 
 
 def spans(df: DataFrame, key: str, patterns: Mapping[str, tuple[str, str | None]], text: str = "text") -> DataFrame:
-    """(key, kind, start, stop, matched) of every match; a kind is a pattern, and one that the whole match must have.
+    """(key, kind, n, start, stop, matched, after) of every match; a kind is a pattern, and one that the whole match must have.
 
-    Places are code points from 0. Null texts have none. Letters and digits are ASCII's in \\w, \\d and \\b.
+    ``n`` numbers a text's matches of a kind from 0, ``after`` is what follows, AFTER characters of it. Places are code points from 0. Null texts have none. Letters and digits are ASCII's in \\w, \\d and \\b.
     """
     tests = {k: (re.compile(p, re.ASCII | re.MULTILINE), re.compile(only, re.ASCII) if only else None) for k, (p, only) in patterns.items()}
     kind = df.schema[key].dataType.simpleString()
@@ -30,14 +32,14 @@ def spans(df: DataFrame, key: str, patterns: Mapping[str, tuple[str, str | None]
             rows, out = [], []
             for i, value in enumerate(batch.column("t").to_pylist()):
                 for name, (pattern, only) in tests.items():
-                    for m in pattern.finditer(value or ""):
-                        if only is None or only.fullmatch(m.group()):
-                            rows.append(i)
-                            out.append((name, m.start(), m.end(), m.group()))
-            columns = [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(rows, pa.int64())), *columns], names=[key, "kind", "start", "stop", "matched"])
-
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"`{key}` {kind}, kind string, start int, stop int, matched string")
+                    found = (m for m in pattern.finditer(value or "") if only is None or only.fullmatch(m.group()))
+                    for n, m in enumerate(found):
+                        rows.append(i)
+                        out.append((name, n, m.start(), m.end(), m.group(), value[m.end() : m.end() + AFTER]))
+            columns = [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(rows, pa.int64())), *columns], names=[key, "kind", "n", "start", "stop", "matched", "after"])
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"`{key}` {kind}, kind string, n int, start int, stop int, matched string, after string")
 
 
 def _binned(df: DataFrame, size: int) -> DataFrame:
