@@ -13,7 +13,7 @@ from ..sources.tables import table
 from .registry import query
 
 ASKED = "Which licensed versions distribute the author's rights and notices?"
-PHRASE = "the author's rights"
+PHRASE = "Licensed under the Apache License"
 _STOP = ", ".join(f"'{w}'" for w in stems.STOP_WORDS)
 _WORDS = lambda text: f"regexp_extract_all(replace(translate(lower({text}), '{ACCENTED}', '{PLAIN}'), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
 #: Terms with their places in every text; no term of a query needs another text's words, so the vocabulary is the texts' own.
