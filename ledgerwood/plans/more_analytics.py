@@ -61,12 +61,19 @@ def g19_strands(spark, sf):
     return rows.select("claim_id", "strand", ((F.col("kind") == "both") | (F.col("seeks") == "both") | (F.col("kind") == F.col("seeks"))).alias("applies"))
 
 
-@query("""SELECT user_id, CASE WHEN event_type = 'error' THEN 'rejected' WHEN value > 50 THEN 'amended' ELSE 'accepted' END AS state, n AS reviews FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r = 1""")
+@query("""WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN 'reject' WHEN value > 50 THEN 'amend' ELSE 'accept' END AS action, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 = 0 THEN ' ' ELSE props END AS said FROM events),
+v AS (SELECT *, action = 'accept' OR trim(said) <> '' AS valid FROM e), l AS (SELECT user_id, arg_max(action, (ts, event_id)) FILTER (WHERE valid) AS action, count(*) FILTER (WHERE valid) AS reviews, count(*) FILTER (WHERE NOT valid) AS refused FROM v GROUP BY 1)
+SELECT user_id, CASE action WHEN 'reject' THEN 'rejected' WHEN 'amend' THEN 'amended' WHEN 'accept' THEN 'accepted' ELSE 'unreviewed' END AS state, reviews, refused FROM l""")
 def g21_resolution(spark, sf):
-    last = F.max_by(F.struct("event_type", "value"), F.struct("ts", "event_id"))
-    e = table(spark, sf, "events").groupBy("user_id").agg(last.alias("x"), F.count("*").alias("reviews"))
-    state = F.when(F.col("x.event_type") == "error", "rejected").when(F.col("x.value") > 50, "amended").otherwise("accepted")
-    return e.select("user_id", state.alias("state"), "reviews")
+    """The last valid review decides: a rejection needs a reason and an amendment a statement, others are refused."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    action = F.when(F.col("event_type") == "error", "reject").when(F.col("value") > 50, "amend").otherwise("accept")
+    said = F.when(k % 4 == 0, " ").otherwise(F.col("props"))
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", action.alias("action"), ((action == "accept") | (F.trim(said) != "")).alias("valid"))
+    last = F.max_by("action", F.when(F.col("valid"), F.struct("ts", "event_id")))
+    by = e.groupBy("user_id").agg(last.alias("action"), F.count_if("valid").alias("reviews"), F.count_if(~F.col("valid")).alias("refused"))
+    state = F.when(F.col("action") == "reject", "rejected").when(F.col("action") == "amend", "amended").when(F.col("action") == "accept", "accepted").otherwise("unreviewed")
+    return by.select("user_id", F.when(F.col("reviews") > 0, state).otherwise("unreviewed").alias("state"), "reviews", "refused")
 
 
 @query("""SELECT (SELECT count(*) FROM orders) AS claims, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS open_, (SELECT count(DISTINCT source) FROM documents) AS documents, (SELECT count(*) FROM documents WHERE n_chars < 500) AS weak,
@@ -144,9 +151,13 @@ def d15_duplicate_uploads(spark, sf):
     return d.join(first, ["source", "hash"]).where("doc_id <> first_id").select("doc_id", "first_id", "source")
 
 
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda x: trim(x, ' ') <> '') AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS u, generate_subscripts(l, 1) AS n FROM p),
+f AS (SELECT doc_id, 0::BIGINT AS n, '' AS buf, NULL::VARCHAR AS made, 0::BIGINT AS k FROM (SELECT DISTINCT doc_id FROM u) UNION ALL
+SELECT f.doc_id, u.n, CASE WHEN f.buf = '' THEN u.u WHEN length(f.buf) + 2 + length(u.u) <= 3500 THEN f.buf || chr(10) || chr(10) || u.u ELSE u.u END, CASE WHEN f.buf <> '' AND length(f.buf) + 2 + length(u.u) > 3500 THEN f.buf END, f.k + CASE WHEN f.buf <> '' AND length(f.buf) + 2 + length(u.u) > 3500 THEN 1 ELSE 0 END FROM f JOIN u ON u.doc_id = f.doc_id AND u.n = f.n + 1),
+e AS (SELECT doc_id, k AS page_number, made AS text FROM f WHERE made IS NOT NULL UNION ALL SELECT doc_id, k + 1, buf FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM f) WHERE r = 1 AND buf <> '')
+SELECT doc_id, page_number::INTEGER AS page_number, text FROM e""")
 def d12_pseudo_pages(spark, sf):
-    """Whole documents as pages of paragraphs; the tests hold the packing against a loop."""
+    """Whole documents as pages of paragraphs."""
     return D.pack_paragraphs(table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text")), "doc_id")
 
 
@@ -177,15 +188,17 @@ def m02_dates_in_text(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get(dates, F.lit(0)).alias("first_date"), F.size(F.array_compact(dates)).cast("bigint").alias("n"))
 
 
-@query("""SELECT conv_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:24], ' ') AS lexical_query FROM (SELECT conv_id, list_filter(regexp_split_to_array(lower(string_agg(text, ' ' ORDER BY turn, role, text)), '[^a-z0-9]+'), lambda x: length(x) > 3 AND x NOT IN ('that', 'with', 'this', 'from')) AS w FROM conversations WHERE role = 'user' GROUP BY 1)""")
+@query("""WITH w AS (SELECT conv_id, turn, role, md5(text) AS h, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS p FROM (SELECT *, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS l FROM conversations WHERE role = 'user')),
+f AS (SELECT conv_id, word, min((turn, role, h, p)) AS k FROM w WHERE length(word) > 3 AND word NOT IN ('that', 'with', 'this', 'from') GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS n FROM f)
+SELECT conv_id, string_agg(word, ' ' ORDER BY n) AS lexical_query FROM n WHERE n <= 24 GROUP BY 1""")
 def r03_lexical_query(spark, sf):
-    """A conversation's distinct content words in order, 24 at most: the query's own limit."""
-    said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    text = F.lower(F.array_join(F.transform(said, lambda x: x["text"]), " "))
-    stop = F.array(*[F.lit(w) for w in ("that", "with", "this", "from")])
-    users = table(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(text.alias("t"))
-    words = F.filter(F.split("t", "[^a-z0-9]+"), lambda x: (F.length(x) > 3) & ~F.array_contains(stop, x))
-    return users.select("conv_id", F.array_join(F.slice(F.array_distinct(words), 1, 24), " ").alias("lexical_query"))
+    """A conversation's distinct content words in order, 24 at most: the query's own limit. First places are aggregated, no text is collected."""
+    said = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("h"), F.posexplode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("p", "word"))
+    words = said.where((F.length("word") > 3) & ~F.col("word").isin("that", "with", "this", "from"))
+    first = words.groupBy("conv_id", "word").agg(F.min(F.struct("turn", "role", "h", "p")).alias("at"))
+    best = R.top_per_key(first, ["conv_id"], [F.col("at")], 24)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"])
+    return best.groupBy("conv_id").agg(F.array_join(listed, " ").alias("lexical_query"))
 
 
 @query("""SELECT conv_id, turn, kind, sum(CASE WHEN b IS NULL OR b <> kind THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM (SELECT *, CASE WHEN role = 'system' THEN 'user' ELSE role END AS kind, lag(CASE WHEN role = 'system' THEN 'user' ELSE role END) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations)""")

@@ -112,12 +112,14 @@ def a28_grounding(spark, sf):
     return rows.groupBy("l_orderkey").agg(F.count("*").alias("citations"), F.count_if(~F.col("known")).alias("unknown"), F.count_if("verified").alias("verified"))
 
 
-@query("SELECT s_name AS model, s_acctbal >= 0 AS available FROM supplier")
+@query("""WITH w AS (SELECT p_partkey AS model FROM part WHERE p_size <= 25), i AS (SELECT DISTINCT l_partkey AS model FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40)
+SELECT coalesce(w.model, i.model) AS model, CASE WHEN i.model IS NULL THEN 'missing' WHEN w.model IS NULL THEN 'unlisted' ELSE 'available' END AS status FROM w FULL JOIN i ON w.model = i.model""")
 def j23_availability(spark, sf):
-    wanted = table(spark, sf, "supplier").select("s_name", "s_acctbal")
-    there = wanted.where("s_acctbal >= 0").select("s_name")
-    both = wanted.join(there, "s_name", "left_semi").withColumn("available", F.lit(True)).unionByName(wanted.join(there, "s_name", "left_anti").withColumn("available", F.lit(False)))
-    return both.select(F.col("s_name").alias("model"), "available")
+    """What is configured against what is installed: available, missing, or installed without being listed."""
+    wanted = table(spark, sf, "part").where("p_size <= 25").select(F.col("p_partkey").alias("model"), F.lit(True).alias("listed"))
+    there = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 40").select(F.col("l_partkey").alias("model")).distinct().withColumn("installed", F.lit(True))
+    status = F.when(F.col("installed").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").otherwise("available")
+    return wanted.join(there, "model", "full").select("model", status.alias("status"))
 
 
 @query("""SELECT source, CASE WHEN count(q) = 0 THEN NULL ELSE sum(w * q) / sum(CASE WHEN q IS NOT NULL THEN w END) END AS score FROM (SELECT source, (doc_id % 3 + 1)::DOUBLE AS w, quality::DOUBLE AS q FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY 1""")
@@ -197,10 +199,11 @@ def l12_earliest(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")).orderBy("day", "o_orderkey").limit(300)
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' ') AS first_words FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 2) AS w FROM documents)""")
+@query("""SELECT doc_id, len(d) AS n, md5(array_to_string(d, ' ')) AS words FROM (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS d FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 2) AS w FROM documents))""")
 def u07_ordered_distinct(spark, sf):
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 2)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.array_distinct(words), 1, 5), " ").alias("first_words"))
+    """Every text's distinct words in the order of their first places."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 2))
+    return table(spark, sf, "documents").select("doc_id", F.size(words).cast("bigint").alias("n"), F.md5(F.array_join(words, " ").cast("binary")).alias("words"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[0-9]{1,3}(\.[0-9]{1,3}){3}'))::BIGINT AS n, regexp_replace(text, '[0-9]{1,3}(\.[0-9]{1,3}){3}', '#', 'g') <> text AS masked FROM documents""")

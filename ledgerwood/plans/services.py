@@ -132,12 +132,13 @@ def v07_chunk_browser(spark, sf):
     return R.page_of(p, [F.col("p_size"), F.col("p_partkey")], 1).select("p_partkey", "p_name")
 
 
-@query("""SELECT p_brand, p_size AS clause, min(p_name) AS title, min(p_partkey) AS first_page, count(*) AS pieces, string_agg(p_partkey::VARCHAR, ' ' ORDER BY p_partkey) FILTER (WHERE p_size = 7) AS text FROM part GROUP BY 1, 2""")
+@query("""SELECT p_brand, p_size AS clause, min(p_name) OVER w AS title, min(p_partkey) OVER w AS first_page, count(*) OVER w AS pieces, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS place, p_partkey FROM part WINDOW w AS (PARTITION BY p_brand, p_size)""")
 def v08_clause_index(spark, sf):
-    """Each clause's title, first page and pieces; the pieces of one clause in sequence."""
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("p_size") == 7, F.col("p_partkey")))), lambda x: x.cast("string")), " ")
-    by = table(spark, sf, "part").groupBy("p_brand", F.col("p_size").alias("clause")).agg(F.min("p_name").alias("title"), F.min("p_partkey").alias("first_page"), F.count("*").alias("pieces"), listed.alias("text"))
-    return by.withColumn("text", F.when(F.col("text") != "", F.col("text")))
+    """Each clause's title, first page and number of pieces, with its pieces in sequence, one a row: a list would grow with the clause."""
+    p = table(spark, sf, "part").select("p_brand", F.col("p_size").alias("clause"), "p_name", "p_partkey", F.concat_ws(":", "p_brand", F.col("p_size").cast("string")).alias("key"))
+    by = p.groupBy("p_brand", "clause").agg(F.min("p_name").alias("title"), F.min("p_partkey").alias("first_page"), F.count("*").alias("pieces"))
+    placed = R.numbered(p, "key", "p_partkey", "place")
+    return placed.join(by, ["p_brand", "clause"]).select("p_brand", "clause", "title", "first_page", "pieces", F.col("place").cast("bigint").alias("place"), "p_partkey")
 
 
 @query("SELECT md5(text) AS hash, count(*) AS files, count(DISTINCT source) AS bases, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1")
