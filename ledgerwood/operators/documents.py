@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_all, line_key
-from .relations import any_of
+from .relations import any_of, spanned
 
 # Sizes of chunks and thresholds of checks.
 TARGET, LARGEST, OVERLAP, SMALLEST = 1200, 2000, 150, 60
@@ -161,10 +161,9 @@ def pack_paragraphs(docs: DataFrame, key: str, size: int = 3500) -> DataFrame:
     return docs.select(key, F.posexplode(packed(paragraphs, size, "\n\n")).alias("n", "text")).select(key, (F.col("n") + 1).alias("page_number"), "text")
 
 
-def headings_filled(rows: DataFrame, document: str, order: list[str], heading: str) -> DataFrame:
-    """Rows owned by the last heading before them, joined into segments."""
-    w = Window.partitionBy(document).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("owner", F.last(heading, ignorenulls=True).over(w)).withColumn("segment", F.count(heading).over(w))
+def headings_filled(rows: DataFrame, document: str, order: list[str], heading: str, span: Column) -> DataFrame:
+    """Rows owned by the last heading before them, joined into segments; a document's rows are dealt by ``span``."""
+    return spanned(rows, [document], order, span, last={"owner": heading}, count={"segment": F.col(heading).isNotNull()})
 
 
 def text_quality(pages: DataFrame, document: str) -> DataFrame:

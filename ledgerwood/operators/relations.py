@@ -102,21 +102,53 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def spanned(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], span: Column, *,
+    before: Mapping[str, str] | None = None, last: Mapping[str, str] | None = None, count: Mapping[str, Column] | None = None, largest: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Columns that depend on a key's rows so far, in order, without one task that holds a whole key.
+
+    ``span`` deals a key's rows by the first column of the order (a day of a time, thousands of a number): a window holds the rows of
+    one span, the windows over a key one row a span. ``before``: the row before's value; ``last``: the last value that isn't null, the row's
+    own included; ``count``: how often a condition held, the row's own included; ``largest``: the largest value of the rows before.
+    """
+    before, last, count, largest = before or {}, last or {}, count or {}, largest or {}
+    at = F.struct(*order)
+    dealt = df.withColumns({"__span": span, **{f"__is_{n}": F.coalesce(c, F.lit(False)).cast("bigint") for n, c in count.items()}})
+    ends = dealt.groupBy(*keys, "__span").agg(
+        F.count("*").alias("__rows"),
+        *[F.max_by(F.struct(F.col(c).alias("v")), at).alias(f"__b_{n}") for n, c in before.items()],
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"__b_{n}") for n, c in last.items()],
+        *[F.sum(f"__is_{n}").alias(f"__b_{n}") for n in count], *[F.max(c).alias(f"__b_{n}") for n, c in largest.items()],
+    )
+    past = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    carry = {n: F.last(f"__b_{n}", ignorenulls=True).over(past) for n in [*before, *last]} | {n: F.sum(f"__b_{n}").over(past) for n in count} | {n: F.max(f"__b_{n}").over(past) for n in largest}
+    starts = ends.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__span").alias("__at"), *[c.alias(f"__c_{n}") for n, c in carry.items()])
+    w = Window.partitionBy(*keys, "__span").orderBy(*order)
+    so_far, above = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumns(
+        {f"__w_{n}": F.lag(F.struct(F.col(c).alias("v"))).over(w) for n, c in before.items()} | {f"__w_{n}": F.last(c, ignorenulls=True).over(so_far) for n, c in last.items()}
+        | {f"__w_{n}": F.sum(f"__is_{n}").over(so_far) for n in count} | {f"__w_{n}": F.max(c).over(above) for n, c in largest.items()})
+    same = all_of([F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__span").eqNullSafe(F.col("__at"))])
+    met = within.join(starts, same)
+    own, past_ = (lambda n: F.col(f"__w_{n}")), (lambda n: F.col(f"__c_{n}"))
+    made = {n: F.coalesce(own(n), past_(n))["v"] for n in before} | {n: F.coalesce(own(n), past_(n)) for n in last} | {n: own(n) + F.coalesce(past_(n), F.lit(0)) for n in count} | {n: F.greatest(own(n), past_(n)) for n in largest}
+    return met.select(*df.columns, *[c.alias(n) for n, c in made.items()])
+
+
 def gaps(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], most: int) -> DataFrame:
-    """Rows that follow the one before by more than ``most`` days."""
-    w = Window.partitionBy(*keys).orderBy(day, *order)
-    return df.withColumn("before", F.lag(day).over(w)).withColumn("gap_days", F.datediff(day, "before")).where(F.col("gap_days") > most)
+    """Rows that follow the one before by more than ``most`` days; a key's rows are dealt by years."""
+    met = spanned(df, keys, [day, *order], F.year(day), before={"before": day})
+    return met.withColumn("gap_days", F.datediff(day, "before")).where(F.col("gap_days") > most)
 
 
-def filled_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, into: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(into, F.last(column, ignorenulls=True).over(w))
+def filled_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, into: str, span: Column) -> DataFrame:
+    return spanned(df, keys, order, span, last={into: column})
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, into: str = "island") -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, span: Column, into: str = "island") -> DataFrame:
     """Numbers runs of rows; a run begins at each row where ``starts`` holds."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(into, F.sum(starts.cast("int")).over(w))
+    return spanned(df, keys, order, span, count={into: starts})
 
 
 def numbered(df: DataFrame, key: str, order: str, into: str = "n", span: int = 1 << 16) -> DataFrame:

@@ -77,7 +77,7 @@ def d10_chunks(spark, sf):
 @query(r"""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS owner, count(CASE WHEN role = 'user' THEN 1 END) OVER w AS segment FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)""")
 def d07_segments(spark, sf):
     c = table(spark, sf, "conversations").withColumn("heading", F.when(F.col("role") == "user", F.col("turn")))
-    return D.headings_filled(c, "conv_id", ["turn", "role", "text"], "heading").select("conv_id", "turn", "owner", "segment")
+    return D.headings_filled(c, "conv_id", ["turn", "role", "text"], "heading", F.floor(F.col("turn") / 1000)).select("conv_id", "turn", "owner", "segment")
 
 
 @query("""SELECT DISTINCT p_brand AS edition, e.clause FROM part, (SELECT unnest(range(1, 51))::INTEGER AS clause) e WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = part.p_brand AND q.p_size = e.clause)""")

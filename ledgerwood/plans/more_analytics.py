@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -204,7 +203,7 @@ def r03_lexical_query(spark, sf):
 @query("""SELECT conv_id, turn, kind, sum(CASE WHEN b IS NULL OR b <> kind THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM (SELECT *, CASE WHEN role = 'system' THEN 'user' ELSE role END AS kind, lag(CASE WHEN role = 'system' THEN 'user' ELSE role END) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations)""")
 def w11_continuations(spark, sf):
     """Turns glued to the one before while their kinds agree."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     c = table(spark, sf, "conversations").withColumn("kind", F.when(F.col("role") == "system", "user").otherwise(F.col("role")))
-    c = c.withColumn("b", F.lag("kind").over(w))
-    return R.islands(c, ["conv_id"], ["turn", "role", "text"], F.col("b").isNull() | (F.col("b") != F.col("kind")), "segment").select("conv_id", "turn", "kind", "segment")
+    order, span = ["turn", "role", "text"], F.floor(F.col("turn") / 1000)
+    c = R.spanned(c, ["conv_id"], order, span, before={"b": "kind"})
+    return R.islands(c, ["conv_id"], order, F.col("b").isNull() | (F.col("b") != F.col("kind")), span, "segment").select("conv_id", "turn", "kind", "segment")

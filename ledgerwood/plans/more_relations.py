@@ -161,7 +161,7 @@ def a26_document_totals(spark, sf):
 
 @query("""SELECT user_id, min(event_id) AS first_event, max(event_id) AS last_event, island::BIGINT AS island FROM (SELECT *, sum(CASE WHEN event_type = 'login' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events) GROUP BY 1, 4""")
 def w09_islands_by_marker(spark, sf):
-    e = R.islands(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "login")
+    e = R.islands(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "login", F.to_date("ts"))
     return e.groupBy("user_id", "island").agg(F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
 
 
@@ -171,8 +171,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN before >= a THEN before + 1 ELSE a EN
 def w10_without_overlaps(spark, sf):
     """Spans of an order with their starts moved behind what is covered already."""
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("a"), F.expr("date_add(to_date(l_shipdate), CAST(floor(l_quantity / 2) AS INT))").alias("b"), "l_partkey")
-    w = Window.partitionBy("l_orderkey").orderBy("a", "b", "l_linenumber", "l_partkey").rowsBetween(Window.unboundedPreceding, -1)
-    moved = line.withColumn("before", F.max("b").over(w)).where("before IS NULL OR before < b")
+    moved = R.spanned(line, ["l_orderkey"], ["a", "b", "l_linenumber", "l_partkey"], F.year("a"), largest={"before": "b"}).where("before IS NULL OR before < b")
     return moved.select("l_orderkey", "l_linenumber", F.when(F.col("before") >= F.col("a"), F.date_add("before", 1)).otherwise(F.col("a")).alias("starts"), F.col("b").alias("stops"))
 
 

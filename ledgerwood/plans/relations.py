@@ -257,16 +257,15 @@ def w06_best_per_key(spark, sf):
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS owner FROM events""")
 def w07_forward_fill(spark, sf):
     e = table(spark, sf, "events").withColumn("heading", F.when(F.col("event_type") == "purchase", F.col("event_id")))
-    return R.filled_forward(e, ["user_id"], ["ts", "event_id"], "heading", "owner").select("event_id", "owner")
+    return R.filled_forward(e, ["user_id"], ["ts", "event_id"], "heading", "owner", F.to_date("ts")).select("event_id", "owner")
 
 
 @query("""SELECT user_id, island::BIGINT AS island, min(event_id) AS first_event, count(*) AS n FROM (SELECT *, sum(CASE WHEN b IS NULL OR date_diff('day', b, ts::DATE) > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island
 FROM (SELECT *, lag(ts::DATE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)) GROUP BY 1, 2""")
 def w08_islands(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").withColumn("b", F.lag(F.to_date("ts")).over(w))
-    starts = F.col("b").isNull() | (F.datediff(F.to_date("ts"), "b") > 3)
-    return R.islands(e, ["user_id"], ["ts", "event_id"], starts).groupBy("user_id", "island").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"))
+    e = R.spanned(table(spark, sf, "events").withColumn("day", F.to_date("ts")), ["user_id"], ["ts", "event_id"], F.to_date("ts"), before={"b": "day"})
+    starts = F.col("b").isNull() | (F.datediff("day", "b") > 3)
+    return R.islands(e, ["user_id"], ["ts", "event_id"], starts, F.col("day")).groupBy("user_id", "island").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"))
 
 
 @query("""SELECT p_brand, unnest(range(p_size + 1, nxt)) AS missing FROM (SELECT p_brand, p_size, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS nxt FROM (SELECT DISTINCT p_brand, p_size FROM part)) WHERE nxt > p_size + 1""")
