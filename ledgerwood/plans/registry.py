@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module of queries."""
-    from . import analytics, documents, envelopes, indexes, knowledge, layouts, letters, machines, more_analytics, more_relations, passages, relations, scalars, search, services  # noqa: F401
+    from . import analytics, documents, envelopes, indexes, knowledge, layouts, letters, machines, models, more_analytics, more_relations, passages, relations, scalars, search, services  # noqa: F401
