@@ -143,7 +143,7 @@ def containing(docs: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     own = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("k", F.least(F.lit(k), F.size("w")))
     sizes = sorted(r["k"] for r in own.select("k").distinct().collect())  # at most k numbers
     if not sizes:
-        return docs.select("doc_id").crossJoin(own.select("item_id")).limit(0)
+        return docs.where("false").select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"))
     first = F.coalesce(*[F.when(F.col("k") == n, _gram(F.col("w"), F.lit(0), n)) for n in sizes])
     keyed = own.select("item_id", spaced(F.col("w")).alias("needle"), "k", first.alias("h"))
     cut = docs.select("doc_id", words(F.col("text")).alias("w"))

@@ -14,11 +14,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .relations import dimension
 from .retrieval import MAX_DISTANCE
 
 #: Vectors that centres are fitted on, at most about; vectors of a cell, about; cells.
 SAMPLE, PER_CELL, MOST_CELLS = 50_000, 1000, 1024
 PROBES = 8
+#: Queries of a block, about.
+AT_ONCE = 4096
 
 
 def unit(vector: Column) -> Column:
@@ -71,14 +74,22 @@ def nearest_cells(vector: Column, centres: list[list[float]], most: int) -> Colu
 
 
 def nearest(index: VectorIndex, queries: DataFrame, k: int = 50, probes: int | None = PROBES, where: Column | None = None, most_distance: float = MAX_DISTANCE) -> DataFrame:
-    """(query_id, id, score, rank) of each query's k nearest; ``queries`` is (query_id, vector), a set that fits one broadcast."""
+    """(query_id, id, score, rank) of each query's k nearest; ``queries`` is (query_id, vector).
+
+    Queries are counted first: few are broadcast, many meet the rows of their cells by a shuffle, and in the exact way in blocks.
+    """
     asked = queries.select("query_id", unit(F.col("vector")).alias("asked")).where(F.col("asked").isNotNull())
     rows = index.rows if where is None else index.rows.where(where)
+    n, width = asked.count(), 8 * len(index.centres[0]) + 64
     if probes is None or probes >= len(index.centres):
-        met = rows.crossJoin(F.broadcast(asked))  # a stated query set against all rows
+        # A stated query set against all rows: each row meets every block of queries.
+        blocks = max(1, -(-n // AT_ONCE))
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+        dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = dealt.join(dimension(asked.withColumn("block", block), n, width), "block")
     else:
         probed = asked.withColumn("cell", F.explode(nearest_cells(F.col("asked"), index.centres, probes)))
-        met = rows.join(F.broadcast(probed), "cell")
+        met = rows.join(dimension(probed, n * probes, width), "cell")
     scored = met.select("query_id", "id", dot(F.col("asked"), F.col("vector")).alias("score")).where(1 - F.col("score") <= most_distance)
     # Spark keeps a partition's best k of each query before it shuffles.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

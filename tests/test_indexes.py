@@ -83,7 +83,7 @@ def test_empty_index(spark, tmp_path):
     assert L.ranked(made, "notice").collect() == []
 
 
-def test_vector_cells(spark, tmp_path):
+def test_vector_cells(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))
     x = centres[rng.integers(0, 30, 3000)] + 0.25 * rng.normal(size=(3000, 16))
@@ -98,6 +98,8 @@ def test_vector_cells(spark, tmp_path):
     own = [(i, unit[i]) for i in range(3000) if i % 5 < 4] + [(4004, unit[5])]
     mine = sorted(own, key=lambda r: (-round(float(unit[55] @ r[1]), 12), r[0]))[:50]
     assert [r["id"] for r in exact.where("query_id = 55").orderBy("rank").collect()] == [i for i, v in mine if 1 - unit[55] @ v <= 0.75]
+    monkeypatch.setattr(X, "AT_ONCE", 7)
+    assert X.nearest(index, asked, probes=None, where=F.col("label") < 4).exceptAll(exact).count() == 0
     probed = X.nearest(index, asked, probes=8, where=F.col("label") < 4)
     found = exact.select("query_id", "id").intersect(probed.select("query_id", "id")).count()
     assert found >= 0.95 * exact.count()
