@@ -41,7 +41,7 @@ def compare(spark, name, con, sf):
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     compare(spark, name, con, SF)
 
