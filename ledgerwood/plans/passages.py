@@ -18,8 +18,9 @@ AMOUNT = r"\b(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d{2}|\d{4,})\b"
 
 def _places(source: str, key: str, text: str, pattern: str, into: str) -> str:
     """SQL for matches with their places: gaps and matches in turn, lengths summed. Patterns here mean the same in both engines."""
-    return f"""{into}_m AS (SELECT {key}, regexp_extract_all({text}, '{pattern}') AS m, regexp_split_to_array({text}, '{pattern}') AS g FROM {source}),
-{into} AS (SELECT {key}, unnest(m) AS matched, unnest(list_transform(range(1, len(m) + 1), lambda i: coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS start FROM {into}_m)"""
+    return f"""{into}_m AS (SELECT row_number() OVER () AS rid, {key}, regexp_extract_all({text}, '{pattern}') AS m, regexp_split_to_array({text}, '{pattern}') AS g FROM {source}),
+{into}_u AS (SELECT rid, {key}, unnest(m) AS matched, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM {into}_m),
+{into} AS (SELECT {key}, matched, sum(length(gap) + length(matched)) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) - length(matched) AS start FROM {into}_u)"""
 
 
 @query(f"""WITH {_places('documents', 'doc_id', 'text', TOKEN, 'w')}, {_places('documents', 'doc_id', 'text', CITED, 'k')},
