@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,13 +18,32 @@ ACCENTED = "àâäáãçéèêëíìîïñóòôöõúùûüýÿ"
 PLAIN = "aaaaaceeeeiiiinooooouuuuyy"
 
 
+#: No ASCII letter, digit or _ before, none after, and a place where one ends or begins.
+_NONE_BEFORE, _NONE_AFTER = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
+_BOUND = f"(?:(?<=[0-9A-Za-z_]){_NONE_AFTER}|{_NONE_BEFORE}(?=[0-9A-Za-z_]))"
+
+
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose ``\\b`` knows ASCII letters alone, as ``\\w`` does: Java's takes an accented letter for a part of the word."""
+
+    def bound(m: re.Match) -> str:
+        if m[0] != r"\b":
+            return m[0]
+        # Beside a letter that has to be there one look is enough.
+        if re.match(r"[0-9A-Za-z](?![?*{])", pattern[m.end() :]):
+            return _NONE_BEFORE
+        return _NONE_AFTER if re.search(r"(?<!\\)[0-9A-Za-z]$", pattern[: m.start()]) else _BOUND
+
+    return re.sub(r"\\.", bound, pattern)
+
+
 def unaccented(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
 def source_ref(text: Column, known: Column) -> Column:
     """The one known source that a text refers to (S3, [s3], source 3); NULL for none, or for two that differ."""
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\b(?:s|source )(\d+)\b"), F.lit(1)), lambda n: F.concat(F.lit("S"), n))
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(ascii_bounds(r"\b(?:s|source )(\d+)\b")), F.lit(1)), lambda n: F.concat(F.lit("S"), n))
     own = F.array_intersect(F.array_distinct(found), known)
     return F.when(F.size(own) == 1, F.get(own, F.lit(0)))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import roman_value
+from ..functions.text import ascii_bounds, roman_value
 from .documents import heading_score, is_contents_line
 from .relations import any_of, carried
 from .spans import free_of, spans
@@ -58,7 +58,7 @@ def capitals(title: Column) -> Column:
 
 
 def _score(number: Column, title: Column, keyword: Column, line: Column) -> Column:
-    return F.when(title.rlike(UNIT) | is_table_row(title), 0.0).otherwise(heading_score(number, title, keyword, line))
+    return F.when(title.rlike(ascii_bounds(UNIT)) | is_table_row(title), 0.0).otherwise(heading_score(number, title, keyword, line))
 
 
 def _margin_score(title: Column, rest: Column, line: Column) -> Column:
@@ -99,7 +99,7 @@ def headings(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
 def references(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, char_offset, number, label, is_explicit): clauses named in the text; bare dotted numbers where no unit follows."""
     explicit = spans(pages, key, {"explicit": (EXPLICIT, None)}, text)
-    bare = free_of(spans(pages, key, {"bare": (TOKEN, DOTTED)}, text), explicit, key).where(~F.col("after").rlike(UNIT))
+    bare = free_of(spans(pages, key, {"bare": (TOKEN, DOTTED)}, text), explicit, key).where(~F.col("after").rlike(ascii_bounds(UNIT)))
     row = lambda df, number, sure: df.select(key, F.col("start").alias("char_offset"), number.alias("number"), F.col("matched").alias("label"), F.lit(sure).alias("is_explicit"))
     return row(explicit, F.regexp_extract("matched", rf"({NUMBER})$", 1), True).union(row(bare, F.col("matched"), False))
 
@@ -126,7 +126,7 @@ CLAIMS, WRITES = r"(?i)\bclaim\b", r"(?i)dear\s+sirs?|we\s+refer|herewith"
 def kind_of(text: Column) -> Column:
     body, out = F.substring(text, 1, BODY), F.lit("other")
     for name, pattern in reversed(KINDS):
-        out = F.when(body.rlike(pattern), name).otherwise(out)
+        out = F.when(body.rlike(ascii_bounds(pattern)), name).otherwise(out)
     return out
 
 
@@ -136,8 +136,8 @@ def bundle_split(pages: DataFrame, bundle: str, page: str, text: str = "text") -
     Where no document of a bundle is a claim letter by its first page, the first one that claims and is written as a letter is.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    starts = any_of([F.substring(t, 1, HEAD).rlike(p) for p in STARTS])
-    read = pages.select(bundle, page, F.when(starts, F.col(page)).alias("begins"), kind_of(t).alias("kind"), t.rlike(CLAIMS).alias("claims"), t.rlike(WRITES).alias("writes"))
+    starts = any_of([F.substring(t, 1, HEAD).rlike(ascii_bounds(p)) for p in STARTS])
+    read = pages.select(bundle, page, F.when(starts, F.col(page)).alias("begins"), kind_of(t).alias("kind"), t.rlike(ascii_bounds(CLAIMS)).alias("claims"), t.rlike(WRITES).alias("writes"))
     placed = carried(read, bundle, page, "begins", "segment")
     # Pages before the first that begins one are a document too.
     parts = placed.groupBy(bundle, "segment").agg(

@@ -99,7 +99,7 @@ def g24_register(spark, sf):
 regexp_extract(text, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS dated, regexp_extract(text, '(?i)ref[.:]* *([A-Z0-9/-]{3,})', 1) AS reference FROM documents""")
 def g26_letter_reading(spark, sf):
     low = F.lower("text")
-    kind = F.when(low.rlike(r"\bnotice\b"), "notice").when(low.rlike("license|rights reserved"), "legal").when(F.col("text").contains("@"), "letter").otherwise("other")
+    kind = F.when(low.rlike(T.ascii_bounds(r"\bnotice\b")), "notice").when(low.rlike("license|rights reserved"), "legal").when(F.col("text").contains("@"), "letter").otherwise("other")
     return table(spark, sf, "documents").select("doc_id", kind.alias("kind"), F.regexp_extract("text", "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1).alias("dated"), F.regexp_extract("text", "(?i)ref[.:]* *([A-Z0-9/-]{3,})", 1).alias("reference"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_bounds
 from ..operators import retrieval as R
 from ..operators.relations import Scope
 from ..sources.tables import table
@@ -142,7 +143,7 @@ def intents(spark, sf):
     """Each question's intent: weighted phrases, 2 more for a clause number; of equal scores the greatest name, of none "general"."""
     asked = table(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
     lower = F.concat(F.lit(" "), F.lower(F.trim("text")), F.lit(" "))
-    cited = F.when(F.col("text").rlike(_CLAUSE), 2).otherwise(0)
+    cited = F.when(F.col("text").rlike(ascii_bounds(_CLAUSE)), 2).otherwise(0)
     score = lambda name, v: sum((F.when(lower.contains(p), w).otherwise(0) for p, w in v.items()), cited if name == "clause_lookup" else F.lit(0))
     scored = F.array(*[F.struct(score(k, v).alias("score"), F.lit(k).alias("name")) for k, v in INTENTS.items()])
     best = asked.withColumn("s", F.array_max(F.filter(scored, lambda x: x["score"] > 0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_bounds
 from ..operators import relations as R
 from ..operators import services as S
 from ..sources.tables import table
@@ -29,8 +30,8 @@ def k07_soft_delete(spark, sf):
 WHERE len(regexp_extract_all(regexp_replace(text, '(?i)\b(version|by|by-nc|v)\s+[0-9]+(\.[0-9]+)*', ' ', 'g'), '\b[0-9]{1,3}(?:\.[0-9]{1,3})+\b')) > 0""")
 def j19_free_numbers(spark, sf):
     """Dotted numbers outside the spans that a keyword claims: the spans are blanked, so nothing within them is found."""
-    rest = F.regexp_replace("text", r"(?i)\b(version|by|by-nc|v)\s+[0-9]+(\.[0-9]+)*", " ")
-    free = F.array_distinct(F.regexp_extract_all(rest, F.lit(r"\b[0-9]{1,3}(?:\.[0-9]{1,3})+\b"), F.lit(0)))
+    rest = F.regexp_replace("text", ascii_bounds(r"(?i)\b(version|by|by-nc|v)\s+[0-9]+(\.[0-9]+)*"), " ")
+    free = F.array_distinct(F.regexp_extract_all(rest, F.lit(ascii_bounds(r"\b[0-9]{1,3}(?:\.[0-9]{1,3})+\b")), F.lit(0)))
     return table(spark, sf, "documents").select("doc_id", free.alias("free")).where(F.size("free") > 0)
 
 

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +253,34 @@ def test_rows_of_a_hot_key_are_numbered_in_spans(spark):
     rows = spark.createDataFrame([(k, i) for k in ("a", None, "b") for i in places], "k string, i int")
     got = sorted(map(tuple, R.numbered(rows, "k", "i", span=5).collect()), key=repr)
     assert got == sorted([(k, i, n + 1) for k in ("a", None, "b") for n, i in enumerate(places)], key=repr)
+
+
+def test_word_bounds_are_ascii_as_in_sql(spark):
+    from ledgerwood.operators import headings as H
+
+    texts = ["plain page", "see Höref: 12 and so on", "plain", "Tabät stands here", "an éclaim, we refer to it", "the reclaim"]
+    pages = spark.createDataFrame([(i, "b", t) for i, t in enumerate(texts)], "page long, bundle string, text string")
+    want = duckdb.sql("SELECT i FROM (SELECT unnest(range(0, 6)) AS i, unnest(?) AS t) WHERE " + " OR ".join(f"regexp_matches(t, '{p}')" for p in H.STARTS), params=[texts]).fetchall()
+    got = H.bundle_split(pages, "bundle", "page").orderBy("first_page").collect()
+    assert [r["first_page"] for r in got] == sorted({0, *[r[0] for r in want]}) == [0, 1, 3]
+    assert got[2]["kind"] == "claim_letter"  # after an accented letter the word claim begins
+
+
+def test_share_of_letters_is_exact(spark):
+    from ledgerwood.operators import knowledge as K
+
+    # 55 letters of 100: not under 0.55, though 0.55 * 100 is more than 55 as a double.
+    rows = [(1, "ab1" * 10 + "a" * 35 + "1" * 35), (2, "ab1" * 10 + "a" * 34 + "1" * 36)]
+    chunks = spark.createDataFrame([(i, t, "e", 1, "1.1", "s") for i, t in rows], "chunk_id long, text string, edition string, page_number int, clause_number string, source_document string")
+    assert [tuple(r) for r in K.hits(chunks, "e").collect()] == [(2, "malformed_chunk")]
+    out, left, last = K.validated(chunks, "e")
+    assert [tuple(r) for r in out.collect()] == [(2, "malformed_chunk", 1)] and [r["chunk_id"] for r in left.collect()] == [1] and last.collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_theta_join_meets_all_of_a_contract(spark):
+    from ledgerwood.plans import relations
+
+    sf = "/root/testdata/sf0.01"
+    want = duckdb.sql(f"SELECT count(*), sum(l_orderkey * 7 + l_linenumber + p_partkey) FROM '{sf}/lineitem.parquet' JOIN '{sf}/part.parquet' ON p_partkey % 500 = l_partkey % 500 AND p_size % 10 IN (0, l_suppkey % 10) AND p_partkey % 3 IN (0, l_linenumber % 3)").fetchall()[0]
+    assert tuple(relations.j13_theta(spark, sf).selectExpr("count(*)", "sum(l_orderkey * 7 + l_linenumber + p_partkey)").first()) == want
