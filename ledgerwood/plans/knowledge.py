@@ -51,7 +51,7 @@ def d16_validation_report(spark, sf):
 @query(f"WITH {_CHUNKS}, {_hits('k', 'h')} SELECT chunk_id, rule FROM h WHERE rule IN ('guidance_text', 'edition_mixing', 'missing_provenance')")
 def d17_row_rules(spark, sf):
     """Chunks of guidance (D17), of another edition (D19) and without provenance (D21)."""
-    return K.hits(chunks(spark, sf), EDITION).where(F.col("rule").isin("guidance_text", "edition_mixing", "missing_provenance"))
+    return K.hits(chunks(spark, sf), EDITION, ["guidance_text", "edition_mixing", "missing_provenance"])
 
 
 @query(f"WITH {_PASSES} SELECT chunk_id, reason, 1 AS validation FROM b1 UNION ALL SELECT chunk_id, reason, 2 FROM b2")
@@ -86,5 +86,5 @@ def d23_build(spark, sf):
     path = shared_path(spark, "knowledge-base")
     built.write.parquet(path)
     kept = spark.read.schema(built.schema).parquet(path)
-    marked = kept.join(K.quarantined(K.hits(kept, EDITION)), "chunk_id", "left")
+    marked = kept.join(K.quarantined(K.hits(kept, EDITION, K.CONTAMINATION)), "chunk_id", "left")
     return marked.select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text_hash"), F.length("text").alias("char_count"), "reason", F.col("reason").isNotNull().alias("is_quarantined"))
