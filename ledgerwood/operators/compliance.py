@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relations import dealt, parts_of
+
+#: Claims of a task, about: each has several notices and requirements.
+CLAIMS_PER_TASK = 100_000
+
 # Notice requirements of seven contract forms: edition, clause, obligation, days, whether a
 # condition precedent, what it applies to, what the period runs from, and the clause of that notice.
 REQUIREMENTS = [
@@ -44,7 +49,7 @@ def amended(standard: DataFrame, amendments: DataFrame) -> DataFrame:
     return kept.unionByName(added.withColumns({"applies_to": F.lit("both"), "runs_from": F.lit("awareness"), "runs_from_clause": F.lit("")}))
 
 
-def _assessed(open_periods: DataFrame, notices: DataFrame, keys: list[str]) -> DataFrame:
+def _assessed(open_periods: DataFrame, notices: DataFrame, keys: list[str], parts: int | None) -> DataFrame:
     """Each period (keys, clause, obligation, period_days, precedent, starts) with its earliest notice and status.
 
     ``barred_id`` is a notice that can't answer the period. Notices join on the claim; which of them count is a
@@ -52,9 +57,9 @@ def _assessed(open_periods: DataFrame, notices: DataFrame, keys: list[str]) -> D
     """
     n = notices.select("claim_id", "notice_id", F.col("clause").alias("n_clause"), F.col("obligation").alias("n_obligation"), "effective")
     counts = ((F.trim("n_clause") == "") | (F.trim("n_clause") == F.col("clause"))) & F.coalesce(F.col("n_obligation") == F.col("obligation"), F.lit(True))
-    usable = open_periods.join(n.where("effective IS NOT NULL"), "claim_id").where(counts & ~F.col("notice_id").eqNullSafe(F.col("barred_id")))
+    usable = dealt(open_periods, parts, "claim_id").join(dealt(n.where("effective IS NOT NULL"), parts, "claim_id"), "claim_id").where(counts & ~F.col("notice_id").eqNullSafe(F.col("barred_id")))
     first = usable.groupBy(*keys).agg(F.min(F.struct("effective", "notice_id")).alias("first"))
-    both = open_periods.join(first, keys, "left").withColumns({"notice_id": F.col("first.notice_id"), "effective": F.col("first.effective"), "deadline": F.expr("date_add(starts, period_days)")})
+    both = dealt(open_periods, parts, *keys).join(dealt(first, parts, *keys), keys, "left").withColumns({"notice_id": F.col("first.notice_id"), "effective": F.col("first.effective"), "deadline": F.expr("date_add(starts, period_days)")})
     used = F.datediff("effective", "starts")
     status = (
         F.when(F.col("starts").isNull(), "indeterminate").when(F.col("effective").isNull(), "not_given").when(used < 0, "indeterminate")
@@ -70,13 +75,14 @@ def notice_compliance(claims: DataFrame, notices: DataFrame, wanted: DataFrame)
     Periods from awareness come first; a period from a notice starts at the notice that answered its anchor,
     which can't answer it as well.
     """
+    parts = parts_of(claims, CLAIMS_PER_TASK)
     applies = (F.col("applies_to") == "both") | (F.col("seeks") == "both") | (F.col("applies_to") == F.col("seeks"))
     pairs = claims.join(wanted, "edition").where(applies)
     keys = ["claim_id", "clause", "obligation"]
     none = F.lit(None).cast(notices.schema["notice_id"].dataType)
-    direct = _assessed(pairs.where("runs_from = 'awareness'").withColumns({"starts": F.col("awareness"), "barred_id": none}), notices, keys)
+    direct = _assessed(pairs.where("runs_from = 'awareness'").withColumns({"starts": F.col("awareness"), "barred_id": none}), notices, keys, parts)
     anchors = direct.where("obligation = 'notice_of_claim' AND effective IS NOT NULL").select("claim_id", F.col("clause").alias("runs_from_clause"), F.col("effective").alias("starts"), F.col("notice_id").alias("barred_id"))
-    chained = _assessed(pairs.where("runs_from = 'notice'").join(anchors, ["claim_id", "runs_from_clause"], "left"), notices, keys)
+    chained = _assessed(pairs.where("runs_from = 'notice'").join(anchors, ["claim_id", "runs_from_clause"], "left"), notices, keys, parts)
     columns = [*keys, "precedent", "starts", "deadline", "notice_id", "effective", "status", "days_used", "days_late", "time_barred"]
     return direct.select(*columns).unionByName(chained.select(*columns))
 
@@ -146,10 +152,11 @@ def evidence_gaps(elements: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every claim's elements (claim_id, element) with the status that its evidence gives them."""
     count = lambda c: F.count(F.when(c, 1))
     supports = F.col("relevance") == "supports"
-    by = evidence.groupBy("claim_id", "element").agg(count(supports).alias("supporting"), count(F.col("relevance") == "contradicts").alias("contradicting"), count(F.col("relevance") == "unassessed").alias("unreviewed"), count(supports & F.col("reviewed")).alias("reviewed"))
+    parts, keys = parts_of(elements), ["claim_id", "element"]
+    by = dealt(evidence, parts, *keys).groupBy(*keys).agg(count(supports).alias("supporting"), count(F.col("relevance") == "contradicts").alias("contradicting"), count(F.col("relevance") == "unassessed").alias("unreviewed"), count(supports & F.col("reviewed")).alias("reviewed"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     status = F.when((n("supporting") > 0) & (n("contradicting") > 0), "contested").when(n("reviewed") > 0, "established").when((n("supporting") > 0) | (n("unreviewed") > 0), "partial").otherwise("missing")
-    return elements.join(by, ["claim_id", "element"], "left").select("claim_id", "element", status.alias("status"))
+    return dealt(elements, parts, *keys).join(by, keys, "left").select("claim_id", "element", status.alias("status"))
 
 
 def completeness(gaps: DataFrame) -> DataFrame:

@@ -19,6 +19,21 @@ def dimension(df: DataFrame, rows: int, bytes_per_row: int = 256) -> DataFrame:
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
 
 
+#: Rows of a join's or an aggregate's task, about.
+ROWS_PER_TASK = 250_000
+
+
+def parts_of(df: DataFrame, per_task: int = ROWS_PER_TASK) -> int | None:
+    """The number of parts that rows are dealt to where the session's own number would give tasks more than their share; else None."""
+    wanted = -(-df.count() // per_task)
+    return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows by keys in ``parts``; None leaves it to the planner."""
+    return df if parts is None else df.repartition(parts, *keys)
+
+
 @dataclass(frozen=True)
 class Scope:
     """What a search may read. Checked before anything is planned; narrowing only ever removes."""

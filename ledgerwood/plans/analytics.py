@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compliance as C
+from ..operators.relations import parts_of
 from ..sources.tables import table
 from .registry import query
 
@@ -28,7 +29,8 @@ def claims(spark, sf):
 def notices(spark, sf):
     """One row per order and line number, dated around the order; some under no clause and some without a date."""
     # Dealt by order once: the aggregate and the join both follow that partitioning.
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = lines.repartition(*([n] if (n := parts_of(lines)) else []), "l_orderkey")
     first = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
     both = first.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     clause = F.get(F.array(*[F.lit(x) for x in ("20.2.1", "20.2.4", "44.2", "53.1", "53.3", "20.1", "")]), (F.col("part") % 7).cast("int"))

@@ -284,3 +284,18 @@ def test_theta_join_meets_all_of_a_contract(spark):
     sf = "/root/testdata/sf0.01"
     want = duckdb.sql(f"SELECT count(*), sum(l_orderkey * 7 + l_linenumber + p_partkey) FROM '{sf}/lineitem.parquet' JOIN '{sf}/part.parquet' ON p_partkey % 500 = l_partkey % 500 AND p_size % 10 IN (0, l_suppkey % 10) AND p_partkey % 3 IN (0, l_linenumber % 3)").fetchall()[0]
     assert tuple(relations.j13_theta(spark, sf).selectExpr("count(*)", "sum(l_orderkey * 7 + l_linenumber + p_partkey)").first()) == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_claims_are_dealt_by_their_number(spark, monkeypatch):
+    from ledgerwood.plans import analytics as A
+
+    sf = "/root/testdata/sf0.001"
+    names = ["g04_notice_compliance", "a25_deadline_tallies", "a19_completeness"]
+    usual = [getattr(A, n)(spark, sf).collect() for n in names]
+    monkeypatch.setattr(C, "CLAIMS_PER_TASK", 100)
+    monkeypatch.setattr(R.parts_of, "__defaults__", (500,))
+    for n, want in zip(names, usual, strict=True):
+        got = getattr(A, n)(spark, sf)
+        assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
