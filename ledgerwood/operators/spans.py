@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BIN = 256
 #: Characters that are kept of what follows a match.
 AFTER = 12
+#: Matches that a task holds at once.
+MATCHES = 20_000
 
 
 def spans(df: DataFrame, key: str, patterns: Mapping[str, tuple[str, str | None]], text: str = "text") -> DataFrame:
@@ -28,20 +30,35 @@ def spans(df: DataFrame, key: str, patterns: Mapping[str, tuple[str, str | None]
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, out = [], []
-            for i, value in enumerate(batch.column("t").to_pylist()):
-                for name, (pattern, only) in tests.items():
-                    found = (m for m in pattern.finditer(value or "") if only is None or only.fullmatch(m.group()))
-                    for n, m in enumerate(found):
-                        rows.append(i)
-                        out.append((name, n, m.start(), m.end(), m.group(), value[m.end() : m.end() + AFTER]))
-            columns = [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(rows, pa.int64())), *columns], names=[key, "kind", "n", "start", "stop", "matched", "after"])
+        return matches(batches, tests, key)
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"`{key}` {kind}, kind string, n int, start int, stop int, matched string, after string")
 
 
+def matches(batches: Iterator[pa.RecordBatch], tests: Mapping[str, tuple[re.Pattern, re.Pattern | None]], key: str, most: int = MATCHES) -> Iterator[pa.RecordBatch]:
+    """The matches in texts ``t`` of keys ``k``, handed on ``most`` at a time, in the middle of a text as well."""
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+
+    def made(keys: pa.Array, rows: list[int], out: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), *columns], names=[key, "kind", "n", "start", "stop", "matched", "after"])
+
+    for batch in batches:
+        rows, out = [], []
+        for i, text in enumerate(batch.column("t")):
+            value = text.as_py() or ""
+            for name, (pattern, only) in tests.items():
+                found = (m for m in pattern.finditer(value) if only is None or only.fullmatch(m.group()))
+                for n, m in enumerate(found):
+                    rows.append(i)
+                    out.append((name, n, m.start(), m.end(), m.group(), value[m.end() : m.end() + AFTER]))
+                    if len(out) >= most:
+                        yield made(batch.column("k"), rows, out)
+                        rows, out = [], []
+        if out:
+            yield made(batch.column("k"), rows, out)
+
+
 def _binned(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.greatest("start", F.col("stop") - 1)) / size))))
 

@@ -299,3 +299,17 @@ def test_claims_are_dealt_by_their_number(spark, monkeypatch):
         got = getattr(A, n)(spark, sf)
         assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
+
+
+def test_matches_are_handed_on_a_few_at_a_time():
+    import re
+
+    import pyarrow as pa
+
+    from ledgerwood.operators import spans as P
+
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(["a " * 250, None, "b c"])], names=["k", "t"])
+    made = list(P.matches(iter([batch]), {"w": (re.compile(r"\w+"), None), "b": (re.compile("b"), None)}, "id", 100))
+    assert [b.num_rows for b in made] == [100, 100, 53]
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [(r["id"], r["kind"], r["n"], r["start"]) for r in rows] == [(7, "w", i, 2 * i) for i in range(250)] + [(9, "w", 0, 0), (9, "w", 1, 2), (9, "b", 0, 0)]
