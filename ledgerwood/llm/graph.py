@@ -39,8 +39,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each node's larger neighbours, then its
     smaller ones, are hung on the least of them. A fixed point comes after a number of
-    rounds logarithmic in the longest chain; every round is a written table, so a lost
-    executor repeats one round at most.
+    rounds logarithmic in the longest chain; every half of a round is a written table, so a lost
+    executor repeats one at most, and a plan that the driver holds has one half alone.
     """
     edges = links.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct()
     edges, path = staged(edges, "edges")
@@ -49,9 +49,11 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size")
         large = hot_join(both, least, "u", "v", "size").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large, half = staged(large, "edges")
         floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
         small = hot_join(large, floor, "u", "v", "size").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges, new = staged(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        drop_path(links.sparkSession, half)
         drop_path(links.sparkSession, path)
         path, after = new, _signature(edges)
         if after == before:

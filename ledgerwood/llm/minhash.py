@@ -104,14 +104,16 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int, text_col: str,
     sets, sets_at = staged(node_sets(docs, wanted, width, text_col, id_col), "sets")
     sizes = pairs.groupBy("least").agg(F.count("*").alias("size"))
     sized = hot_join(members.select("least", "node"), sizes.select("least", "size", F.col("size").alias("held")), "least", "node", "size").withColumnRenamed("held", "size")
+    # Written, as small and large groups both read it: else the driver holds plans with all of this many times over.
+    sized, sized_at = staged(sized, "sized")
     whole = F.struct(F.lit(0).alias("r"), F.lit(0).alias("b"))
     small = sized.where(F.col("size") <= BLOCK).select(F.col("least").alias("group"), whole.alias("low"), whole.alias("high"), F.lit(True).alias("is_low"), "node")
-    large, large_at = staged(sized.where((F.col("size") > BLOCK) & (F.col("node") != F.col("least"))).select("least", "node", "size"), "large-groups")
+    large = sized.where((F.col("size") > BLOCK) & (F.col("node") != F.col("least"))).select("least", "node", "size")
     compared, compared_at = staged(_compared(large, sets), "compared")
     stars = compared.where("linked").select(F.col("node").alias("u"), F.col("least").alias("v"))
     blocks = small.union(_ranges(compared)).join(sets.select("node", "shingles"), "node")
     links = stars.union(blocks.groupBy("group", "low", "high").applyInPandas(_block_links, "u bigint, v bigint"))
-    return links, [least_at, pairs_at, sets_at, large_at, compared_at]
+    return links, [least_at, pairs_at, sets_at, sized_at, compared_at]
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,7 +192,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, text_col: str = "text",
     first = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     placed = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
-    by_node = hot_join(placed, smallest, "root", "node", "size").select("node", "root", "component_id")
+    # Written: what stays of the documents reads it twice.
+    by_node, _ = staged(hot_join(placed, smallest, "root", "node", "size").select("node", "root", "component_id"), "roots")
     out = sketches.select("doc_id", "text_hash", "n_shingles", "node").join(by_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "root")
