@@ -88,21 +88,28 @@ FROM lineitem LEFT JOIN documents a ON a.doc_id = l_partkey LEFT JOIN documents
 v AS (SELECT l_orderkey, l_linenumber, source IS NOT NULL AS known, coalesce(contains(lower(trim(regexp_replace(source, '\s+', ' ', 'g'), ' ')), lower(trim(regexp_replace(quote, '\s+', ' ', 'g'), ' '))) OR contains(lower(regexp_replace(source, '\s+', '', 'g')), lower(regexp_replace(quote, '\s+', '', 'g'))), false) AS verified FROM x)"""
 
 
+def _squeezed(text):
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def _quotations(spark, sf):
-    """Every line cites the document of its part's number and quotes that one or the next, some with other spacing."""
+    """Every line cites the document of its part's number and quotes that one or the next, some with other spacing.
+
+    A document is folded once, before the lines that cite it meet it.
+    """
     d = table(spark, sf, "documents")
-    cited = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(d.select(F.col("doc_id").alias("l_partkey"), F.col("text").alias("source")), "l_partkey", "left")
+    sources = d.select(F.col("doc_id").alias("l_partkey"), _squeezed(F.col("text")).alias("plain"), T.fold_all(F.col("text")).alias("bare"), F.substring("text", 20, 40).alias("own"))
+    cited = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(sources, "l_partkey", "left")
     both = cited.join(d.select((F.col("doc_id") - 1).alias("l_partkey"), F.substring("text", 20, 40).alias("other")), "l_partkey", "left")
-    n, own = F.col("l_linenumber") % 3, F.substring("source", 20, 40)
+    n, own = F.col("l_linenumber") % 3, F.col("own")
     return both.withColumn("quote", F.when(n == 0, own).when(n == 1, F.replace(own, F.lit(" "), F.lit("  "))).otherwise(F.col("other")))
 
 
 @query(f"WITH {_QUOTES} SELECT l_orderkey, l_linenumber, known, verified FROM v")
 def j18_quotation(spark, sf):
     """Whether the cited source holds the quoted text, folded, or with all white space left out."""
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    held = plain("source").contains(plain("quote")) | T.fold_all(F.col("source")).contains(T.fold_all(F.col("quote")))
-    return _quotations(spark, sf).select("l_orderkey", "l_linenumber", F.col("source").isNotNull().alias("known"), F.coalesce(held, F.lit(False)).alias("verified"))
+    held = F.col("plain").contains(_squeezed(F.col("quote"))) | F.col("bare").contains(T.fold_all(F.col("quote")))
+    return _quotations(spark, sf).select("l_orderkey", "l_linenumber", F.col("plain").isNotNull().alias("known"), F.coalesce(held, F.lit(False)).alias("verified"))
 
 
 @query(f"WITH {_QUOTES} SELECT l_orderkey, count(*) AS citations, count(*) FILTER (WHERE NOT known) AS unknown, count(*) FILTER (WHERE verified) AS verified FROM v GROUP BY 1")

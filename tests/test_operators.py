@@ -15,6 +15,7 @@ from ledgerwood.operators import services
 from ledgerwood.operators import documents as D
 from ledgerwood.operators import relations as R
 from ledgerwood.operators import retrieval as S
+from ledgerwood.plans import registry
 from ledgerwood.sources import tables
 
 
@@ -313,3 +314,30 @@ def test_matches_are_handed_on_a_few_at_a_time():
     assert [b.num_rows for b in made] == [100, 100, 53]
     rows = [r for b in made for r in b.to_pylist()]
     assert [(r["id"], r["kind"], r["n"], r["start"]) for r in rows] == [(7, "w", i, 2 * i) for i in range(250)] + [(9, "w", 0, 0), (9, "w", 1, 2), (9, "b", 0, 0)]
+
+
+def test_working_days_are_counted_without_a_list(spark):
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=a), dt.date(2024, 1, 1) + dt.timedelta(days=b)) for a in range(-9, 9) for b in range(-20, 30)]
+    days = spark.createDataFrame(rows, "a date, b date")
+    free = F.array(*[F.lit(x).cast("date") for x in ("2024-01-06", "2024-01-03", "2024-01-03", "2023-12-29")])
+    got = days.select("a", "b", V.count_days(F.col("a"), F.col("b"), True).alias("n"), V.count_days(F.col("a"), F.col("b"), True, free).alias("h"))
+    out = {dt.date(2024, 1, 3), dt.date(2023, 12, 29)}
+
+    def walked(a, b, holidays=()):
+        own = [min(a, b) + dt.timedelta(days=k + 1) for k in range(abs((b - a).days))]
+        return sum(d.weekday() < 5 and d not in holidays for d in own) * (1 if b >= a else -1)
+
+    assert [(r["n"], r["h"]) for r in got.collect()] == [(walked(r["a"], r["b"]), walked(r["a"], r["b"], out)) for r in got.collect()]
+    far = spark.createDataFrame([(dt.date(1, 1, 1), dt.date(9999, 12, 31), None)], "a date, b date, c date")
+    assert tuple(far.select(V.count_days(F.col("a"), F.col("b"), True), V.count_days(F.col("a"), F.col("c"), True)).first()) == (2608614, None)
+    assert "sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sources_are_folded_before_the_lines_meet_them(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 19 + "Some  quoted\ttext of a source, which goes on."), (2, None), (3, "y" * 30)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 3, 1), (1, 4, 1), (1, 5, 1), (2, 3, 2), (2, 5, 2), (3, 3, 7)], "l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    registry.load()
+    found = registry.QUERIES["j18_quotation"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, 3, True, True), (1, 4, True, True), (1, 5, True, False), (2, 3, False, False), (2, 5, False, False), (3, 3, False, False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("Join")].count("regexp_replace") <= 2  # those of the quotation
