@@ -40,13 +40,23 @@ def add_days(start: Column, days: int, working: bool = False, holidays: Column |
     return F.element_at(F.filter(reach, lambda d: is_working(d, holidays)), days)
 
 
+def _worked(day: Column) -> Column:
+    """Weekdays up to a date since a Monday: whole weeks, and the rest up to Friday."""
+    n = F.datediff(day, F.lit("1969-12-29").cast("date")) + 1
+    rest = F.pmod(n, F.lit(7))
+    return ((n - rest) / 7).cast("int") * 5 + F.least(rest, F.lit(5))
+
+
 def count_days(start: Column, stop: Column, working: bool = False, holidays: Column | None = None) -> Column:
-    """Signed days between two dates, the start not counted."""
+    """Signed days between two dates, the start not counted; NULL where one of them is. No list of days is made."""
     if not working:
         return F.datediff(stop, start)
-    holidays = F.array().cast("array<date>") if holidays is None else holidays
-    between = lambda a, b: F.when(b > a, F.size(F.filter(F.sequence(F.date_add(a, 1), b), lambda d: is_working(d, holidays)))).otherwise(0)
-    return F.when(stop >= start, between(start, stop)).otherwise(-between(stop, start))
+    weekdays = _worked(stop) - _worked(start)
+    if holidays is None:
+        return weekdays
+    low, high = F.least(start, stop), F.greatest(start, stop)
+    free = F.size(F.filter(F.array_distinct(holidays), lambda d: ~weekday(d).isin(5, 6) & (d > low) & (d <= high)))
+    return weekdays - F.when(stop >= start, free).otherwise(-free)
 
 
 def amount(text: Column) -> Column:
