@@ -82,7 +82,8 @@ def notice_compliance(claims: DataFrame, notices: DataFrame, wanted: DataFrame)
     none = F.lit(None).cast(notices.schema["notice_id"].dataType)
     direct = _assessed(pairs.where("runs_from = 'awareness'").withColumns({"starts": F.col("awareness"), "barred_id": none}), notices, keys, parts)
     anchors = direct.where("obligation = 'notice_of_claim' AND effective IS NOT NULL").select("claim_id", F.col("clause").alias("runs_from_clause"), F.col("effective").alias("starts"), F.col("notice_id").alias("barred_id"))
-    chained = _assessed(pairs.where("runs_from = 'notice'").join(anchors, ["claim_id", "runs_from_clause"], "left"), notices, keys, parts)
+    from_notice, by = pairs.where("runs_from = 'notice'"), ["claim_id", "runs_from_clause"]
+    chained = _assessed(dealt(from_notice, parts, *by).join(dealt(anchors, parts, *by), by, "left"), notices, keys, parts)
     columns = [*keys, "precedent", "starts", "deadline", "notice_id", "effective", "status", "days_used", "days_late", "time_barred"]
     return direct.select(*columns).unionByName(chained.select(*columns))
 

@@ -24,9 +24,13 @@ ROWS_PER_TASK = 250_000
 
 
 def parts_of(df: DataFrame, per_task: int = ROWS_PER_TASK) -> int | None:
-    """The number of parts that rows are dealt to where the session's own number would give tasks more than their share; else None."""
+    """The number of parts that rows are dealt to where the planner would give tasks more than their share; else None.
+
+    Adaptive execution joins the session's partitions into about as many as there are cores, so theirs grow with the rows.
+    """
+    spark = df.sparkSession
     wanted = -(-df.count() // per_task)
-    return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    return wanted if wanted > min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) else None
 
 
 def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compliance as C
-from ..operators.relations import parts_of
+from ..operators.relations import dealt, parts_of
 from ..sources.tables import table
 from .registry import query
 
@@ -26,13 +26,19 @@ def claims(spark, sf):
     return table(spark, sf, "orders").select(*_claim_columns())
 
 
+def parts_of_claims(spark, sf):
+    """The parts that findings and notices are dealt to when a claim's rows meet."""
+    return parts_of(table(spark, sf, "orders"), C.CLAIMS_PER_TASK)
+
+
 def notices(spark, sf):
     """One row per order and line number, dated around the order; some under no clause and some without a date."""
     # Dealt by order once: the aggregate and the join both follow that partitioning.
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     lines = lines.repartition(*([n] if (n := parts_of(lines)) else []), "l_orderkey")
     first = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
-    both = first.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # The size of a few columns is guessed low from compressed files, so orders would be broadcast to every task.
+    both = first.join(table(spark, sf, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     clause = F.get(F.array(*[F.lit(x) for x in ("20.2.1", "20.2.4", "44.2", "53.1", "53.3", "20.1", "")]), (F.col("part") % 7).cast("int"))
     obligation = F.when(F.col("part") % 5 == 0, "notice_of_claim").when(F.col("part") % 5 == 1, "detailed_claim")
     effective = F.when(F.col("part") % 13 != 0, F.expr("date_add(to_date(o_orderdate), CAST(part % 90 AS INT) - 5)"))
@@ -76,7 +82,7 @@ def a25_deadline_tallies(spark, sf):
     found = C.notice_compliance(claims(spark, sf), notices(spark, sf), C.requirements(spark))
     left, open_ = F.datediff("deadline", F.lit(TODAY).cast("date")), F.col("status") == "not_given"
     late = F.col("status") == "late"
-    return found.groupBy("claim_id").agg(F.count("*").alias("findings"), F.count_if(late).alias("late"), F.count_if("time_barred").alias("barred"), F.count_if(open_ & (left < 0)).alias("overdue"), F.count_if(open_ & (left >= 0) & (left <= 30)).alias("due_soon"))
+    return dealt(found, parts_of_claims(spark, sf), "claim_id").groupBy("claim_id").agg(F.count("*").alias("findings"), F.count_if(late).alias("late"), F.count_if("time_barred").alias("barred"), F.count_if(open_ & (left < 0)).alias("overdue"), F.count_if(open_ & (left >= 0) & (left <= 30)).alias("due_soon"))
 
 
 def facts(spark, sf):
@@ -93,8 +99,9 @@ def facts(spark, sf):
         "n_detailed": detailed, "n_detailed_missing": detailed & (F.col("status") == "not_given"), "n_detailed_late": detailed & (F.col("status") == "late"),
         "n_lapsing": lapsing, "n_expired": lapsing & gone, "n_expired_on_record": lapsing & gone & (F.col("status") != "not_given"),
     }
-    by = found.groupBy("claim_id").agg(*[F.count_if(c).alias(k) for k, c in counts.items()])
-    both = table(spark, sf, "orders").select("*", *_claim_columns()).join(by, "claim_id", "left").na.fill(0, list(counts))
+    parts = parts_of_claims(spark, sf)
+    by = dealt(found, parts, "claim_id").groupBy("claim_id").agg(*[F.count_if(c).alias(k) for k, c in counts.items()])
+    both = dealt(table(spark, sf, "orders").select("*", *_claim_columns()), parts, "claim_id").join(by, "claim_id", "left").na.fill(0, list(counts))
     k = F.col("o_orderkey")
     return both.withColumns({
         "n_basis": (k % 4).cast("int"), "n_basis_missing": (k % 2).cast("int"), "published": F.col("edition") != "red-book-1999", "has_claimant": k % 9 != 0, "has_respondent": k % 10 != 0,

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import re
 
 import duckdb
 import pytest
@@ -314,6 +315,22 @@ def test_claims_are_dealt_by_their_number(spark, monkeypatch):
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_claims_are_dealt_below_the_sessions_partitions(spark, monkeypatch):
+    """With 200 partitions that the planner may join, no claims' join or aggregate is left to it."""
+    registry.load()
+    monkeypatch.setattr(C, "CLAIMS_PER_TASK", 100)
+    monkeypatch.setattr(R.parts_of, "__defaults__", (500,))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for name in ["g04_notice_compliance", "a25_deadline_tallies", "g13_screening", "g14_outcome", "g16_checklist", "g17_notice_register"]:
+            plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+            assert "REPARTITION_BY_NUM" in plan and ", 200), ENSURE_REQUIREMENTS" not in plan and not re.search(r"BroadcastHashJoin \[l_orderkey", plan), name
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_matches_are_handed_on_a_few_at_a_time():
     import re
 
