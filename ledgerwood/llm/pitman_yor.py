@@ -2,23 +2,24 @@
 
 Every context has a restaurant: tokens are its customers, and each table is a customer of
 the root restaurant, the parent that all contexts share; the root's own parent is uniform
-over the V known tokens and one unknown. The context of a token is the class of the word
-before it by its last two bytes, or the start of a document.
+over the V known tokens and one unknown. The context of a token is the whole word before it,
+or the start of a document.
 
-Seats are sampled by Gibbs: in each sweep every token's customers are seated anew in each of
-its contexts, and then in the root, given the other seats of the sweep before. Only totals
-by context, a fixed few, go through the driver. Predictive probabilities are averaged over the
-sweeps after burn-in.
+Seats are sampled by Gibbs: in each sweep every pair of context and token that occurs more than
+once is seated anew, and then every token in the root, given the other seats of the sweep before.
+A pair that occurs once has one table in any seating, so it is only counted. Predictive
+probabilities are averaged over the sweeps after burn-in.
 
-At scale: tokens are 64-bit hashes, counted in the tasks before the shuffle. For scoring,
-documents are dealt by hash into blocks of bounded bytes; a block asks once for each pair of
-token and context in it, and the answers come back to the block. No task holds more than a
-block of text and its answers, and no vocabulary is broadcast: only the ``FREQUENT`` most
-frequent tokens, a fixed number, go to every task, as every block would ask for them.
+At scale: documents are dealt by hash into blocks of bounded bytes and tokenised once; words get
+numbers by falling frequency, and texts are written as numbers. A block's distinct pairs travel as
+arrays by bucket of the pair, and what the bucket knows of them comes back in the same order. A rare
+context lies in one bucket; the ``FREQUENT`` most frequent ones are dealt to all. What belongs to
+those words, a fixed number, goes to every task; the rest of the vocabulary meets its pairs in joins.
 
 Defined results: a null text is empty, an empty one is one end token; without training
 documents every token has probability 1 of the unknown slot; repeated rows are scored each;
-extra columns are ignored. Two tokens share a hash with a probability under V^2 / 2^65.
+extra columns are ignored. Two tokens share a hash with a probability under V^2 / 2^65; V is
+under 2^31.
 """
 
 from __future__ import annotations
@@ -32,20 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, bucket_of, drop_path, hash_words, list_array, mix, regrouped, release_shuffles, slices, staged, table, utf8
 
-CLASSES = 64
-START = CLASSES
+#: Numbers of the context at the start of a document, and of words without training.
+START, UNKNOWN = -1, -2
 #: Sweeps before the first sample, and samples.
 BURN_IN, SAMPLES = 1, 2
 STRENGTH = 1.0
-#: UTF-8 bytes of text in a block of scoring, about.
-BLOCK_BYTES = 28 << 20
+#: UTF-8 bytes of text in a block, about; a bucket has the pairs of about as many.
+BLOCK_BYTES = 16 << 20
 #: Partitions that blocks are dealt to, at most.
 PARTITIONS = 20_000
-#: Tokens whose probabilities every task holds: a fixed number by all contexts.
+#: Words whose values every task holds, and whose pairs are dealt to all buckets: a fixed number.
 FREQUENT = 16_384
-#: Distinct pairs that a counting task holds before it passes them on.
-HELD = 1 << 20
-#: UTF-8 bytes of text that a task works on at once: distinct pairs are found by sorting, so more is better.
+#: UTF-8 bytes of text that a task splits at once.
 AT_ONCE = 2 << 20
 #: Rows of an Arrow batch: most of what passes through are rows of numbers.
 BATCH = 8000
@@ -53,70 +52,45 @@ END = np.uint64(0x656E64206F662074)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes and contexts of texts end to end, and each text's number of tokens."""
+def tokens_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of texts end to end, and each text's number of tokens; the context of a token is the whole word before it."""
     words = [r.split() for r in raws]
     lengths = np.array([len(w) + 1 for w in words], np.int64)
-    flat = [w for own in words for w in own]
     stops = np.cumsum(lengths)
     n = int(stops[-1]) if len(stops) else 0
     at_end = np.zeros(n, bool)
     at_end[stops - 1] = True
     h = np.full(n, END, np.uint64)
-    h[~at_end] = hash_words(flat)
-    joined = np.frombuffer(b"\0" + b"".join(flat), np.uint8)
-    last = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))
-    classes = (joined[last].astype(np.int64) * 31 + joined[np.maximum(last - 1, 0)].astype(np.int64)) % CLASSES
-    context = np.full(n, START, np.int64)
-    after = np.flatnonzero(~at_end) + 1  # the place after each word is never a text's first
-    context[after] = classes
-    return h, context, lengths
+    h[~at_end] = hash_words([w for own in words for w in own])
+    return h, lengths
 
 
-def pair_keys(h: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix(h + context.astype(np.uint64) * _P)
+def contexts_of(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The context of each token of texts end to end: the number of the word before it."""
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[np.cumsum(lengths) - lengths] = START
+    return before
 
 
-class _Pairs:
-    """Distinct (token, context) pairs with counts."""
+def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Pairs of numbers as one; their order is that of context and word."""
+    return (context.astype(np.int64) + 2) << 32 | (word.astype(np.int64) + 2)
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
 
-    def add(self, h, context):
-        key, first, n = np.unique(pair_keys(h, context), return_index=True, return_counts=True)
-        self.parts.append((key, h[first], context[first].astype(np.int32), n))
-        self.held += len(key)
+def pair_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ((keys >> 32) - 2).astype(np.int32), ((keys & 0xFFFFFFFF) - 2).astype(np.int32)
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, h, context, n = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
-        key, first, at = np.unique(key, return_index=True, return_inverse=True)
-        n = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
-        self.parts = [(key, h[first], context[first], n)]
-        self.held = len(key)
-        return h[first].view(np.int64), context[first], n
 
+def draw_keys(numbers: np.ndarray) -> np.ndarray:
+    return mix(numbers.astype(np.int64).view(np.uint64) + _P)
 
-def count_pairs(training: DataFrame, text_col: str) -> DataFrame:
-    """(h, context, n), summed within tasks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _Pairs()
-        for batch in batches:
-            texts = batch.column(0)
-            for start, stop in slices(texts, AT_ONCE):
-                h, context, _ = tokens_of([utf8(t).lower() for t in texts.slice(start, stop - start).to_pylist()])
-                pairs.add(h, context)
-            if pairs.held > HELD:
-                merged = pairs.merge()
-                if pairs.held > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged], names=["h", "context", "n"])
-                    pairs = _Pairs()
-        if pairs.parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.merge()], names=["h", "context", "n"])
-
-    return training.select(F.col(text_col).alias("text")).mapInArrow(run, "h bigint, context int, n bigint")
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a column of lists, and the length of each."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    return np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
 
 
 def uniform(keys: np.ndarray, draw: int) -> np.ndarray:
@@ -166,250 +140,445 @@ def seat(customers: np.ndarray, tables: np.ndarray, strength: float, discount: f
     return t
 
 
-class Totals:
-    """What a sweep knows of the others' seats: totals by context and of the root."""
+def _place(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys stand in a sorted array, and which of them do."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
 
-    def __init__(self, customers: dict[int, int], tables: dict[int, int], root_tables: int, vocabulary: int, discount: float, root_discount: float):
-        self.customers = np.array([customers.get(k, 0) for k in range(CLASSES + 1)], np.float64)
-        self.tables = np.array([tables.get(k, 0) for k in range(CLASSES + 1)], np.float64)
-        self.root_tables, self.vocabulary = root_tables, vocabulary
-        self.discount, self.root_discount = discount, root_discount
 
-    def root(self, customers, tables):
-        """The root's predictive probability of dishes."""
-        d = self.root_discount
-        return (customers - d * tables + (STRENGTH + d * self.root_tables) / (self.vocabulary + 1)) / (STRENGTH + self.tables.sum())
+def block_of(id_: Column, text: Column, n_blocks: int) -> Column:
+    """A row's block, by its number too: copies of one row are dealt to all blocks. No score depends on blocks."""
+    return F.pmod(F.xxhash64(id_, text, F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
+
+
+def encoded(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(doc_id, block, train, ids) of rows (doc_id, text, train), ids by the block's own list of words, and one row a block with that list and the words' counts in training."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = int(total // block_bytes) + 1
+    dealt = docs.select("doc_id", "text", "train", block_of(F.col("doc_id"), F.col("text"), n_blocks).alias("block"))
+    # Three partitions a block, so that few of them get two blocks; beyond a bound blocks share them, one at a time.
+    dealt = dealt.repartition(min(3 * n_blocks, PARTITIONS), "block")
+
+    def run(rows: pa.Table) -> pa.Table:
+        texts = rows["text"].combine_chunks()
+        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+        lists, places, lengths = [], [], []
+        for start, stop in slices(texts, AT_ONCE):
+            h, own = tokens_of([utf8(t).lower() for t in texts.slice(start, stop - start).to_pylist()])
+            distinct, at = np.unique(h, return_inverse=True)
+            lists.append(distinct)
+            places.append(at.astype(np.int32))
+            lengths.append(own)
+        hashes, at = np.unique(np.concatenate(lists), return_inverse=True)
+        at, offsets = at.astype(np.int32), np.cumsum([0, *map(len, lists)])
+        ids = np.concatenate([at[o : o + len(own)][place] for o, own, place in zip(offsets, lists, places)])
+        lengths, train = np.concatenate(lengths), np.asarray(rows["train"]).astype(bool)
+        counts = np.bincount(ids[np.repeat(train, lengths)], minlength=len(hashes)).astype(np.int64)
+        n = rows.num_rows
+        none = pa.nulls(n, pa.list_(pa.int64()))
+        ended = lambda c: pa.chunked_array([*c.chunks, pa.nulls(1, c.type)], c.type)
+        number = pa.array(np.full(n + 1, rows["block"][0].as_py(), np.int32))
+        lists = [pa.concat_arrays([none, list_array(x, [len(x)])]) for x in (hashes.view(np.int64), counts)]
+        return pa.table([ended(rows["doc_id"]), number, ended(rows["train"]), list_array(ids, np.append(lengths, 0)), *lists], names=["doc_id", "block", "train", "ids", "hashes", "counts"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("block").applyInArrow(run, f"doc_id {kind}, block int, train boolean, ids array<int>, hashes array<bigint>, counts array<bigint>")
+
+
+def numbered(blocks: DataFrame) -> DataFrame:
+    """(h, n, id): all words with training, numbered from 0 by falling count."""
+    listed = blocks.where("hashes is not null").select(F.explode(F.arrays_zip("hashes", "counts")).alias("w")).select(F.col("w.hashes").alias("h"), F.col("w.counts").alias("n"))
+    counted = listed.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h")
+    ordered, _ = staged(counted.withColumn("at", F.monotonically_increasing_id()), "words")
+    # Numbers follow from the order alone: a row's place in its partition after the rows of all partitions before.
+    sizes = {r["p"]: r["count"] for r in ordered.groupBy(F.shiftright("at", 33).cast("int").alias("p")).count().collect()}
+    before = np.cumsum([0, *[sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)]])
+    first = F.get(F.array(*[F.lit(int(b)) for b in before]), F.shiftright("at", 33).cast("int"))
+    return ordered.select("h", "n", (first + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("id"))
+
+
+def in_numbers(blocks: DataFrame, words: DataFrame, tokens: int, vocabulary: int) -> DataFrame:
+    """The rows of ``encoded`` with the numbers of ``words``, known tokens and base scores; a block's last row has its known words."""
+    asked = blocks.where("hashes is not null").select(F.col("block").alias("asker"), F.posexplode("hashes").alias("at", "h"))
+    answers = asked.join(words.select("h", "n", "id"), "h").select("asker", "at", "n", "id")
+
+    def run(rows: pa.Table, answered: pa.Table) -> pa.Table:
+        at, lengths = _flat(rows["ids"])
+        ids, n = np.full(int(at.max(initial=-1)) + 1, UNKNOWN, np.int32), np.zeros(int(at.max(initial=-1)) + 1)
+        where = np.asarray(answered["at"])
+        ids[where], n[where] = np.asarray(answered["id"]), np.asarray(answered["n"])
+        firsts = np.cumsum(lengths) - lengths
+        base = np.log10((n + 1.0) / (tokens + vocabulary + 1.0))
+        sums = [np.add.reduceat(x, firsts) for x in ((n > 0).astype(np.int64)[at], base[at])]
+        ended = lambda c: pa.chunked_array([*c.chunks, pa.nulls(1, c.type)], c.type)
+        number = pa.array(np.full(len(lengths) + 1, rows["block"][0].as_py(), np.int32))
+        listed = pa.concat_arrays([pa.nulls(len(lengths), pa.list_(pa.int32())), list_array(np.sort(ids[where]), [len(where)])])
+        return pa.table(
+            [ended(rows["doc_id"]), number, ended(rows["train"]), list_array(ids[at], np.append(lengths, 0)), pa.array(np.append(sums[0], 0)), pa.array(np.append(sums[1], 0.0)), listed],
+            names=["doc_id", "block", "train", "ids", "n_known", "base_score", "words"],
+        )
+
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    docs = blocks.where("hashes is null").select("doc_id", "block", "train", "ids")
+    return docs.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(run, f"doc_id {kind}, block int, train boolean, ids array<int>, n_known bigint, base_score double, words array<int>")
 
-    def own(self, customers, tables, context):
-        """The part of a context's predictive probability that its own customers give."""
-        return (customers - self.discount * tables) / (STRENGTH + self.customers[context])
 
-    def back_off(self):
-        return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
+def pair_buckets(keys: np.ndarray, n_buckets: int, frequent: int) -> np.ndarray:
+    """A rare context has all its pairs in one bucket, a frequent one in all of them."""
+    context = (keys >> 32) - 2
+    return (draw_keys(np.where(context < frequent, keys, context)) % np.uint64(n_buckets)).astype(np.int32)
 
 
-TABLE = "h bigint, n bigint, contexts array<int>, customers array<bigint>, tables array<bigint>, root_tables bigint, own array<double>, roots array<double>"
+def block_pairs(ids: np.ndarray, lengths: np.ndarray, n_buckets: int, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of known context and word in order of bucket and pair, each bucket, the known tokens' places, and each one's pair."""
+    context = contexts_of(ids, lengths)
+    at = np.flatnonzero((ids != UNKNOWN) & (context != UNKNOWN))
+    keys, of = np.unique(pair_keys(context[at], ids[at]), return_inverse=True)
+    buckets = pair_buckets(keys, n_buckets, frequent)
+    order = np.argsort(buckets, kind="stable")
+    moved = np.empty(len(keys), np.int64)
+    moved[order] = np.arange(len(keys))
+    return keys[order], buckets[order], at, moved[of]
 
 
-def sweep(words: DataFrame, totals: Totals, number: int) -> DataFrame:
-    """Seat every token's customers anew."""
+PAIRS = "bucket int, block int, contexts array<int>, words array<int>, counts array<int>"
+
+
+def packed_pairs(texts: DataFrame, n_buckets: int, frequent: int, counted: bool) -> DataFrame:
+    """A block's distinct pairs, one row a bucket, with counts or without."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, lengths = _flat(rows["ids"])
+        keys, buckets, _, of = block_pairs(ids, lengths, n_buckets, frequent)
+        numbers, sizes = np.unique(buckets, return_counts=True)
+        context, word = pair_of(keys)
+        counts = list_array(np.bincount(of, minlength=len(keys)).astype(np.int32), sizes) if counted else list_array(np.empty(0, np.int32), np.zeros(len(sizes), np.int64))
+        block = pa.array(np.full(len(sizes), rows["block"][0].as_py(), np.int32))
+        return pa.table([pa.array(numbers), block, list_array(context, sizes), list_array(word, sizes), counts], names=[f.split()[0] for f in PAIRS.split(", ")])
+
+    return texts.where("words is null").select("block", "ids").groupBy("block").applyInArrow(run, PAIRS)
+
+
+def count_pairs(texts: DataFrame, n_buckets: int, frequent: int) -> DataFrame:
+    """All pairs of a bucket in order with their counts, as one row."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, of = np.unique(pair_keys(_flat(rows["contexts"])[0], _flat(rows["words"])[0]), return_inverse=True)
+        counts = np.bincount(of, weights=_flat(rows["counts"])[0], minlength=len(keys)).astype(np.int32)
+        context, word = pair_of(keys)
+        size = [len(keys)]
+        first = pa.array([rows["bucket"][0].as_py()], pa.int32())
+        return pa.table([first, pa.array([-1], pa.int32()), list_array(context, size), list_array(word, size), list_array(counts, size)], names=[f.split()[0] for f in PAIRS.split(", ")])
+
+    return packed_pairs(texts.where("train"), n_buckets, frequent, True).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(run, PAIRS)
+
+
+def tallies(pairs: DataFrame) -> DataFrame:
+    """(id, ones_after, ones_of, twos_of): of each word, pairs seen once that it is the context of, and that it is the token of, and its pairs in all as a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in regrouped(batches):
-            h = np.asarray(b.column("h"))
-            lists = b.column("contexts")
-            lengths = np.diff(np.asarray(lists.offsets))
-            context = np.asarray(lists.flatten(), np.int64)
-            customers, old = (np.asarray(b.column(c).flatten(), np.int64) for c in ("customers", "tables"))
-            of = np.repeat(np.arange(len(h)), lengths)
-            at_root = np.bincount(of, weights=old, minlength=len(h))
-            old_root = np.asarray(b.column("root_tables"), np.float64)
-            keys = h.view(np.uint64)
-            parent = totals.root(at_root, old_root)
-            t = seat(customers, totals.tables[context] - old, STRENGTH, totals.discount, parent[of], pair_keys(keys[of], context), 2 * number)
-            at_root = np.bincount(of, weights=t, minlength=len(h)).astype(np.int64)
-            base = np.full(len(h), 1 / (totals.vocabulary + 1))
-            root = seat(at_root, np.maximum(0, totals.root_tables - old_root), STRENGTH, totals.root_discount, base, keys, 2 * number + 1)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("h"), b.column("n"), lists, b.column("customers"), pa.ListArray.from_arrays(offsets, pa.array(t)), pa.array(root), b.column("own"), b.column("roots")],
-                names=[f.split()[0] for f in TABLE.split(", ")],
-            )
-
-    return words.mapInArrow(run, TABLE)
-
-
-def table_totals(words: DataFrame) -> tuple[dict[int, int], int]:
-    """Tables by context, and of the root."""
-    by = words.select(F.explode(F.arrays_zip("contexts", "tables")).alias("p")).groupBy("p.contexts").agg(F.sum("p.tables").alias("t"))
-    return {r["contexts"]: r["t"] for r in by.collect()}, words.agg(F.sum("root_tables")).first()[0] or 0
-
-
-def with_sample(words: DataFrame, totals: Totals) -> DataFrame:
-    """Add one sample's own parts and root probabilities to each token."""
-    seats = F.array(*[F.lit(float(x)) for x in STRENGTH + totals.customers])
-    own = F.zip_with(F.arrays_zip("customers", "tables"), "contexts", lambda p, k: (p["customers"] - totals.discount * p["tables"]) / F.get(seats, k))
-    at_root = F.aggregate("tables", F.lit(0).cast("bigint"), lambda a, t: a + t)
-    d = totals.root_discount
-    root = (at_root - d * F.col("root_tables") + (STRENGTH + d * totals.root_tables) / (totals.vocabulary + 1)) / float(STRENGTH + totals.tables.sum())
-    return words.withColumn("own", F.when(F.size("own") > 0, F.zip_with("own", own, lambda a, b: a + b)).otherwise(own)).withColumn("roots", F.concat("roots", F.array(root)))
+        for b in batches:
+            context, word, n = (_flat(b.column(c))[0] for c in ("contexts", "words", "counts"))
+            for ids, column in ((context[n == 1], 0), (word[n == 1], 1), (word, 2)):
+                of, counts = np.unique(ids, return_counts=True)
+                out = np.zeros((3, len(of)), np.int64)
+                out[column] = counts
+                yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), *map(pa.array, out)], names=["id", "ones_after", "ones_of", "pairs_of"])
 
+    schema = "id int, ones_after bigint, ones_of bigint, pairs_of bigint"
+    return pairs.mapInArrow(run, schema).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("ones_after", "ones_of", "pairs_of")])
 
-class Model:
-    """Seats of the last sweep with the sums of all samples, and the totals of each sample."""
 
-    def __init__(self, words: DataFrame, samples: list[Totals], tokens: int, vocabulary: int):
-        self.words, self.samples, self.tokens, self.vocabulary = words, samples, tokens, vocabulary
+SEATS = "bucket int, context int, word int, customers bigint, tables bigint, own double"
 
 
-def gathered(pairs: DataFrame) -> DataFrame:
-    """One row per token from rows (h, context, n) that are sorted by token within their partitions."""
+def repeated(pairs: DataFrame) -> DataFrame:
+    """The pairs that occur more than once, a row each, at one table."""
 
-    def rows(h, context, n):
-        starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (context[1:] != context[:-1])]))
-        h, context, n = h[starts], context[starts], np.add.reduceat(n, starts)
-        firsts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        lengths = np.diff(np.append(firsts, len(h)))
-        ones, none = np.ones(len(firsts), np.int64), np.zeros(len(firsts), np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h[firsts]), pa.array(np.add.reduceat(n, firsts)), list_array(context, lengths), list_array(n, lengths), list_array(np.ones(len(h), np.int64), lengths), pa.array(ones), list_array(np.empty(0), none), list_array(np.empty(0), none)],
-            names=[f.split()[0] for f in TABLE.split(", ")],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (context, sizes), word, n = _flat(b.column("contexts")), _flat(b.column("words"))[0], _flat(b.column("counts"))[0]
+            at = np.flatnonzero(n > 1)
+            bucket = np.repeat(np.asarray(b.column("bucket")), sizes)[at]
+            for i in range(0, len(at), BATCH):
+                own = at[i : i + BATCH]
+                columns = [bucket[i : i + BATCH], context[own], word[own], n[own].astype(np.int64), np.ones(len(own), np.int64), np.zeros(len(own))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in SEATS.split(", ")])
+
+    return pairs.mapInArrow(run, SEATS)
+
+
+class Lookup:
+    """Values by a word's number, asked of the table one by one."""
+
+    def __init__(self, words: DataFrame, column: Column):
+        self.words, self.column = words, column
+
+    def __getitem__(self, number: int) -> float:
+        return self.words.where(F.col("id") == number).select(self.column).first()[0]
+
+
+class Totals:
+    """What a sweep knows of all seats: tables in the root and in all other restaurants."""
+
+    def __init__(self, tables: int, root_tables: int, vocabulary: int, discount: float, root_discount: float):
+        self.tables, self.root_tables, self.vocabulary = tables, root_tables, vocabulary
+        self.discount, self.root_discount = discount, root_discount
+        self.words: DataFrame | None = None
+        self.number = 0
+
+    def root(self, customers, tables):
+        """The root's predictive probability of dishes: numbers or columns."""
+        d = self.root_discount
+        return (customers - d * tables + (STRENGTH + d * self.root_tables) / (self.vocabulary + 1)) / float(STRENGTH + self.tables)
+
+    def back_off(self) -> Lookup:
+        """The share that each context leaves to the root."""
+        return Lookup(self.words, F.get("backs", F.lit(self.number)))
+
+
+def frequent_values(values: DataFrame, frequent: int) -> np.ndarray:
+    """The columns of a table (id, numbers...) by number + 1 for the most frequent words and START: a bounded table."""
+    rows = values.where(F.col("id") < frequent).toArrow()
+    ids = rows["id"].to_numpy()
+    out = np.zeros((int(ids.max(initial=-1)) + 2, rows.num_columns - 1))
+    for k in range(1, rows.num_columns):
+        out[ids + 1, k - 1] = rows.column(k).to_numpy()
+    return out
+
+
+def sweep(seats: DataFrame, words: DataFrame, totals: Totals, number: int, frequent: int) -> DataFrame:
+    """Seat the customers of every repeated pair anew."""
+    values = words.select("id", totals.root(F.col("customers_at_root"), F.col("root_tables")).alias("parent"), F.col("tables").cast("double").alias("seated"))
+    common = words.sparkSession.sparkContext.broadcast(frequent_values(values, frequent))
+    rare = values.where(F.col("id") >= frequent)
+    # Frequent words aren't joined, so no partition gets all rows of one.
+    key = lambda c: F.when(F.col(c) >= frequent, F.col(c))
+    met = seats.withColumn("w", key("word")).withColumn("c", key("context"))
+    if totals.vocabulary > frequent:
+        none = F.lit(None).cast("double")
+
+        def meet(rows: DataFrame, by: str, value: str) -> DataFrame:
+            other = rare.select(F.col("id").alias(by), value)
+            return rows.where(F.col(by).isNotNull()).join(other, by).unionByName(rows.where(F.col(by).isNull()).withColumn(value, none))
+
+        met = meet(meet(met, "w", "parent"), "c", "seated")
+    else:
+        met = met.withColumn("parent", F.lit(None).cast("double")).withColumn("seated", F.lit(None).cast("double"))
+    names = [f.split()[0] for f in SEATS.split(", ")]
+    sample, discount = number >= BURN_IN, totals.discount
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in regrouped(batches):
-            now = [np.asarray(batch.column(i)) for i in range(3)]
-            now = now if rest is None else [np.concatenate([r, x]) for r, x in zip(rest, now)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last token may go on
-            if cut:
-                yield rows(*[x[:cut] for x in now])
-            rest = [x[cut:] for x in now]
-        if rest is not None:
-            yield rows(*rest)
-
-    return pairs.mapInArrow(run, TABLE)
-
-
-def fit(training: DataFrame, text_col: str = "text") -> Model:
-    spark = training.sparkSession
-    bound_batches(spark, BATCH)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words, path = staged(gathered(count_pairs(training, text_col).repartition(parts, "h").sortWithinPartitions("h", "context")), "seats")
+        held = common.value
+        for b in regrouped(batches):
+            context, word, customers, old, own = (np.asarray(b.column(c)) for c in names[1:])
+            parent, seated = (np.array(b.column(c).to_numpy(zero_copy_only=False), np.float64) for c in ("parent", "seated"))
+            at = word < frequent
+            parent[at] = held[word[at] + 1, 0]
+            at = context < frequent
+            seated[at] = held[context[at] + 1, 1]
+            t = seat(customers, seated - old, STRENGTH, discount, parent, draw_keys(pair_keys(context, word)), 2 * number)
+            own = own + customers - discount * t if sample else own
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:4]], pa.array(t), pa.array(own)], names=names)
+
+    return met.select(*names, "parent", "seated").mapInArrow(run, SEATS)
+
+
+WORDS = "id int, h bigint, n bigint, customers bigint, ones_after bigint, ones_of bigint, tables bigint, customers_at_root bigint, root_tables bigint, backs array<double>, roots array<double>"
+
+
+def seated_words(words: DataFrame, seats: DataFrame, totals: Totals | None, number: int) -> DataFrame:
+    """The words' tables as contexts and in the root after a sweep; the root is seated anew."""
+    after = seats.groupBy(F.col("context").alias("id")).agg(F.sum("tables").alias("after"))
+    of = seats.groupBy(F.col("word").alias("id")).agg(F.sum("tables").alias("of"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    made = words.join(after, "id", "left").join(of, "id", "left")
+    made = made.withColumn("tables", F.col("ones_after") + zero(F.col("after"))).withColumn("customers_at_root", F.col("ones_of") + zero(F.col("of"))).drop("after", "of")
+    names = [f.split()[0] for f in WORDS.split(", ")]
+    if totals is None:
+        return made.select(*names)
+    all_tables, vocabulary, discount = totals.root_tables, totals.vocabulary, totals.root_discount
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in regrouped(batches):
+            ids, customers, old = (np.asarray(b.column(c), np.int64) for c in ("id", "customers_at_root", "root_tables"))
+            base = np.full(len(ids), 1 / (vocabulary + 1))
+            t = seat(customers, np.maximum(0, all_tables - old), STRENGTH, discount, base, draw_keys(ids), 2 * number + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(t) if c == "root_tables" else b.column(c) for c in names], names=names)
+
+    return made.select(*names).mapInArrow(run, WORDS)
+
+
+class Model:
+    """Pairs with their counts, seats with the sums of all samples, words with their values in each sample, and totals."""
+
+    def __init__(self, pairs: DataFrame, seats: DataFrame, table: DataFrame, samples: list[Totals], tokens: int, vocabulary: int, discount: float, n_buckets: int, frequent: int):
+        self.pairs, self.seats, self.table, self.samples, self.tokens, self.vocabulary = pairs, seats, table, samples, tokens, vocabulary
+        self.discount, self.n_buckets, self.frequent = discount, n_buckets, frequent
+
+    @property
+    def words(self) -> DataFrame:
+        """Every token with all its contexts, for a look at small models: scores don't use it."""
+        flat = self.pairs.select(F.explode(F.arrays_zip("contexts", "words", "counts")).alias("p")).select(F.col("p.contexts").alias("context"), F.col("p.words").alias("word"))
+        own = F.coalesce(F.col("own"), F.lit(len(self.samples) * (1 - self.discount)))
+        flat = flat.join(self.seats.select("context", "word", "own"), ["context", "word"], "left").select("context", "word", own.alias("own"))
+        flat = flat.join(self.table.select(F.col("id").alias("context"), "customers"), "context").withColumn("own", F.col("own") / (F.lit(STRENGTH) + F.col("customers")))
+        by = flat.groupBy(F.col("word").alias("id")).agg(F.collect_list(F.struct("context", "own")).alias("p"))
+        return self.table.where("id >= 0").join(by, "id").select("id", "h", "n", F.col("p.context").alias("contexts"), F.col("p.own").alias("own"), "roots")
+
+
+def fit_numbers(texts: DataFrame, numbers: DataFrame, tokens: int, vocabulary: int, n_buckets: int) -> Model:
+    """The model of the rows of ``in_numbers`` that are for training."""
+    spark, frequent = texts.sparkSession, FREQUENT
+    pairs, _ = staged(count_pairs(texts, n_buckets, frequent), "pairs")
     release_shuffles(spark)
-    sums = words.agg(F.count("*").alias("v"), F.sum("n").alias("n"), *[F.sum(F.when(F.size("contexts") == k, 1).otherwise(0)).alias(f"w{k}") for k in (1, 2)]).first()
-    vocabulary, tokens = sums["v"], sums["n"] or 0
-    by = words.select(F.explode(F.arrays_zip("contexts", "customers")).alias("p")).groupBy("p.contexts").agg(F.sum("p.customers").alias("n"), *[F.sum(F.when(F.col("p.customers") == k, 1).otherwise(0)).alias(f"c{k}") for k in (1, 2)]).collect()
+    starts = texts.where("train").count()
+    # As contexts: a word is followed as often as it occurs, an end by nothing, a start once a document.
+    end = F.lit(int(END.view(np.int64)))
+    rows = numbers.select("id", "h", "n", F.when(F.col("h") == end, F.lit(0)).otherwise(F.col("n")).cast("bigint").alias("customers"))
+    rows = rows.unionByName(spark.range(1).select(F.lit(START).alias("id"), F.lit(0).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("n"), F.lit(starts).cast("bigint").alias("customers")))
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<double>")
+    rows = rows.join(tallies(pairs), "id", "left")
+    words = rows.select(
+        "id", "h", "n", "customers", *[F.coalesce(F.col(c), zero).alias(c) for c in ("ones_after", "ones_of")], zero.alias("tables"), zero.alias("customers_at_root"),
+        F.when(F.col("id") < 0, zero).otherwise(zero + 1).alias("root_tables"), none.alias("backs"), none.alias("roots"), F.coalesce("pairs_of", zero).alias("pairs_of"),
+    )
+    words, word_path = staged(words, "seats")
+    seats, path = staged(repeated(pairs), "seats")
     # Discounts from the numbers of pairs seen once and twice, and of tokens in one and two contexts.
     estimate = lambda one, two: min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
-    discount = estimate(sum(r["c1"] for r in by), sum(r["c2"] for r in by))
-    root_discount = estimate(sums["w1"] or 0, sums["w2"] or 0)
-    customers = {r["contexts"]: r["n"] for r in by}
+    seen = words.agg(F.sum("ones_of").alias("c1"), *[F.sum(F.when(F.col("pairs_of") == k, 1).otherwise(0)).alias(f"w{k}") for k in (1, 2)]).first()
+    discount = estimate(seen["c1"] or 0, seats.where("customers = 2").count())
+    root_discount = estimate(seen["w1"] or 0, seen["w2"] or 0)
+
+    def total(w: DataFrame) -> Totals:
+        t = w.agg(F.sum("tables"), F.sum("root_tables")).first()
+        return Totals(t[0] or 0, t[1] or 0, vocabulary, discount, root_discount)
+
+    def write(w: DataFrame) -> None:
+        nonlocal words, word_path
+        old = word_path
+        words, word_path = staged(w, "seats")
+        drop_path(spark, old)
+
+    write(seated_words(words.drop("pairs_of"), seats, None, 0))
+    totals = total(words)
     samples: list[Totals] = []
-    now = lambda w: Totals(customers, *table_totals(w), vocabulary, discount, root_discount)
-    totals = now(words)
     for number in range(BURN_IN + SAMPLES):
-        seated = sweep(words, totals, number)
-        # A sample's totals are those of its own seats, so they are read before its parts are added; the
-        # parts of the sample go into the next table that is written.
-        seated, new = staged(seated, "seats")
+        new, new_path = staged(sweep(seats, words, totals, number, frequent), "seats")
         drop_path(spark, path)
-        path, totals = new, now(seated)
-        words = seated
+        seats, path = new, new_path
+        write(seated_words(words, seats, totals, number))
+        totals = total(words)
         if number >= BURN_IN:
             samples.append(totals)
-            words = with_sample(seated, totals)
+            back = (F.lit(STRENGTH) + discount * F.col("tables")) / (F.lit(STRENGTH) + F.col("customers"))
+            words = words.withColumn("backs", F.concat("backs", F.array(back))).withColumn("roots", F.concat("roots", F.array(totals.root(F.col("customers_at_root"), F.col("root_tables")))))
+    write(words)
+    for k, s in enumerate(samples):
+        s.words, s.number = words, k
     release_shuffles(spark)
-    return Model(words, samples, tokens, vocabulary)
+    return Model(pairs, seats, words, samples, tokens, vocabulary, discount, n_buckets, frequent)
 
 
-def frequent_tokens(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes in order, counts, and log probabilities by context of the most frequent tokens.
-
-    A token's row of probabilities is made in a task and comes as 4 bytes a context: a few MB in all.
-    """
-    backs = [s.back_off() for s in model.samples]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = []
-            for r in b.to_pylist():
-                p = sum((back * x for back, x in zip(backs, r["roots"], strict=True)), np.zeros(CLASSES + 1))
-                p[r["contexts"]] += r["own"]
-                made.append(np.log10(np.minimum(1.0, p / max(1, len(backs)))).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("n"), pa.array(made, pa.binary())], names=["h", "n", "log_p"])
+def fit(training: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Model:
+    nothing = F.lit(None).cast("bigint")
+    docs = training.select(nothing.alias("doc_id"), F.col(text_col).alias("text"), F.lit(True).alias("train"))
+    return _fit(docs, block_bytes)[0]
 
-    top = model.words.select("h", "n", "contexts", "own", "roots").orderBy(F.desc("n"), "h").limit(FREQUENT)
-    rows = top.mapInArrow(run, "h bigint, n bigint, log_p binary").toArrow()
-    hashes = rows["h"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    log_p = np.frombuffer(b"".join(rows["log_p"].to_pylist()), np.float32).reshape(-1, CLASSES + 1)
-    return hashes[order], rows["n"].to_numpy()[order], log_p[order]
 
-
-def _place(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where keys stand in a sorted array, and which of them do."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
-def block_of(id_: Column, text: Column, n_blocks: int) -> Column:
-    """A row's block, by its number too: copies of one row are dealt to all blocks. No score depends on blocks."""
-    return F.pmod(F.xxhash64(id_, text, F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
+def _fit(docs: DataFrame, block_bytes: int) -> tuple[Model, DataFrame]:
+    """The model of the rows (doc_id, text, train) that are for training, and all rows in its numbers."""
+    spark = docs.sparkSession
+    bound_batches(spark, BATCH)
+    blocks, path = staged(encoded(docs, block_bytes), "blocks")
+    release_shuffles(spark)
+    numbers = numbered(blocks)
+    sums = numbers.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
+    tokens, vocabulary = sums["n"] or 0, sums["v"]
+    texts, _ = staged(in_numbers(blocks, numbers, tokens, vocabulary), "texts")
+    n_buckets = (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    drop_path(spark, path)
+    release_shuffles(spark)
+    return fit_numbers(texts, numbers, tokens, vocabulary, n_buckets), texts
+
+
+def own_parts(texts: DataFrame, model: Model) -> DataFrame:
+    """(block, bucket, own): for each block's distinct pairs, in order, the sums of their own customers' parts over all samples."""
+    once = len(model.samples) * (1 - model.discount)
+
+    def run(rows: pa.Table, seats: pa.Table) -> pa.Table:
+        blocks = np.asarray(rows["block"])
+        (context, sizes), word = _flat(rows["contexts"]), _flat(rows["words"])[0]
+        keys, asked = pair_keys(context, word), np.repeat(blocks >= 0, sizes)
+        known = np.sort(keys[~asked])
+        own = np.full(len(known), once)
+        own[np.searchsorted(known, pair_keys(np.asarray(seats["context"]), np.asarray(seats["word"])))] = np.asarray(seats["own"])
+        where, hit = _place(known, keys[asked])
+        answers = np.zeros(len(where), np.float32)
+        answers[hit] = own[where[hit]]
+        at = blocks >= 0
+        return pa.table([pa.array(blocks[at]), rows["bucket"].filter(pa.array(at)), list_array(answers, sizes[at])], names=["block", "bucket", "own"])
+
+    asks = packed_pairs(texts, model.n_buckets, model.frequent, False).unionByName(model.pairs).select("bucket", "block", "contexts", "words")
+    seats = model.seats.select("bucket", "context", "word", "own")
+    return asks.groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInArrow(run, "block int, bucket int, own array<float>")
+
+
+def score_numbers(texts: DataFrame, model: Model) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, base_score and score of the rows of ``in_numbers``."""
+    n_buckets, frequent, count = model.n_buckets, model.frequent, len(model.samples)
+    values = model.table.select("id", (1 / (F.lit(STRENGTH) + F.col("customers"))).alias("share"), *[F.get(c, F.lit(k)).alias(f"{c}{k}") for c in ("backs", "roots") for k in range(count)])
+    common = texts.sparkSession.sparkContext.broadcast(frequent_values(values, frequent))
+    unseen = [s.root(0, 0) for s in model.samples]
+    asked = texts.where("words is not null").select(F.col("block").alias("asker"), F.explode("words").alias("id")).where(F.col("id") >= frequent)
+    columns = values.columns[1:]
+    answers = asked.join(values, "id").select("asker", F.lit(-1).alias("bucket"), F.lit(None).cast("array<float>").alias("own"), "id", F.array(*columns).cast("array<float>").alias("values"))
+    own = own_parts(texts, model).select(F.col("block").alias("asker"), "bucket", "own", F.lit(None).cast("int").alias("id"), F.lit(None).cast("array<float>").alias("values"))
+
+    def run(rows: pa.Table, answered: pa.Table) -> pa.Table:
+        ids, lengths = _flat(rows["ids"])
+        context = contexts_of(ids, lengths)
+        _, _, at, of = block_pairs(ids, lengths, n_buckets, frequent)
+        bucket = np.asarray(answered["bucket"])
+        parts = answered.filter(pa.array(bucket >= 0)).sort_by("bucket")
+        told = answered.filter(pa.array(bucket < 0)).sort_by("id")
+        rare = np.asarray(told["id"])
+        held = common.value
+        # Row 0 is the unknown word's, whose restaurant is empty.
+        table = np.concatenate([[[1.0] + [1.0] * count + unseen], held, _flat(told["values"])[0].reshape(-1, len(columns))])
+        place = lambda x: np.where(x < frequent, x - UNKNOWN, 1 + len(held) + np.searchsorted(rare, x))
+        before, now = place(context), place(ids)
+        p = np.zeros(len(ids))
+        if len(at):
+            p[at] = _flat(parts["own"])[0].astype(np.float64)[of] * table[before[at], 0]
+        for k in range(count):
+            p += table[before, 1 + k] * table[now, 1 + count + k]
+        score = np.log10(np.minimum(1.0, p / count))
+        firsts = np.cumsum(lengths) - lengths
+        made = [pa.array(lengths.astype(np.int64)), rows["n_known"], rows["base_score"], pa.array(np.add.reduceat(score, firsts))]
+        return pa.table([rows["doc_id"], rows["train"], *made], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    docs = texts.where("words is null").drop("words")
+    all_answers = own.unionByName(answers)
+    return docs.groupBy("block").cogroup(all_answers.groupBy("asker")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
-    spark = docs.sparkSession
-    bound_batches(spark, BATCH)
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    n_blocks = int(total // block_bytes) + 1
-    block = block_of(F.col(id_col), F.col(text_col), n_blocks)
-    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), block.alias("block"))
-    # Three partitions a block, so that few of them get two blocks; beyond a bound blocks share them, one at a time.
-    dealt = dealt.repartition(min(3 * n_blocks, PARTITIONS), "block")
-    tokens, vocabulary, samples = model.tokens, model.vocabulary, model.samples
-    common = spark.sparkContext.broadcast(frequent_tokens(model))
-
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value[0]
-        blocks: dict[int, _Pairs] = {}
-        for batch in batches:
-            numbers = np.asarray(batch.column("block"))
-            for number in np.unique(numbers):
-                texts = batch.column("text").filter(pa.array(numbers == number))
-                pairs = blocks.setdefault(int(number), _Pairs())
-                for start, stop in slices(texts, AT_ONCE):
-                    h, context, _ = tokens_of([utf8(t).lower() for t in texts.slice(start, stop - start).to_pylist()])
-                    rare = ~_place(known, h)[1]
-                    pairs.add(h[rare], context[rare])
-                if len(pairs.parts) > 8:
-                    pairs.merge()
-        for number, pairs in blocks.items():
-            h, context, _ = pairs.merge()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), number, np.int32)), pa.array(h), pa.array(context)], names=["block", "h", "context"])
-
-    # The same dealt rows as the ones that are scored, so that they are shuffled once.
-    asked = dealt.mapInArrow(requests, "block int, h bigint, context int")
-    at = F.array_position("contexts", F.col("context"))
-    own = F.when(at > 0, F.get("own", at.cast("int") - 1)).otherwise(F.lit(0.0))
-    backs = [F.get(F.array(*[F.lit(float(x)) for x in s.back_off()]), F.col("context")) for s in samples]
-    parent = sum((b * F.get("roots", F.lit(i)) for i, b in enumerate(backs)), F.lit(0.0))
-    log_p = F.log10(F.least(F.lit(1.0), (own + parent) / len(samples))).cast("float")
-    # Tokens without training don't answer: their probability depends on the context alone.
-    answers = asked.join(model.words.select("h", "n", "contexts", "own", "roots"), "h").select("block", "h", "context", "n", log_p.alias("log_p"))
-    unseen = np.log10(np.minimum(1.0, sum(s.back_off() * s.root(0, 0) for s in samples) / len(samples)))
-
-    def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
-        known, counts, table_p = common.value
-        keys = pair_keys(np.asarray(answered["h"]).view(np.uint64), np.asarray(answered["context"]))
-        order = np.argsort(keys)
-        keys, n, log_p = keys[order], np.asarray(answered["n"])[order], np.asarray(answered["log_p"])[order]
-        column = texts["text"].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        out = []
-        for start, stop in slices(column, AT_ONCE):
-            h, context, lengths = tokens_of([utf8(t).lower() for t in column.slice(start, stop - start).to_pylist()])
-            count, p = np.zeros(len(h), np.int64), unseen[context]
-            where, hit = _place(known, h)
-            count[hit], p[hit] = counts[where[hit]], table_p[where[hit], context[hit]]
-            rare = np.flatnonzero(~hit)
-            where, hit = _place(keys, pair_keys(h[rare], context[rare]))
-            count[rare[hit]], p[rare[hit]] = n[where[hit]], log_p[where[hit]]
-            base = np.log10((count + 1.0) / (tokens + vocabulary + 1.0))
-            firsts = np.cumsum(lengths) - lengths
-            out.append((lengths, np.add.reduceat((count > 0).astype(np.int64), firsts), np.add.reduceat(base, firsts), np.add.reduceat(p, firsts)))
-        made = [np.concatenate([o[i] for o in out]) if out else np.empty(0, np.float64 if i > 1 else np.int64) for i in range(4)]
-        return pa.table([texts["doc_id"], *made], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double")
+    bound_batches(docs.sparkSession, BATCH)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("train"))
+    blocks, _ = staged(encoded(rows, block_bytes), "blocks")
+    texts, _ = staged(in_numbers(blocks, model.table.where("id >= 0"), model.tokens, model.vocabulary), "texts")
+    return score_numbers(texts, model).drop("train")
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     remainder = F.coalesce(bucket_of("doc_id", 7), F.lit(0))  # a null id is of no held-out row
-    model = fit(docs.where(remainder != 2))
-    return score(docs, model).select("doc_id", (remainder == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder != 2).alias("train"))
+    model, texts = _fit(docs, BLOCK_BYTES)
+    rows = score_numbers(texts, model)
+    return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
