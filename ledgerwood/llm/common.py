@@ -111,7 +111,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def staged(df: DataFrame, name: str, keep: bool = True) -> tuple[DataFrame, str]:
+def staged(df: DataFrame, name: str, keep: bool = True, codec: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts lineage in a form that survives lost executors. The files go when
@@ -119,7 +119,7 @@ def staged(df: DataFrame, name: str, keep: bool = True) -> tuple[DataFrame, str]
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     atexit.register(_quietly_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -10,11 +10,12 @@ once is seated anew, and then every token in the root, given the other seats of
 A pair that occurs once has one table in any seating, so it is only counted. Predictive
 probabilities are averaged over the sweeps after burn-in.
 
-At scale: documents are dealt by hash into blocks of bounded bytes and tokenised once; words get
-numbers by falling frequency, and texts are written as numbers. A block's distinct pairs travel as
-arrays by bucket of the pair, and what the bucket knows of them comes back in the same order. A rare
-context lies in one bucket; the ``FREQUENT`` most frequent ones are dealt to all. What belongs to
-those words, a fixed number, goes to every task; the rest of the vocabulary meets its pairs in joins.
+At scale: documents are taken in blocks of bounded bytes and split once, words get numbers, and texts
+are written as numbers. Words lie in buckets by hash and are numbered through all buckets by falling
+count; pairs lie in buckets by context, but those of the contexts numbered under ``FREQUENT`` are dealt
+to all, and only totals of these contexts, a fixed number, go to every task. A block or a bucket asks
+for what it needs as arrays of distinct numbers, a row for each bucket, and the answers come back in
+the order of the question, so no keys travel twice.
 
 Defined results: a null text is empty, an empty one is one end token; without training
 documents every token has probability 1 of the unknown slot; repeated rows are scored each;
@@ -25,13 +26,16 @@ under 2^31.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bucket_of, drop_path, hash_words, list_array, mix, regrouped, release_shuffles, slices, staged, table, utf8
+from .common import bound_batches, bucket_of, drop_path, hash_words, list_array, mix, release_shuffles, slices, table, utf8
+from .common import staged as staged_as
 
 #: Numbers of the context at the start of a document, and of words without training.
 START, UNKNOWN = -1, -2
@@ -39,10 +43,10 @@ START, UNKNOWN = -1, -2
 BURN_IN, SAMPLES = 1, 2
 STRENGTH = 1.0
 #: UTF-8 bytes of text in a block, about; a bucket has the pairs of about as many.
-BLOCK_BYTES = 16 << 20
-#: Partitions that blocks are dealt to, at most.
-PARTITIONS = 20_000
-#: Words whose values every task holds, and whose pairs are dealt to all buckets: a fixed number.
+BLOCK_BYTES = 8 << 20
+#: Partitions that texts are dealt to, and buckets of words, at most.
+PARTITIONS, WORD_BUCKETS = 20_000, 1024
+#: Contexts whose totals every task holds, and whose pairs are dealt to all buckets: a fixed number.
 FREQUENT = 16_384
 #: UTF-8 bytes of text that a task splits at once.
 AT_ONCE = 2 << 20
@@ -52,6 +56,11 @@ END = np.uint64(0x656E64206F662074)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A written table, packed more closely than by default: it is mostly lists of numbers."""
+    return staged_as(df, name, codec="zstd")
+
+
 def tokens_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of texts end to end, and each text's number of tokens; the context of a token is the whole word before it."""
     words = [r.split() for r in raws]
@@ -149,80 +158,162 @@ def _place(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def block_of(id_: Column, text: Column, n_blocks: int) -> Column:
-    """A row's block, by its number too: copies of one row are dealt to all blocks. No score depends on blocks."""
+    """Where a row is dealt, by its number too: copies of one row go everywhere. No score depends on blocks."""
     return F.pmod(F.xxhash64(id_, text, F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
 
 
-def encoded(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """(doc_id, block, train, ids) of rows (doc_id, text, train), ids by the block's own list of words, and one row a block with that list and the words' counts in training."""
+#: A row of numbers on its way to a bucket, from another bucket or a block; sums are what the driver adds up.
+ROW = "kind int, bucket int, other bigint, a array<int>, b array<int>, c array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+NAMES = [f.split()[0] for f in ROW.split(", ")]
+#: Kinds: all pairs; repeated ones; rare contexts among these; tables of repeated ones; tables for words; pairs for words;
+#: totals and tables of frequent contexts; words with root tables; answers of words to a bucket; questions.
+PAIRS, REPEATED, RARE, TABLES, TO_WORDS, OF_WORDS, FREQUENT_TOTALS, FREQUENT_TABLES, STATE, PARENTS, ASKED, ASKED_WORDS = range(12)
+
+
+def rows_of(made: list[tuple]) -> pa.Table:
+    """Rows (kind, bucket, other, a, b, c, sums...), the last ones of which may be left out."""
+    columns = []
+    for k, name in enumerate(NAMES):
+        values = [r[k] if len(r) > k else None for r in made]
+        if name in "abc":
+            values = [np.empty(0, np.int32) if v is None else np.asarray(v).astype(np.int32) for v in values]
+            columns.append(list_array(np.concatenate([np.empty(0, np.int32), *values]), [len(v) for v in values]))
+        else:
+            columns.append(pa.array([None if v is None else int(v) for v in values], pa.int32() if k < 2 else pa.int64()))
+    return pa.table(columns, names=NAMES)
+
+
+def by_kind(rows: pa.Table) -> dict[int, list[tuple]]:
+    """(other, a, b, c) of the rows of each kind, in order of the others."""
+    found: dict[int, list[tuple]] = {}
+    kinds, others = np.asarray(rows["kind"]), np.asarray(rows["other"])
+    parts = []
+    for name in "abc":
+        values, lengths = _flat(rows[name])
+        parts.append((values, np.cumsum([0, *lengths])))
+    for i in np.lexsort((others, kinds)):
+        found.setdefault(int(kinds[i]), []).append((int(others[i]), *[v[o[i] : o[i + 1]] for v, o in parts]))
+    return found
+
+
+def joined(rows: list[tuple], k: int) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int32), *[r[k] for r in rows]])
+
+
+def dealt(kind: int, other: int, buckets: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """Columns in order of their buckets as one row a bucket."""
+    numbers, firsts = np.unique(buckets, return_index=True)
+    stops = [*firsts[1:], len(buckets)]
+    return [(kind, n, other, *[c[i:j] for c in columns]) for n, i, j in zip(numbers, firsts, stops)]
+
+
+def encoded(docs: DataFrame, block_bytes: int, word_buckets: int | None = None) -> tuple[DataFrame, int, int]:
+    """(doc_id, block, train, ids) of rows (doc_id, text, train), ids by the block's own list of words, and one row for each block and bucket of words with that list and counts in training."""
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = int(total // block_bytes) + 1
-    dealt = docs.select("doc_id", "text", "train", block_of(F.col("doc_id"), F.col("text"), n_blocks).alias("block"))
-    # Three partitions a block, so that few of them get two blocks; beyond a bound blocks share them, one at a time.
-    dealt = dealt.repartition(min(3 * n_blocks, PARTITIONS), "block")
+    word_buckets = word_buckets or min(n_blocks, WORD_BUCKETS)
+    if docs.rdd.getNumPartitions() < min(n_blocks, spark.sparkContext.defaultParallelism):
+        docs = docs.repartition(min(n_blocks, PARTITIONS), block_of(F.col("doc_id"), F.col("text"), n_blocks))
 
-    def run(rows: pa.Table) -> pa.Table:
-        texts = rows["text"].combine_chunks()
-        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-        lists, places, lengths = [], [], []
-        for start, stop in slices(texts, AT_ONCE):
-            h, own = tokens_of([utf8(t).lower() for t in texts.slice(start, stop - start).to_pylist()])
-            distinct, at = np.unique(h, return_inverse=True)
-            lists.append(distinct)
-            places.append(at.astype(np.int32))
-            lengths.append(own)
+    def block(number: int, held: list[tuple]) -> pa.RecordBatch:
+        lists = [h[2] for h in held]
         hashes, at = np.unique(np.concatenate(lists), return_inverse=True)
-        at, offsets = at.astype(np.int32), np.cumsum([0, *map(len, lists)])
-        ids = np.concatenate([at[o : o + len(own)][place] for o, own, place in zip(offsets, lists, places)])
-        lengths, train = np.concatenate(lengths), np.asarray(rows["train"]).astype(bool)
-        counts = np.bincount(ids[np.repeat(train, lengths)], minlength=len(hashes)).astype(np.int64)
-        n = rows.num_rows
-        none = pa.nulls(n, pa.list_(pa.int64()))
-        ended = lambda c: pa.chunked_array([*c.chunks, pa.nulls(1, c.type)], c.type)
-        number = pa.array(np.full(n + 1, rows["block"][0].as_py(), np.int32))
-        lists = [pa.concat_arrays([none, list_array(x, [len(x)])]) for x in (hashes.view(np.int64), counts)]
-        return pa.table([ended(rows["doc_id"]), number, ended(rows["train"]), list_array(ids, np.append(lengths, 0)), *lists], names=["doc_id", "block", "train", "ids", "hashes", "counts"])
+        bucket = (hashes % np.uint64(word_buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        moved = np.empty(len(hashes), np.int32)
+        moved[order] = np.arange(len(hashes), dtype=np.int32)
+        at, offsets = moved[at], np.cumsum([0, *map(len, lists)])
+        ids = np.concatenate([at[o : o + len(h[2])][h[3]] for o, h in zip(offsets, held)])
+        lengths, train = np.concatenate([h[4] for h in held]), np.concatenate([h[1] for h in held])
+        counts = np.bincount(ids[np.repeat(train, lengths)], minlength=len(hashes)).astype(np.int32)
+        numbers, sizes = np.unique(bucket, return_counts=True)
+        n, m = len(lengths), len(numbers)
+        doc_ids = pa.concat_arrays([*[h[0] for h in held], pa.nulls(m, held[0][0].type)])
+        none = np.zeros(n, np.int64)
+        columns = [
+            doc_ids, pa.array(np.full(n + m, number)), pa.array([*train.tolist(), *[None] * m], pa.bool_()), list_array(ids, np.append(lengths, np.zeros(m, np.int64))),
+            pa.array([*[None] * n, *numbers.tolist()], pa.int32()), list_array(hashes[order].view(np.int64), np.append(none, sizes)), list_array(counts, np.append(none, sizes)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "block", "train", "ids", "bucket", "hashes", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+        for batch in batches:
+            texts, train = batch.column("text"), np.asarray(batch.column("train").to_numpy(zero_copy_only=False)).astype(bool)
+            for start, stop in slices(texts, min(AT_ONCE, block_bytes)):
+                raws = [utf8(t).lower() for t in texts.slice(start, stop - start).to_pylist()]
+                h, lengths = tokens_of(raws)
+                distinct, at = np.unique(h, return_inverse=True)
+                # A copy of the ids: a slice would keep the batch with its texts.
+                held.append((batch.column("doc_id").take(pa.array(range(start, stop), pa.int64())), train[start:stop], distinct, at.astype(np.int32), lengths))
+                size += sum(map(len, raws))
+                if size >= block_bytes:
+                    yield block(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield block(number, held)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").applyInArrow(run, f"doc_id {kind}, block int, train boolean, ids array<int>, hashes array<bigint>, counts array<bigint>")
+    made = docs.select("doc_id", "text", "train").mapInArrow(run, f"doc_id {kind}, block bigint, train boolean, ids array<int>, bucket int, hashes array<bigint>, counts array<int>")
+    return made, n_blocks, word_buckets
 
 
-def numbered(blocks: DataFrame) -> DataFrame:
-    """(h, n, id): all words with training, numbered from 0 by falling count."""
-    listed = blocks.where("hashes is not null").select(F.explode(F.arrays_zip("hashes", "counts")).alias("w")).select(F.col("w.hashes").alias("h"), F.col("w.counts").alias("n"))
-    counted = listed.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h")
-    ordered, _ = staged(counted.withColumn("at", F.monotonically_increasing_id()), "words")
-    # Numbers follow from the order alone: a row's place in its partition after the rows of all partitions before.
-    sizes = {r["p"]: r["count"] for r in ordered.groupBy(F.shiftright("at", 33).cast("int").alias("p")).count().collect()}
-    before = np.cumsum([0, *[sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)]])
-    first = F.get(F.array(*[F.lit(int(b)) for b in before]), F.shiftright("at", 33).cast("int"))
-    return ordered.select("h", "n", (first + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("id"))
+LISTED = "bucket int, block bigint, hashes array<bigint>, ids array<int>, counts array<int>, n bigint"
 
 
-def in_numbers(blocks: DataFrame, words: DataFrame, tokens: int, vocabulary: int) -> DataFrame:
-    """The rows of ``encoded`` with the numbers of ``words``, known tokens and base scores; a block's last row has its known words."""
-    asked = blocks.where("hashes is not null").select(F.col("block").alias("asker"), F.posexplode("hashes").alias("at", "h"))
-    answers = asked.join(words.select("h", "n", "id"), "h").select("asker", "at", "n", "id")
+def numbered(blocks: DataFrame, word_buckets: int, known: DataFrame | None = None) -> DataFrame:
+    """The words of each bucket (block -1) with their counts, numbered by falling count, and each block's numbers and counts in the order of its list; n is the count of all."""
+    fresh = known is None
 
-    def run(rows: pa.Table, answered: pa.Table) -> pa.Table:
+    def run(rows: pa.Table) -> pa.Table:
+        block, bucket = np.asarray(rows["block"]), rows["bucket"][0].as_py()
+        (hashes, sizes), counts = _flat(rows["hashes"]), _flat(rows["counts"])[0]
+        of_known = np.repeat(block < 0, sizes)
+        if fresh:
+            words, at = np.unique(hashes, return_inverse=True)
+            n = np.bincount(at, weights=counts, minlength=len(words)).astype(np.int64)
+            words, n = words[n > 0], n[n > 0]
+            order = np.lexsort((words, -n))
+            words, n = words[order], n[order]
+        else:
+            words, n = hashes[of_known], counts[of_known].astype(np.int64)
+        order = np.argsort(words)
+        asks = np.flatnonzero(block >= 0)
+        where, hit = _place(words[order], hashes[~of_known])
+        ids, found = np.full(len(where), UNKNOWN, np.int32), np.zeros(len(where), np.int32)
+        rank = order[where[hit]]
+        ids[hit], found[hit] = rank * word_buckets + bucket, n[rank]
+        lengths = sizes[asks]
+        zero = np.zeros(len(asks), np.int64)
+        columns = [
+            np.full(len(asks) + 1, bucket, np.int32), np.append(-1, block[asks]), list_array(words, np.append(len(words), zero)), list_array(ids, np.append(0, lengths)),
+            list_array(np.concatenate([n.astype(np.int32), found]), np.append(len(words), lengths)), np.append(n.sum(), zero),
+        ]
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.split()[0] for f in LISTED.split(", ")])
+
+    asked = blocks.where("bucket is not null").select("bucket", "block", "hashes", "counts")
+    if not fresh:
+        asked = asked.unionByName(known.where("block < 0").select("bucket", "block", "hashes", "counts"))
+    return asked.groupBy("bucket").applyInArrow(run, LISTED)
+
+
+def in_numbers(blocks: DataFrame, listed: DataFrame, tokens: int, vocabulary: int) -> DataFrame:
+    """The documents of ``encoded`` in the numbers of all words, with known tokens and base scores."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         at, lengths = _flat(rows["ids"])
-        ids, n = np.full(int(at.max(initial=-1)) + 1, UNKNOWN, np.int32), np.zeros(int(at.max(initial=-1)) + 1)
-        where = np.asarray(answered["at"])
-        ids[where], n[where] = np.asarray(answered["id"]), np.asarray(answered["n"])
+        answers = answers.sort_by("bucket")
+        ids, n = _flat(answers["ids"])[0], _flat(answers["counts"])[0].astype(np.float64)
         firsts = np.cumsum(lengths) - lengths
         base = np.log10((n + 1.0) / (tokens + vocabulary + 1.0))
-        sums = [np.add.reduceat(x, firsts) for x in ((n > 0).astype(np.int64)[at], base[at])]
-        ended = lambda c: pa.chunked_array([*c.chunks, pa.nulls(1, c.type)], c.type)
-        number = pa.array(np.full(len(lengths) + 1, rows["block"][0].as_py(), np.int32))
-        listed = pa.concat_arrays([pa.nulls(len(lengths), pa.list_(pa.int32())), list_array(np.sort(ids[where]), [len(where)])])
-        return pa.table(
-            [ended(rows["doc_id"]), number, ended(rows["train"]), list_array(ids[at], np.append(lengths, 0)), pa.array(np.append(sums[0], 0)), pa.array(np.append(sums[1], 0.0)), listed],
-            names=["doc_id", "block", "train", "ids", "n_known", "base_score", "words"],
-        )
+        sums = [pa.array(np.add.reduceat(x, firsts)) for x in ((n > 0).astype(np.int64)[at], base[at])]
+        return pa.table([rows["doc_id"], rows["block"], rows["train"], list_array(ids[at], lengths), *sums], names=["doc_id", "block", "train", "ids", "n_known", "base_score"])
 
     kind = blocks.schema["doc_id"].dataType.simpleString()
-    docs = blocks.where("hashes is null").select("doc_id", "block", "train", "ids")
-    return docs.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(run, f"doc_id {kind}, block int, train boolean, ids array<int>, n_known bigint, base_score double, words array<int>")
+    docs = blocks.where("bucket is null").select("doc_id", "block", "train", "ids")
+    answers = listed.where("block >= 0").select(F.col("block").alias("asker"), "bucket", "ids", "counts")
+    return docs.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(run, f"doc_id {kind}, block bigint, train boolean, ids array<int>, n_known bigint, base_score double")
 
 
 def pair_buckets(keys: np.ndarray, n_buckets: int, frequent: int) -> np.ndarray:
@@ -231,354 +322,435 @@ def pair_buckets(keys: np.ndarray, n_buckets: int, frequent: int) -> np.ndarray:
     return (draw_keys(np.where(context < frequent, keys, context)) % np.uint64(n_buckets)).astype(np.int32)
 
 
-def block_pairs(ids: np.ndarray, lengths: np.ndarray, n_buckets: int, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of known context and word in order of bucket and pair, each bucket, the known tokens' places, and each one's pair."""
-    context = contexts_of(ids, lengths)
-    at = np.flatnonzero((ids != UNKNOWN) & (context != UNKNOWN))
-    keys, of = np.unique(pair_keys(context[at], ids[at]), return_inverse=True)
-    buckets = pair_buckets(keys, n_buckets, frequent)
-    order = np.argsort(buckets, kind="stable")
-    moved = np.empty(len(keys), np.int64)
-    moved[order] = np.arange(len(keys))
-    return keys[order], buckets[order], at, moved[of]
-
-
-PAIRS = "bucket int, block int, contexts array<int>, words array<int>, counts array<int>"
-
-
-def packed_pairs(texts: DataFrame, n_buckets: int, frequent: int, counted: bool) -> DataFrame:
-    """A block's distinct pairs, one row a bucket, with counts or without."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        ids, lengths = _flat(rows["ids"])
-        keys, buckets, _, of = block_pairs(ids, lengths, n_buckets, frequent)
-        numbers, sizes = np.unique(buckets, return_counts=True)
-        context, word = pair_of(keys)
-        counts = list_array(np.bincount(of, minlength=len(keys)).astype(np.int32), sizes) if counted else list_array(np.empty(0, np.int32), np.zeros(len(sizes), np.int64))
-        block = pa.array(np.full(len(sizes), rows["block"][0].as_py(), np.int32))
-        return pa.table([pa.array(numbers), block, list_array(context, sizes), list_array(word, sizes), counts], names=[f.split()[0] for f in PAIRS.split(", ")])
+class BlockPairs:
+    """A block's distinct pairs of a known context in order of bucket and pair, and distinct known words in order of bucket and number."""
 
-    return texts.where("words is null").select("block", "ids").groupBy("block").applyInArrow(run, PAIRS)
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, n_buckets: int, frequent: int):
+        self.before = contexts_of(ids, lengths)
+        self.at = np.flatnonzero(self.before != UNKNOWN)
+        keys, of = np.unique(pair_keys(self.before[self.at], ids[self.at]), return_inverse=True)
+        buckets = pair_buckets(keys, n_buckets, frequent)
+        order = np.argsort(buckets, kind="stable")
+        moved = np.empty(len(keys), np.int32)
+        moved[order] = np.arange(len(keys), dtype=np.int32)
+        self.keys, self.buckets, self.of = keys[order], buckets[order], moved[of]
 
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.of, minlength=len(self.keys))
 
-def count_pairs(texts: DataFrame, n_buckets: int, frequent: int) -> DataFrame:
-    """All pairs of a bucket in order with their counts, as one row."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        keys, of = np.unique(pair_keys(_flat(rows["contexts"])[0], _flat(rows["words"])[0]), return_inverse=True)
-        counts = np.bincount(of, weights=_flat(rows["counts"])[0], minlength=len(keys)).astype(np.int32)
-        context, word = pair_of(keys)
-        size = [len(keys)]
-        first = pa.array([rows["bucket"][0].as_py()], pa.int32())
-        return pa.table([first, pa.array([-1], pa.int32()), list_array(context, size), list_array(word, size), list_array(counts, size)], names=[f.split()[0] for f in PAIRS.split(", ")])
-
-    return packed_pairs(texts.where("train"), n_buckets, frequent, True).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(run, PAIRS)
-
-
-def tallies(pairs: DataFrame) -> DataFrame:
-    """(id, ones_after, ones_of, twos_of): of each word, pairs seen once that it is the context of, and that it is the token of, and its pairs in all as a token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            context, word, n = (_flat(b.column(c))[0] for c in ("contexts", "words", "counts"))
-            for ids, column in ((context[n == 1], 0), (word[n == 1], 1), (word, 2)):
-                of, counts = np.unique(ids, return_counts=True)
-                out = np.zeros((3, len(of)), np.int64)
-                out[column] = counts
-                yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), *map(pa.array, out)], names=["id", "ones_after", "ones_of", "pairs_of"])
 
-    schema = "id int, ones_after bigint, ones_of bigint, pairs_of bigint"
-    return pairs.mapInArrow(run, schema).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("ones_after", "ones_of", "pairs_of")])
+def words_by_bucket(ids: np.ndarray, word_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct known numbers in order of their buckets, and the buckets."""
+    words = np.unique(ids)
+    words = words[words >= 0]
+    buckets = words % word_buckets
+    order = np.argsort(buckets, kind="stable")
+    return words[order], buckets[order]
 
 
-SEATS = "bucket int, context int, word int, customers bigint, tables bigint, own double"
+def rare_heads(context: np.ndarray, frequent: int) -> np.ndarray:
+    """Whether a pair is the first one of a rare context, in an order where those of one context stand together."""
+    return np.concatenate([[True], context[1:] != context[:-1]])[: len(context)] & (context >= frequent)
 
 
-def repeated(pairs: DataFrame) -> DataFrame:
-    """The pairs that occur more than once, a row each, at one table."""
+def for_words(kind: int, bucket: int, words: np.ndarray, word_buckets: int, *weights: np.ndarray) -> list[tuple]:
+    """Sums by distinct word, dealt to the words' buckets."""
+    distinct, own = words_by_bucket(words, word_buckets)
+    sorted_ = np.sort(distinct)
+    at = np.searchsorted(sorted_, words)
+    back = np.searchsorted(sorted_, distinct)
+    return dealt(kind, bucket, own, distinct, *[np.bincount(at, weights=w, minlength=len(distinct))[back] for w in weights])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (context, sizes), word, n = _flat(b.column("contexts")), _flat(b.column("words"))[0], _flat(b.column("counts"))[0]
-            at = np.flatnonzero(n > 1)
-            bucket = np.repeat(np.asarray(b.column("bucket")), sizes)[at]
-            for i in range(0, len(at), BATCH):
-                own = at[i : i + BATCH]
-                columns = [bucket[i : i + BATCH], context[own], word[own], n[own].astype(np.int64), np.ones(len(own), np.int64), np.zeros(len(own))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in SEATS.split(", ")])
 
-    return pairs.mapInArrow(run, SEATS)
+def frequent_rows(kind: int, bucket: int, context: np.ndarray, frequent: int, *weights: np.ndarray) -> tuple:
+    at = context < frequent
+    distinct, of = np.unique(context[at], return_inverse=True)
+    return (kind, bucket, -1, distinct, *[np.bincount(of, weights=w[at], minlength=len(distinct)) for w in weights])
 
 
-class Lookup:
-    """Values by a word's number, asked of the table one by one."""
+def count_pairs(texts: DataFrame, n_buckets: int, word_buckets: int, frequent: int) -> DataFrame:
+    """Each bucket's pairs in training with their counts, and what follows from these counts alone."""
 
-    def __init__(self, words: DataFrame, column: Column):
-        self.words, self.column = words, column
+    def ask(rows: pa.Table) -> pa.Table:
+        pairs = BlockPairs(*_flat(rows["ids"]), n_buckets, frequent)
+        return rows_of(dealt(PAIRS, rows["block"][0].as_py(), pairs.buckets, *pair_of(pairs.keys), pairs.counts()))
 
-    def __getitem__(self, number: int) -> float:
-        return self.words.where(F.col("id") == number).select(self.column).first()[0]
+    def count(rows: pa.Table) -> pa.Table:
+        bucket = rows["bucket"][0].as_py()
+        keys, of = np.unique(pair_keys(_flat(rows["a"])[0], _flat(rows["b"])[0]), return_inverse=True)
+        n = np.bincount(of, weights=_flat(rows["c"])[0], minlength=len(keys)).astype(np.int64)
+        context, word = pair_of(keys)
+        more = n > 1
+        heads = rare_heads(context, frequent)
+        rare = context[heads]
+        of_rare = np.searchsorted(rare, context[context >= frequent])
+        ones, customers = (np.bincount(of_rare, weights=x[context >= frequent], minlength=len(rare)) for x in (n == 1, n))
+        tables = np.ones(int(more.sum()))
+        made = [
+            (PAIRS, bucket, -1, context, word, n, (n == 1).sum(), (n == 2).sum()), (REPEATED, bucket, -1, context[more], word[more], n[more]), (RARE, bucket, -1, rare, ones, customers),
+            (TABLES, bucket, -1, tables), *for_words(TO_WORDS, bucket, word[more], word_buckets, tables), *for_words(OF_WORDS, bucket, word, word_buckets, n == 1, np.ones(len(word))),
+            frequent_rows(FREQUENT_TOTALS, bucket, context, frequent, n == 1, n), frequent_rows(FREQUENT_TABLES, bucket, context[more], frequent, tables),
+        ]
+        return rows_of(made)
+
+    asked = texts.where("train").select("block", "ids").groupBy("block").applyInArrow(ask, ROW)
+    return asked.groupBy("bucket").applyInArrow(count, ROW)
+
+
+def of_kind(rows: DataFrame, *kinds: int) -> DataFrame:
+    return rows.where(F.col("kind").isin(*kinds)).select(*NAMES)
+
+
+def frequent_sums(rows: DataFrame, kind: int, frequent: int) -> np.ndarray:
+    """Sums of two columns by number + 1 for the frequent contexts: a table of fixed size."""
+    flat = of_kind(rows, kind).select(F.explode(F.arrays_zip("a", "b", "c") if kind == FREQUENT_TOTALS else F.arrays_zip("a", "b", F.col("b").alias("c"))).alias("p"))
+    sums = flat.groupBy("p.a").agg(F.sum("p.b").alias("b"), F.sum("p.c").alias("c")).toArrow()
+    out = np.zeros((int(np.max(sums["a"].to_numpy(), initial=-1)) + 2, 2))
+    out[sums["a"].to_numpy() + 1] = np.stack([sums["b"].to_numpy(), sums["c"].to_numpy()], 1)
+    return out
 
 
 class Totals:
-    """What a sweep knows of all seats: tables in the root and in all other restaurants."""
+    """What a sweep knows of all seats: tables in all restaurants and in the root, and tables of frequent contexts."""
 
-    def __init__(self, tables: int, root_tables: int, vocabulary: int, discount: float, root_discount: float):
+    def __init__(self, tables: int, root_tables: int, vocabulary: int, discount: float, root_discount: float, frequent_tables: np.ndarray):
         self.tables, self.root_tables, self.vocabulary = tables, root_tables, vocabulary
-        self.discount, self.root_discount = discount, root_discount
-        self.words: DataFrame | None = None
-        self.number = 0
+        self.discount, self.root_discount, self.frequent_tables = discount, root_discount, frequent_tables
+        self.flat: DataFrame | None = None
+        self.number, self.told = 0, {}
+
+    def bare(self) -> Totals:
+        """The numbers alone, for tasks."""
+        return Totals(self.tables, self.root_tables, self.vocabulary, self.discount, self.root_discount, self.frequent_tables)
 
     def root(self, customers, tables):
-        """The root's predictive probability of dishes: numbers or columns."""
+        """The root's predictive probability of dishes."""
         d = self.root_discount
-        return (customers - d * tables + (STRENGTH + d * self.root_tables) / (self.vocabulary + 1)) / float(STRENGTH + self.tables)
+        return (customers - d * tables + (STRENGTH + d * self.root_tables) / (self.vocabulary + 1)) / (STRENGTH + self.tables)
 
-    def back_off(self) -> Lookup:
-        """The share that each context leaves to the root."""
-        return Lookup(self.words, F.get("backs", F.lit(self.number)))
+    def share(self, customers, tables):
+        """The share that a context leaves to the root."""
+        return (STRENGTH + self.discount * tables) / (STRENGTH + customers)
 
+    def back_off(self) -> Shares:
+        return Shares(self)
 
-def frequent_values(values: DataFrame, frequent: int) -> np.ndarray:
-    """The columns of a table (id, numbers...) by number + 1 for the most frequent words and START: a bounded table."""
-    rows = values.where(F.col("id") < frequent).toArrow()
-    ids = rows["id"].to_numpy()
-    out = np.zeros((int(ids.max(initial=-1)) + 2, rows.num_columns - 1))
-    for k in range(1, rows.num_columns):
-        out[ids + 1, k - 1] = rows.column(k).to_numpy()
-    return out
 
+class Shares:
+    """The share that each context leaves to the root, asked of the pairs one by one."""
 
-def sweep(seats: DataFrame, words: DataFrame, totals: Totals, number: int, frequent: int) -> DataFrame:
-    """Seat the customers of every repeated pair anew."""
-    values = words.select("id", totals.root(F.col("customers_at_root"), F.col("root_tables")).alias("parent"), F.col("tables").cast("double").alias("seated"))
-    common = words.sparkSession.sparkContext.broadcast(frequent_values(values, frequent))
-    rare = values.where(F.col("id") >= frequent)
-    # Frequent words aren't joined, so no partition gets all rows of one.
-    key = lambda c: F.when(F.col(c) >= frequent, F.col(c))
-    met = seats.withColumn("w", key("word")).withColumn("c", key("context"))
-    if totals.vocabulary > frequent:
-        none = F.lit(None).cast("double")
+    def __init__(self, totals: Totals):
+        self.totals = totals
 
-        def meet(rows: DataFrame, by: str, value: str) -> DataFrame:
-            other = rare.select(F.col("id").alias(by), value)
-            return rows.where(F.col(by).isNotNull()).join(other, by).unionByName(rows.where(F.col(by).isNull()).withColumn(value, none))
+    def __getitem__(self, context: int) -> float:
+        told = self.totals.told
+        if context not in told:
+            found = self.totals.flat.where(F.col("context") == context).agg(F.sum("n"), F.sum(f"t{self.totals.number}")).first()
+            told[context] = self.totals.share(found[0] or 0, found[1] or 0)
+        return told[context]
 
-        met = meet(meet(met, "w", "parent"), "c", "seated")
-    else:
-        met = met.withColumn("parent", F.lit(None).cast("double")).withColumn("seated", F.lit(None).cast("double"))
-    names = [f.split()[0] for f in SEATS.split(", ")]
-    sample, discount = number >= BURN_IN, totals.discount
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = common.value
-        for b in regrouped(batches):
-            context, word, customers, old, own = (np.asarray(b.column(c)) for c in names[1:])
-            parent, seated = (np.array(b.column(c).to_numpy(zero_copy_only=False), np.float64) for c in ("parent", "seated"))
-            at = word < frequent
-            parent[at] = held[word[at] + 1, 0]
-            at = context < frequent
-            seated[at] = held[context[at] + 1, 1]
-            t = seat(customers, seated - old, STRENGTH, discount, parent, draw_keys(pair_keys(context, word)), 2 * number)
-            own = own + customers - discount * t if sample else own
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:4]], pa.array(t), pa.array(own)], names=names)
-
-    return met.select(*names, "parent", "seated").mapInArrow(run, SEATS)
-
-
-WORDS = "id int, h bigint, n bigint, customers bigint, ones_after bigint, ones_of bigint, tables bigint, customers_at_root bigint, root_tables bigint, backs array<double>, roots array<double>"
-
-
-def seated_words(words: DataFrame, seats: DataFrame, totals: Totals | None, number: int) -> DataFrame:
-    """The words' tables as contexts and in the root after a sweep; the root is seated anew."""
-    after = seats.groupBy(F.col("context").alias("id")).agg(F.sum("tables").alias("after"))
-    of = seats.groupBy(F.col("word").alias("id")).agg(F.sum("tables").alias("of"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
-    made = words.join(after, "id", "left").join(of, "id", "left")
-    made = made.withColumn("tables", F.col("ones_after") + zero(F.col("after"))).withColumn("customers_at_root", F.col("ones_of") + zero(F.col("of"))).drop("after", "of")
-    names = [f.split()[0] for f in WORDS.split(", ")]
-    if totals is None:
-        return made.select(*names)
-    all_tables, vocabulary, discount = totals.root_tables, totals.vocabulary, totals.root_discount
+def seat_pairs(pairs: DataFrame, seats: DataFrame, words: DataFrame, totals: Totals, frequent_ones: np.ndarray, number: int, word_buckets: int, frequent: int) -> DataFrame:
+    """Seat the customers of every repeated pair anew, given all other seats of the sweep before."""
+    common = pairs.sparkSession.sparkContext.broadcast(frequent_ones + totals.frequent_tables)
+    discount, root = totals.discount, (totals.root_tables, totals.tables, totals.vocabulary, totals.root_discount)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in regrouped(batches):
-            ids, customers, old = (np.asarray(b.column(c), np.int64) for c in ("id", "customers_at_root", "root_tables"))
-            base = np.full(len(ids), 1 / (vocabulary + 1))
-            t = seat(customers, np.maximum(0, all_tables - old), STRENGTH, discount, base, draw_keys(ids), 2 * number + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(t) if c == "root_tables" else b.column(c) for c in names], names=names)
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, found = rows["bucket"][0].as_py(), by_kind(rows)
+        _, context, word, customers = found[REPEATED][0]
+        old = found[TABLES][0][1].astype(np.int64)
+        _, rare, ones, _ = found[RARE][0]
+        r, total, vocabulary, d = root
+        answers = found.get(PARENTS, [])
+        at_root, root_tables = joined(answers, 1), joined(answers, 2)
+        parents = (at_root - d * root_tables + (STRENGTH + d * r) / (vocabulary + 1)) / (STRENGTH + total)
+        asked, _ = words_by_bucket(word, word_buckets)
+        by_number = np.argsort(asked)
+        parent = parents[by_number][np.searchsorted(asked[by_number], word)]
+        is_rare = context >= frequent
+        at = np.searchsorted(rare, context[is_rare])
+        seated = np.zeros(len(context))
+        seated[is_rare] = (ones + np.bincount(at, weights=old[is_rare], minlength=len(rare)))[at]
+        seated[~is_rare] = common.value[context[~is_rare] + 1, 0]
+        t = seat(customers.astype(np.int64), seated - old, STRENGTH, discount, parent, draw_keys(pair_keys(context, word)), 2 * number)
+        return rows_of([(TABLES, bucket, -1, t), *for_words(TO_WORDS, bucket, word, word_buckets, t), frequent_rows(FREQUENT_TABLES, bucket, context, frequent, t)])
+
+    met = of_kind(pairs, REPEATED, RARE).unionByName(of_kind(seats, TABLES)).unionByName(of_kind(words, PARENTS))
+    return met.groupBy("bucket").applyInArrow(run, ROW)
+
+
+def seat_words(before: DataFrame, seats: DataFrame, totals: Totals | None, number: int, word_buckets: int) -> DataFrame:
+    """Seat every token in the root anew and answer the buckets of pairs; first, without totals, one table a token."""
+    root = totals and (totals.root_tables, totals.vocabulary, totals.root_discount)
 
-    return made.select(*names).mapInArrow(run, WORDS)
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, found = rows["bucket"][0].as_py(), by_kind(rows)
+        if root is None:
+            told = found[OF_WORDS]
+            at, sums = joined(told, 1) // word_buckets, []
+            for k in (2, 3):
+                sums.append(np.bincount(at, weights=joined(told, k)).astype(np.int64))
+            ones, of = sums
+            spread = ((of == 1).sum(), (of == 2).sum())
+            tables = np.ones(len(ones), np.int64)
+        else:
+            _, ones, tables, _ = found[STATE][0]
+            ones, tables, spread = ones.astype(np.int64), tables.astype(np.int64), (0, 0)
+        told = found.get(TO_WORDS, [])
+        at_root = ones + np.bincount(joined(told, 1) // word_buckets, weights=joined(told, 2), minlength=len(ones)).astype(np.int64)
+        if root is not None:
+            r, vocabulary, d = root
+            keys = draw_keys(np.arange(len(ones)) * word_buckets + bucket)
+            tables = seat(at_root, np.maximum(0, r - tables), STRENGTH, d, np.full(len(ones), 1 / (vocabulary + 1)), keys, 2 * number + 1)
+        made = [(STATE, bucket, -1, ones, tables, at_root, at_root.sum(), tables.sum(), *spread)]
+        for asker, asked, _, _ in told:
+            at = asked // word_buckets
+            made.append((PARENTS, asker, bucket, at_root[at], tables[at]))
+        return rows_of(made)
+
+    met = of_kind(before, OF_WORDS if totals is None else STATE).unionByName(of_kind(seats, TO_WORDS))
+    return met.groupBy("bucket").applyInArrow(run, ROW)
 
 
 class Model:
-    """Pairs with their counts, seats with the sums of all samples, words with their values in each sample, and totals."""
+    """Pairs with their counts, listed words, seats and words of each sample, and totals."""
 
-    def __init__(self, pairs: DataFrame, seats: DataFrame, table: DataFrame, samples: list[Totals], tokens: int, vocabulary: int, discount: float, n_buckets: int, frequent: int):
-        self.pairs, self.seats, self.table, self.samples, self.tokens, self.vocabulary = pairs, seats, table, samples, tokens, vocabulary
-        self.discount, self.n_buckets, self.frequent = discount, n_buckets, frequent
+    def __init__(self, listed: DataFrame, pairs: DataFrame, samples: list[Totals], seats: list[DataFrame], states: list[DataFrame], frequent_totals: np.ndarray, tokens: int, vocabulary: int, n_buckets: int, word_buckets: int, frequent: int):
+        self.listed, self.pairs, self.samples, self.seats, self.states, self.frequent_totals = listed, pairs, samples, seats, states, frequent_totals
+        self.tokens, self.vocabulary, self.n_buckets, self.word_buckets, self.frequent = tokens, vocabulary, n_buckets, word_buckets, frequent
+        for k, s in enumerate(samples):
+            s.flat, s.number = self.flat, k
+
+    def sampled(self, rows: DataFrame, tables: list[DataFrame], kind: int) -> DataFrame:
+        """Rows with those of each sample, whose number is in ``other``."""
+        for k, t in enumerate(tables):
+            rows = rows.unionByName(of_kind(t, kind).withColumn("other", F.lit(k).cast("bigint")))
+        return rows
 
     @property
-    def words(self) -> DataFrame:
-        """Every token with all its contexts, for a look at small models: scores don't use it."""
-        flat = self.pairs.select(F.explode(F.arrays_zip("contexts", "words", "counts")).alias("p")).select(F.col("p.contexts").alias("context"), F.col("p.words").alias("word"))
-        own = F.coalesce(F.col("own"), F.lit(len(self.samples) * (1 - self.discount)))
-        flat = flat.join(self.seats.select("context", "word", "own"), ["context", "word"], "left").select("context", "word", own.alias("own"))
-        flat = flat.join(self.table.select(F.col("id").alias("context"), "customers"), "context").withColumn("own", F.col("own") / (F.lit(STRENGTH) + F.col("customers")))
-        by = flat.groupBy(F.col("word").alias("id")).agg(F.collect_list(F.struct("context", "own")).alias("p"))
-        return self.table.where("id >= 0").join(by, "id").select("id", "h", "n", F.col("p.context").alias("contexts"), F.col("p.own").alias("own"), "roots")
+    def flat(self) -> DataFrame:
+        """(context, word, n, t0, t1...): every pair with its tables in each sample. For a look at models; scores don't use it."""
+        count = len(self.samples)
 
+        def run(rows: pa.Table) -> pa.Table:
+            found = by_kind(rows)
+            _, context, word, n = found[PAIRS][0]
+            tables = [np.ones(len(n), np.int64) for _ in range(count)]
+            for k, t, _, _ in found[TABLES]:
+                tables[k][n > 1] = t
+            return pa.table([context, word, n.astype(np.int64), *tables], names=["context", "word", "n", *[f"t{k}" for k in range(count)]])
 
-def fit_numbers(texts: DataFrame, numbers: DataFrame, tokens: int, vocabulary: int, n_buckets: int) -> Model:
+        rows = self.sampled(of_kind(self.pairs, PAIRS), self.seats, TABLES)
+        return rows.groupBy("bucket").applyInArrow(run, "context int, word int, n bigint, " + ", ".join(f"t{k} bigint" for k in range(count)))
+
+    @property
+    def words(self) -> DataFrame:
+        """Every token with its contexts, its own customers' parts there and its root probabilities, summed or listed over samples. For a look at models."""
+        flat, width = self.flat, self.word_buckets
+        own = reduce(lambda x, y: x + y, [F.col("n") - s.discount * F.col(f"t{k}") for k, s in enumerate(self.samples)])
+        customers = flat.groupBy("context").agg(F.sum("n").alias("customers"))
+        parts = flat.withColumn("own", own).join(customers, "context").groupBy(F.col("word").alias("id")).agg(F.collect_list(F.struct("context", (F.col("own") / (STRENGTH + F.col("customers"))).alias("own"))).alias("p"))
+        for k, (s, state) in enumerate(zip(self.samples, self.states)):
+            rows = of_kind(state, STATE).select("bucket", F.posexplode(F.arrays_zip("b", "c")).alias("at", "p"))
+            root = rows.select((F.col("at") * width + F.col("bucket")).alias("id"), s.root(F.col("p.c"), F.col("p.b")).alias(f"root{k}"))
+            parts = parts.join(root, "id")
+        return parts.select("id", F.col("p.context").alias("contexts"), F.col("p.own").alias("own"), F.array(*[f"root{k}" for k in range(len(self.samples))]).alias("roots"))
+
+
+def fit_numbers(texts: DataFrame, listed: DataFrame, tokens: int, vocabulary: int, n_buckets: int, word_buckets: int) -> Model:
     """The model of the rows of ``in_numbers`` that are for training."""
     spark, frequent = texts.sparkSession, FREQUENT
-    pairs, _ = staged(count_pairs(texts, n_buckets, frequent), "pairs")
+    pairs, _ = staged(count_pairs(texts, n_buckets, word_buckets, frequent), "pairs")
     release_shuffles(spark)
-    starts = texts.where("train").count()
-    # As contexts: a word is followed as often as it occurs, an end by nothing, a start once a document.
-    end = F.lit(int(END.view(np.int64)))
-    rows = numbers.select("id", "h", "n", F.when(F.col("h") == end, F.lit(0)).otherwise(F.col("n")).cast("bigint").alias("customers"))
-    rows = rows.unionByName(spark.range(1).select(F.lit(START).alias("id"), F.lit(0).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("n"), F.lit(starts).cast("bigint").alias("customers")))
-    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<double>")
-    rows = rows.join(tallies(pairs), "id", "left")
-    words = rows.select(
-        "id", "h", "n", "customers", *[F.coalesce(F.col(c), zero).alias(c) for c in ("ones_after", "ones_of")], zero.alias("tables"), zero.alias("customers_at_root"),
-        F.when(F.col("id") < 0, zero).otherwise(zero + 1).alias("root_tables"), none.alias("backs"), none.alias("roots"), F.coalesce("pairs_of", zero).alias("pairs_of"),
-    )
-    words, word_path = staged(words, "seats")
-    seats, path = staged(repeated(pairs), "seats")
+    words, path = staged(seat_words(pairs, pairs, None, 0, word_buckets), "seats")
     # Discounts from the numbers of pairs seen once and twice, and of tokens in one and two contexts.
     estimate = lambda one, two: min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
-    seen = words.agg(F.sum("ones_of").alias("c1"), *[F.sum(F.when(F.col("pairs_of") == k, 1).otherwise(0)).alias(f"w{k}") for k in (1, 2)]).first()
-    discount = estimate(seen["c1"] or 0, seats.where("customers = 2").count())
-    root_discount = estimate(seen["w1"] or 0, seen["w2"] or 0)
-
-    def total(w: DataFrame) -> Totals:
-        t = w.agg(F.sum("tables"), F.sum("root_tables")).first()
-        return Totals(t[0] or 0, t[1] or 0, vocabulary, discount, root_discount)
-
-    def write(w: DataFrame) -> None:
-        nonlocal words, word_path
-        old = word_path
-        words, word_path = staged(w, "seats")
-        drop_path(spark, old)
-
-    write(seated_words(words.drop("pairs_of"), seats, None, 0))
-    totals = total(words)
-    samples: list[Totals] = []
+    sums = lambda rows, kind: [x or 0 for x in of_kind(rows, kind).agg(*[F.sum(f"s{k}") for k in range(4)]).first()]
+    discount, root_discount = estimate(*sums(pairs, PAIRS)[:2]), estimate(*sums(words, STATE)[2:])
+    frequent_totals = frequent_sums(pairs, FREQUENT_TOTALS, frequent)
+
+    def total(words: DataFrame, seats: DataFrame) -> Totals:
+        tables = np.zeros_like(frequent_totals)
+        found = frequent_sums(seats, FREQUENT_TABLES, frequent)
+        tables[: len(found)] = found
+        return Totals(*sums(words, STATE)[:2], vocabulary, discount, root_discount, tables)
+
+    seats, old, totals = pairs, [path], total(words, pairs)
+    samples, tables, states = [], [], []
     for number in range(BURN_IN + SAMPLES):
-        new, new_path = staged(sweep(seats, words, totals, number, frequent), "seats")
-        drop_path(spark, path)
-        seats, path = new, new_path
-        write(seated_words(words, seats, totals, number))
-        totals = total(words)
+        seats, seat_path = staged(seat_pairs(pairs, seats, words, totals, frequent_totals, number, word_buckets, frequent), "seats")
+        words, word_path = staged(seat_words(words, seats, totals, number, word_buckets), "seats")
+        totals = total(words, seats)
+        release_shuffles(spark)
+        for path in old:
+            drop_path(spark, path)
+        old = [seat_path, word_path]
         if number >= BURN_IN:
             samples.append(totals)
-            back = (F.lit(STRENGTH) + discount * F.col("tables")) / (F.lit(STRENGTH) + F.col("customers"))
-            words = words.withColumn("backs", F.concat("backs", F.array(back))).withColumn("roots", F.concat("roots", F.array(totals.root(F.col("customers_at_root"), F.col("root_tables")))))
-    write(words)
-    for k, s in enumerate(samples):
-        s.words, s.number = words, k
+            tables.append(seats)
+            states.append(words)
+            old = []
     release_shuffles(spark)
-    return Model(pairs, seats, words, samples, tokens, vocabulary, discount, n_buckets, frequent)
+    return Model(listed, pairs, samples, tables, states, frequent_totals, tokens, vocabulary, n_buckets, word_buckets, frequent)
 
 
 def fit(training: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Model:
-    nothing = F.lit(None).cast("bigint")
-    docs = training.select(nothing.alias("doc_id"), F.col(text_col).alias("text"), F.lit(True).alias("train"))
-    return _fit(docs, block_bytes)[0]
+    docs = training.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.lit(True).alias("train"))
+    return fit_rows(docs, block_bytes)[0]
 
 
-def _fit(docs: DataFrame, block_bytes: int) -> tuple[Model, DataFrame]:
+def fit_rows(docs: DataFrame, block_bytes: int) -> tuple[Model, DataFrame]:
     """The model of the rows (doc_id, text, train) that are for training, and all rows in its numbers."""
     spark = docs.sparkSession
     bound_batches(spark, BATCH)
-    blocks, path = staged(encoded(docs, block_bytes), "blocks")
+    made, n_blocks, word_buckets = encoded(docs, block_bytes)
+    blocks, path = staged(made, "blocks")
+    listed, list_path = staged(numbered(blocks, word_buckets), "words")
+    sums = listed.where("block < 0").agg(F.sum(F.size("hashes")).alias("v"), F.sum("n").alias("n")).first()
+    tokens, vocabulary = sums["n"] or 0, sums["v"] or 0
+    texts, _ = staged(in_numbers(blocks, listed, tokens, vocabulary), "texts")
+    words, _ = staged(listed.where("block < 0"), "words")
+    for done in (path, list_path):
+        drop_path(spark, done)
     release_shuffles(spark)
-    numbers = numbered(blocks)
-    sums = numbers.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
-    tokens, vocabulary = sums["n"] or 0, sums["v"]
-    texts, _ = staged(in_numbers(blocks, numbers, tokens, vocabulary), "texts")
-    n_buckets = (blocks.agg(F.max("block")).first()[0] or 0) + 1
-    drop_path(spark, path)
-    release_shuffles(spark)
-    return fit_numbers(texts, numbers, tokens, vocabulary, n_buckets), texts
+    return fit_numbers(texts, words, tokens, vocabulary, n_blocks, word_buckets), texts
+
+
+def questions(texts: DataFrame, model: Model) -> DataFrame:
+    """Each block's distinct pairs and words, one row a bucket of either."""
+    n_buckets, word_buckets, frequent = model.n_buckets, model.word_buckets, model.frequent
+
+    def run(rows: pa.Table) -> pa.Table:
+        block, (ids, lengths) = rows["block"][0].as_py(), _flat(rows["ids"])
+        pairs = BlockPairs(ids, lengths, n_buckets, frequent)
+        words, buckets = words_by_bucket(ids, word_buckets)
+        return rows_of(dealt(ASKED, block, pairs.buckets, *pair_of(pairs.keys)) + dealt(ASKED_WORDS, block, buckets, words))
+
+    return texts.select("block", "ids").groupBy("block").applyInArrow(run, ROW)
+
+
+ANSWER = "asker bigint, of_words boolean, bucket int, x array<float>, y array<float>"
 
 
-def own_parts(texts: DataFrame, model: Model) -> DataFrame:
-    """(block, bucket, own): for each block's distinct pairs, in order, the sums of their own customers' parts over all samples."""
-    once = len(model.samples) * (1 - model.discount)
+def answered(made: list[tuple], bucket: int, of_words: bool) -> pa.Table:
+    columns = [pa.array([m[0] for m in made], pa.int64()), pa.array([of_words] * len(made), pa.bool_()), pa.array([bucket] * len(made), pa.int32())]
+    for k in (1, 2):
+        columns.append(list_array(np.concatenate([np.empty(0, np.float32), *[m[k].astype(np.float32).ravel() for m in made]]), [m[k].size for m in made]))
+    return pa.table(columns, names=[f.split()[0] for f in ANSWER.split(", ")])
 
-    def run(rows: pa.Table, seats: pa.Table) -> pa.Table:
-        blocks = np.asarray(rows["block"])
-        (context, sizes), word = _flat(rows["contexts"]), _flat(rows["words"])[0]
-        keys, asked = pair_keys(context, word), np.repeat(blocks >= 0, sizes)
-        known = np.sort(keys[~asked])
-        own = np.full(len(known), once)
-        own[np.searchsorted(known, pair_keys(np.asarray(seats["context"]), np.asarray(seats["word"])))] = np.asarray(seats["own"])
-        where, hit = _place(known, keys[asked])
-        answers = np.zeros(len(where), np.float32)
-        answers[hit] = own[where[hit]]
-        at = blocks >= 0
-        return pa.table([pa.array(blocks[at]), rows["bucket"].filter(pa.array(at)), list_array(answers, sizes[at])], names=["block", "bucket", "own"])
 
-    asks = packed_pairs(texts, model.n_buckets, model.frequent, False).unionByName(model.pairs).select("bucket", "block", "contexts", "words")
-    seats = model.seats.select("bucket", "context", "word", "own")
-    return asks.groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInArrow(run, "block int, bucket int, own array<float>")
+def answers(asked: DataFrame, model: Model) -> DataFrame:
+    """To each question, in its order: own parts of pairs summed over samples and shares of their rare contexts (a row of samples each), or root probabilities of words."""
+    samples, frequent, word_buckets = [s.bare() for s in model.samples], model.frequent, model.word_buckets
+    common = asked.sparkSession.sparkContext.broadcast(model.frequent_totals[:, 1])
+    discount, count = samples[0].discount, len(samples)
+
+    def of_pairs(rows: pa.Table) -> pa.Table:
+        bucket, found = rows["bucket"][0].as_py(), by_kind(rows)
+        none = (np.empty(0, np.int32),) * 3
+        _, context, word, n = found[PAIRS][0] if PAIRS in found else (0, *none)
+        keys, n = pair_keys(context, word), n.astype(np.int64)
+        heads = rare_heads(context, frequent)
+        rare, is_rare = context[heads], context >= frequent
+        at = np.searchsorted(rare, context[is_rare])
+        customers = np.bincount(at, weights=n[is_rare], minlength=len(rare))
+        own, shares = count * n.astype(np.float64), np.ones((len(rare), count))
+        for k in range(count):
+            tables = np.ones(len(n))
+            if len(n):
+                tables[n > 1] = found[TABLES][k][1]
+            own -= discount * tables
+            shares[:, k] = samples[k].share(customers, np.bincount(at, weights=tables[is_rare], minlength=len(rare)))
+        own[is_rare] /= STRENGTH + customers[at]
+        own[~is_rare] /= STRENGTH + common.value[context[~is_rare] + 1]
+        made = []
+        for block, a, b, _ in found.get(ASKED, []):
+            where, hit = _place(keys, pair_keys(a, b))
+            x = np.zeros(len(a))
+            x[hit] = own[where[hit]]
+            asked_heads = a[rare_heads(a, frequent)]
+            where, hit = _place(rare, asked_heads)
+            y = np.ones((len(asked_heads), count))
+            y[hit] = shares[where[hit]]
+            made.append((block, x, y))
+        return answered(made, bucket, False)
+
+    def of_words(rows: pa.Table) -> pa.Table:
+        bucket, found = rows["bucket"][0].as_py(), by_kind(rows)
+        made = []
+        if ASKED_WORDS in found:
+            roots = np.stack([s.root(c, b) for s, (_, _, b, c) in zip(samples, found[STATE], strict=True)], 1)
+            made = [(block, roots[a // word_buckets], np.empty(0)) for block, a, _, _ in found[ASKED_WORDS]]
+        return answered(made, bucket, True)
+
+    pairs = model.sampled(of_kind(asked, ASKED).unionByName(of_kind(model.pairs, PAIRS)), model.seats, TABLES).groupBy("bucket").applyInArrow(of_pairs, ANSWER)
+    words = model.sampled(of_kind(asked, ASKED_WORDS), model.states, STATE).groupBy("bucket").applyInArrow(of_words, ANSWER)
+    return pairs.unionByName(words)
 
 
 def score_numbers(texts: DataFrame, model: Model) -> DataFrame:
     """doc_id, train, n_tokens, n_known, base_score and score of the rows of ``in_numbers``."""
-    n_buckets, frequent, count = model.n_buckets, model.frequent, len(model.samples)
-    values = model.table.select("id", (1 / (F.lit(STRENGTH) + F.col("customers"))).alias("share"), *[F.get(c, F.lit(k)).alias(f"{c}{k}") for c in ("backs", "roots") for k in range(count)])
-    common = texts.sparkSession.sparkContext.broadcast(frequent_values(values, frequent))
-    unseen = [s.root(0, 0) for s in model.samples]
-    asked = texts.where("words is not null").select(F.col("block").alias("asker"), F.explode("words").alias("id")).where(F.col("id") >= frequent)
-    columns = values.columns[1:]
-    answers = asked.join(values, "id").select("asker", F.lit(-1).alias("bucket"), F.lit(None).cast("array<float>").alias("own"), "id", F.array(*columns).cast("array<float>").alias("values"))
-    own = own_parts(texts, model).select(F.col("block").alias("asker"), "bucket", "own", F.lit(None).cast("int").alias("id"), F.lit(None).cast("array<float>").alias("values"))
-
-    def run(rows: pa.Table, answered: pa.Table) -> pa.Table:
+    spark = texts.sparkSession
+    n_buckets, word_buckets, frequent, count = model.n_buckets, model.word_buckets, model.frequent, len(model.samples)
+    asked, path = staged(questions(texts, model), "asked")
+    release_shuffles(spark)
+    told, _ = staged(answers(asked, model), "answers")
+    drop_path(spark, path)
+    release_shuffles(spark)
+    customers = model.frequent_totals[:, 1]
+    shares = np.stack([s.share(customers, model.frequent_totals[:, 0] + s.frequent_tables[:, 0]) for s in model.samples], 1)
+    common = spark.sparkContext.broadcast(shares)
+    unseen = np.array([s.root(0, 0) for s in model.samples])
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         ids, lengths = _flat(rows["ids"])
-        context = contexts_of(ids, lengths)
-        _, _, at, of = block_pairs(ids, lengths, n_buckets, frequent)
-        bucket = np.asarray(answered["bucket"])
-        parts = answered.filter(pa.array(bucket >= 0)).sort_by("bucket")
-        told = answered.filter(pa.array(bucket < 0)).sort_by("id")
-        rare = np.asarray(told["id"])
+        told = told.sort_by("bucket")
+        of_words = np.asarray(told["of_words"]).astype(bool)
+        to_pairs, to_words = told.filter(pa.array(~of_words)), told.filter(pa.array(of_words))
+        # The last row of a table of values is for what isn't known.
+        words, _ = words_by_bucket(ids, word_buckets)
+        roots = np.concatenate([_flat(to_words["x"])[0].reshape(-1, count), unseen[None]])
+        by_number = np.argsort(words)
+        now = np.full(len(ids), len(words))
+        known = ids >= 0
+        now[known] = by_number[np.searchsorted(words[by_number], ids[known])]
+        pairs = BlockPairs(ids, lengths, n_buckets, frequent)
+        context = pair_of(pairs.keys)[0]
+        rare = np.cumsum(rare_heads(context, frequent)) - 1
         held = common.value
-        # Row 0 is the unknown word's, whose restaurant is empty.
-        table = np.concatenate([[[1.0] + [1.0] * count + unseen], held, _flat(told["values"])[0].reshape(-1, len(columns))])
-        place = lambda x: np.where(x < frequent, x - UNKNOWN, 1 + len(held) + np.searchsorted(rare, x))
-        before, now = place(context), place(ids)
+        shares = np.concatenate([_flat(to_pairs["y"])[0].reshape(-1, count), held, np.ones((1, count))])
+        n_rare = len(shares) - len(held) - 1
+        of_pair = np.where(context >= frequent, rare, n_rare + np.minimum(context + 1, len(held)))
+        before = np.full(len(ids), len(shares) - 1)
+        before[pairs.at] = of_pair[pairs.of]
         p = np.zeros(len(ids))
-        if len(at):
-            p[at] = _flat(parts["own"])[0].astype(np.float64)[of] * table[before[at], 0]
+        p[pairs.at] = _flat(to_pairs["x"])[0].astype(np.float64)[pairs.of]
         for k in range(count):
-            p += table[before, 1 + k] * table[now, 1 + count + k]
-        score = np.log10(np.minimum(1.0, p / count))
+            p += shares[before, k] * roots[now, k]
         firsts = np.cumsum(lengths) - lengths
-        made = [pa.array(lengths.astype(np.int64)), rows["n_known"], rows["base_score"], pa.array(np.add.reduceat(score, firsts))]
+        made = [pa.array(lengths.astype(np.int64)), rows["n_known"], rows["base_score"], pa.array(np.add.reduceat(np.log10(np.minimum(1.0, p / count)), firsts))]
         return pa.table([rows["doc_id"], rows["train"], *made], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    docs = texts.where("words is null").drop("words")
-    all_answers = own.unionByName(answers)
-    return docs.groupBy("block").cogroup(all_answers.groupBy("asker")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return texts.groupBy("block").cogroup(told.groupBy("asker")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
-    bound_batches(docs.sparkSession, BATCH)
+    spark = docs.sparkSession
+    bound_batches(spark, BATCH)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("train"))
-    blocks, _ = staged(encoded(rows, block_bytes), "blocks")
-    texts, _ = staged(in_numbers(blocks, model.table.where("id >= 0"), model.tokens, model.vocabulary), "texts")
+    blocks, path = staged(encoded(rows, block_bytes, model.word_buckets)[0], "blocks")
+    listed, list_path = staged(numbered(blocks, model.word_buckets, model.listed), "words")
+    texts, _ = staged(in_numbers(blocks, listed, model.tokens, model.vocabulary), "texts")
+    for done in (path, list_path):
+        drop_path(spark, done)
     return score_numbers(texts, model).drop("train")
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.coalesce(bucket_of("doc_id", 7), F.lit(0))  # a null id is of no held-out row
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder != 2).alias("train"))
-    model, texts = _fit(docs, BLOCK_BYTES)
+    model, texts = fit_rows(docs, BLOCK_BYTES)
     rows = score_numbers(texts, model)
     return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
