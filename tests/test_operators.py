@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import random
 import re
 
 import duckdb
@@ -370,3 +371,26 @@ def test_sources_are_folded_before_the_lines_meet_them(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [(1, 3, True, True), (1, 4, True, True), (1, 5, True, False), (2, 3, False, False), (2, 5, False, False), (3, 3, False, False)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan[: plan.index("Join")].count("regexp_replace") <= 2  # those of the quotation
+
+
+def test_theta_join_makes_no_pair_to_drop(spark, tmp_path, monkeypatch):
+    from ledgerwood.plans import relations
+
+    rng = random.Random(13)
+    odd = lambda f: None if rng.random() < 0.1 else f()
+    lines = [(odd(lambda: rng.randrange(99)), odd(lambda: rng.choice([7, 507, -3, 12])), odd(lambda: rng.randint(-15, 15)), odd(lambda: rng.randint(-4, 4))) for _ in range(600)]
+    parts = [(odd(lambda: rng.choice([7, 1007, 2507, -3, -503, 12])), odd(lambda: rng.randint(-12, 12))) for _ in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    # A contract of some 200 notices is dealt in parts of about 40.
+    monkeypatch.setattr(relations, "NOTICES_PER_TASK", 40)
+    made = relations.j13_theta(spark, str(tmp_path))
+    got = sorted(map(repr, map(tuple, made.collect())))
+    assert got and got == sorted(map(repr, con.execute(registry.ORACLES["j13_theta"]).fetchall()))
+    # All conditions are keys of the join that meets notices and requirements: no condition stands after them.
+    last = re.search(r"SortMergeJoin \[(.*?)\], \[(.*?)\], Inner(.*)", made._jdf.queryExecution().executedPlan().toString())
+    assert last and "," not in last[3] and [re.sub(r"#.*", "", c.strip()) for c in last[1].split(",")] == ["contract", "kind", "part"]
+    assert made.rdd.getNumPartitions() == 600 // 40 + 1
