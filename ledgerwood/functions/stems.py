@@ -40,13 +40,19 @@ _REGION = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    # One step of a fold: taking the item of a list works out its type for each word, through all that is bound within.
+    return F.aggregate(F.array(value), F.lit(""), lambda _, v: then(v))
 
 
 def _any(endings) -> str:
     return f"({'|'.join(endings)})$"
 
 
+def _ending(w: Column, endings) -> Column:
+    """The ending that a word has, or an empty string. Few words have one: their last two letters tell most of the others without a pattern."""
+    return F.when(F.substring(w, -2, 2).isin(sorted({e[-2:] for e in endings})), F.regexp_extract(w, _any(endings), 1)).otherwise(F.lit(""))
+
+
 def _cut(w: Column, n: Column | int) -> Column:
     return F.substring(w, F.lit(1), F.length(w) - n)
 
@@ -57,7 +63,7 @@ def _map(values: dict[str, str]) -> Column:
 
 def _plural(w: Column) -> Column:
     return (
-        F.when(w.endswith("sses"), _cut(w, 2)).when(w.rlike("ie[ds]$"), F.when(F.length(w) > 4, _cut(w, 2)).otherwise(_cut(w, 1)))
+        F.when(~(w.endswith("s") | w.endswith("ied")), w).when(w.endswith("sses"), _cut(w, 2)).when(w.rlike("ie[ds]$"), F.when(F.length(w) > 4, _cut(w, 2)).otherwise(_cut(w, 1)))
         .when(w.rlike("[us]s$"), w).when(w.rlike("[aeiouy].+s$"), _cut(w, 1)).otherwise(w)
     )
 
@@ -72,7 +78,7 @@ def _past(w: Column, p1: Column) -> Column:
         eed = F.when(F.length(stem) >= p1, F.concat(stem, F.lit("ee"))).otherwise(w)
         return F.when(e == "", w).when(e.startswith("eed"), eed).when(stem.rlike("[aeiouy]"), _let(stem, mended)).otherwise(w)
 
-    return _let(F.regexp_extract(w, _any(["eedly", "ingly", "edly", "eed", "ing", "ed"]), 1), step)
+    return _let(_ending(w, ["eedly", "ingly", "edly", "eed", "ing", "ed"]), step)
 
 
 def _second(w: Column, p1: Column) -> Column:
@@ -81,7 +87,7 @@ def _second(w: Column, p1: Column) -> Column:
         ok = (F.length(stem) >= p1) & F.when(e == "ogi", stem.endswith("l")).when(e == "li", stem.rlike("[cdeghkmnrt]$")).otherwise(F.lit(True))
         return F.when((e != "") & ok, F.concat(stem, F.try_element_at(_map(SECOND), e))).otherwise(w)
 
-    return _let(F.regexp_extract(w, _any(SECOND), 1), step)
+    return _let(_ending(w, SECOND), step)
 
 
 def _third(w: Column, p1: Column, p2: Column) -> Column:
@@ -90,7 +96,7 @@ def _third(w: Column, p1: Column, p2: Column) -> Column:
         ok = (F.length(stem) >= p1) & ((e != "ative") | (F.length(stem) >= p2))
         return F.when((e != "") & ok, F.concat(stem, F.try_element_at(_map(THIRD), e))).otherwise(w)
 
-    return _let(F.regexp_extract(w, _any(THIRD), 1), step)
+    return _let(_ending(w, THIRD), step)
 
 
 def _fourth(w: Column, p2: Column) -> Column:
@@ -98,7 +104,7 @@ def _fourth(w: Column, p2: Column) -> Column:
         stem = _cut(w, F.length(e))
         return F.when((e != "") & (F.length(stem) >= p2) & ((e != "ion") | stem.rlike("[st]$")), stem).otherwise(w)
 
-    return _let(F.regexp_extract(w, _any(FOURTH), 1), step)
+    return _let(_ending(w, FOURTH), step)
 
 
 def _last(w: Column, p1: Column, p2: Column) -> Column:
@@ -111,19 +117,19 @@ def english(word: Column) -> Column:
     """The stem of a lower-case word; words of up to two letters, and those that aren't letters, stay."""
 
     def regions(w: Column) -> Column:
-        p1 = F.when(w.rlike("^(gener|commun|arsen)"), F.length(F.regexp_extract(w, "^(gener|commun|arsen)", 1))).otherwise(F.length(F.regexp_extract(w, f"({_REGION})", 1)))
-        return _let(F.when(p1 > 0, p1).otherwise(F.length(w)), lambda a: within(w, a))
+        p1 = F.when(w.startswith("gener") | w.startswith("arsen"), F.lit(5)).when(w.startswith("commun"), F.lit(6)).otherwise(F.length(F.regexp_extract(w, f"({_REGION})", 1)))
+        return _let(p1, lambda a: _let(F.when(a > 0, a).otherwise(F.length(w)), lambda b: within(w, b)))
 
     def within(w: Column, p1: Column) -> Column:
         more = F.length(F.regexp_extract(F.substring(w, p1 + 1, F.length(w)), f"({_REGION})", 1))
-        return _let(F.when(more > 0, p1 + more).otherwise(F.length(w)), lambda p2: steps(w, p1, p2))
+        return _let(more, lambda a: _let(F.when(a > 0, p1 + a).otherwise(F.length(w)), lambda p2: steps(w, p1, p2)))
 
     def steps(w: Column, p1: Column, p2: Column) -> Column:
-        rest = lambda a: _let(_past(a, p1), lambda b: _let(F.regexp_replace(b, "^(.+[^aeiouy])[yY]$", "$1i"), lambda c: _let(_second(c, p1), lambda d: _let(_third(d, p1, p2), lambda e: _let(_fourth(e, p2), lambda f: _last(f, p1, p2))))))
+        rest = lambda a: _let(_past(a, p1), lambda b: _let(F.when(F.lower(b).endswith("y"), F.regexp_replace(b, "^(.+[^aeiouy])[yY]$", "$1i")).otherwise(b), lambda c: _let(_second(c, p1), lambda d: _let(_third(d, p1, p2), lambda e: _let(_fourth(e, p2), lambda f: _last(f, p1, p2))))))
         return _let(_plural(w), lambda a: F.when(a.isin(WHOLE), a).otherwise(rest(a)))
 
     def marked(w: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "([aeiouy])y", "$1Y")
+        return F.when(w.contains("y"), F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "([aeiouy])y", "$1Y")).otherwise(w)
 
     stem = F.translate(_let(marked(word), regions), "Y", "y")
     return F.when(word.isin(list(IRREGULAR)), F.try_element_at(_map(IRREGULAR), word)).when((F.length(word) <= 2) | ~word.rlike("^[a-z]+$"), word).otherwise(stem)

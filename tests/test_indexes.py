@@ -123,3 +123,44 @@ def test_wide_vectors_take_time_by_their_width(spark, tmp_path):
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     assert [r["id"] for r in got] == sorted(range(400), key=lambda i: (-round(float(unit[5] @ unit[i]), 12), i))[:20]
     assert got[0]["score"] == got[1]["score"]
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have written for shuffles so far."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_index_is_built_without_shuffling_texts(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(3000)}x" for _ in range(200)) for _ in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, text string").repartition(4).write.parquet(f"{tmp_path}/texts")
+    before = shuffled(spark)
+    made = L.write_index(spark.read.parquet(f"{tmp_path}/texts"), f"{tmp_path}/i")
+    # Only keys, to look for copies of them.
+    assert 0 < shuffled(spark) - before < sum(map(len, texts)) / 20
+    assert made.postings.groupBy().agg(F.sum(F.size("positions"))).first()[0] == 400 * 200
+
+
+def test_copies_of_a_key_accents_and_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "SEGMENT", 12)
+    monkeypatch.setattr(L, "BLOCK", 2)
+    rows = [(1, "Thé notice, Straße notices"), (2, None), (2, "the claims"), (2, "notice of claimed claims"), (None, "claim"), (None, "noticed"), (3, ""), (4, " \n--"), (5, "of the thé")]
+    rows += [(i, "works " * (i % 7) + "claim") for i in range(10, 60)]
+    # Copies meet wherever they lie; one partition has many segments.
+    made = L.write_index(spark.createDataFrame(rows, "chunk_id bigint, text string").repartition(3), f"{tmp_path}/i")
+    got = {(r["term"], r["chunk_id"]): (r["positions"], r["weight"]) for r in made.postings.collect()}
+    assert len(got) == made.postings.count()
+    # "thé" is a stop word when folded, and its place counts.
+    assert got["notic", 1][0] == [2, 4] and got["strass", 1][0] == [3] and ("the", 1) not in got
+    assert got["claim", 2][0] == [2, 3, 4] and got["notic", 2][0] == [1] and got["claim", None][0] == [1] and got["notic", None][0] == [1]
+    assert got["work", 13][0] == [1, 2, 3, 4, 5, 6] and {c for _, c in got} == {1, 2, None, *range(10, 60)}
+    assert got["claim", 2][1] == pytest.approx((0.1 + 0.1 / 4 + 0.1 / 9) / L.LIMIT, abs=1e-15)
+    assert {tuple(r) for r in made.words.collect()} == {("notice", "notic"), ("notices", "notic"), ("noticed", "notic"), ("strasse", "strass"), ("claims", "claim"), ("claimed", "claim"), ("claim", "claim"), ("works", "work")}
+    # A block's chunks are two at most, and all terms of a chunk are in one block.
+    blocks = made.postings.groupBy("block").agg(F.count_distinct(F.struct("chunk_id")).alias("n")).collect()
+    assert max(r["n"] for r in blocks) == 2 and made.postings.groupBy("chunk_id").agg(F.count_distinct("block").alias("n")).where("n > 1").isEmpty()
+    heads = {(r["term"], r["block"]): (r["n"], r["bound"]) for r in made.heads.collect()}
+    assert heads == {(r["term"], r["block"]): (r["n"], r["w"]) for r in made.postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("weight").alias("w")).collect()}
+    assert {r["chunk_id"]: r["matched"] for r in L.matching(made, "claims noticed").collect()} == {1: 1, 2: 2, None: 2, **{i: 1 for i in range(10, 60)}}
