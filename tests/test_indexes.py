@@ -163,4 +163,6 @@ def test_copies_of_a_key_accents_and_segments(spark, tmp_path, monkeypatch):
     assert max(r["n"] for r in blocks) == 2 and made.postings.groupBy("chunk_id").agg(F.count_distinct("block").alias("n")).where("n > 1").isEmpty()
     heads = {(r["term"], r["block"]): (r["n"], r["bound"]) for r in made.heads.collect()}
     assert heads == {(r["term"], r["block"]): (r["n"], r["w"]) for r in made.postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("weight").alias("w")).collect()}
+    best = L.ranked(made, "claims noticed", 2, 1).collect()
+    assert [(r["chunk_id"], r["matched"]) for r in best] == [(2, 2), (None, 2)] and best[0]["score"] > best[1]["score"]
     assert {r["chunk_id"]: r["matched"] for r in L.matching(made, "claims noticed").collect()} == {1: 1, 2: 2, None: 2, **{i: 1 for i in range(10, 60)}}
